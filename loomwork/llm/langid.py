@@ -91,10 +91,11 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], schema=schema)
 
     got = map_batches(sample, run, ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = got.toPandas()  # at most languages * 2^16 rows
+    table = got.toArrow()  # at most languages * 2^16 rows
     langs = sorted(per_lang)
     matrix = np.full(((1 << BITS), len(langs)), SMOOTH)
-    matrix[table["bucket"].to_numpy(), table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] += table["n"].to_numpy()
+    column = {x: i for i, x in enumerate(langs)}
+    matrix[table["bucket"].to_numpy(), [column[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
     logs = np.log(matrix) - np.log(matrix.sum(axis=0))
     prior = np.log([per_lang[x] / total for x in langs])
     return langs, np.vstack([logs, prior]).astype(np.float32)
