@@ -159,6 +159,23 @@ def _pass(state: DataFrame, tables, last: bool) -> DataFrame:
     return map_batches(state, run, ddl)
 
 
+def keep(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of an item: one narrow pass per block of the benchmark."""
+    for tables in _searchers(docs.sparkSession, items, window, block_bytes):
+        docs = _clean(docs, tables)
+    return docs
+
+
+def _clean(docs: DataFrame, tables) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searcher(*tables.value)
+        for b in batches:
+            raws = text_bytes(b.column(b.schema.get_field_index("text")))
+            yield b.filter(pa.array([not search.find(words(raw))[0] for raw in raws], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 #: The same rows in DuckDB SQL.
 ORACLE_SQL = r"""
 WITH d AS (

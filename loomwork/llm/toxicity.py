@@ -205,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount
     return fit([(r.text.encode(), r.toxic) for r in got], discount, rate)
 
 
-def scores(docs: DataFrame, model: Model | float, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, score for every row of docs; with `columns` None only these two."""
+def scores(docs: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id, score for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = arrow_schema("doc_id long, score double")
 
@@ -218,3 +218,16 @@ def scores(docs: DataFrame, model: Model | float, columns: list[str] | None = No
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(slim, run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model | float, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            raws = text_bytes(b.column(b.schema.get_field_index("text")))
+            yield b.filter(pa.array([(m if isinstance(m, float) else m.score(tokens(raw))) < least for raw in raws], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
