@@ -8,12 +8,10 @@ as kind `crf`. The CRF is trained here by maximum likelihood, on a bounded
 sample of passages labelled by the base patterns (`TRAIN_DOCS`, `WINDOWS`:
 documented bounds; every text is scanned whole).
 
-A token with no digit, no delimiter and no keyword near it, and shorter than 20
-bytes, has a `plain` emission. At training the model proves that plain tokens
-are outside whatever their neighbours are (the margin exceeds what transitions
-can give); the best path over a text then splits at plain tokens, so Viterbi
-over the stretches between them is exact. Should the proof fail, whole texts
-are decoded.
+The chain runs over passages: the stretches of a text within 48 bytes, widened
+to blanks, of a digit, a delimiter, a keyword or a run of 20 bytes without
+blanks. By the model's definition all other tokens are outside, so nothing else
+of a text needs features, and every stretch of every text is decoded.
 
 Defined cases: null text = empty = no spans; nothing to learn from: base spans
 only; repeated rows each give a row; very long texts cost time in proportion.
@@ -120,7 +118,6 @@ class Crf:
 
     weights: dict[str, np.ndarray]
     transitions: np.ndarray
-    plain_safe: bool
 
     def emissions(self, names: list[list[str]]) -> np.ndarray:
         zero = np.zeros(TAGS)
@@ -149,10 +146,6 @@ def viterbi(em: np.ndarray, tr: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-#: Features a plain token can have, by what else they depend on; used to prove that it stays outside.
-_PLAIN_KINDS = ("letters", "foreign", "marked", "other")
-
-
 def fit(passages: list[tuple[list[list[str]], list[int]]], rounds: int = 90, penalty: float = 0.05) -> Crf | None:
     """Maximum likelihood with an L2 penalty, by Adam over all passages at once."""
     passages = [p for p in passages if p[0]]
@@ -219,9 +212,7 @@ def fit(passages: list[tuple[list[list[str]], list[int]]], rounds: int = 90, pen
             v += 0.01 * grad * grad
             x += 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     weights = {f: w[i].copy() for f, i in number.items()}
-    model = Crf(weights, tr, False)
-    model.plain_safe = _proves_plain(model)
-    return model
+    return Crf(weights, tr)
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -229,30 +220,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
 
 
-def _proves_plain(model: Crf) -> bool:
-    """Whether every plain token is outside on every best path (an upper bound over its possible features)."""
-    tr, get, zero = model.transitions, model.weights.get, np.zeros(TAGS)
-
-    def most(prefix: str, s: int) -> float:
-        return max([0.0, *(v[s] - v[0] for f, v in model.weights.items() if f.startswith(prefix))])
-
-    for s in (1, 2):
-        turn = max(tr[a, s] + tr[s, c] - tr[a, 0] - tr[0, c] for a in range(TAGS) for c in range(TAGS))
-        fixed = sum((get(f, zero) for f in ("bias", "key before=False", "delimited=False", "key,delimited=False,False", "quoted=False", "is key=False", "delimiter after=False", "turns=0")), zero)
-        for kind in _PLAIN_KINDS:
-            for size in range(4):
-                own = fixed + get(f"kind={kind}", zero) + get(f"size={size}", zero) + get(f"kind,size={kind},{size}", zero)
-                rest = most("marks=", s) + most("before ", s) + most("after ", s)
-                rest += sum(max([0.0, *(v[s] - v[0] for f, v in model.weights.items() if f.startswith(p) and f.endswith(f"|kind={kind}"))]) for p in ("begin=", "assigns="))
-                if own[s] - own[0] + rest + turn >= 0:
-                    return False
-    return True
-
-
-def passages(raw: bytes, whole_text: bool = False) -> list[tuple[int, str]]:
-    """The stretches of a text that hold all tokens that are not plain."""
-    if whole_text:
-        return islands.decoded(raw, [(0, len(raw))]) if raw else []
+def passages(raw: bytes) -> list[tuple[int, str]]:
+    """The stretches of a text that the chain runs over, with their offsets."""
     return islands.decoded(raw, islands.stretches(raw, _MARKED, _REACH, LONG, KEYWORDS))
 
 
@@ -270,7 +239,7 @@ def tagged(model: Crf, offset: int, text: str, whole: list[str]) -> list[tuple[i
 
 def scan(raw: bytes, model: Crf | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans the model adds) of a UTF-8 text, in code points."""
-    around = passages(raw, model is not None and not model.plain_safe)
+    around = passages(raw)
     if not around:
         return [], []
     base = base_spans(raw.decode("utf-8", "replace"))
