@@ -11,8 +11,8 @@ columns of documents:
 4. personal_data: spans are replaced by their kind in brackets, n_chars follows;
 5. packing: a row per piece of a document in its window.
 
-Rows with a null doc_id are kept by the filters unless a decision on their text
-says otherwise; an empty table passes through every stage.
+A row with a null doc_id cannot be named by a group and stays in stage 2; the
+other stages decide by its text alone. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs)
     keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("kept")).select("kept")
-    return docs.join(keep, docs["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(keep, docs["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def compare_versions(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     edges = sorted(set(slim.select(F.col("place").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    splits = [-float("inf"), *edges, float("inf")]
+    splits = [-float("inf"), *(edges or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="x", outputCol="range").transform(slim.withColumn("x", F.col("place").cast("double"))).drop("x")
     # the first document of each range that has any (one row a range)
     heads = sorted((int(r["range"]), r.place) for r in dealt.groupBy("range").agg(F.min("place").alias("place")).collect())
