@@ -43,31 +43,36 @@ INLINE_DROPPED = frozenset("button label".split())
 CLOSES_P = BLOCKS - {"li", "dd", "dt", "td", "th", "tr"} | {"hr"}
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main body aside nav td th blockquote".split())
-UNLIKELY = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adslot|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation"
-    r"|newsletter|notice|notices|pagination|pager|popup|modal|promo|promoted|related|recommended|respond|responses|replies|rss|share|sharing|sidebar|side|site-?(?:header|footer|nav)"
-    r"|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|alert|disclaimer|login|signup|search)(?:$|[\s_-])"
+NAMED_OUT = frozenset(
+    "ad ads adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
+    " footer gdpr masthead menu menus modal nav navbar navigation newsletter pager pagination popup promo promoted promotion recommended replies respond rss share"
+    " sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])")
+NAMED_OUT_UNLESS_CONTENT = frozenset("alert disclaimer header login notice notices related responses search side signup tag tags".split())
+CONTENT = frozenset("article body content entry main post story text".split())
+WITHOUT = frozenset("has have hide is no with without".split())  # "has-sidebar" is not a sidebar
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 LONG_ENOUGH = 25
 
 
 class Block:
-    __slots__ = ("tag", "parent", "children", "dropped", "own", "links", "chars", "link_chars", "points", "order")
+    __slots__ = ("tag", "parent", "children", "dropped", "inside", "own", "links", "chars", "link_chars", "points")
 
     def __init__(self, tag: str, parent: Block | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list = []  # blocks and strings (inline text), in page order
+        self.inside = tag == "article" or parent is not None and parent.inside
         self.own = self.links = self.chars = self.link_chars = 0
         self.points = 0.0
         if parent is not None:
             parent.children.append(self)
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the element is no part of the main text; `inside`: it lies in an article."""
     if tag in DROPPED:
-        return True
+        return not (tag == "header" and inside)
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
@@ -75,8 +80,13 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(UNLIKELY.search(names)) and not LIKELY.search(names)
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if parts and parts[0] not in WITHOUT:
+            own = set(parts)
+            if own & NAMED_OUT or own & NAMED_OUT_UNLESS_CONTENT and not own & CONTENT:
+                return True
+    return False
 
 
 def parse(html: str) -> Block:
@@ -84,6 +94,16 @@ def parse(html: str) -> Block:
     html = COMMENT.sub("", RAW.sub(" ", COMMENT.sub("", html) if "<!--" in html else html))
     root = Block("#root", None, False)
     cur, link, hidden, at = root, 0, 0, 0
+    open_: dict[str, int] = {}  # how many elements of a kind are open
+
+    def close(node: Block) -> None:
+        """Close the node and all that is open in it."""
+        nonlocal cur
+        while cur is not node:
+            open_[cur.tag] -= 1
+            cur = cur.parent
+        open_[node.tag] -= 1
+        cur = node.parent
 
     def put(text: str) -> None:
         if text and not hidden:
@@ -101,29 +121,30 @@ def parse(html: str) -> Block:
             if tag != "wbr":
                 put(" ")
             if tag == "hr" and cur.tag == "p":
-                cur = cur.parent
+                close(cur)
         elif tag in BLOCKS:
             link = 0
             if closing:
-                node = cur
-                while node.parent is not None and node.tag != tag:
-                    node = node.parent
-                if node.parent is not None:
-                    cur, hidden = node.parent, 0
+                if open_.get(tag):
+                    node = cur
+                    while node.tag != tag:
+                        node = node.parent
+                    close(node)
+                    hidden = 0
                 continue
             if tag in CLOSES_P:
+                if cur.tag == "p":
+                    close(cur)
+            if tag in SAME and any(open_.get(t) for t in SAME[tag]):
                 node = cur
-                if node.tag == "p":
-                    cur = node.parent
-            if tag in SAME:
-                node = cur
-                while node.parent is not None and node.tag not in SAME[tag] and node.tag not in SCOPES - SAME[tag]:
+                while node.parent is not None and node.tag not in SAME[tag] and node.tag not in SCOPES:
                     node = node.parent
                 if node.tag in SAME[tag]:
-                    cur = node.parent
-            cur = Block(tag, cur, cur.dropped or _unwanted(tag, attributes))
+                    close(node)
+            cur = Block(tag, cur, cur.dropped or _unwanted(tag, attributes, cur.inside))
+            open_[tag] = open_.get(tag, 0) + 1
             if attributes.endswith("/") and tag not in ("p", "li", "body", "html"):
-                cur = cur.parent
+                close(cur)
     put(html[at:])
     return root
 
@@ -143,8 +164,9 @@ def score(root: Block) -> list[Block]:
     for n in nodes:
         text = "".join(t for c in n.children if not isinstance(c, Block) for t in (c[0],))
         n.own = len(" ".join(text.split()))
-        n.links = sum(len(" ".join(c[0].split())) for c in n.children if not isinstance(c, Block) and c[1])
-        n.chars, n.link_chars = n.own, n.links
+        linked = [len(" ".join(c[0].split())) for c in n.children if not isinstance(c, Block) and c[1]]
+        n.links = sum(x > 0 for x in linked)
+        n.chars, n.link_chars = n.own, sum(linked)
         if n.own >= LONG_ENOUGH and n.parent is not None:
             points = 1 + text.count(",") + min(n.own / 100, 3)
             if n.tag not in ("p", "pre", "td", "li", "blockquote"):
@@ -157,6 +179,7 @@ def score(root: Block) -> list[Block]:
         if n.parent is not None:
             n.parent.chars += n.chars
             n.parent.link_chars += n.link_chars
+            n.parent.links += n.links
     return nodes
 
 
@@ -211,7 +234,7 @@ def text_of(blocks: list[Block]) -> str:
         run = []
         if node is None:
             continue
-        boring = node.tag in ("ul", "ol", "div", "table", "section", "p") and node not in blocks and node.link_chars and density(node) >= 0.7 and node.chars < 2000
+        boring = node.tag in ("ul", "ol", "div", "table", "section") and node not in blocks and node.links > 2 and density(node) >= 0.8 and node.chars < 60 * node.links
         if node.dropped or boring:
             continue
         stack.append(None)  # the block's end
