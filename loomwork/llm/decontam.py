@@ -6,10 +6,10 @@ when a block ends a position), and where the shift is zero the hash of the
 block (its suffix) selects a bucket of test strings, which are compared word
 by word. Most positions of a clean text are never looked at.
 
-Benchmark text is read in blocks of a bounded size; each block is one narrow
-pass over the documents that carries the hits on, so neither the driver nor a
-broadcast grows with the benchmark, and nothing is shuffled. (One item must
-fit in a block's memory.)
+Benchmark text is read in blocks of a bounded size, each broadcast by itself.
+A benchmark of one block is one narrow pass over the documents; of more, there
+is a job a block, whose narrow findings are written and then merged by row, so
+a task's memory does not grow with the benchmark. (One item must fit in it.)
 
 Defined cases: null text has no words; an item without words is no pattern;
 rows of one item_id count as one item; a null item_id counts as the text
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.base import arrow_schema, map_batches, text_bytes
+from loomwork.llm.base import arrow_schema, checkpoint, map_batches, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 3
 #: Bytes of benchmark text per pass.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Lower-cases A-Z and turns what separates words (ASCII other than letters and digits) into blanks.
 _TABLE = bytes(
@@ -63,7 +63,7 @@ class Searcher:
                     key = p[end - b : end]
                     if m - end < shift.get(key, m - b + 1):
                         shift[key] = m - end
-                bucket.setdefault(p[m - b :], []).append((list(p), sorted(ids)))
+                bucket.setdefault(p[m - b :], []).append((p, ids))
             self.tables.append((m, b, shift, bucket))
 
     def find(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -80,7 +80,7 @@ class Searcher:
                     at += s
                     continue
                 for p, ids in bucket[key]:
-                    if w[at - m : at] == p:
+                    if tuple(w[at - m : at]) == p:
                         found.append((at - m, at))
                         items.update(ids)
                 at += 1
@@ -107,62 +107,72 @@ def benchmark_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterat
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
         part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
-        yield [(r.id, bytes(r.raw)) for r in part.collect()]
+        rows = part.toArrow()
+        yield list(zip(rows["id"].to_pylist(), rows["raw"].to_pylist()))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (flat word ranges)."""
     spark = docs.sparkSession
-    state = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
-    blocks = list(_searchers(spark, items, window, block_bytes))
-    for k, tables in enumerate(blocks):
-        state = _pass(state, tables, last=k == len(blocks) - 1)
-    return state
-
-
-def _searchers(spark, items: DataFrame, window: int, block_bytes: int):
-    for block in benchmark_blocks(items, block_bytes):
-        yield spark.sparkContext.broadcast((block, window))
-
-
-STATE = "doc_id long, text string, spans array<int>, items array<string>"
+    state = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tables = [spark.sparkContext.broadcast((block, window)) for block in benchmark_blocks(items, block_bytes)]
+    if len(tables) == 1:
+        return _finished(_search(state, tables[0]))
+    # a job a block; what it finds is narrow and written, so one searcher is in memory at a time
+    found = [checkpoint(_search(state, t).where("size(items) > 0").select("row", "spans", "items")) for t in tables]
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    # at most a row a block in each group
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    counted = _search(state, spark.sparkContext.broadcast(([], window))).select("row", "doc_id", "n_words")
+    return _finished(counted.join(hits, "row", "left").select("row", "doc_id", "n_words", "spans", "items"))
+
+
+STATE = "row long, doc_id long, n_words long, spans array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>"
 
 
-def _pass(state: DataFrame, tables, last: bool) -> DataFrame:
-    ddl = RESULT if last else STATE
-    schema = arrow_schema(ddl)
+def _search(state: DataFrame, tables) -> DataFrame:
+    schema = arrow_schema(STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(*tables.value)
         for b in batches:
             rows = []
-            for doc, raw, spans, items in zip(
-                b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()
-            ):
+            for row, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
                 w = words(raw)
                 found, ids = search.find(w)
-                if spans:
-                    found = merged(found + list(zip(spans[::2], spans[1::2])))
-                ids = sorted(ids.union(items or ()))
-                flat = [x for r in found for x in r]
-                if last:
-                    n = sum(z - a for a, z in found)
-                    rows.append((doc, len(w), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0, flat))
-                else:
-                    rows.append((doc, raw.decode(), flat, ids))
+                rows.append((row, doc, len(w), [x for r in found for x in r], sorted(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    return map_batches(state, run, STATE)
+
+
+def _finished(found: DataFrame) -> DataFrame:
+    schema = arrow_schema(RESULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, n_words, spans, items in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                spans, ids = spans or [], sorted(items or [])
+                ranges = merged(list(zip(spans[::2], spans[1::2])))
+                n = sum(z - a for a, z in ranges)
+                rows.append((doc, n_words, n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0, [x for r in ranges for x in r]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    return map_batches(state, run, ddl)
+    return map_batches(found, run, RESULT)
 
 
 def keep(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of an item: one narrow pass per block of the benchmark."""
-    for tables in _searchers(docs.sparkSession, items, window, block_bytes):
-        docs = _clean(docs, tables)
+    """The rows of docs, all columns, that hold no window of an item: one narrow pass, or a written one for each block."""
+    sc = docs.sparkSession.sparkContext
+    blocks = list(benchmark_blocks(items, block_bytes))
+    for k, block in enumerate(blocks):
+        docs = _clean(docs, sc.broadcast((block, window)))
+        if k < len(blocks) - 1:
+            docs = checkpoint(docs)
     return docs
 
 
