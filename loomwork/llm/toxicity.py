@@ -8,8 +8,8 @@ score. The score is a logistic function of the difference of the two
 log-likelihoods per token, fitted on labelled rows left out of the counts.
 
 Training reads a bounded sample of the labelled rows: at most `max_docs` of
-each class in expectation, picked by a hash of doc_id (`max_docs` is the
-documented bound; scoring always covers every row and whole texts).
+each class in expectation, picked by a hash of doc_id, and about `max_bytes` of
+text (the documented bounds; scoring always covers every row and whole texts).
 
 Defined cases: a null or empty text has one token, its end; the score of an
 untrained model (no labelled rows, or one class only) is the share of toxic
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.base import arrow_schema, id_hash, map_batches, text_bytes
 
 MAX_DOCS = 4000
+MAX_BYTES = 64 << 20
 VOCABULARY = 60_000
 PAIRS = 600_000
 #: Discount per class count: one document in `PER_DISCOUNT` of the smaller class, from 1 up to DISCOUNT.
@@ -184,7 +185,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float,
     return best[1:]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount: float = DISCOUNT) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount: float = DISCOUNT, max_bytes: int = MAX_BYTES) -> Model | float:
     """Learn from labelled rows of docs whose crc32(doc_id) mod 5 is not 0."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(id_hash(), F.lit(5)) != 0)
@@ -201,8 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount
     sample = own.where(place < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
     # at most about 2 * max_docs ids: a proven bound for the broadcast
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = text.join(F.broadcast(sample), "doc_id").where("text is not null").select("text", "toxic").collect()
-    return fit([(r.text.encode(), r.toxic) for r in got], discount, rate)
+    rows = text.join(F.broadcast(sample), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:  # long texts: fewer of them
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * max_bytes / size))
+    got = rows.select("text", "toxic").toArrow()
+    return fit(list(zip(text_bytes(got["text"]), got["toxic"].to_pylist())), discount, rate)
 
 
 def scores(docs: DataFrame, model: Model | float) -> DataFrame:

@@ -316,7 +316,7 @@ def test_peeling(a, b, both):
 
 PAGE = """<html><head><title>t</title></head><body class="home"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies, accept, please, now.</div>
 <div class="wrap"><div class="sidebar">Side, text, long enough to count as a paragraph here.</div><div class="content"><h2>Title</h2>
-<p>First paragraph, with commas, and so on, long enough to count &amp; more.</p><p>Second&nbsp;one<b>bold</b>er.<br>line</p><ul><li><a href=x>link one</a></li><li><a>two</a></li></ul>
+<p>First paragraph, with commas, and so on, long enough to count &amp; more.</p><p>Second&nbsp;one<b>bold</b>er.<br>line</p><ul><li><a href=x>link one</a></li><li><a>two</a></li><li><a>three</a></li></ul>
 <table><tr><td>cell a<td>cell b</table><!-- <p>no</p> --><form><p>search</p></form><div class="share">Share this</div></div>
 <section id="comments"><p>Nice post, I liked it, really, a lot, thanks for sharing it with us all.</p></section></div><script>var a = "<p>x</p>";</script><footer>foot</footer></body></html>"""
 
@@ -325,6 +325,9 @@ def test_main_text():
     assert html.main_text(PAGE) == "Title First paragraph, with commas, and so on, long enough to count & more. Second oneboldoer. line cell a cell b".replace("boldoer", "bolder")
     assert html.main_text("plain &lt;b&gt; 1 < 2") == "plain <b> 1 < 2"
     assert html.main_text("<p>a<p>b") == "a b" and html.main_text("<div><style>p{") == "" and html.main_text(None) == ""
+    inside = "<article><header><h1>T</h1></header><p>text, of it, all here.</p><p><a>kept link</a></p><div class='postComments'>no</div><footer>by</footer></article></b></div>"
+    assert html.main_text("<div class='has-sidebar'><div id=main-menu><p>menu, one, two, three, four, five</p></div>" + inside) == "T text, of it, all here. kept link"
+    assert html.main_text("<div>" * 5000 + "<ul><li>a<li>b<li>c" + "</b></p></nav>" * 5000) == "a b c"
     two = "<main><section><p>" + "long words, many, " * 20 + "</p></section><section><p>short.</p></section></main><div class='related'><p>not, this, one, at all, please.</p></div>"
     assert html.main_text(two).endswith("short.") and "please" not in html.main_text(two)
 
