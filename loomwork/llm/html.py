@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.base import arrow_schema, map_batches
 
-RAW = re.compile(r"(?is)<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas)\b[^>]*+>.*?(?:</\1\s*+[^>]*+>|\Z)")
-COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<!\[CDATA\[|\]\]>")
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|<)*+|[^>]*+)>""")
+# No part of a tag passes a "<", so a page is read in linear time whatever it holds.
+RAW = re.compile(r"(?is)<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas)\b[^<>]*+>.*?(?:</\1\s*+[^<>]*+>|\Z)")
+COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<![^<>]*+>|<\?[^<>]*+>")
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>""")
 ATTRIBUTE = re.compile(r"""(?is)\b(class|id|role|itemprop|hidden|style|aria-hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 
 # Elements by their part in a page.
