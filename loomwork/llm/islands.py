@@ -7,6 +7,8 @@ are handed to the Python-side models. Offsets are code points.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -79,5 +81,19 @@ def digest_text(spans: list[tuple[str, int, int]], order: dict[str, int]) -> str
     return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(spans, key=lambda s: (s[1], order.get(s[0], len(order)), s[2])))
 
 
-def overlaps(a: int, z: int, spans: list[tuple[str, int, int]]) -> bool:
-    return any(a < y and x < z for _, x, y in spans)
+class Taken:
+    """Ranges that later ones must not overlap; a look-up and an addition at the end cost little."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, z in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def meets(self, a: int, z: int) -> bool:
+        k = bisect_left(self.starts, z) - 1
+        return k >= 0 and self.ends[k] > a

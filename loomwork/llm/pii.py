@@ -44,7 +44,7 @@ ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 LONGEST = 14
-DIGITS = 7
+DIGITS, MOST_DIGITS = 7, 24
 STRETCH = 400
 TRAIN_DOCS = 10_000
 PASSAGES = 500
@@ -110,7 +110,7 @@ def span_features(text: str, a: int, z: int) -> list[str] | None:
     digits = _digits(s)
     n = len(digits)
     at = s.count("@")
-    if not at and n < DIGITS or at > 1 or n > 24:
+    if not at and n < DIGITS or at > 1 or n > MOST_DIGITS:
         return None
     letters = any(c.isalpha() for c in s)
     blank = " " in s
@@ -146,11 +146,21 @@ class SemiCrf:
 
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
     """Candidate entities (first token, token after the last, features), by last token."""
-    heavy = [bool(text[a].isdigit() or text[a] == "@") for a, _ in tokens]
+    # running counts of digits and @ rule most segments out before their text is looked at
+    digits, ats = [0], [0]
+    for a, z in tokens:
+        digits.append(digits[-1] + (z - a if "0" <= text[a] <= "9" else 0))
+        ats.append(ats[-1] + (text[a] == "@"))
+    begins = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
     out = []
     for j in range(1, len(tokens) + 1):
+        if not text[tokens[j - 1][1] - 1].isalnum():
+            continue
         for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-            if any(heavy[i:j]) and (names := span_features(text, tokens[i][0], tokens[j - 1][1])):
+            n, at = digits[j] - digits[i], ats[j] - ats[i]
+            if n > MOST_DIGITS or at > 1:
+                break
+            if begins[i] and (at or n >= DIGITS) and (names := span_features(text, tokens[i][0], tokens[j - 1][1])):
                 out.append((i, j, names))
     return out
 
@@ -257,10 +267,12 @@ def scan(raw: bytes, model: SemiCrf | None) -> tuple[list[tuple[str, int, int]],
     base = base_spans(raw.decode("utf-8", "replace"))
     added: list[tuple[str, int, int]] = []
     if model:
+        taken, done = islands.Taken(base), 0
         for offset, text in around:
-            for kind, a, z in entities(model, offset, text):
-                if not islands.overlaps(a, z, base) and not islands.overlaps(a, z, added):
+            for kind, a, z in entities(model, offset, text):  # ascending
+                if a >= done and not taken.meets(a, z):
                     added.append((kind, a, z))
+                    done = z
     return base, added
 
 

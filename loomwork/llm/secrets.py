@@ -245,9 +245,9 @@ def scan(raw: bytes, model: Crf | None) -> tuple[list[tuple[str, int, int]], lis
     base = base_spans(raw.decode("utf-8", "replace"))
     added = []
     if model:
-        whole = file_features(raw)
+        whole, taken = file_features(raw), islands.Taken(base)
         for offset, text in around:
-            added += [("crf", a, z) for a, z in tagged(model, offset, text, whole) if not islands.overlaps(a, z, base)]
+            added += [("crf", a, z) for a, z in tagged(model, offset, text, whole) if not taken.meets(a, z)]
     return base, added
 
 
@@ -308,7 +308,7 @@ def labels(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list
     """Tags of the tokens: begin or inside where a secret overlaps them."""
     out = []
     before = None
-    for a, z in spans:
+    for a, z in spans:  # of a passage, so there are few of either
         own = next((s for s in secrets if a < s[1] and s[0] < z), None)
         out.append(0 if own is None else 2 if own == before else 1)
         before = own
