@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two bigram models, one of toxic and one of ordinary text, share the lowest
-order: continuation counts pooled over both classes. A word or word pair that
-a class has hardly seen falls back to those shared counts, so it says nothing
-for or against; only expressions well attested in many contexts move the
-score. The score is a logistic function of the difference of the two
-log-likelihoods per token, fitted on labelled rows left out of the counts.
+Two models, one of toxic and one of ordinary text, are discounted step by step:
+word pairs back off to words, words to their stems (the first letters, which
+inflections share), stems to counts that both classes share: in how many
+classes a stem is found at all. The discounted mass is common to both, so an
+expression that neither class attests says nothing for or against. Expressions
+count once a document, so a long or repetitive text weighs no more than others.
+The score is a logistic function of the difference of the two log-likelihoods
+per token, fitted on labelled rows left out of the counts.
 
 Training reads a bounded sample of the labelled rows: at most `max_docs` of
 each class in expectation, picked by a hash of doc_id, and about `max_bytes` of
@@ -34,17 +36,18 @@ MAX_DOCS = 4000
 MAX_BYTES = 64 << 20
 VOCABULARY = 60_000
 PAIRS = 600_000
-#: Discount per class count: one document in `PER_DISCOUNT` of the smaller class, from 1 up to DISCOUNT.
-DISCOUNT = 5.0
-PER_DISCOUNT = 80
+#: What every count loses to the lower order.
+DISCOUNT = 0.75
 #: Documents of each class that must hold a word for pairs after it to count.
 CONTEXT = 50
 #: Times the discount that pairs lose.
 PAIR = 4
 #: Tokens without evidence added to every length, so that a few words of a short text decide little.
-STEADY = 100
+STEADY = 60
 #: Folds of the calibration: more of them where there is less to learn from.
 FOLDS, FOLDS_SMALL, SMALL = 5, 12, 4000
+#: Letters of a word that its inflections share.
+STEM = 4
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -55,12 +58,18 @@ def tokens(raw: bytes) -> list[bytes]:
     return out
 
 
+def stem(word: bytes) -> bytes:
+    """The first letters of a word: what its inflections share."""
+    return word.decode("utf-8", "replace")[:STEM].encode()
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios ready to add up: a token's unigram part, and corrections of known pairs."""
 
     vocab: dict[bytes, int]
-    ratio: np.ndarray  # log of the class ratio at the lowest class order, by word (last: unknown)
+    stems: dict[bytes, int]  # ids of stems, for words that are not known
+    ratio: np.ndarray  # log of the class ratio by id: known words, unknown ones, stems
     keys: np.ndarray  # sorted pair keys
     pair: np.ndarray  # full log ratio of those pairs
     slope: float
@@ -69,15 +78,20 @@ class Model:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get, n = self.vocab.get, len(self.vocab)
-        return np.fromiter((get(w, n) for w in words), np.int64, len(words))
+        ids = np.fromiter((get(w, n) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(ids == n).tolist():
+            ids[i] = self.stems.get(stem(words[i]), n)
+        return ids
 
     def per_token(self, ids: np.ndarray) -> float:
-        before = np.concatenate(([0], ids[:-1]))  # a text starts after an end
         part = self.ratio[ids]
         if len(self.keys):
-            key = before * (len(self.vocab) + 1) + ids
+            n = len(self.vocab)
+            ids = np.minimum(ids, n)
+            before = np.concatenate(([0], ids[:-1]))  # a text starts after an end
+            key = before * (n + 1) + ids
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            part = np.where(self.keys[at] == key, self.pair[at], part)
+            part = np.where((self.keys[at] == key) & (ids < n), self.pair[at], part)
         return float(part.sum()) / (len(ids) + STEADY)
 
     def score(self, words: list[bytes]) -> float:
@@ -85,34 +99,36 @@ class Model:
         return self.floor + (1 - self.floor) / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def fit(texts: list[tuple[bytes, int]], most: float = DISCOUNT, base_rate: float | None = None) -> Model | float:
+def fit(texts: list[tuple[bytes, int]], discount: float = DISCOUNT, base_rate: float | None = None) -> Model | float:
     """A model of (UTF-8 text, label) rows, or the share of toxic rows where that is all there is to learn."""
     words: dict[bytes, int] = {b"": 0}  # the end is the first word
     rows = []
     for raw, y in sorted(set(texts)):
         rows.append((np.array([words.setdefault(w, len(words)) for w in tokens(raw)], np.int32), y))
+    spelt = list(words)
+    stems: dict[bytes, int] = {}
+    stem_of = np.array([stems.setdefault(stem(w), len(stems)) for w in spelt], np.int64)
     rate = base_rate if base_rate is not None else (sum(y for _, y in rows) / len(rows) if rows else 0.0)
     rows.sort(key=lambda r: len(r[0]))
     n = FOLDS if len(rows) > SMALL else FOLDS_SMALL
     folds = [rows[k::n] for k in range(n)]
     if any({y for j, f in enumerate(folds) for _, y in f if j != k} != {0, 1} for k in range(n)):
         return float(rate)
-    few = min(sum(y for _, y in rows), sum(1 - y for _, y in rows))
-    discount = min(most, max(1.0, few / PER_DISCOUNT))
     # the curve is fitted on rows held out of their model's counts; the final counts use all rows
     held = []
     for k, fold in enumerate(folds):
-        part, ids = _count([r for j, f in enumerate(folds) if j != k for r in f], discount, len(words))
+        part, ids = _count([r for j, f in enumerate(folds) if j != k for r in f], discount, stem_of)
         held += [(part.per_token(ids[w]), y) for w, y in fold]
-    model, ids = _count(rows, discount, len(words))
-    spelt = list(words)
-    model.vocab = {spelt[i]: int(ids[i]) for i in np.flatnonzero(ids < ids.max())}
+    model, ids = _count(rows, discount, stem_of)
+    model.vocab = {spelt[i]: int(ids[i]) for i in np.flatnonzero(ids < len(model.vocab))}
+    model.stems = {x: len(model.vocab) + 1 + k for x, k in stems.items()}
     model.slope, model.bias, model.floor = _calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held]), rate)
     return model
 
 
-def _count(rows: list[tuple[np.ndarray, int]], discount: float, words: int) -> tuple[Model, np.ndarray]:
+def _count(rows: list[tuple[np.ndarray, int]], discount: float, stem_of: np.ndarray) -> tuple[Model, np.ndarray]:
     """A model of rows of word numbers, and the model's id of each word number."""
+    words = len(stem_of)
     spread = np.zeros(words, np.int64)
     for w, _ in rows:
         spread[np.unique(w)] += 1
@@ -120,26 +136,28 @@ def _count(rows: list[tuple[np.ndarray, int]], discount: float, words: int) -> t
     known = known[np.argsort(-spread[known], kind="stable")]
     known = np.concatenate(([0], known[known != 0][: VOCABULARY - 1]))
     n = len(known)
-    numbers = np.full(words, n, np.int64)
+    numbers = n + 1 + stem_of
     numbers[known] = np.arange(n)
     size = n + 1
-    per_class, contexts = [], []  # an expression counts once a document; the contexts of a word are its documents
+    per_class, contexts, by_stem = [], [], []  # an expression counts once a document; the contexts of a word are its documents
     for c in (0, 1):
-        keys, own = [], []
+        keys, own, met = [], [], []
         for w, y in rows:
             if y == c:
-                ids = numbers[w]
+                ids = np.minimum(numbers[w], n)
+                met.append(np.unique(stem_of[w]))
                 keys.append(np.unique(np.concatenate(([0], ids[:-1])) * size + ids))
                 own.append(np.unique(ids))
         per_class.append(np.unique(np.concatenate(keys), return_counts=True))
         contexts.append(np.bincount(np.concatenate(own), minlength=size).astype(float))
-    # the continuation counts that both back off to: in how many classes is the word found
-    shared = (contexts[0] > 0) + (contexts[1] > 0) + 0.5
-    shared /= shared.sum()
-    # The back-off weights are those of both classes together: what neither class attests has the ratio 1.
-    kept = [np.maximum(x - discount, 0) for x in contexts]
-    mass = 1 - sum(x.sum() for x in kept) / max(sum(x.sum() for x in contexts), 1)
-    low = [(1 - mass) * x / max(x.sum(), 1e-9) + mass * shared for x in kept]
+        by_stem.append(np.bincount(np.concatenate(met), minlength=stem_of.max() + 1).astype(float))
+    # words back off to their stems in the class, stems to what both classes share
+    stems = _discounted(by_stem, discount, _spread_over_classes(by_stem))
+    both = _spread_over_classes(contexts)
+    own_stem = stem_of[known]
+    within = np.append(both[:n] / np.maximum(np.bincount(own_stem, weights=both[:n], minlength=len(stems[0])), 1e-12)[own_stem], both[n])
+    lower = [np.append(within[:n] * x[own_stem], within[n]) for x in stems]
+    low = _discounted(contexts, discount, *lower)
     total = sum(np.bincount(key // size, weights=count, minlength=size) for key, count in per_class)
     taken = sum(np.bincount(key // size, weights=np.minimum(count, PAIR * discount), minlength=size) for key, count in per_class)
     weight = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
@@ -160,8 +178,25 @@ def _count(rows: list[tuple[np.ndarray, int]], discount: float, words: int) -> t
         at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
         own = np.where(key[at] == keys, np.maximum(count[at] - PAIR * discount, 0), 0) / np.maximum(total[keys // size], 1)
         logs.append(np.log(own * (1 - weight[keys // size]) + weight[keys // size] * lo[keys % size]))
-    vocab = dict.fromkeys(range(n), 0)
-    return Model(vocab, np.log(low[1]) - np.log(low[0]), keys, logs[1] - logs[0], 1.0, 0.0, 0.0), numbers
+    ratio = np.concatenate((np.log(low[1][:n]) - np.log(low[0][:n]), [0.0], np.log(stems[1]) - np.log(stems[0])))
+    return Model(dict.fromkeys(range(n), 0), {}, ratio, keys, logs[1] - logs[0], 1.0, 0.0, 0.0), numbers
+
+
+def _spread_over_classes(counts: list[np.ndarray]) -> np.ndarray:
+    """The continuation counts: in how many classes something is found, as shares."""
+    out = (counts[0] > 0) + (counts[1] > 0) + 0.5
+    return out / out.sum()
+
+
+def _discounted(counts: list[np.ndarray], discount: float, *lower: np.ndarray) -> list[np.ndarray]:
+    """Class distributions: counts less the discount, its mass given to the lower order (one for both, or one a class).
+
+    The mass is that of both classes together, so what neither class attests has the ratio of the lower order.
+    """
+    kept = [np.maximum(x - discount, 0) for x in counts]
+    mass = 1 - sum(x.sum() for x in kept) / max(sum(x.sum() for x in counts), 1)
+    lower = lower * 2 if len(lower) == 1 else lower
+    return [(1 - mass) * x / max(x.sum(), 1e-9) + mass * y for x, y in zip(kept, lower)]
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float, float]:
