@@ -85,6 +85,21 @@ def bit_changes(bits: Column) -> Column:
     return F.aggregate(apart, F.lit(0), lambda acc, x: acc + x)
 
 
+def bit_neighbours(bits: Column) -> Column:
+    """The signatures that differ in one bit, in the order of the bit."""
+    flipped = lambda i: F.concat(
+        F.substring(bits, F.lit(1), i - 1), F.when(F.substring(bits, i, F.lit(1)) == "1", "0").otherwise("1"), F.substring(bits, i + 1, F.length(bits))
+    )
+    return F.when(F.length(bits) > 0, F.transform(F.sequence(F.lit(1), F.length(bits)), flipped)).otherwise(F.array().cast("array<string>"))
+
+
+def relationship_similarity(a: Column, b: Column) -> Column:
+    """Similarity of the weights of two lists of (uri, weight), each put in the order of uris; 0 where empty or of two sizes."""
+    weights = lambda x: F.transform(F.array_sort(x), lambda r: r["weight"])
+    usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
+    return F.when(usable, js_similarity(weights(a), weights(b))).otherwise(0.0)
+
+
 def pair_count(n: Column) -> Column:
     """Unordered pairs of n things."""
     return n * (n - 1) / 2

@@ -15,7 +15,7 @@ from loomwork.plans.lineage import cut
 MAX_DEPTH = 8
 
 
-def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: float = 1e-5, seed: int = 42) -> DataFrame:
+def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: float = 1e-5, seed: int = 42, init: str = "k-means||", init_steps: int = 5) -> DataFrame:
     """shapes (uri, type, vector) with `sector`: recursive k-means until no sector exceeds `size` rows.
 
     One k-means per oversized sector and level; only the counts of sectors reach the driver. A sector that
@@ -37,7 +37,7 @@ def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: f
         for s, n in sorted(large.items()):
             k = max(2, math.ceil(n / size))
             part = open_.where(F.col("sector") == s).withColumn("features", array_to_vector("vector"))
-            model = KMeans(k=k, maxIter=iterations, tol=epsilon, seed=seed).fit(part)
+            model = KMeans(k=k, maxIter=iterations, tol=epsilon, seed=seed, initMode=init, initSteps=init_steps).fit(part)
             got = model.transform(part).withColumn("sector", F.concat_ws(".", "sector", F.col("prediction").cast("string")))
             if max(model.summary.clusterSizes) == n:  # no progress
                 got = got.withColumn("sector", F.concat_ws("#", F.lit(s), F.pmod(F.xxhash64("uri"), F.lit(2 * k)).cast("string")))

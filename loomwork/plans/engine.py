@@ -61,6 +61,16 @@ class Domain:
         self.store.write("centroids", sectors.centroids(sectored))
         self.store.write("centroid_similarities", similarity.of_centroids(self.store.read("centroids")))
 
+    def announce(self) -> str:
+        """The message that the domain has been analysed, also kept among the events: name, id and time as JSON."""
+        message = self.spark.range(1).select(
+            F.lit("domain.analyzed").alias("key"), F.lit(f"domains/{self.name}").alias("resource"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("time"), F.lit(self.name).alias("name"),
+        )
+        row = message.select("key", "resource", "time", F.to_json(F.struct("name", F.col("resource").alias("id"), "time")).alias("json"))
+        self.store.append("events", row)
+        return row.first().json
+
     def shape(self, resources: DataFrame) -> None:
         """New or changed resources: shaped by the stored model, others stay as they are."""
         from functools import partial

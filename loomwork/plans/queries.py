@@ -368,6 +368,27 @@ def signature_groups(spark, sf_dir):
     return rows.groupBy("bits").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {SHAPES}, b AS (SELECT uri, left({BITS}, 4) AS bits FROM shapes), n AS (SELECT uri, bits, unnest(range(1, length(bits) + 1)) AS i FROM b)
+SELECT uri, bits[:i - 1] || CASE WHEN bits[i:i] = '1' THEN '0' ELSE '1' END || bits[i + 1:] AS near FROM n""")
+def signature_neighbours(spark, sf_dir):
+    rows = shapes_of(spark, sf_dir).select("uri", F.substring(V.bit_signature(F.col("vector"), 0.05, 0.25), 1, 4).alias("bits"))
+    return rows.select("uri", F.explode(V.bit_neighbours(F.col("bits"))).alias("near"))
+
+
+@query(f"""WITH {SHAPES}, r AS (SELECT label, list(vector[1] / (vector[1] + vector[2]) ORDER BY uri) AS w FROM shapes GROUP BY label),
+k AS (SELECT label, list_transform(w[:4], lambda x: x / list_sum(w[:4])) AS w FROM r),
+h AS (SELECT *, -list_sum(list_transform(w, lambda p: CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)) AS h FROM k)
+SELECT a.label AS a, b.label AS b, round({js('a.w', 'b.w', 'a.h', 'b.h')}, 6) AS score FROM h a JOIN h b ON a.label + 1 = b.label""")
+def relationship_similarity(spark, sf_dir):
+    v = F.col("vector")
+    rows = shapes_of(spark, sf_dir).select("sector", F.struct("uri", (v[0] / (v[0] + v[1])).alias("weight")).alias("r"))
+    lists = rows.groupBy("sector").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 4).alias("l"))  # a list a label
+    total = F.aggregate("l", F.lit(0.0), lambda acc, r: acc + r["weight"])
+    own = lists.select("sector", F.transform("l", lambda r: F.struct(r["uri"].alias("uri"), (r["weight"] / total).alias("weight"))).alias("l"))
+    pairs = own.alias("a").join(own.alias("b"), F.col("a.sector") + 1 == F.col("b.sector"))
+    return pairs.select(F.col("a.sector").alias("a"), F.col("b.sector").alias("b"), r6(V.relationship_similarity(F.col("a.l"), F.col("b.l"))).alias("score"))
+
+
 @query("""SELECT doc_id, CAST(len(list_filter(list_zip(string_split(left(sha256(text), 16), ''), string_split(right(sha256(text), 16), '')), lambda z: z[1] <> z[2])) AS INTEGER) AS apart
 FROM documents WHERE text IS NOT NULL""")
 def hamming(spark, sf_dir):

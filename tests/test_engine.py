@@ -76,6 +76,7 @@ def test_domain(spark, tmp_path):
     assert sum(d.store.read("shapes").where(F.col("uri") == uri).first().vector) == 0
     assert d.compare_topics(d, 10).count() == 16
     assert d.item_of_document("nope") == ""
+    assert '"id":"domains/d"' in d.announce() and d.store.read("events").count() == 2
     d.delete()
     assert not d.store.exists("shapes")
 
