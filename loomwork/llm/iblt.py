@@ -43,6 +43,8 @@ CELLS = 18
 GROWTH = 4
 LARGEST = 1 << 20
 BATCH = 256
+#: Ids of first documents that are also given to the reader as a filter; beyond, the broadcast of a row a range selects alone.
+PUSHED = 1000
 SPLIT = re.compile(r"\n+|(?<=[.!?,;:])[ \t]+")
 
 
@@ -201,8 +203,9 @@ def compare_versions(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     before = {place: float(heads[k - 1][0]) for k, (_, place) in enumerate(heads)}  # the first follows the last
     schema = arrow_schema(DDL)
     which = spark.createDataFrame(list(before.items()), "place long, range double")
-    first = slim.where(F.col("place").isin([p for _, p in heads])).groupBy("place").agg(F.min("text").alias("text"))
-    extra = first.join(F.broadcast(which), "place").select("place", F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
+    wanted = slim.where(F.col("place").isin([p for _, p in heads])) if len(heads) <= PUSHED else slim  # a filter that reaches the reader
+    first = wanted.join(F.broadcast(which), "place").groupBy("place", "range").agg(F.min("text").alias("text"))
+    extra = first.select("place", F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
     rows = dealt.select("place", "doc_id", "text", "range", F.lit(0).alias("extra")).unionByName(extra)
     rows = rows.repartition(parts, "range").sortWithinPartitions("range", "extra", "place", "text")
     rows = rows.select("doc_id", "text", "range", "extra")
