@@ -6,8 +6,9 @@ inflections share), stems to counts that both classes share: in how many
 classes a stem is found at all. The discounted mass is common to both, so an
 expression that neither class attests says nothing for or against. Expressions
 count once a document, so a long or repetitive text weighs no more than others.
-The score is a logistic function of the difference of the two log-likelihoods
-per token, fitted on labelled rows left out of the counts.
+A token's log ratio is shrunk by what chance in the sample gives (`CHANCE`), and
+the score is a logistic function of the difference of the log-likelihoods per
+token, fitted on labelled rows left out of the counts.
 
 Training reads a bounded sample of the labelled rows: at most `max_docs` of
 each class in expectation, picked by a hash of doc_id, and about `max_bytes` of
@@ -42,6 +43,8 @@ DISCOUNT = 0.75
 CONTEXT = 50
 #: Times the discount that pairs lose.
 PAIR = 4
+#: Log ratios up to this are what chance in the labelled sample gives a word: they count as none.
+CHANCE = 2.5
 #: Tokens without evidence added to every length, so that a few words of a short text decide little.
 STEADY = 60
 #: Folds of the calibration: more of them where there is less to learn from.
@@ -92,6 +95,7 @@ class Model:
             key = before * (n + 1) + ids
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             part = np.where((self.keys[at] == key) & (ids < n), self.pair[at], part)
+        part = np.sign(part) * np.maximum(np.abs(part) - CHANCE, 0)
         return float(part.sum()) / (len(ids) + STEADY)
 
     def score(self, words: list[bytes]) -> float:

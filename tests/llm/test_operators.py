@@ -412,10 +412,14 @@ def test_toxicity_held_out(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     held = [d for d in docs if zlib.crc32(str(d).encode()) % 5 == 0]
     assert all(got[d].held_out for d in held) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    bad = {d for d in held if ABUSE & {w.strip(".,!*#%&$") for w in docs[d].lower().split()}}
-    caught = sum(got[d].predicted for d in bad)
-    wrong = sum(got[d].predicted for d in held if d not in bad)
-    assert caught > 0.75 * len(bad) and wrong < 0.03 * len(held)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in set(held)}
+    bad = {d for d in labels if labels[d] == 1}
+    assert len(bad) > 50
+    assert sum(got[d].predicted for d in bad) > 0.8 * len(bad)
+    assert sum(got[d].predicted for d in labels if d not in bad) < 0.02 * len(labels)
+    # documents without a label, by the English expressions
+    marked = {d for d in held if ABUSE & {w.strip(".,!*#%&$") for w in docs[d].lower().split()}}
+    assert sum(got[d].predicted for d in marked) > 0.8 * len(marked)
 
 
 def test_toxicity_small():
