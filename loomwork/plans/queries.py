@@ -165,12 +165,12 @@ def levenshtein_similarity(spark, sf_dir):
     return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), r6(X.levenshtein_similarity(F.col("a"), F.col("b"))).alias("score"))
 
 
-@query("SELECT 'items/' || min(conv_id * 1000 + turn) AS item, 'documents/' || conv_id AS document FROM conversations GROUP BY conv_id HAVING conv_id % 7 = 3")
+@query("SELECT 'items/' || min(conv_id * 1000 + turn) AS item, 'documents/' || conv_id AS document FROM conversations GROUP BY conv_id")
 def item_of_document(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
     bundles = rows.groupBy("conv_id").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("i"))
-    named = bundles.select(X.uri("documents", F.col("conv_id").cast("string")).alias("starturi"), X.uri("items", F.col("i").cast("string")).alias("enduri"), "conv_id")
-    return named.where("conv_id % 7 = 3").select(F.col("enduri").alias("item"), F.col("starturi").alias("document"))
+    named = bundles.select(X.uri("documents", F.col("conv_id").cast("string")).alias("starturi"), X.uri("items", F.col("i").cast("string")).alias("enduri"))
+    return named.select(F.col("enduri").alias("item"), F.col("starturi").alias("document"))
 
 
 # shapes, topics, distributions
@@ -362,16 +362,16 @@ def bit_signature(spark, sf_dir):
     return rows.withColumn("changes", V.bit_changes(F.col("bits")))
 
 
-@query(f"WITH {SHAPES} SELECT bits, count(*) AS n FROM (SELECT left({BITS}, 3) AS bits FROM shapes) GROUP BY bits")
+@query(f"WITH {SHAPES} SELECT bits, count(*) AS n FROM (SELECT {BITS} AS bits FROM shapes) GROUP BY bits")
 def signature_groups(spark, sf_dir):
-    rows = shapes_of(spark, sf_dir).select(F.substring(V.bit_signature(F.col("vector"), 0.05, 0.25), 1, 3).alias("bits"))
+    rows = shapes_of(spark, sf_dir).select(V.bit_signature(F.col("vector"), 0.05, 0.25).alias("bits"))
     return rows.groupBy("bits").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SHAPES}, b AS (SELECT uri, left({BITS}, 4) AS bits FROM shapes), n AS (SELECT uri, bits, unnest(range(1, length(bits) + 1)) AS i FROM b)
+@query(f"""WITH {SHAPES}, b AS (SELECT uri, {BITS} AS bits FROM shapes), n AS (SELECT uri, bits, unnest(range(1, length(bits) + 1)) AS i FROM b)
 SELECT uri, bits[:i - 1] || CASE WHEN bits[i:i] = '1' THEN '0' ELSE '1' END || bits[i + 1:] AS near FROM n""")
 def signature_neighbours(spark, sf_dir):
-    rows = shapes_of(spark, sf_dir).select("uri", F.substring(V.bit_signature(F.col("vector"), 0.05, 0.25), 1, 4).alias("bits"))
+    rows = shapes_of(spark, sf_dir).select("uri", V.bit_signature(F.col("vector"), 0.05, 0.25).alias("bits"))
     return rows.select("uri", F.explode(V.bit_neighbours(F.col("bits"))).alias("near"))
 
 
