@@ -21,8 +21,8 @@ def test_tokens(spark):
 
 
 def test_java_hash(spark):
-    got = one(spark, a=X.java_hash(F.lit("http://librairy.org/items/doc1")), b=X.java_hash(F.lit("Aa")), c=X.java_hash(F.lit("BB")), d=X.java_hash(F.lit("")))
-    assert got == {"a": 297168979, "b": 2112, "c": 2112, "d": 0}
+    got = one(spark, a=X.java_hash(F.lit("http://example.org/items/doc1")), b=X.java_hash(F.lit("Aa")), c=X.java_hash(F.lit("BB")), d=X.java_hash(F.lit("")))
+    assert got == {"a": 1058522249, "b": 2112, "c": 2112, "d": 0}
 
 
 def test_levenshtein(spark):
