@@ -8,10 +8,12 @@ as kind `crf`. The CRF is trained here by maximum likelihood, on a bounded
 sample of passages labelled by the base patterns (`TRAIN_DOCS`, `WINDOWS`:
 documented bounds; every text is scanned whole).
 
-The chain runs over passages: the stretches of a text within 48 bytes, widened
-to blanks, of a digit, a delimiter, a keyword or a run of 20 bytes without
-blanks. By the model's definition all other tokens are outside, so nothing else
-of a text needs features, and every stretch of every text is decoded.
+The chain runs over every token of a whole text. Emissions are gathered in numpy
+from tables by token class, gap and context. A token whose emission loses to
+outside by more than any two transitions can give back is outside on every best
+path; the chain splits there exactly, and Viterbi decodes the runs between.
+Only training looks at passages: the stretches within 48 bytes, widened to
+blanks, of a digit, a delimiter, a keyword or a run of 20 bytes without blanks.
 
 Defined cases: null text = empty = no spans; nothing to learn from: base spans
 only; repeated rows each give a row; very long texts cost time in proportion.
@@ -25,6 +27,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,10 @@ LONG = 20
 _MARKED = islands.flags('0123456789=:"')
 _REACH = 48
 TOKEN = re.compile(r"""[^\s"'=:,;()<>\[\]{}|]+""")
+GAP = re.compile(r"""([\s"'=:,;()<>\[\]{}|]+)""")
+_CUT = re.compile(r"""[\s"'=:,;()<>\[\]{}|](?=[^\s"'=:,;()<>\[\]{}|])""")
+#: Characters of a text, and tokens, that are in Python lists and in float tables at once; entries of the look-ups by string.
+BLOCK, STEP, CACHED = 1 << 20, 1 << 18, 300_000
 KEY = re.compile(r"(?ai)passw|secret|token|api_?key|\bkey\b|_key\b|auth|credential|private")
 TRAIN_DOCS = 20_000
 WINDOWS = 2400
@@ -127,6 +134,119 @@ class Crf:
     def decode(self, names: list[list[str]]) -> list[int]:
         return viterbi(self.emissions(names), self.transitions)
 
+    @cached_property
+    def tables(self) -> Tables:
+        return Tables(self)
+
+
+class Lookup(dict):
+    """A function of short strings that keeps a bounded number of results."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, x: str) -> int:
+        got = self.f(x)
+        if len(x) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[x] = got
+        return got
+
+
+def gap_bits(gap: str) -> int:
+    """1: holds a delimiter, 2: ends in a quote, 4: begins with one."""
+    return ("=" in gap or ":" in gap) + 2 * (gap[-1:] in _QUOTES) + 4 * (gap[:1] in _QUOTES)
+
+
+class Tables:
+    """The weights of a model summed by what a token's features depend on, each as tags 1 and 2 against outside."""
+
+    def __init__(self, model: Crf):
+        self.model = model
+        self.number: dict[tuple, int] = {}
+        self.kinds = ["none"]  # names by number; the first is beyond the ends of a text
+        self.own, self.kind, self.key = [np.zeros(TAGS - 1)], [0], [False]
+        self.classes, self.gaps = Lookup(self.class_of), Lookup(gap_bits)
+        self.context = np.array([
+            self.sum([f"key before={k}", f"delimited={d}", f"key,delimited={k},{d}", f"quoted={q}", f"delimiter after={a}"])
+            for k in (False, True) for d in (False, True) for q in (False, True) for a in (False, True)
+        ])
+        tr = model.transitions
+        self.turn = np.array([max(tr[a, s] + tr[s, c] - tr[a, 0] - tr[0, c] for a in range(TAGS) for c in range(TAGS)) for s in range(1, TAGS)])
+        self.at = 0
+
+    def sum(self, names: list[str]) -> np.ndarray:
+        w = sum((self.model.weights.get(f, np.zeros(TAGS)) for f in names), np.zeros(TAGS))
+        return w[1:] - w[0]
+
+    def class_of(self, token: str) -> int:
+        shapes, key = shape(token), bool(KEY.search(token))
+        k = self.number.setdefault((*shapes, key), len(self.number) + 1)
+        if k == len(self.own):
+            if shapes[0] not in self.kinds:
+                self.kinds.append(shapes[0])
+            self.own.append(self.sum(["bias", *shapes, f"is key={key}"]))
+            self.kind.append(self.kinds.index(shapes[0]))
+            self.key.append(key)
+        return k
+
+    def arrays(self) -> None:
+        """The lists as arrays, after new classes were met."""
+        if self.at != len(self.own):
+            self.at = len(self.own)
+            self.own_, self.kind_, self.key_ = np.array(self.own), np.array(self.kind), np.array(self.key)
+            self.before = np.array([self.sum([f"before {k}"]) for k in self.kinds])
+            self.after = np.array([self.sum([f"after {k}"]) for k in self.kinds])
+            self.whole: dict[tuple, np.ndarray] = {}
+
+    def tags(self, text: str, whole: list[str]) -> tuple[np.ndarray, list[int], list[tuple[int, int, int]]]:
+        """(places of tokens that are not surely outside, their tags, blocks as first token, start and end) of a text."""
+        ids, gaps, blocks = [np.zeros(2, np.int32)], [], []
+        at = n = 0
+        while at < len(text):
+            m = _CUT.search(text, at + BLOCK) if at + BLOCK < len(text) else None
+            to = m.end() if m else len(text)
+            parts = GAP.split(text[at:to])
+            tokens, between = parts[::2], parts[1::2]
+            lead = not tokens[0]
+            if not at:
+                gaps.append(np.array([gap_bits(between[0]) if lead and between else 0], np.uint8))
+            # a later block starts with a token, an earlier one ends with a gap
+            tokens = tokens[lead : len(tokens) - (len(tokens) > 1 and not tokens[-1])]
+            between = between[lead:]
+            ids.append(np.fromiter(map(self.classes.__getitem__, tokens), np.int32, len(tokens)))
+            gaps.append(np.fromiter(map(self.gaps.__getitem__, between), np.uint8, len(between)))
+            blocks.append((n, at, to))
+            at, n = to, n + len(tokens)
+        self.arrays()
+        id_ = np.concatenate((*ids, [0]))
+        gap = np.concatenate((*gaps, np.zeros(1, np.uint8)))
+        key = tuple(whole)
+        if key not in self.whole:
+            self.whole[key] = np.array([self.sum([f"{f}|{k}" for f in whole]) for k in self.kinds])
+        of_file = self.whole[key]
+        places, rows = [], []
+        for a in range(0, n, STEP):
+            z = min(a + STEP, n)
+            own, last, second, following = id_[a + 2 : z + 2], id_[a + 1 : z + 1], id_[a:z], id_[a + 3 : z + 3]
+            before, after = gap[a:z], gap[a + 1 : z + 1]
+            context = (self.key_[last] | self.key_[second]) * 8 + (before & 1) * 4 + (before >> 1 & after >> 2 & 1) * 2 + (after & 1)
+            em = self.own_[own] + of_file[self.kind_[own]] + self.context[context] + self.before[self.kind_[last]] + self.after[self.kind_[following]]
+            live = np.flatnonzero((em + self.turn >= -1e-9).any(axis=1))
+            places.append(live + a)
+            rows.append(em[live])
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        out: list[int] = []
+        if len(place):
+            em = np.concatenate(rows)
+            em = np.concatenate((np.zeros((len(em), 1)), em), axis=1)
+            cut = np.flatnonzero(np.diff(place) > 1) + 1
+            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(place)]):
+                out += viterbi(em[a:z], self.model.transitions)
+        return place, out, blocks
+
 
 def viterbi(em: np.ndarray, tr: np.ndarray) -> list[int]:
     """The likeliest tags of a sequence between two outside tokens; ties go to the lower tag."""
@@ -221,33 +341,39 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def passages(raw: bytes) -> list[tuple[int, str]]:
-    """The stretches of a text that the chain runs over, with their offsets."""
+    """The stretches of a text that training draws on, with their offsets."""
     return islands.decoded(raw, islands.stretches(raw, _MARKED, _REACH, LONG, KEYWORDS))
 
 
-def tagged(model: Crf, offset: int, text: str, whole: list[str]) -> list[tuple[int, int]]:
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    tags = model.decode(features(text, spans, whole))
+def tagged(model: Crf, text: str, whole: list[str]) -> list[tuple[int, int]]:
+    """The runs that Viterbi over the whole text tags as secrets."""
+    place, tags, blocks = model.tables.tags(text, whole)
+    held = [(i, t) for i, t in zip(place.tolist(), tags) if t]
     out: list[list[int]] = []
-    for i, ((a, z), tag) in enumerate(zip(spans, tags)):
-        if tag == 2 and i and tags[i - 1] and out:
-            out[-1][1] = offset + z
-        elif tag:
-            out.append([offset + a, offset + z])
+    done, spans, first, last = 0, [], 0, -1
+    for i, tag in held:
+        while done < len(blocks) and blocks[done][0] <= i:
+            first, start, end = blocks[done]
+            spans, done = [], done + 1
+        if not spans:
+            spans = [m.span() for m in TOKEN.finditer(text, start, end)]
+        a, z = spans[i - first]
+        if tag == 2 and last == i - 1 and out:
+            out[-1][1] = z
+        else:
+            out.append([a, z])
+        last = i
     return [(a, z) for a, z in out]
 
 
 def scan(raw: bytes, model: Crf | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans the model adds) of a UTF-8 text, in code points."""
-    around = passages(raw)
-    if not around:
-        return [], []
-    base = base_spans(raw.decode("utf-8", "replace"))
+    text = raw.decode("utf-8", "replace")
+    base = base_spans(text)
     added = []
     if model:
-        whole, taken = file_features(raw), islands.Taken(base)
-        for offset, text in around:
-            added += [("crf", a, z) for a, z in tagged(model, offset, text, whole) if not taken.meets(a, z)]
+        taken = islands.Taken(base)
+        added = [("crf", a, z) for a, z in tagged(model, text, file_features(raw)) if not taken.meets(a, z)]
     return base, added
 
 

@@ -209,6 +209,44 @@ def test_viterbi(seed, n):
     assert math.isclose(worth(secrets.viterbi(em, tr)), worth(best))
 
 
+secret_bits = st.lists(st.sampled_from(["passphrase", "bearer", "AbCdEfGhIjKl", "login('", "')", "key", "=", ":", " ", " ", '"', "x1", "a.b", "été", "\n", "deadbeef0"]), max_size=25).map("".join)
+
+
+def random_crf(seed):
+    g = np.random.default_rng(seed)
+    kinds = [f"kind={k}" for k in ("number", "hex", "letters", "foreign", "mixed3", "mixed2", "marked", "other")]
+    names = ["bias", *kinds, *(f"size={k}" for k in range(8)), *(f"{w} {k}" for w in ("before", "after") for k in [*kinds, "none"])]
+    names += [f"{w}={v}" for w in ("key before", "delimited", "quoted", "is key", "delimiter after", "key,delimited=True") for v in (False, True)]
+    names += [f"assigns={n}|{k}" for n in range(3) for k in kinds]
+    return secrets.Crf({f: g.normal(size=3) for f in names}, g.normal(size=(3, 3)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(secret_bits, st.integers(0, 1000), st.sampled_from([7, 1 << 20]), st.sampled_from([3, 1 << 18]))
+def test_secret_tags_are_those_of_the_whole_chain(t, seed, block, step):
+    model = random_crf(seed)
+    spans = [m.span() for m in secrets.TOKEN.finditer(t)]
+    tags = model.decode(secrets.features(t, spans, secrets.file_features(t.encode())))
+    want = []
+    for i, (span, tag) in enumerate(zip(spans, tags)):
+        if tag == 2 and i and tags[i - 1]:
+            want[-1] = (want[-1][0], span[1])
+        elif tag:
+            want.append(span)
+    base = plain_secrets(t)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(secrets, "BLOCK", block)
+        m.setattr(secrets, "STEP", step)
+        added = secrets.scan(t.encode(), model)[1]
+    assert added == [("crf", a, z) for a, z in want if not any(x < z and a < y for _, x, y in base)]
+
+
+def test_secret_plain_tokens_are_decoded():
+    model = secrets.Crf({"key before=False": np.array([0.0, 9, 0]), "kind=letters": np.array([0.0, 1, 0])}, np.zeros((3, 3)))
+    for t in ("passphrase correcthorsebattery", "bearer AbCdEfGhIjKl", "login('QwErTyUiOpAs')"):
+        assert secrets.scan(t.encode(), model)[1], t
+
+
 def test_secret_tagger_adds(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = secrets.train(docs)
