@@ -2,16 +2,20 @@
 
 1. Every word of the training rows is counted (map-side sums per task, then a
    shuffle by word): N tokens, V types, over all training text.
-2. The commonest words, at most `HEAD` of them, are broadcast; everything rarer
-   stays in the distributed count table and meets its documents in a shuffle
-   join by word. Both parts always run, so no size changes the results.
-3. Bigrams of the `CLUSTERED` commonest words (all others are one word of their
-   own) are counted over all training text; exchange clustering on that bounded
-   table moves each word to the class that raises the bigram likelihood most.
-4. Class transitions follow from the same table. A text's probability is the
-   product over its tokens of transition(class | class before), smoothed by the
-   class shares, and emission(word | class); in the class of the rest the
-   emission is add-one smoothed and reserves a share for unseen words.
+2. Bigrams of the `CLUSTERED` commonest words (all others are one context) are
+   counted over all training text; exchange clustering on that core moves each
+   word to the class that raises the bigram likelihood most.
+3. Every other training word is placed too: its followers and predecessors, by
+   class, are summed over all training text (a row a word, a shuffle by word),
+   and it joins the class that they raise the bigram likelihood of most.
+4. The classes of the commonest words, at most `HEAD`, are broadcast; rarer
+   words get theirs in a shuffle join by word. Both parts always run, so no size
+   changes the results. Class transitions are counted on the class sequences of
+   all training rows.
+5. A text's probability is the product over its tokens of transition(class |
+   class before), smoothed by the class shares, and the add-one emission(word |
+   class). Each class reserves one emission for unseen words, which are a class
+   of their own that gathers them.
 
 Defined cases: null text = empty = the end token alone; no training rows: every
 count is 0, base_score 0 and score 0; repeated rows each count and each give a
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +37,15 @@ from loomwork.llm.base import arrow_schema, checkpoint, id_hash, map_batches, te
 
 #: Words that are broadcast at most, words that are clustered, classes.
 HEAD = 100_000
-CLUSTERED = 1500
+CLUSTERED = 2000
 CLASSES = 40
 ROUNDS = 6
 #: Weight of the class shares in the transitions.
 SHARE = 5.0
 #: Distinct words a task holds before it passes its sums on.
 HELD = 1_000_000
+#: Neighbours a task holds before it passes them on.
+HELD_PAIRS = 3_000_000
 END = b""
 
 
@@ -163,27 +169,103 @@ def cluster(pairs: np.ndarray, fixed: dict[int, int], classes: int, rounds: int
     return own
 
 
+class Numbers(dict):
+    """New keys are numbered in the order of their first use."""
+
+    def __missing__(self, x: bytes) -> int:
+        self[x] = k = len(self)
+        return k
+
+
+_NEAR = np.dtype([("key", "<u2"), ("n", "<u4")])
+
+
+def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, n, class) of all words that are not in `order`, by the classes of their neighbours (the rest is one more)."""
+    size = int(own.max()) + 1
+    end, rest = order.index(END), len(order)
+    classes = size - 2
+    member = np.eye(size)[own]
+    between = member.T @ table @ member + 0.5
+    gain = np.log(between) - np.log(between.sum(axis=1, keepdims=True)) - np.log(between.sum(axis=0))
+    weights = np.concatenate((gain[:classes].T, gain[:, :classes]))  # follower's class, then predecessor's, by own class
+    shared = training.sparkSession.sparkContext.broadcast((order, own, weights))
+    ddl = "word binary, near binary"
+    schema = arrow_schema(ddl)
+
+    def batch(names: list[bytes], codes: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
+        word = code // (2 * size)
+        near = np.empty(len(code), _NEAR)
+        near["key"], near["n"] = code % (2 * size), n
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        data = near.tobytes()
+        at = (np.append(first, len(code)) * _NEAR.itemsize).tolist()
+        columns = [names[w] for w in word[first].tolist()], [data[a:z] for a, z in zip(at, at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, own, _ = shared.value
+        core = {w: i for i, w in enumerate(order)}
+        ids, codes, held = Numbers(core), [], 0
+        for b in batches:
+            for raw in text_bytes(b.column(0)):
+                w = words(raw)
+                seq = np.empty(len(w) + 2, np.int64)
+                seq[0] = seq[-1] = end
+                seq[1:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
+                at = np.flatnonzero(seq >= rest)
+                if len(at):
+                    kind = own[np.minimum(seq, rest)]
+                    code = (seq[at] - rest) * (2 * size)
+                    codes += [code + kind[at + 1], code + size + kind[at - 1]]
+                    held += 2 * len(at)
+                if held > HELD_PAIRS:
+                    yield batch(list(ids)[rest:], codes)
+                    ids, codes, held = Numbers(core), [], 0
+        yield batch(list(ids)[rest:], codes)
+
+    out_ddl = "word binary, n long, class int"
+    out_schema = arrow_schema(out_ddl)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value[2]
+        for b in batches:
+            lists = [b"".join(x) for x in b.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(lists)), [len(x) // _NEAR.itemsize for x in lists])
+            near = np.frombuffer(b"".join(lists), _NEAR)
+            x = np.bincount(row * 2 * size + near["key"], near["n"], len(lists) * 2 * size).reshape(-1, 2 * size)
+            n = x[:, :size].sum(axis=1).astype(np.int64)  # each token has one follower
+            best = (x @ weights).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(best)], schema=out_schema)
+
+    near = map_batches(training.select(F.col("text").cast("string").alias("text")), run, ddl)
+    return map_batches(near.groupBy("word").agg(F.collect_list("near").alias("near")), choose, out_ddl)
+
+
 @dataclass
 class Model:
-    """What scoring broadcasts; log10 throughout. Ids are places in `vocab`; the rest has the last id."""
+    """What is broadcast; log10 throughout. Ids are places in `vocab`; words outside it have the last id."""
 
     vocab: dict[bytes, int]
-    add_one: np.ndarray  # log10(count + 1) by id; 0 for the rest
-    emission: np.ndarray  # by id; for the rest without its own count
-    transition: np.ndarray  # flat, class before x class
+    add_one: np.ndarray  # log10(count + 1) by id; 0 outside
+    emission: np.ndarray  # by id; outside the add-one share of all text, until the word's class is known
+    transition: np.ndarray  # flat, class before x class; the last class is that of unseen words
     classes: int
     class_of: np.ndarray
     tokens: int
     types: int
+    room: np.ndarray  # log10(tokens + types) by class; 0 for unseen words
 
 
-def learn(training: DataFrame, most: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts (written once, read by the scoring join)."""
+def classify(training: DataFrame, most: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The model without its transitions, and the table (word, n, class) of all training words."""
     counts = checkpoint(count_words(training))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = int(row.n), int(row.v)
     if not total:
-        return Model({}, np.zeros(1), np.zeros(1), np.zeros(1), 1, np.zeros(1, np.int64), 0, 0), counts
+        none = counts.withColumn("class", F.lit(0))
+        return Model({}, np.zeros(1), np.zeros(1), np.zeros(1), 1, np.zeros(1, np.int64), 0, 0, np.zeros(1)), none
     common = head(counts, most)
     if END not in dict(common):  # possible only for tiny or odd tables
         common.append((END, counts.where(F.length("word") == 0).first().n))
@@ -191,29 +273,66 @@ def learn(training: DataFrame, most: int = HEAD, clustered: int = CLUSTERED, cla
     if END not in order:
         order[-1] = END
     table = count_pairs(training, order)
-    rest = len(order)
-    own = cluster(table, {order.index(END): classes, rest: classes + 1}, classes)
-    size = classes + 2
-    member = np.eye(size)[own]
-    between = member.T @ table @ member
-    n_class = between.sum(axis=0)  # as followers: every token once
-    share = (n_class + 1) / (n_class.sum() + size)
-    transition = (between + SHARE * share) / (between.sum(axis=1, keepdims=True) + SHARE)
+    own = cluster(table, {order.index(END): classes, len(order): classes + 1}, classes)
+    size = classes + 2  # the class of the rest is that of unseen words from here on
+    core = training.sparkSession.createDataFrame([(bytearray(w), int(n), int(own[i])) for i, (w, n) in enumerate(zip(order, map(dict(common).get, order)))], "word binary, n long, class int")
+    placed = checkpoint(core.unionByName(place(training, order, own, table)))
+    sums = {r["class"]: r for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    room = np.array([np.log10(sums[c].n + sums[c].v) if c in sums else 0.0 for c in range(size)])
     vocab = {w: i for i, (w, _) in enumerate(common)}
-    n = np.array([c for _, c in common] + [0], np.float64)
-    class_of = np.full(len(common) + 1, classes + 1)
-    for w, c in zip(order, own):
+    least = min(n for _, n in common)
+    got = placed.where(F.col("n") >= least).where(F.col("word").isNotNull()).select("word", "class")
+    if len(common) < types:
+        got = got.join(F.broadcast(training.sparkSession.createDataFrame([(bytearray(w),) for w in vocab], "word binary")), "word")
+    class_of = np.full(len(common) + 1, size - 1)
+    rows = got.toArrow()
+    for w, c in zip(rows["word"].to_pylist(), rows["class"].to_pylist()):
         class_of[vocab[w]] = c
-    of_rest = class_of == classes + 1
-    room = n_class[classes + 1] + (types - len(order)) + 1
-    emission = np.where(of_rest, np.log10(n + 1) - np.log10(room), np.log10(np.maximum(n, 1)) - np.log10(np.maximum(n_class[class_of], 1)))
-    return Model(vocab, np.log10(n + 1), emission, np.log10(transition).ravel(), size, class_of, total, types), counts
+    n = np.array([c for _, c in common] + [0], np.float64)
+    emission = np.log10(n + 1) - room[class_of]
+    emission[-1] = -np.log10(total + types)
+    return Model(vocab, np.log10(n + 1), emission, np.zeros(1), size, class_of, total, types, room), placed
+
 
+def with_transitions(model: Model, rows: DataFrame) -> Model:
+    """The model with the class transitions of the sequences of all training rows."""
+    size = model.classes
+    if not model.tokens:
+        return model
+    start = int(model.class_of[model.vocab[END]])
+    ddl = "pair long, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for b in batches:
+            seq = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).astype(np.int64)
+            table += np.bincount(np.concatenate(([start], seq[:-1])) * size + seq, minlength=size * size)  # each ends in the end
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(table)], schema=schema)
+
+    got = map_batches(rows.select("seq"), run, ddl).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros(size * size)
+    between[got["pair"].to_numpy()] = got["n"].to_numpy()
+    between = between.reshape(size, size)[:, :-1]
+    n_class = between.sum(axis=0)  # as followers: every token once
+    share = (n_class + 1) / (n_class.sum() + size - 1)
+    known = (between + SHARE * share) / (between.sum(axis=1, keepdims=True) + SHARE)
+    reserved = 1 / (10 ** model.room[:-1] + 1)
+    transition = np.concatenate((known * (1 - reserved), (known * reserved).sum(axis=1, keepdims=True)), axis=1)
+    return replace(model, transition=np.log10(transition).ravel())
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """docs (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+
+def learn(training: DataFrame, most: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The model and the table (word, n, class) of all training words."""
+    model, counts = classify(training, most, clustered, classes)
+    rows = training.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    return with_transitions(model, sequences(rows, model, counts)), counts
+
+
+def sequences(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """docs (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, base, own (emissions), seq (a class a byte)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = "row long, doc_id long, held_out boolean, word binary, n long, n_tokens long, known long, base double, own double"
+    ddl = "row long, doc_id long, held_out boolean, word binary, at binary, seq binary, n_tokens long, known long, base double, own double"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,36 +344,81 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             for row, doc, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3))):
                 w = words(raw)
                 ids = np.fromiter((get(x, rest) for x in w), np.int64, len(w))
-                rare = np.flatnonzero(ids == rest)
-                tail = Counter(w[i] for i in rare.tolist()) if m.vocab else {}
+                rare = np.flatnonzero(ids == rest).tolist() if m.vocab else []
+                tail: dict[bytes, list[int]] = {}
+                for i in rare:
+                    tail.setdefault(w[i], []).append(i)
                 ids = np.append(ids, end)
                 n = len(ids)
-                kinds = m.class_of[ids]
-                path = np.concatenate((m.class_of[[end]], kinds[:-1])) * m.classes + kinds
-                own = float(m.transition[path].sum() + m.emission[ids].sum())
+                own = float(m.emission[ids].sum())
                 base = float(m.add_one[ids].sum() - n * per_token)
                 # this row's own part has a key that no word is equal to
-                for column, values in zip(out, ([row], [doc], [held], [b" %d" % row], [0], [n], [n - len(rare) if m.vocab else 0], [base], [own])):
+                for column, values in zip(out, ([row], [doc], [held], [b" %d" % row], [None], [m.class_of[ids].astype(np.uint8).tobytes()], [n], [n - len(rare) if m.vocab else 0], [base], [own])):
                     column.extend(values)
                 k = len(tail)
-                for column, values in zip(out, ([row] * k, [None] * k, [None] * k, tail.keys(), tail.values(), [0] * k, [0] * k, [0.0] * k, [0.0] * k)):
+                for column, values in zip(out, ([row] * k, [None] * k, [None] * k, tail.keys(), [np.array(i, "<i4").tobytes() for i in tail.values()], [None] * k, [0] * k, [0] * k, [0.0] * k, [0.0] * k)):
                     column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
+    done_ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, seq binary"
+    done_schema = arrow_schema(done_ddl)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        everything = np.log10(max(m.tokens + m.types, 1))
+        correction = everything - m.room
+        for b in batches:
+            seqs, tails = b.column(2).to_pylist(), b.column(7)
+            size = np.array([len(x) for x in seqs], np.int64)
+            seq = np.frombuffer(b"".join(seqs), np.uint8).copy()
+            start = np.cumsum(size) - size
+            at, c, kind = tails.flatten().flatten()
+            row = np.repeat(np.arange(len(seqs)), tails.value_lengths().to_numpy(zero_copy_only=False))
+            k = at.cast(pa.binary()).to_pylist()
+            times = np.array([len(x) // 4 for x in k], np.int64)
+            c = c.fill_null(0).to_numpy(zero_copy_only=False)
+            kind = kind.fill_null(m.classes - 1).to_numpy(zero_copy_only=False)  # what unseen words cost is in the transitions
+            seq[np.repeat(start[row], times) + np.frombuffer(b"".join(k), "<i4")] = np.repeat(kind, times)
+            extra = times * np.log10(c + 1)
+            known, base, own = (
+                b.column(i).to_numpy(zero_copy_only=False) + np.bincount(row, x, len(seqs))
+                for i, x in ((4, times * (c > 0)), (5, extra), (6, extra + times * correction[kind]))
+            )
+            ends = np.append(start, len(seq)).astype(np.int32)
+            whole = pa.Array.from_buffers(pa.binary(), len(seqs), [None, pa.py_buffer(ends), pa.py_buffer(seq)])
+            columns = [b.column(0), b.column(1), b.column(3), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own), whole]
+            yield pa.RecordBatch.from_arrays(columns, schema=done_schema)
+
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out",
         F.col("text").cast("string").alias("text"),
     )
-    parts = map_batches(slim, run, ddl)
-    joined = parts.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    seen = F.coalesce("c", F.lit(0))
-    extra = F.col("n") * F.log10(seen + 1)
-    return joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(seen > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        F.sum(F.col("base") + extra).alias("base_score"), F.sum(F.col("own") + extra).alias("score"),
-    ).drop("row")
+    joined = map_batches(slim, run, ddl).join(counts.select("word", F.col("n").alias("c"), "class"), "word", "left")
+    tail = F.when(F.col("at").isNotNull(), F.struct("at", "c", "class"))
+    rows = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("seq").alias("seq"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("own").alias("own"), F.collect_list(tail).alias("tail"),
+    )
+    return map_batches(rows.drop("row"), fill, done_ddl)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """sequences -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        start = int(m.class_of[m.vocab.get(END, len(m.vocab))])
+        for b in batches:
+            seqs = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b.column(6).to_pylist()]
+            moves = [m.transition[np.concatenate(([start], x[:-1])) * m.classes + x].sum() for x in seqs]
+            own = b.column(5).to_numpy(zero_copy_only=False) + np.array(moves, np.float64)
+            columns = (*(b.column(i) for i in range(4)), pa.array([m.tokens] * b.num_rows, pa.int64()), b.column(4), pa.array(own))
+            yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
+
+    return map_batches(rows, run, ddl)
 
 
 def training_rows(remainder: Column | None = None) -> Column:
@@ -264,5 +428,6 @@ def training_rows(remainder: Column | None = None) -> Column:
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod 7 is not 2; score all."""
     slim = docs.select("doc_id", "text", (~training_rows()).alias("held_out"))
-    model, counts = learn(slim.where(~F.col("held_out")))
-    return score(slim, model, counts)
+    model, counts = classify(slim.where(~F.col("held_out")))
+    rows = checkpoint(sequences(slim, model, counts))
+    return score(rows, with_transitions(model, rows.where(~F.col("held_out"))))

@@ -497,6 +497,26 @@ def test_brown_is_a_distribution(spark):
     assert (spent <= 1 + 1e-9).all()
 
 
+def test_brown_gives_every_word_a_class(spark):
+    texts = ["b x d x b", "x d x b x d", "y e y e", "y e y y e", "d b d q b d", "e y r y e"] * 4 + ["x s1 x", "y s2 y", "x s3 x s4 x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = brown.learn(rows, most=5, clustered=4, classes=2)
+    got = {bytes(r.word): r for r in counts.collect()}
+    want = Counter(w.encode() for t in texts for w in t.split()) + Counter({b"": len(texts)})
+    assert {w: r.n for w, r in got.items()} == want
+    unseen = model.classes - 1
+    assert all(r["class"] != unseen for r in got.values())  # no word is left in a class of the rest
+    for c in {r["class"] for r in got.values()}:
+        assert math.isclose(sum(10 ** (math.log10(r.n + 1) - model.room[c]) for r in got.values() if r["class"] == c), 1)
+    assert got[b"s1"]["class"] == got[b"s3"]["class"] == got[b"s4"]["class"]
+    docs = spark.createDataFrame([(1, "x s1 zz y s2", True)], "doc_id long, text string, held_out boolean")
+    r = brown.score(brown.sequences(docs, model, counts), model).first()
+    kinds = [got[b""]["class"], *(got[w]["class"] if w in got else unseen for w in (b"x", b"s1", b"zz", b"y", b"s2", b""))]
+    moves = model.transition.reshape(model.classes, -1)
+    own = sum(math.log10(got[w].n + 1) - model.room[got[w]["class"]] for w in (b"x", b"s1", b"y", b"s2", b""))
+    assert r.score == pytest.approx(own + sum(moves[a, b] for a, b in zip(kinds, kinds[1:])))
+
+
 def test_exchange_raises_likelihood():
     g = np.random.default_rng(3)
     pairs = g.poisson(np.kron(np.array([[9, 1], [1, 9]]), np.ones((6, 6)))).astype(float)
