@@ -17,6 +17,7 @@ from loomwork.functions import text as X
 from loomwork.functions import vectors as V
 from loomwork.operators import compare, corpus, distributions, graph, sectors, shapes, similarity, tags, topics
 from loomwork.plans.config import Config, Criteria
+from loomwork.plans.lineage import cut
 from loomwork.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,6 +497,53 @@ def path_scores(spark, sf_dir):
     return row.select(X.path_text(F.col("nodes")).alias("text"), F.size("nodes").alias("length"), r6(V.total(F.col("scores"))).alias("acc_score"), r6(V.pairwise_fold(F.col("scores"))).alias("avg_score"))
 
 
+# the same operators over the whole graph of alike resources; recursive SQL is too slow for it, so tests hold them to brute force
+
+
+START = "items/0"
+
+
+def near_ways(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The edges, and the resource of START's sector that is least like it ("" where there is none)."""
+    pairs = cut(similarity.in_sector(shapes_of(spark, sf_dir), both_ways=True))
+    end = pairs.where(F.col("resource_uri_1") == START).orderBy("score", "resource_uri_2").first()
+    return cut(graph.edges_of(pairs, 0.6)), end.resource_uri_2 if end else ""
+
+
+def near_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, end = near_ways(spark, sf_dir)
+    return graph.bfs(edges, [START], [end], 0.6, max_length=1000, max_results=2**31 - 1)
+
+
+@query()
+def near_bfs_paths(spark, sf_dir):
+    return near_bfs(spark, sf_dir).select(F.concat_ws(",", "nodes").alias("path"), "hops")
+
+
+@query()
+def near_sssp_path(spark, sf_dir):
+    edges, end = near_ways(spark, sf_dir)
+    return graph.shortest(edges, START, end).select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
+
+
+@query()
+def near_sssp_alike_path(spark, sf_dir):
+    edges, end = near_ways(spark, sf_dir)
+    return graph.shortest(edges, START, end, weight="1-score").select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
+
+
+@query()
+def near_hop_count(spark, sf_dir):
+    edges, end = near_ways(spark, sf_dir)
+    return graph.hops(edges, START, end)
+
+
+@query()
+def near_path_scores(spark, sf_dir):
+    paths = near_bfs(spark, sf_dir)
+    return paths.select(X.path_text(F.col("nodes")).alias("text"), F.size("nodes").alias("length"), r6(V.total(F.col("scores"))).alias("acc_score"), r6(V.pairwise_fold(F.col("scores"))).alias("avg_score"))
+
+
 @query()
 def two_level_path(spark, sf_dir):
     rows = shapes_of(spark, sf_dir).withColumn("sector", F.col("sector").cast("string"))
