@@ -390,6 +390,16 @@ def relationship_similarity(spark, sf_dir):
     return pairs.select(F.col("a.sector").alias("a"), F.col("b.sector").alias("b"), r6(V.relationship_similarity(F.col("a.l"), F.col("b.l"))).alias("score"))
 
 
+@query(f"""WITH {SHAPES} SELECT a.uri AS a, b.uri AS b, round({js('a.vector', 'b.vector', 'a.h', 'b.h')}, 6) AS score
+FROM s a JOIN s b ON CAST(a.uri[7:] AS BIGINT) + 1 = CAST(b.uri[7:] AS BIGINT)""")
+def relationship_similarity_topics(spark, sf_dir):
+    """Whole lists: each resource's relationships are all its topic weights; every row meets the next one."""
+    topic = lambda w, i: F.struct(X.uri("topics", i.cast("string")).alias("uri"), w.alias("weight"))
+    own = shapes_of(spark, sf_dir).select("uri", F.substring_index("uri", "/", -1).cast("long").alias("id"), F.transform("vector", topic).alias("l"))
+    pairs = own.alias("a").join(own.alias("b"), F.col("a.id") + 1 == F.col("b.id"))
+    return pairs.select(F.col("a.uri").alias("a"), F.col("b.uri").alias("b"), r6(V.relationship_similarity(F.col("a.l"), F.col("b.l"))).alias("score"))
+
+
 @query("""SELECT doc_id, CAST(len(list_filter(list_zip(string_split(left(sha256(text), 16), ''), string_split(right(sha256(text), 16), '')), lambda z: z[1] <> z[2])) AS INTEGER) AS apart
 FROM documents WHERE text IS NOT NULL""")
 def hamming(spark, sf_dir):
