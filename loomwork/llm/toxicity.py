@@ -1,23 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two models, one of toxic and one of ordinary text, are discounted step by step:
-word pairs back off to words, words to their stems (the first letters, which
-inflections share), stems to counts that both classes share: in how many
-classes a stem is found at all. The discounted mass is common to both, so an
-expression that neither class attests says nothing for or against. Expressions
-count once a document, so a long or repetitive text weighs no more than others.
-A token's log ratio is shrunk by what chance in the sample gives (`CHANCE`), and
-the score is a logistic function of the difference of the log-likelihoods per
-token, fitted on labelled rows left out of the counts.
+Two models, one of toxic and one of ordinary text. A word pair is discounted
+and backs off to the word's continuation count (its distinct left contexts in
+the class), that to the continuation counts of the word's stems (its first
+letters, which inflections share, ever fewer of them), and those to counts which
+both classes share.
+Discounts are taken from the counts of both classes together, in proportion, and
+the mass they free is one for both; so an expression that neither class attests
+well has the same likelihood under both, and says nothing.
+
+A text's evidence is the sum of the log ratios of all its tokens, less their
+trimmed mean for each token (what the mix of languages and topics adds to every
+word of a text alike), over its length. The score is a logistic function of it. The
+discounts, the trim, the tokens added to every length and the curve are those of the
+greatest likelihood over `FOLDS` folds of the training rows; no other label has
+a say. A line that a text repeats counts once, in learning also one that several
+texts of a class share.
 
 Training reads a bounded sample of the labelled rows: at most `max_docs` of
 each class in expectation, picked by a hash of doc_id, and about `max_bytes` of
 text (the documented bounds; scoring always covers every row and whole texts).
+All words and pairs of the sample count.
 
 Defined cases: a null or empty text has one token, its end; the score of an
 untrained model (no labelled rows, or one class only) is the share of toxic
 labels (0.0 without labels); null labels and rows without text are not learnt
-from; exact copies are learnt once; repeated rows each give a row.
+from; of labels that differ for one doc_id the toxic one counts; exact copies
+are learnt once; repeated rows each give a row; further columns of any name do
+no harm; among settings of equal likelihood the first is taken.
 """
 
 from __future__ import annotations
@@ -33,178 +43,220 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.base import arrow_schema, id_hash, map_batches, text_bytes
 
-MAX_DOCS = 4000
-MAX_BYTES = 64 << 20
-VOCABULARY = 60_000
-PAIRS = 600_000
-#: What every count loses to the lower order.
-DISCOUNT = 0.75
-#: Documents of each class that must hold a word for pairs after it to count.
-CONTEXT = 50
-#: Times the discount that pairs lose.
-PAIR = 4
-#: Log ratios up to this are what chance in the labelled sample gives a word: they count as none.
-CHANCE = 2.5
-#: Tokens without evidence added to every length, so that a few words of a short text decide little.
-STEADY = 60
-#: Folds of the calibration: more of them where there is less to learn from.
-FOLDS, FOLDS_SMALL, SMALL = 5, 12, 4000
-#: Letters of a word that its inflections share.
-STEM = 4
+MAX_DOCS = 3000
+MAX_BYTES = 32 << 20
+#: Discounts of stems, words and pairs that are tried.
+GRID = ((5.0, 10.0, 16.0), (10.0, 10.0, 16.0), (20.0, 20.0, 16.0))
+#: Shares of a text's lowest and of its highest log ratios, left out of what counts as its ordinary level, that are tried.
+TRIM = (0.15, 0.1)
+#: Tokens added to every length that are tried.
+STEADY = (20, 60, 120, 200)
+FOLDS = 4
+#: First letters of a word that its inflections may share, longest first.
+STEMS = (6, 5, 4, 3)
+
+
+def lines(raw: bytes) -> Iterator[list[bytes]]:
+    """Lower-cased words without punctuation around them, of each distinct line."""
+    text = raw.decode("utf-8", "replace").lower()
+    for line in dict.fromkeys(text.split("\n")):
+        words = [w.strip(b".,;:!?\"'()[]#*%&$|") for w in line.encode().split()]
+        yield [w for w in words if w]
 
 
 def tokens(raw: bytes) -> list[bytes]:
-    """Lower-cased words without punctuation around them, then one end (empty)."""
-    out = [w.strip(b".,;:!?\"'()[]#*%&$|") for w in raw.decode("utf-8", "replace").lower().encode().split()]
-    out = [w for w in out if w]
-    out.append(b"")
-    return out
+    """The words of all distinct lines, then one end (empty)."""
+    return [*(w for line in lines(raw) for w in line), b""]
 
 
-def stem(word: bytes) -> bytes:
-    """The first letters of a word: what its inflections share."""
-    return word.decode("utf-8", "replace")[:STEM].encode()
+def stems(word: bytes) -> list[bytes]:
+    """What a word's inflections may share, longest first; marked, so that none is equal to a word."""
+    letters = word.decode("utf-8", "replace")
+    return [f"{letters[:n]}~{n}".encode() for n in STEMS]
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios ready to add up: a token's unigram part, and corrections of known pairs."""
-
-    vocab: dict[bytes, int]
-    stems: dict[bytes, int]  # ids of stems, for words that are not known
-    ratio: np.ndarray  # log of the class ratio by id: known words, unknown ones, stems
-    keys: np.ndarray  # sorted pair keys
-    pair: np.ndarray  # full log ratio of those pairs
+    """Log-likelihood ratios ready to add up; what is not in them backs off to a level where both classes agree."""
+
+    vocab: dict[bytes, int]  # words with a ratio of their own
+    stems: dict[bytes, int]  # ids of stems with one, for all other words
+    ratio: np.ndarray  # log ratio by id; the last one, of what is unknown, is 0
+    keys: np.ndarray  # sorted keys of the pairs that are left after the discount
+    pair: np.ndarray  # their log ratios
+    trim: float
+    steady: int
     slope: float
     bias: float
     floor: float
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get, n = self.vocab.get, len(self.vocab)
-        ids = np.fromiter((get(w, n) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(ids == n).tolist():
-            ids[i] = self.stems.get(stem(words[i]), n)
-        return ids
-
-    def per_token(self, ids: np.ndarray) -> float:
+    def per_token(self, words: list[bytes]) -> float:
+        get, known, none = self.vocab.get, self.stems, len(self.ratio) - 1
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(ids < 0).tolist():
+            ids[i] = next((known[x] for x in stems(words[i]) if x in known), none)
         part = self.ratio[ids]
         if len(self.keys):
             n = len(self.vocab)
-            ids = np.minimum(ids, n)
-            before = np.concatenate(([0], ids[:-1]))  # a text starts after an end
-            key = before * (n + 1) + ids
+            before = np.concatenate(([self.vocab.get(b"", n)], ids[:-1]))  # a text starts after an end
+            key = np.where((before < n) & (ids < n), before * n + ids, -1)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            part = np.where((self.keys[at] == key) & (ids < n), self.pair[at], part)
-        part = np.sign(part) * np.maximum(np.abs(part) - CHANCE, 0)
-        return float(part.sum()) / (len(ids) + STEADY)
+            part = np.where(self.keys[at] == key, self.pair[at], part)
+        return evidence(part, self.trim) / (len(part) + self.steady)
 
     def score(self, words: list[bytes]) -> float:
-        x = self.slope * self.per_token(self.ids(words)) + self.bias
+        x = self.slope * self.per_token(words) + self.bias
         return self.floor + (1 - self.floor) / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def fit(texts: list[tuple[bytes, int]], discount: float = DISCOUNT, base_rate: float | None = None) -> Model | float:
-    """A model of (UTF-8 text, label) rows, or the share of toxic rows where that is all there is to learn."""
-    words: dict[bytes, int] = {b"": 0}  # the end is the first word
-    rows = []
-    for raw, y in sorted(set(texts)):
-        rows.append((np.array([words.setdefault(w, len(words)) for w in tokens(raw)], np.int32), y))
-    spelt = list(words)
-    stems: dict[bytes, int] = {}
-    stem_of = np.array([stems.setdefault(stem(w), len(stems)) for w in spelt], np.int64)
-    rate = base_rate if base_rate is not None else (sum(y for _, y in rows) / len(rows) if rows else 0.0)
-    rows.sort(key=lambda r: len(r[0]))
-    n = FOLDS if len(rows) > SMALL else FOLDS_SMALL
-    folds = [rows[k::n] for k in range(n)]
-    if any({y for j, f in enumerate(folds) for _, y in f if j != k} != {0, 1} for k in range(n)):
-        return float(rate)
-    # the curve is fitted on rows held out of their model's counts; the final counts use all rows
-    held = []
-    for k, fold in enumerate(folds):
-        part, ids = _count([r for j, f in enumerate(folds) if j != k for r in f], discount, stem_of)
-        held += [(part.per_token(ids[w]), y) for w, y in fold]
-    model, ids = _count(rows, discount, stem_of)
-    model.vocab = {spelt[i]: int(ids[i]) for i in np.flatnonzero(ids < len(model.vocab))}
-    model.stems = {x: len(model.vocab) + 1 + k for x, k in stems.items()}
-    model.slope, model.bias, model.floor = _calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held]), rate)
-    return model
-
-
-def _count(rows: list[tuple[np.ndarray, int]], discount: float, stem_of: np.ndarray) -> tuple[Model, np.ndarray]:
-    """A model of rows of word numbers, and the model's id of each word number."""
-    words = len(stem_of)
-    spread = np.zeros(words, np.int64)
-    for w, _ in rows:
-        spread[np.unique(w)] += 1
-    known = np.flatnonzero(spread >= 2)
-    known = known[np.argsort(-spread[known], kind="stable")]
-    known = np.concatenate(([0], known[known != 0][: VOCABULARY - 1]))
-    n = len(known)
-    numbers = n + 1 + stem_of
-    numbers[known] = np.arange(n)
-    size = n + 1
-    per_class, contexts, by_stem = [], [], []  # an expression counts once a document; the contexts of a word are its documents
-    for c in (0, 1):
-        keys, own, met = [], [], []
-        for w, y in rows:
-            if y == c:
-                ids = np.minimum(numbers[w], n)
-                met.append(np.unique(stem_of[w]))
-                keys.append(np.unique(np.concatenate(([0], ids[:-1])) * size + ids))
-                own.append(np.unique(ids))
-        per_class.append(np.unique(np.concatenate(keys), return_counts=True))
-        contexts.append(np.bincount(np.concatenate(own), minlength=size).astype(float))
-        by_stem.append(np.bincount(np.concatenate(met), minlength=stem_of.max() + 1).astype(float))
-    # words back off to their stems in the class, stems to what both classes share
-    stems = _discounted(by_stem, discount, _spread_over_classes(by_stem))
-    both = _spread_over_classes(contexts)
-    own_stem = stem_of[known]
-    within = np.append(both[:n] / np.maximum(np.bincount(own_stem, weights=both[:n], minlength=len(stems[0])), 1e-12)[own_stem], both[n])
-    lower = [np.append(within[:n] * x[own_stem], within[n]) for x in stems]
-    low = _discounted(contexts, discount, *lower)
-    total = sum(np.bincount(key // size, weights=count, minlength=size) for key, count in per_class)
-    taken = sum(np.bincount(key // size, weights=np.minimum(count, PAIR * discount), minlength=size) for key, count in per_class)
-    weight = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
-    seen = [np.bincount(key // size, weights=count, minlength=size) for key, count in per_class]
-    # pairs that a class keeps something of after the discount
-    strong = [key[count > PAIR * discount] for key, count in per_class]
-    keys = np.unique(np.concatenate(strong))
-    # after a word that a class has met in few documents, both classes back off
-    keys = keys[np.minimum(seen[0], seen[1])[keys // size] >= CONTEXT]
-    if len(keys) > PAIRS:
-        most = np.zeros(len(keys))
-        for key, count in per_class:
-            at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-            most = np.maximum(most, np.where(key[at] == keys, count[at], 0))
-        keys = np.sort(keys[np.argsort(-most, kind="stable")[:PAIRS]])
-    logs = []
-    for (key, count), lo, total in zip(per_class, low, seen):
-        at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-        own = np.where(key[at] == keys, np.maximum(count[at] - PAIR * discount, 0), 0) / np.maximum(total[keys // size], 1)
-        logs.append(np.log(own * (1 - weight[keys // size]) + weight[keys // size] * lo[keys % size]))
-    ratio = np.concatenate((np.log(low[1][:n]) - np.log(low[0][:n]), [0.0], np.log(stems[1]) - np.log(stems[0])))
-    return Model(dict.fromkeys(range(n), 0), {}, ratio, keys, logs[1] - logs[0], 1.0, 0.0, 0.0), numbers
-
-
-def _spread_over_classes(counts: list[np.ndarray]) -> np.ndarray:
-    """The continuation counts: in how many classes something is found, as shares."""
-    out = (counts[0] > 0) + (counts[1] > 0) + 0.5
-    return out / out.sum()
-
-
-def _discounted(counts: list[np.ndarray], discount: float, *lower: np.ndarray) -> list[np.ndarray]:
-    """Class distributions: counts less the discount, its mass given to the lower order (one for both, or one a class).
-
-    The mass is that of both classes together, so what neither class attests has the ratio of the lower order.
+def evidence(part: np.ndarray, trim: float) -> float:
+    """The sum of log ratios over what they would be at their trimmed mean."""
+    n = len(part)
+    cut = int(n * trim)
+    return float(part.sum() - n * np.sort(part)[cut : n - cut].mean())
+
+
+class Counts:
+    """The tokens of the training rows as numbers, and class counts of any part of the rows.
+
+    A line counts where it first occurs among the rows of its class, so that copies count once.
     """
-    kept = [np.maximum(x - discount, 0) for x in counts]
-    mass = 1 - sum(x.sum() for x in kept) / max(sum(x.sum() for x in counts), 1)
-    lower = lower * 2 if len(lower) == 1 else lower
-    return [(1 - mass) * x / max(x.sum(), 1e-9) + mass * y for x, y in zip(kept, lower)]
 
+    def __init__(self, rows: list[tuple[bytes, int]]):
+        words: dict[bytes, int] = {b"": 0}  # the end is the first word
+        numbers, fresh, met = [], [], set()
+        self.lengths = np.zeros(len(rows), np.int64)
+        for i, (raw, y) in enumerate(rows):
+            for line in lines(raw):
+                own = np.array([words.setdefault(w, len(words)) for w in line], np.int64)
+                key = (y, own.tobytes())
+                numbers.append(own)
+                fresh.append(np.full(len(own), key not in met))
+                met.add(key)
+                self.lengths[i] += len(own)
+            numbers.append(np.zeros(1, np.int64))
+            fresh.append(np.ones(1, bool))
+            self.lengths[i] += 1
+        self.labels = np.array([y for _, y in rows])
+        self.words, self.size = list(words), len(words)
+        # the stems of each word by level, and the next shorter stem of each stem
+        self.stem_names: list[list[bytes]] = []
+        self.stem_of: list[np.ndarray] = []
+        for names in zip(*map(stems, self.words)):
+            found: dict[bytes, int] = {}
+            self.stem_of.append(np.array([found.setdefault(x, len(found)) for x in names]))
+            self.stem_names.append(list(found))
+        flat, self.fresh = np.concatenate(numbers), np.concatenate(fresh)  # each row ends in an end, so the next one starts after it
+        self.pairs, pair_of = np.unique(np.concatenate(([0], flat[:-1])) * self.size + flat, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        self.first, self.second = self.pairs // self.size, self.pairs % self.size
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The pair counts of the two classes over some rows (a mask)."""
+        own = [np.repeat(rows & (self.labels == y), self.lengths) & self.fresh for y in (0, 1)]
+        return [np.bincount(self.pair_of[m], minlength=len(self.pairs)).astype(float) for m in own]
+
+    def held(self, ratio: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The evidence of some rows by a log ratio for each pair; a column a trim."""
+        parts = (ratio[self.pair_of[self.starts[i] : self.starts[i] + self.lengths[i]]] for i in np.flatnonzero(rows))
+        return np.array([[evidence(x, t) for t in TRIM] for x in parts])
+
+
+def smoothed(counts: list[np.ndarray], lower: list[np.ndarray], discount: float) -> list[np.ndarray]:
+    """Class distributions: counts less a discount shared in proportion, whose mass goes to the lower order."""
+    n = counts[0] + counts[1]
+    left = np.maximum(1 - discount / np.maximum(n, 1e-9), 0)
+    mass = np.minimum(n, discount).sum() / n.sum()
+    return [(1 - mass) * x * left / max((x * left).sum(), 1e-9) + mass * y for x, y in zip(counts, lower)]
 
-def _calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float, float]:
-    """Slope, bias and floor of the likeliest curve floor + (1 - floor) * logistic; rows weighted to the share `rate`.
+
+@dataclass
+class Levels:
+    """Log ratios by stem (a level each), by word and by pair, and where a count outlives the discount."""
+
+    stems: list[np.ndarray]
+    words: np.ndarray
+    pairs: np.ndarray
+    own_stem: list[np.ndarray]
+    own_word: np.ndarray
+    own_pair: np.ndarray
+
+
+def levels(c: Counts, counts: list[np.ndarray], stem_discount: float, discount: float, pair_discount: float) -> Levels:
+    follows = [np.bincount(c.second, weights=x > 0, minlength=c.size) for x in counts]  # distinct left contexts
+    both = follows[0] + follows[1] + 0.5
+    ratios, outlive = [], []
+    lower = None
+    # from the shortest stems, over which both classes share their counts, to the longest
+    for k in reversed(range(len(STEMS))):
+        of, size = c.stem_of[k], len(c.stem_names[k])
+        own = [np.bincount(of, weights=x, minlength=size) for x in follows]
+        shared = np.bincount(of, weights=both, minlength=size)
+        if lower is None:
+            lower = [shared / shared.sum()] * 2
+        else:
+            up = np.zeros(size, np.int64)
+            up[of] = c.stem_of[k + 1]
+            lower = [x[up] * shared / above[up] for x in lower]
+        lower, above = smoothed(own, lower, stem_discount), shared
+        ratios.insert(0, np.log(lower[1] / lower[0]))
+        outlive.insert(0, own[0] + own[1] > stem_discount)
+    within = both / above[c.stem_of[0]]
+    words = smoothed(follows, [x[c.stem_of[0]] * within for x in lower], discount)
+    n = counts[0] + counts[1]
+    left = np.maximum(1 - pair_discount / np.maximum(n, 1e-9), 0)
+    total = np.bincount(c.first, weights=n, minlength=c.size)
+    mass = (np.bincount(c.first, weights=np.minimum(n, pair_discount), minlength=c.size) / np.maximum(total, 1))[c.first]
+    kept = [x * left for x in counts]
+    sums = [np.bincount(c.first, weights=k, minlength=c.size)[c.first] for k in kept]
+    known = np.minimum(*sums) > 0  # contexts that both classes know; after others both back off whole
+    log = [np.log(np.where(known, (1 - mass) * k / np.maximum(s, 1e-9) + mass * w[c.second], w[c.second])) for k, s, w in zip(kept, sums, words)]
+    return Levels(ratios, np.log(words[1] / words[0]), log[1] - log[0], outlive, follows[0] + follows[1] > discount, known & (left > 0))
+
+
+def fit(texts: list[tuple[bytes, int]], base_rate: float | None = None) -> Model | float:
+    """A model of (UTF-8 text, label) rows, or the share of toxic rows where that is all there is to learn."""
+    rows = sorted(set(texts), key=lambda r: (len(r[0]), r))
+    rate = base_rate if base_rate is not None else (sum(y for _, y in rows) / len(rows) if rows else 0.0)
+    fold = np.arange(len(rows)) % FOLDS
+    labels = np.array([y for _, y in rows])
+    if any(set(labels[fold != k].tolist()) != {0, 1} for k in range(FOLDS)):
+        return float(rate)
+    c = Counts(rows)
+    best, sums = None, np.zeros((len(rows), len(TRIM)))
+    parts = [c.of(fold != k) for k in range(FOLDS)]
+    for discounts in GRID:
+        for k in range(FOLDS):
+            sums[fold == k] = c.held(levels(c, parts[k], *discounts).pairs, fold == k)
+        for t, trim in enumerate(TRIM):
+            for steady in STEADY:
+                found = calibrate(sums[:, t] / (c.lengths + steady), labels, rate)
+                if best is None or found[0] > best[0][0] + 1e-9:
+                    best = (found, discounts, trim, steady)
+    (_, slope, bias, floor), discounts, trim, steady = best
+    del parts
+    own = levels(c, c.of(np.ones(len(rows), bool)), *discounts)
+    # a word or pair that the discount uses up has the ratio of the level below: it need not be kept
+    named = own.own_word.copy()
+    named[c.first[own.own_pair]] = named[c.second[own.own_pair]] = True
+    at = np.flatnonzero(named)
+    number = np.full(c.size, -1)
+    number[at] = np.arange(len(at))
+    keys = number[c.first[own.own_pair]] * len(at) + number[c.second[own.own_pair]]
+    order = np.argsort(keys)
+    vocab = {c.words[i]: k for k, i in enumerate(at.tolist())}
+    known: dict[bytes, int] = {}
+    ratio = [own.words[at]]
+    for names, values, kept in zip(c.stem_names, own.stems, own.own_stem):
+        for i in np.flatnonzero(kept).tolist():
+            known[names[i]] = len(at) + len(known)
+        ratio.append(values[kept])
+    return Model(vocab, known, np.concatenate((*ratio, [0.0])), keys[order], own.pairs[own.own_pair][order], trim, steady, slope, bias, floor)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float, float, float]:
+    """Log-likelihood, slope, bias and floor of the likeliest curve floor + (1 - floor) * logistic; rows weighted to the share `rate`.
 
     The floor is the share of toxic labels among texts without any toxic expression (labels err).
     """
@@ -213,18 +265,18 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float,
     w = np.where(y == 1, rate / share, (1 - rate) / (1 - share))
     scale = max(np.percentile(x, 90) - np.percentile(x, 10), 1e-3)
     best = (-np.inf, 1 / scale, 0.0, 0.0)
-    for middle in np.unique(np.percentile(x, np.arange(40, 100, 0.5))):
+    for middle in np.unique(np.percentile(x, np.arange(40, 100, 1.0))):
         for slope in np.array([2, 4, 8, 16, 32, 64]) / scale:
             curve = 1 / (1 + np.exp(np.clip(-slope * (x - middle), -50, 50)))
-            for floor in (0.0, 0.02, 0.04, 0.06, 0.08, 0.12):
+            for floor in (0.0, 0.02, 0.05, 0.1):
                 p = np.clip(floor + (1 - floor) * curve, 1e-3, 1 - 1e-2)
-                fit = float((w * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
-                if fit > best[0]:
-                    best = (fit, float(slope), float(-slope * middle), floor)
-    return best[1:]
+                likely = float((w * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
+                if likely > best[0]:
+                    best = (likely, float(slope), float(-slope * middle), floor)
+    return best
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount: float = DISCOUNT, max_bytes: int = MAX_BYTES) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model | float:
     """Learn from labelled rows of docs whose crc32(doc_id) mod 5 is not 0."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(id_hash(), F.lit(5)) != 0)
@@ -246,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, discount
     if size > max_bytes:  # long texts: fewer of them
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * max_bytes / size))
     got = rows.select("text", "toxic").toArrow()
-    return fit(list(zip(text_bytes(got["text"]), got["toxic"].to_pylist())), discount, rate)
+    return fit(list(zip(text_bytes(got["text"]), got["toxic"].to_pylist())), rate)
 
 
 def scores(docs: DataFrame, model: Model | float) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from loomwork.llm import brown, components, decontam, html, iblt, islands, langid, packing, pii, queries, secrets, simhash, toxicity
@@ -464,6 +465,91 @@ def test_toxicity_small():
     assert toxicity.fit([]) == 0.0 and toxicity.fit([(b"x", 1)]) == 1.0
 
 
+def plain_ratio(rows, setting, before, word):
+    """log P(word | before, toxic) - log P(word | before, ordinary), by dictionaries."""
+    stem_discount, discount, pair_discount = setting
+    pairs, met = [Counter(), Counter()], set()
+    for raw, y in rows:
+        last = b""
+        for line in toxicity.lines(raw):
+            new = (y, tuple(line)) not in met
+            met.add((y, tuple(line)))
+            for w in line:
+                if new:
+                    pairs[y][last, w] += 1
+                last = w
+        pairs[y][last, b""] += 1
+    vocabulary = {w for raw, _ in rows for w in toxicity.tokens(raw)}
+    follows = [Counter(w for (_, w), n in p.items() if n) for p in pairs]
+    both = {w: follows[0][w] + follows[1][w] + 0.5 for w in vocabulary}
+
+    def smoothed(counts, lower, d, key):
+        n = counts[0] + counts[1]
+        mass = sum(min(x, d) for x in n.values()) / sum(n.values())
+        out = []
+        for y in (0, 1):
+            left = {k: counts[y][k] * max(1 - d / n[k], 0) for k in n}
+            out.append((1 - mass) * left.get(key, 0) / max(sum(left.values()), 1e-9) + mass * lower[y])
+        return out
+
+    prob = above = None
+    for k in reversed(range(len(toxicity.STEMS))):
+        own = [Counter(), Counter()]
+        shared = Counter()
+        for w in vocabulary:
+            x = toxicity.stems(w)[k]
+            shared[x] += both[w]
+            for y in (0, 1):
+                own[y][x] += follows[y][w]
+        x = toxicity.stems(word)[k]
+        if x not in shared:
+            return math.log(prob[1] / prob[0]) if prob else 0.0
+        if prob is None:
+            share = shared[x] / sum(shared.values())
+        else:
+            share = shared[x] / above
+        prob = smoothed([+own[0], +own[1]], [share * q for q in prob or (1, 1)], stem_discount, x)
+        above = shared[x]
+    if word not in vocabulary:
+        return math.log(prob[1] / prob[0])
+    prob = smoothed(follows, [q * both[word] / above for q in prob], discount, word)
+    after = [{w: n for (v, w), n in p.items() if v == before} for p in pairs]
+    n = Counter(after[0]) + Counter(after[1])
+    left = [{w: x * max(1 - pair_discount / n[w], 0) for w, x in a.items()} for a in after]
+    if before in vocabulary and all(sum(x.values()) > 0 for x in left):
+        mass = sum(min(x, pair_discount) for x in n.values()) / sum(n.values())
+        prob = [(1 - mass) * x.get(word, 0) / sum(x.values()) + mass * q for x, q in zip(left, prob)]
+    return math.log(prob[1] / prob[0])
+
+
+def test_toxicity_against_plain_counts(monkeypatch):
+    g = random.Random(7)
+    clean = ["the", "river", "bank", "walker", "walking", "stone", "stones", "over", "under"]
+    rude = ["idiot", "idiotic", "scummy", "scum"]
+    rows = [("\n".join(" ".join(g.choice(clean + rude * y) for _ in range(g.randrange(2, 9))) for _ in range(3)).encode(), y) for y in (0, 1) for _ in range(30)]
+    rows += [(b"the river\nbank over", 0), (b"the river\nstone over", 0), (b"the river\nthe river\nthe scum", 1)]
+    for setting in ((1.0, 2.0, 1.5), (0.75, 0.75, 0.75)):
+        monkeypatch.setattr(toxicity, "GRID", (setting,))
+        model = toxicity.fit(rows)
+        order = sorted(set(rows), key=lambda r: (len(r[0]), r))
+        for text in (b"the river scum", b"idiotical stones\nwalkers unheard over", b"the the river", b"", b"walking over scum\nidiot idiot"):
+            w = toxicity.tokens(text)
+            part = np.array([plain_ratio(order, setting, a, b) for a, b in zip([b"", *w], w)])
+            cut = int(len(w) * model.trim)
+            want = sum(part - np.mean(sorted(part)[cut : len(w) - cut])) / (len(w) + model.steady)
+            assert model.per_token(w) == pytest.approx(want, abs=1e-9)
+    assert model.score(toxicity.tokens(b"scum idiot scummy over the river")) > model.score(toxicity.tokens(b"stone walker over the river bank"))
+
+
+def test_toxicity_settings_see_training_rows_only(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
+    assert (a.slope, a.bias, a.floor, a.trim, a.steady, a.vocab) == (b.slope, b.bias, b.floor, b.trim, b.steady, b.vocab) and (a.ratio == b.ratio).all()
+
+
 # 10
 
 
