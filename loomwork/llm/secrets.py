@@ -2,11 +2,14 @@
 
 Base spans come from three patterns and always stay. Beside them a linear-chain
 CRF tags tokens as secret begin, inside or outside, from each token's shape,
-the neighbouring words and delimiters, and features of the whole file; Viterbi
-decodes the likeliest tags, and tagged runs that no base span covers are added
-as kind `crf`. The CRF is trained here by maximum likelihood, on a bounded
-sample of passages labelled by the base patterns (`TRAIN_DOCS`, `WINDOWS`:
-documented bounds; every text is scanned whole).
+the neighbouring words (hashed) and delimiters, and features of the whole file;
+Viterbi decodes the likeliest tags, and tagged runs that no base span covers are
+added as kind `crf`. The CRF is trained here by maximum likelihood, on a bounded
+sample of passages labelled by the base patterns, and on copies of them with the
+secret respelt and with other words before it. The bounds, for training alone:
+about `TRAIN_DOCS` documents by a hash of doc_id, all their passages cut at
+`PIECE` tokens, and `WINDOWS` of the pieces by a hash of their text, half of
+them with secrets. Every text is scanned whole.
 
 The chain runs over every token of a whole text. Emissions are gathered in numpy
 from tables by token class, gap and context. A token whose emission loses to
@@ -16,7 +19,9 @@ Only training looks at passages: the stretches within 48 bytes, widened to
 blanks, of a digit, a delimiter, a keyword or a run of 20 bytes without blanks.
 
 Defined cases: null text = empty = no spans; nothing to learn from: base spans
-only; repeated rows each give a row; very long texts cost time in proportion.
+only; repeated rows each give a row; very long texts cost time in proportion;
+of equally likely tags the lower one is taken; further columns of any name do no
+harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -56,6 +62,9 @@ BLOCK, STEP, CACHED = 1 << 20, 1 << 18, 300_000
 KEY = re.compile(r"(?ai)passw|secret|token|api_?key|\bkey\b|_key\b|auth|credential|private")
 TRAIN_DOCS = 20_000
 WINDOWS = 2400
+PIECE = 40
+#: Buckets of the neighbouring words.
+BUCKETS = 4096
 TAGS = 3  # outside, begin, inside
 
 
@@ -73,24 +82,48 @@ def values(text: str) -> list[tuple[int, int]]:
     return out + [m.span() for m in HEX.finditer(text)]
 
 
-def shape(token: str) -> list[str]:
+#: Letters for what a character is: d digit, x a to f, l other lower case, u upper case, m mark, o anything else.
+_KIND = bytes(ord("d" if chr(c).isdigit() else "x" if chr(c) in "abcdef" else "l" if chr(c).islower() else "u" if chr(c).isupper() else "m" if chr(c) in "+/_.-" else "o") for c in range(128)) + b"o" * 128
+_DIGIT = bytes(49 if c == 100 else 48 for c in range(256))
+
+
+def outline(token: str) -> tuple[str, int, int, int]:
+    """Kind, size class, turns between digits and others, and marks: what the features of a token's shape depend on."""
     n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    upper = sum("A" <= c <= "Z" for c in token)
-    lower = sum("a" <= c <= "z" for c in token)
-    marks = sum(c in "+/_.-" for c in token)
+    if not token.isascii() and any(map(str.isdigit, token)):
+        token = "".join("0" if c.isdigit() else c for c in token)
+    t = token.encode("ascii", "replace").translate(_KIND)
+    count = t.count
+    digits, hexa, upper, marks = count(b"d"), count(b"x"), count(b"u"), count(b"m")
+    lower = hexa + count(b"l")
     kind = (
         "number" if digits == n
-        else "hex" if digits and not upper and digits + sum(c in "abcdef" for c in token) == n
+        else "hex" if digits and not upper and digits + hexa == n
         else "letters" if not digits and lower + upper + marks >= n - 1
         else "foreign" if digits + upper + lower + marks < n // 2
         else "mixed3" if digits and upper and lower
         else "mixed2" if digits and (upper or lower) and not marks
         else "marked" if marks else "other"
     )
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    size = sum(n >= k for k in (4, 8, 16, 20, 24, 32, 48))
-    return [f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"turns={min(turns, 12) // 3}", f"marks={min(marks, 3)}"]
+    turns = 0
+    if 0 < digits < n:
+        t = t.translate(_DIGIT)
+        turns = t.count(b"01") + t.count(b"10")
+    size = (n >= 4) + (n >= 8) + (n >= 16) + (n >= 20) + (n >= 24) + (n >= 32) + (n >= 48)
+    return kind, size, min(turns, 12) // 3, min(marks, 3)
+
+
+def named(kind: str, size: int, turns: int, marks: int) -> list[str]:
+    return [f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"turns={turns}", f"marks={marks}"]
+
+
+def shape(token: str) -> list[str]:
+    return named(*outline(token))
+
+
+def bucket(token: str) -> int:
+    """What is learnt of a neighbouring word: a hash of it, in lower case."""
+    return zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def file_features(raw: bytes) -> list[str]:
@@ -101,6 +134,7 @@ def features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> list[
     """Names of the features of each token of a passage."""
     shapes = [shape(text[a:z]) for a, z in spans]
     keys = [bool(KEY.search(text[a:z])) for a, z in spans]
+    near = [bucket(text[a:z]) for a, z in spans]
     out = []
     for i, (a, z) in enumerate(spans):
         before = text[spans[i - 1][1] if i else 0 : a]
@@ -112,6 +146,7 @@ def features(text: str, spans: list[tuple[int, int]], whole: list[str]) -> list[
             f"key before={key_before}", f"delimited={delimiter}", f"key,delimited={key_before},{delimiter}",
             f"quoted={before[-1:] in _QUOTES and after[:1] in _QUOTES and bool(before)}", f"is key={keys[i]}", f"delimiter after={'=' in after or ':' in after}",
             f"before {shapes[i - 1][0] if i else 'none'}", f"after {shapes[i + 1][0] if i + 1 < len(spans) else 'none'}",
+            *(f"word {k} {near[i + k]}" for k in (-2, -1, 1) if 0 <= i + k < len(spans)),
         ])
     return out
 
@@ -161,46 +196,47 @@ def gap_bits(gap: str) -> int:
 
 
 class Tables:
-    """The weights of a model summed by what a token's features depend on, each as tags 1 and 2 against outside."""
+    """The weights of a model summed by what a token's features depend on, each as tags 1 and 2 against outside.
+
+    A token's class is its shape, whether it is a keyword, and its bucket as far as neighbours have learnt it.
+    """
+
+    KINDS = ("none", "number", "hex", "foreign", "letters", "mixed3", "mixed2", "marked", "other")
 
     def __init__(self, model: Crf):
         self.model = model
         self.number: dict[tuple, int] = {}
-        self.kinds = ["none"]  # names by number; the first is beyond the ends of a text
-        self.own, self.kind, self.key = [np.zeros(TAGS - 1)], [0], [False]
+        size = 1024  # of the tables, doubled as classes are met; class 0 is beyond the ends of a text
+        self.own, self.kind, self.key = np.zeros((size, TAGS - 1)), np.zeros(size, np.int64), np.zeros(size, bool)
+        self.near = np.zeros(size, np.int64)
         self.classes, self.gaps = Lookup(self.class_of), Lookup(gap_bits)
         self.context = np.array([
             self.sum([f"key before={k}", f"delimited={d}", f"key,delimited={k},{d}", f"quoted={q}", f"delimiter after={a}"])
             for k in (False, True) for d in (False, True) for q in (False, True) for a in (False, True)
         ])
+        self.before, self.after = (np.array([self.sum([f"{w} {k if k == 'none' else 'kind=' + k}"]) for k in self.KINDS]) for w in ("before", "after"))
+        learnt = sorted({int(f.split()[2]) for f in model.weights if f.startswith("word ")})
+        self.learnt = {x: i + 1 for i, x in enumerate(learnt)}
+        self.second, self.last, self.next = (np.array([np.zeros(TAGS - 1), *(self.sum([f"word {k} {x}"]) for x in learnt)]) for k in (-2, -1, 1))
+        self.whole: dict[tuple, np.ndarray] = {}
         tr = model.transitions
         self.turn = np.array([max(tr[a, s] + tr[s, c] - tr[a, 0] - tr[0, c] for a in range(TAGS) for c in range(TAGS)) for s in range(1, TAGS)])
-        self.at = 0
 
     def sum(self, names: list[str]) -> np.ndarray:
         w = sum((self.model.weights.get(f, np.zeros(TAGS)) for f in names), np.zeros(TAGS))
         return w[1:] - w[0]
 
     def class_of(self, token: str) -> int:
-        shapes, key = shape(token), bool(KEY.search(token))
-        k = self.number.setdefault((*shapes, key), len(self.number) + 1)
-        if k == len(self.own):
-            if shapes[0] not in self.kinds:
-                self.kinds.append(shapes[0])
-            self.own.append(self.sum(["bias", *shapes, f"is key={key}"]))
-            self.kind.append(self.kinds.index(shapes[0]))
-            self.key.append(key)
+        own, key, near = outline(token), bool(KEY.search(token)), self.learnt.get(bucket(token), 0)
+        k = self.number.get((own, key, near))
+        if k is None:
+            k = self.number[own, key, near] = len(self.number) + 1
+            if k == len(self.own):
+                self.own, self.kind, self.key, self.near = (np.concatenate((x, np.zeros_like(x))) for x in (self.own, self.kind, self.key, self.near))
+            self.own[k] = self.sum(["bias", *named(*own), f"is key={key}"])
+            self.kind[k], self.key[k], self.near[k] = self.KINDS.index(own[0]), key, near
         return k
 
-    def arrays(self) -> None:
-        """The lists as arrays, after new classes were met."""
-        if self.at != len(self.own):
-            self.at = len(self.own)
-            self.own_, self.kind_, self.key_ = np.array(self.own), np.array(self.kind), np.array(self.key)
-            self.before = np.array([self.sum([f"before {k}"]) for k in self.kinds])
-            self.after = np.array([self.sum([f"after {k}"]) for k in self.kinds])
-            self.whole: dict[tuple, np.ndarray] = {}
-
     def tags(self, text: str, whole: list[str]) -> tuple[np.ndarray, list[int], list[tuple[int, int, int]]]:
         """(places of tokens that are not surely outside, their tags, blocks as first token, start and end) of a text."""
         ids, gaps, blocks = [np.zeros(2, np.int32)], [], []
@@ -220,20 +256,20 @@ class Tables:
             gaps.append(np.fromiter(map(self.gaps.__getitem__, between), np.uint8, len(between)))
             blocks.append((n, at, to))
             at, n = to, n + len(tokens)
-        self.arrays()
         id_ = np.concatenate((*ids, [0]))
         gap = np.concatenate((*gaps, np.zeros(1, np.uint8)))
         key = tuple(whole)
         if key not in self.whole:
-            self.whole[key] = np.array([self.sum([f"{f}|{k}" for f in whole]) for k in self.kinds])
+            self.whole[key] = np.array([self.sum([f"{f}|kind={k}" for f in whole]) for k in self.KINDS])
         of_file = self.whole[key]
         places, rows = [], []
         for a in range(0, n, STEP):
             z = min(a + STEP, n)
             own, last, second, following = id_[a + 2 : z + 2], id_[a + 1 : z + 1], id_[a:z], id_[a + 3 : z + 3]
             before, after = gap[a:z], gap[a + 1 : z + 1]
-            context = (self.key_[last] | self.key_[second]) * 8 + (before & 1) * 4 + (before >> 1 & after >> 2 & 1) * 2 + (after & 1)
-            em = self.own_[own] + of_file[self.kind_[own]] + self.context[context] + self.before[self.kind_[last]] + self.after[self.kind_[following]]
+            context = (self.key[last] | self.key[second]) * 8 + (before & 1) * 4 + (before >> 1 & after >> 2 & 1) * 2 + (after & 1)
+            em = self.own[own] + of_file[self.kind[own]] + self.context[context] + self.before[self.kind[last]] + self.after[self.kind[following]]
+            em += self.second[self.near[second]] + self.last[self.near[last]] + self.next[self.near[following]]
             live = np.flatnonzero((em + self.turn >= -1e-9).any(axis=1))
             places.append(live + a)
             rows.append(em[live])
@@ -266,73 +302,75 @@ def viterbi(em: np.ndarray, tr: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def fit(passages: list[tuple[list[list[str]], list[int]]], rounds: int = 90, penalty: float = 0.05) -> Crf | None:
-    """Maximum likelihood with an L2 penalty, by Adam over all passages at once."""
-    passages = [p for p in passages if p[0]]
-    if not any(any(tags) for _, tags in passages):
-        return None
-    number: dict[str, int] = {}
-    for names, _ in passages:
-        for own in names:
-            for f in own:
-                number.setdefault(f, len(number))
-    width = max(len(own) for names, _ in passages for own in names)
-    n, steps = len(passages), max(len(names) for names, _ in passages)
-    none = len(number)
-    ids = np.full((n, steps, width), none)
-    mask = np.zeros((n, steps), bool)
-    gold = np.zeros((n, steps), np.int64)
-    for i, (names, tags) in enumerate(passages):
-        for t, (own, tag) in enumerate(zip(names, tags)):
-            ids[i, t, : len(own)] = [number[f] for f in own]
-            mask[i, t], gold[i, t] = True, tag
-    w = np.zeros((none + 1, TAGS))
-    tr = np.zeros((TAGS, TAGS))
-    flat = ids[mask].ravel()
-    last = mask.sum(axis=1)
-    gold_tr = np.zeros((TAGS, TAGS))
-    for i in range(n):
-        path = np.concatenate(([0], gold[i, : last[i]], [0]))
-        np.add.at(gold_tr, (path[:-1], path[1:]), 1)
-    onehot = np.eye(TAGS)[gold] * mask[..., None]
-    m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(tr), np.zeros_like(w), np.zeros_like(tr)
-    for k in range(1, rounds + 1):
-        em = w[ids].sum(axis=2)
-        a = np.zeros((n, steps, TAGS))
-        b = np.zeros((n, steps, TAGS))
+class Batch:
+    """Passages (feature names and tags of each token) as arrays."""
+
+    def __init__(self, passages: list[tuple[list[list[str]], list[int]]]):
+        self.number: dict[str, int] = {}
+        for names, _ in passages:
+            for own in names:
+                for f in own:
+                    self.number.setdefault(f, len(self.number))
+        width = max(len(own) for names, _ in passages for own in names)
+        n, steps = len(passages), max(len(names) for names, _ in passages)
+        none = len(self.number)
+        self.mask = np.arange(steps) < np.array([[len(names)] for names, _ in passages])
+        self.gold = np.zeros((n, steps), np.int64)
+        self.ids = np.array([[*(self.number[f] for f in own), *[none] * (width - len(own))] for names, _ in passages for own in names])
+        self.between = np.zeros((TAGS, TAGS))
+        for i, (_, tags) in enumerate(passages):
+            self.gold[i, : len(tags)] = tags
+            np.add.at(self.between, ([0, *tags], [*tags, 0]), 1)
+
+    def likelihood(self, w: np.ndarray, tr: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of the tags and its gradients by forward and backward sums; the last row of w stays 0."""
+        n, steps = self.mask.shape
+        em = np.zeros((n, steps, TAGS))
+        em[self.mask] = w[self.ids].sum(axis=1)
+        a, b = np.zeros_like(em), np.zeros_like(em)
         a[:, 0] = em[:, 0] + tr[0]
         for t in range(1, steps):
             step = _logsum(a[:, t - 1, :, None] + tr, 1) + em[:, t]
-            a[:, t] = np.where(mask[:, t, None], step, a[:, t - 1])
+            a[:, t] = np.where(self.mask[:, t, None], step, a[:, t - 1])
         ends = _logsum(a[:, -1] + tr[:, 0], 1)
         b[:, -1] = tr[:, 0]
         for t in range(steps - 2, -1, -1):
             step = _logsum(tr + (em[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-            b[:, t] = np.where(mask[:, t + 1, None], step, tr[:, 0])
-        p = np.exp(a + b - ends[:, None, None]) * mask[..., None]
+            b[:, t] = np.where(self.mask[:, t + 1, None], step, tr[:, 0])
+        p = np.exp(a + b - ends[:, None, None]) * self.mask[..., None]
         pair = np.zeros((TAGS, TAGS))
         for t in range(1, steps):
-            on = mask[:, t]
+            on = self.mask[:, t]
             if on.any():
-                joint = a[on, t - 1, :, None] + tr + (em[on, t] + b[on, t])[:, None, :] - ends[on, None, None]
-                pair += np.exp(joint).sum(axis=0)
+                pair += np.exp(a[on, t - 1, :, None] + tr + (em[on, t] + b[on, t])[:, None, :] - ends[on, None, None]).sum(axis=0)
         pair[0] += p[:, 0].sum(axis=0)
-        final = p[np.arange(n), last - 1]
-        pair[:, 0] += final.sum(axis=0)
-        delta = (onehot - p)[mask]
-        g = np.zeros_like(w)
-        np.add.at(g, flat, np.repeat(delta, width, axis=0))
-        g -= penalty * w
-        g[none] = 0
-        gt = gold_tr - pair - penalty * tr
-        for x, grad, m, v in ((w, g, m1, v1), (tr, gt, m2, v2)):
+        pair[:, 0] += p[np.arange(n), self.mask.sum(axis=1) - 1].sum(axis=0)
+        gold = np.eye(TAGS)[self.gold] * self.mask[..., None]
+        delta = (gold - p)[self.mask]
+        flat, width = self.ids.ravel(), self.ids.shape[1]
+        g = np.stack([np.bincount(flat, np.repeat(delta[:, k], width), len(w)) for k in range(TAGS)], axis=1)
+        g[-1] = 0
+        value = (em * gold).sum() + (self.between * tr).sum() - ends.sum()
+        return float(value), g, self.between - pair
+
+
+def fit(passages: list[tuple[list[list[str]], list[int]]], rounds: int = 90, penalty: float = 0.05) -> Crf | None:
+    """Maximum likelihood with an L2 penalty, by Adam over all passages at once."""
+    passages = [p for p in passages if p[0]]
+    if not any(any(tags) for _, tags in passages):
+        return None
+    batch = Batch(passages)
+    w, tr = np.zeros((len(batch.number) + 1, TAGS)), np.zeros((TAGS, TAGS))
+    m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(tr), np.zeros_like(w), np.zeros_like(tr)
+    for k in range(1, rounds + 1):
+        _, g, gt = batch.likelihood(w, tr)
+        for x, grad, m, v in ((w, g - penalty * w, m1, v1), (tr, gt - penalty * tr, m2, v2)):
             m *= 0.9
             m += 0.1 * grad
             v *= 0.99
             v += 0.01 * grad * grad
             x += 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
-    weights = {f: w[i].copy() for f, i in number.items()}
-    return Crf(weights, tr)
+    return Crf({f: w[i].copy() for f, i in batch.number.items()}, tr)
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -340,9 +378,13 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
 
 
-def passages(raw: bytes) -> list[tuple[int, str]]:
-    """The stretches of a text that training draws on, with their offsets."""
-    return islands.decoded(raw, islands.stretches(raw, _MARKED, _REACH, LONG, KEYWORDS))
+def pieces(raw: bytes) -> Iterator[str]:
+    """The stretches of a text that training draws on, cut at `PIECE` tokens."""
+    for _, text in islands.decoded(raw, islands.stretches(raw, _MARKED, _REACH, LONG, KEYWORDS)):
+        ends = [m.end() for m in TOKEN.finditer(text)][PIECE - 1 :: PIECE]
+        for a, z in zip([0, *ends], [*ends, len(text)]):
+            if a < z:
+                yield text[a:z]
 
 
 def tagged(model: Crf, text: str, whole: list[str]) -> list[tuple[int, int]]:
@@ -391,19 +433,18 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Crf | None:
         for b in batches:
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), [x.encode() for x in b.column(1).to_pylist()]):
-                for _, text in passages(raw)[:20]:
-                    if len(text) < 2000:
-                        out.append((doc, text, "\t".join(file_features(raw)), bool(values(text))))
+                whole = "\t".join(file_features(raw))
+                out += [(doc, text, whole, bool(values(text))) for text in pieces(raw)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
 
-    got = map_batches(rows, run, ddl).dropDuplicates(["passage"])
+    got = map_batches(rows, run, ddl).groupBy("passage").agg(F.min("whole").alias("whole"), F.max("secret").alias("secret"))
     rank = F.xxhash64("passage")
     found = []
     for secret in (True, False):  # as many passages with as without secrets
-        found += got.where(F.col("secret") == secret).orderBy(rank).limit(WINDOWS // 2).collect()
+        found += got.where(F.col("secret") == secret).orderBy(rank, "passage").limit(WINDOWS // 2).collect()
     learnt = []
     for r in found:
-        for text, secrets in [(r.passage, values(r.passage)), *([varied(r.passage)] if r.secret else [])]:
+        for text, secrets in [(r.passage, values(r.passage)), *([varied(r.passage), introduced(r.passage)] if r.secret else [])]:
             tokens = [m.span() for m in TOKEN.finditer(text)]
             learnt.append((features(text, tokens, r.whole.split("\t")), labels(tokens, secrets)))
     return fit(learnt)
@@ -430,6 +471,43 @@ def varied(text: str) -> tuple[str, list[tuple[int, int]]]:
     return out + text[at:], secrets
 
 
+# Words and marks that may introduce a secret.
+_NAMES = (
+    "api key", "api_key", "access key", "auth", "authorization", "bearer", "client_secret", "client_secret_value", "credential", "credentials",
+    "db_pass", "login", "passphrase", "password", "private key", "private_key", "pwd", "secret", "secret_access_key", "signing key", "token",
+)
+_MARKS = (" ", ": ", " = ", "=", ":", " -> ", " => ", " is ", " was ", ": '", " = '", "='", "('", "(\"")
+
+
+def introduced(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The passage with its last secret respelt or turned into an ordinary word, behind other words, and where secrets are.
+
+    After a word that no base pattern knows, an ordinary word is no secret: both kinds are learnt.
+    """
+    out, secrets = varied(text)
+    if not secrets:
+        return out, secrets
+    a, z = secrets[-1]
+    source = random.Random(hashlib.sha256(f"introduced{text}".encode()).digest())
+    start = max((m.end() for m in re.finditer(r"\s", out[: max(0, a - 24)])), default=0)
+    lead = out[start:a]
+    mark = source.choice(_MARKS)
+    name = source.choice(_NAMES)
+    words = [w for w in re.findall(r"[A-Za-z]{3,}", text) if not KEY.search(w)] or ["missing"]
+    plain = source.random() < 0.4
+    value = source.choice(words).lower() if plain else out[a:z]
+    close = {"'": "'", '"': '"'}.get(mark[-1], "")
+    keep = lead[: len(lead) // 2].rsplit(" ", 1)[0] + " " if " " in lead[: len(lead) // 2] else ""
+    head = out[:start] + keep + name + mark
+    rest = out[z:].lstrip("\"'")
+    new = head + value + close + rest
+    base = ASSIGN.search(f"{name}{mark}{value}")
+    held = [s for s in secrets[:-1] if s[1] <= start]
+    if not plain or base and base.end(2) - base.start(2) >= LEAST_VALUE:
+        held.append((len(head), len(head) + len(value)))
+    return new, held
+
+
 def labels(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
     """Tags of the tokens: begin or inside where a secret overlaps them."""
     out = []
