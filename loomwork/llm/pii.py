@@ -11,12 +11,16 @@ An entity must hold an @ or at least `DIGITS` digits and begin and end on a
 letter, digit, + or parenthesis: elsewhere only the type `other` of one token
 is possible, so stretches without digit and @ need no look. The CRF is trained
 here by stochastic gradient on the log-likelihood of a bounded sample of
-passages labelled by the base patterns (`TRAIN_DOCS`, `PASSAGES`: documented
-bounds; every text is scanned whole).
+passages labelled by the base patterns. The bounds, for training alone: about
+`TRAIN_DOCS` documents by a hash of doc_id, all their stretches cut at `PIECE`
+tokens, and `PASSAGES` of the pieces with and as many without entities, by a
+hash of their text. Every text is scanned whole, each stretch by one program.
 
 Defined cases: null text = empty = no spans; nothing to learn from: base spans
-only; repeated rows each give a row; a stretch longer than `STRETCH` tokens is
-segmented in overlapping parts and an entity counts where it lies whole.
+only; repeated rows each give a row; a very long stretch costs time in proportion
+and memory for a number a token; of equally good segmentations the one with
+fewer and earlier-ending entities is taken; further columns of any name do no
+harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,9 +49,9 @@ ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 LONGEST = 14
 DIGITS, MOST_DIGITS = 7, 24
-STRETCH = 400
 TRAIN_DOCS = 10_000
 PASSAGES = 500
+PIECE = 400
 EPOCHS = 4
 _MARKED = islands.flags("0123456789@")
 _REACH = 24
@@ -144,7 +148,7 @@ class SemiCrf:
         return sum(get((f, kind), 0.0) for f in names) + get(("bias", kind), 0.0)
 
 
-def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+def segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
     """Candidate entities (first token, token after the last, features), by last token."""
     # running counts of digits and @ rule most segments out before their text is looked at
     digits, ats = [0], [0]
@@ -152,7 +156,6 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, l
         digits.append(digits[-1] + (z - a if "0" <= text[a] <= "9" else 0))
         ats.append(ats[-1] + (text[a] == "@"))
     begins = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
-    out = []
     for j in range(1, len(tokens) + 1):
         if not text[tokens[j - 1][1] - 1].isalnum():
             continue
@@ -161,25 +164,22 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, l
             if n > MOST_DIGITS or at > 1:
                 break
             if begins[i] and (at or n >= DIGITS) and (names := span_features(text, tokens[i][0], tokens[j - 1][1])):
-                out.append((i, j, names))
-    return out
+                yield i, j, names
 
 
-def decode(model: SemiCrf, n: int, candidates: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, str]]:
-    """The best segmentation of n tokens: the entities in it."""
-    by_end: dict[int, list] = {}
+def decode(model: SemiCrf, n: int, candidates: Iterable[tuple[int, int, list[str]]]) -> list[tuple[int, int, str]]:
+    """The best segmentation of n tokens: the entities in it. Candidates come by their last token and are not kept."""
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    done = 0
     for i, j, names in candidates:
+        while done < j:  # best and back are final up to done
+            done += 1
+            best[done] = best[done - 1]
         for kind in TYPES:
             s = model.score(names, kind)
-            if s > 0:
-                by_end.setdefault(j, []).append((i, kind, s))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, kind, s in by_end.get(j, ()):
-            if best[i] + s > best[j]:
+            if s > 0 and best[i] + s > best[j]:
                 best[j], back[j] = best[i] + s, (i, kind)
-    out, j = [], n
+    out, j = [], done  # nothing ends later
     while j:
         if back[j] is None:
             j -= 1
@@ -195,9 +195,7 @@ def fit(passages: list[str], epochs: int = EPOCHS, rate: float = 0.5, penalty: f
     data = []
     for text in passages:
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        if not tokens or len(tokens) > STRETCH:
-            continue
-        candidates = segments(text, tokens)
+        candidates = list(segments(text, tokens))
         starts = {a: i for i, (a, _) in enumerate(tokens)}
         ends = {z: i + 1 for i, (_, z) in enumerate(tokens)}
         gold, taken = set(), 0
@@ -243,22 +241,22 @@ def _log_add(values: list[float]) -> float:
 
 def entities(model: SemiCrf, offset: int, text: str) -> list[tuple[str, int, int]]:
     tokens = [m.span() for m in TOKEN.finditer(text)]
-    out = []
-    step = STRETCH - 2 * LONGEST
-    for at in range(0, len(tokens), step):
-        part = tokens[at : at + STRETCH]
-        for i, j, kind in decode(model, len(part), segments(text, part)):
-            if i < step or len(part) < STRETCH:  # an entity that begins later belongs to the next part
-                out.append((kind, offset + part[i][0], offset + part[j - 1][1]))
-        if at + STRETCH >= len(tokens):
-            break
-    return out
+    return [(kind, offset + tokens[i][0], offset + tokens[j - 1][1]) for i, j, kind in decode(model, len(tokens), segments(text, tokens))]
 
 
 def passages(raw: bytes) -> list[tuple[int, str]]:
     return islands.decoded(raw, islands.stretches(raw, _MARKED, _REACH))
 
 
+def pieces(raw: bytes) -> Iterator[str]:
+    """The stretches of a text cut at `PIECE` tokens: what training draws on."""
+    for _, text in passages(raw):
+        ends = [m.end() for m in TOKEN.finditer(text)][PIECE - 1 :: PIECE]
+        for a, z in zip([0, *ends], [*ends, len(text)]):
+            if a < z:
+                yield text[a:z]
+
+
 def scan(raw: bytes, model: SemiCrf | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans the model adds) of a UTF-8 text, in code points."""
     around = passages(raw)
@@ -289,12 +287,12 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> SemiCrf | None:
         for b in batches:
             out = []
             for raw in text_bytes(b.column(1)):
-                out += [(text, bool(base_spans(text))) for _, text in passages(raw)[:20] if len(text) < 1000]
+                out += [(text, bool(base_spans(text))) for text in pieces(raw)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 2, schema)], schema=schema)
 
     got = map_batches(rows, run, ddl).dropDuplicates(["passage"])
     rank = F.xxhash64("passage")
-    found = [r.passage for e in (True, False) for r in got.where(F.col("entity") == e).orderBy(rank).limit(PASSAGES).collect()]
+    found = [r.passage for e in (True, False) for r in got.where(F.col("entity") == e).orderBy(rank, "passage").limit(PASSAGES).collect()]
     return fit(sorted(found, key=lambda t: hashlib.md5(t.encode()).digest()))
 
 
