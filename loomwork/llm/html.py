@@ -3,17 +3,27 @@
 A page is read into a tree of block elements (inline markup does not matter to
 the text). Parts whose element or class names them as menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments are left
-out. Every block with text of its own passes points for its length and commas
-to its parent and, less, to the ancestors above; a block's points are
-discounted by its link density. The best block is widened to the article or
-main element around it, and joined by siblings that score a fifth of it or are
-paragraphs of prose. All text in them is kept in page order, but for lists and
-boxes that consist of links.
+out, hidden elements too, inline ones alike. Every block with text of its own
+passes points for its length and commas to its parent and, less, to the
+ancestors above; a block's points are discounted by its link density. The best
+block is widened to the article or main element around it, with the sibling
+articles that gather a fifth of its points, or else is joined by siblings that
+score a fifth of it or are paragraphs of prose. All text in them is kept in page
+order, but for lists and boxes that consist of links, outside of article and
+main. The points (a block of 25 characters or more gives 1, its commas and up to
+3 for its length; ancestors get all, a half, then a third of that by level) are
+those of the publicly known readability scoring.
+
+Inside an article or main element, or a block named as content, a class name
+counts only if all its parts do (`social-share`, not `social-history`).
 
 Defined cases: null or empty html gives an empty text; without any points the
 article, main or body element with the most text is taken, and without body
-the page; unclosed elements end with their parent; stray end tags are ignored;
-html that is plain text is one block; repeated rows each give a row.
+the page; of equal points the first block wins; unclosed elements end with their
+parent; an unclosed script, style, title or textarea takes the rest, of other
+unclosed embedded elements only the tag goes; a self-closing one is empty; stray
+end tags are ignored; html that is plain text is one block; repeated rows each
+give a row; further columns of any name do no harm; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,11 +38,17 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.base import arrow_schema, map_batches
 
-# No part of a tag passes a "<", so a page is read in linear time whatever it holds.
-RAW = re.compile(r"(?is)<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas)\b[^<>]*+>.*?(?:</\1\s*+[^<>]*+>|\Z)")
-COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<![^<>]*+>|<\?[^<>]*+>")
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>""")
-ATTRIBUTE = re.compile(r"""(?is)\b(class|id|role|itemprop|hidden|style|aria-hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+# A tag's parts are bounded or pass no "<", and an end that is not there is looked for once, so a page is read in linear time.
+_TAG = r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|(?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+|[^<>]*+)>"""
+NEXT = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<![^<>]*+>|<\?[^<>]*+>|" + _TAG)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?""")
+HINT = re.compile(r"(?i)\b(?:class|id|hidden|style|role)\b")
+
+# Elements whose content is no text of the page; what stands for them; those that take the rest if unclosed.
+RAW = {"script": "", "style": "", "noscript": "", "template": "", "title": "", "textarea": " ", "iframe": " ", "svg": " ", "math": " ", "object": " ", "select": " ", "canvas": " "}
+RAW_END = {tag: re.compile(rf"(?i)</{tag}\s*+[^<>]*+>") for tag in RAW}
+TAKES_REST = frozenset(("script", "style", "title", "textarea"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 # Elements by their part in a page.
 BLOCKS = frozenset(
@@ -52,100 +68,160 @@ NAMED_OUT = frozenset(
 NAMED_OUT_UNLESS_CONTENT = frozenset("alert disclaimer header login notice notices related responses search side signup tag tags".split())
 CONTENT = frozenset("article body content entry main post story text".split())
 WITHOUT = frozenset("has have hide is no with without".split())  # "has-sidebar" is not a sidebar
+# Inline elements with such names are left out.
+NAMED_OUT_INLINE = frozenset("ad ads adslot advert adverts advertisement advertising popup promo promoted share sharing skip sponsor sponsored".split())
+# Parts of names that say nothing of the content.
+NEUTRAL = frozenset(
+    "a above all area articles bar below block body bottom box btn button buttons card center col column container content cta desktop end entry feed first float form frame"
+    " google group holder icon icons id in inline inner item items js last layout left level link links list main message mid middle mobile module new no of on"
+    " outer overlay page panel placeholder policy post posts primary reader region right row script secondary section series sign site slot small sticky strip thread"
+    " stories text the title to top ui unit up user view wide wrap wrapper x zone article story".split()
+)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 LONG_ENOUGH = 25
 
 
 class Block:
-    __slots__ = ("tag", "parent", "children", "dropped", "inside", "own", "links", "chars", "link_chars", "points")
+    __slots__ = ("tag", "parent", "children", "dropped", "article", "inside", "content", "own", "links", "chars", "link_chars", "points", "total")
 
-    def __init__(self, tag: str, parent: Block | None, dropped: bool):
+    def __init__(self, tag: str, parent: Block | None, dropped: bool, content: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list = []  # blocks and strings (inline text), in page order
-        self.inside = tag == "article" or parent is not None and parent.inside
+        self.article = tag == "article" or parent is not None and parent.article
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.content = self.inside or content or parent is not None and parent.content
         self.own = self.links = self.chars = self.link_chars = 0
-        self.points = 0.0
+        self.points = self.total = 0.0  # points passed to the block; points of all text in it
         if parent is not None:
             parent.children.append(self)
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether the element is no part of the main text; `inside`: it lies in an article."""
-    if tag in DROPPED:
-        return not (tag == "header" and inside)
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)}
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    style = found.get("style", "").replace(" ", "").lower()
+    return "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def _parts(found: dict[str, str]) -> Iterator[list[str]]:
+    """The parts of each class name and of the id; `has-sidebar` is not a sidebar."""
     for name in (found.get("class", "") + " " + found.get("id", "")).split():
         parts = [p.lower() for p in NAME_PART.findall(name)]
         if parts and parts[0] not in WITHOUT:
-            own = set(parts)
-            if own & NAMED_OUT or own & NAMED_OUT_UNLESS_CONTENT and not own & CONTENT:
-                return True
-    return False
+            yield parts
+
+
+def _out(parts: list[str], strict: bool, article: bool = False) -> bool:
+    """Whether a name marks what is no part of the main text.
+
+    `strict`: only if its other parts say nothing (small numbers among them, years not). In an article a header is its own.
+    """
+    own = set(parts)
+    doubtful = own & NAMED_OUT_UNLESS_CONTENT - ({"header"} if article else set())
+    if not (own & NAMED_OUT or doubtful and not own & CONTENT):
+        return False
+    return not strict or all(p in NAMED_OUT or p in NAMED_OUT_UNLESS_CONTENT or p in NEUTRAL or p.isdigit() and len(p) < 4 for p in own)
+
+
+def _unwanted(tag: str, found: dict[str, str], parent: Block) -> bool:
+    """Whether a block element is no part of the main text."""
+    if tag in DROPPED:
+        return not (tag == "header" and parent.article)
+    if not found or tag in ("html", "body", "article", "main"):
+        return False
+    if _hidden(found) or found.get("role", "").lower() in ROLES:
+        return True
+    return any(_out(parts, parent.content, parent.article) for parts in _parts(found))
+
+
+def _unwanted_inline(found: dict[str, str]) -> bool:
+    """Whether an inline element is hidden, an advert or a button to share."""
+    return _hidden(found) or any(set(parts) & NAMED_OUT_INLINE and _out(parts, True) for parts in _parts(found))
 
 
 def parse(html: str) -> Block:
     """The tree of block elements; strings among the children are (decoded text, inside a link)."""
-    html = COMMENT.sub("", RAW.sub(" ", COMMENT.sub("", html) if "<!--" in html else html))
     root = Block("#root", None, False)
-    cur, link, hidden, at = root, 0, 0, 0
+    cur, link, at = root, 0, 0
     open_: dict[str, int] = {}  # how many elements of a kind are open
+    veil: list | None = None  # an inline element that is left out: its tag, how many of them are open, the block around it
+    endless: set[str] = set()  # embedded elements that have no end from here on
 
     def close(node: Block) -> None:
         """Close the node and all that is open in it."""
-        nonlocal cur
-        while cur is not node:
+        nonlocal cur, veil
+        while True:
+            if veil and veil[2] is cur:
+                veil = None
             open_[cur.tag] -= 1
-            cur = cur.parent
-        open_[node.tag] -= 1
-        cur = node.parent
+            last, cur = cur, cur.parent
+            if last is node:
+                return
 
     def put(text: str) -> None:
-        if text and not hidden:
+        if text and not veil:
             cur.children.append((unescape(text) if "&" in text else text, link > 0))
 
-    for m in TAG.finditer(html):
+    while m := NEXT.search(html, at):
         put(html[at : m.start()])
         at = m.end()
+        if m[2] is None:  # a comment or declaration
+            continue
         closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if tag == "a":
-            link = 0 if closing else 1
-        elif tag in INLINE_DROPPED:
-            hidden = max(0, hidden - 1) if closing else hidden + 1
-        elif tag in ("br", "hr", "img", "wbr"):
-            if tag != "wbr":
+        empty = attributes.endswith("/")
+        if tag in RAW:
+            if not closing and not empty:
+                put(RAW[tag])
+                end = None if tag in endless else RAW_END[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    if tag in TAKES_REST:
+                        at = len(html)
+            continue
+        if tag in VOID:
+            if tag in ("br", "hr", "img"):
                 put(" ")
             if tag == "hr" and cur.tag == "p":
                 close(cur)
-        elif tag in BLOCKS:
-            link = 0
-            if closing:
-                if open_.get(tag):
-                    node = cur
-                    while node.tag != tag:
-                        node = node.parent
-                    close(node)
-                    hidden = 0
-                continue
-            if tag in CLOSES_P:
-                if cur.tag == "p":
-                    close(cur)
-            if tag in SAME and any(open_.get(t) for t in SAME[tag]):
+            continue
+        if tag not in BLOCKS:
+            if tag == "a":
+                link = 0 if closing else 1
+            if veil:
+                if tag == veil[0] and not empty:
+                    veil[1] += -1 if closing else 1
+                    if not veil[1]:
+                        veil = None
+            elif not closing and not empty and (tag in INLINE_DROPPED or HINT.search(attributes) and _unwanted_inline(_attributes(attributes))):
+                veil = [tag, 1, cur]
+            continue
+        link = 0
+        if closing:
+            if open_.get(tag):
                 node = cur
-                while node.parent is not None and node.tag not in SAME[tag] and node.tag not in SCOPES:
+                while node.tag != tag:
                     node = node.parent
-                if node.tag in SAME[tag]:
-                    close(node)
-            cur = Block(tag, cur, cur.dropped or _unwanted(tag, attributes, cur.inside))
-            open_[tag] = open_.get(tag, 0) + 1
-            if attributes.endswith("/") and tag not in ("p", "li", "body", "html"):
-                close(cur)
+                close(node)
+            continue
+        if tag in CLOSES_P and cur.tag == "p":
+            close(cur)
+        if tag in SAME and any(open_.get(t) for t in SAME[tag]):
+            node = cur
+            while node.parent is not None and node.tag not in SAME[tag] and node.tag not in SCOPES:
+                node = node.parent
+            if node.tag in SAME[tag]:
+                close(node)
+        found = _attributes(attributes) if HINT.search(attributes) else {}
+        content = any(set(p) & CONTENT for p in _parts(found))
+        cur = Block(tag, cur, cur.dropped or veil is not None or _unwanted(tag, found, cur), content)
+        open_[tag] = open_.get(tag, 0) + 1
+        if empty and tag not in ("p", "li", "body", "html"):
+            close(cur)
     put(html[at:])
     return root
 
@@ -170,6 +246,7 @@ def score(root: Block) -> list[Block]:
         n.chars, n.link_chars = n.own, sum(linked)
         if n.own >= LONG_ENOUGH and n.parent is not None:
             points = 1 + text.count(",") + min(n.own / 100, 3)
+            n.total += points
             if n.tag not in ("p", "pre", "td", "li", "blockquote"):
                 n.points += points  # loose text of a container
             level, up = 0, n.parent
@@ -181,6 +258,7 @@ def score(root: Block) -> list[Block]:
             n.parent.chars += n.chars
             n.parent.link_chars += n.link_chars
             n.parent.links += n.links
+            n.parent.total += n.total
     return nodes
 
 
@@ -188,6 +266,10 @@ def density(n: Block) -> float:
     return n.link_chars / n.chars if n.chars else 0.0
 
 
+def worth(n: Block) -> float:
+    return n.total * (1 - density(n))
+
+
 def choose(nodes: list[Block]) -> list[Block]:
     """The blocks whose text is the main text, in page order."""
     if not nodes:
@@ -204,9 +286,14 @@ def choose(nodes: list[Block]) -> list[Block]:
         whole = [n for n in nodes if n.tag in ("article", "main") and n.points > 0]
         if whole and sum(n.chars for n in whole) * 2 > best.chars:
             best = max(whole, key=lambda n: n.points)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
+    up, node = None, best  # the outermost article, or else the innermost main
+    while node is not None:
+        if node.tag == "article" or node.tag == "main" and up is None:
+            up = node
+        node = node.parent
+    if up is not None and up.tag == "article":
+        beside = [c for c in up.parent.children if isinstance(c, Block) and c.tag == "article" and not c.dropped]
+        return [c for c in beside if c is up or worth(c) >= 0.2 * worth(up) and c.total]
     if up is not None:
         return [up]
     if best.parent is None:
@@ -235,7 +322,7 @@ def text_of(blocks: list[Block]) -> str:
         run = []
         if node is None:
             continue
-        boring = node.tag in ("ul", "ol", "div", "table", "section") and node not in blocks and node.links > 2 and density(node) >= 0.8 and node.chars < 60 * node.links
+        boring = node.tag in ("ul", "ol", "div", "table", "section") and not node.inside and node not in blocks and node.links > 2 and density(node) >= 0.8 and node.chars < 60 * node.links
         if node.dropped or boring:
             continue
         stack.append(None)  # the block's end

@@ -418,6 +418,84 @@ def test_main_text():
     assert html.main_text(two).endswith("short.") and "please" not in html.main_text(two)
 
 
+PROSE = "words, of text, that is long, and has commas, in it, for points,"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Hello world, first part here.</p><svg width='3'/><p>Second part.</p></article>", "Hello world, first part here. Second part."),
+        ("<article><p>a, long, text, before, it, goes, on</p><object data=x> kept, <p>too</p></article>", "a, long, text, before, it, goes, on kept, too"),
+        (f"<article><p>{PROSE}</p><h2>See</h2><ul><li><a href=x>one</a><li><a>two</a><li><a>three</a></ul></article>", f"{PROSE} See one two three"),
+        (f"<div><article><p>{PROSE}</p></article><article><p>{PROSE} 2</p></article><article><a>teaser</a></article></div>", f"{PROSE} {PROSE} 2"),
+        (f"<article><p>{PROSE}</p><p>foo<span class='advert'>BUY</span>bar <i style='display: none'>x</i>baz <b hidden>no</b>yes <i title='a hidden gem'>gem</i></p></article>", f"{PROSE} foobar baz yes gem"),
+        (f"<article><p>{PROSE}</p><span class=ad><div>in ad</div></span><p data-hidden='false'>after</p></article>", f"{PROSE} after"),
+        (f"<article><div class=header><h1>T</h1></div><p>{PROSE}</p><div data-x='<p>no</p>'>box</div></article>", f"T {PROSE} box"),
+        ("<p>x</p><script>var a='<p>y", "x"),
+    ],
+)
+def test_main_text_loses_nothing(page, text):
+    assert html.main_text(page) == text
+
+
+def test_main_text_names():
+    page = lambda name: html.main_text(f"<article><p>{PROSE}</p><section class='{name}'><p>{PROSE} inner</p></section></article>")
+    for name in ("social-history", "banner-1908", "tag-team", "search-results", "related-work", "side-effects", "has-sidebar", "menu-planning"):
+        assert page(name).endswith("inner"), name
+    for name in ("social-share", "ad-300x250", "post-comments", "cookie-notice", "related-posts", "newsletter", "shareButtons", "side-bar ads", "site-footer"):
+        assert not page(name).endswith("inner"), name
+
+
+def random_tree(g, depth=0):
+    """(tag, children); a child is a tree or (text, whether it is a link)."""
+    children = []
+    for _ in range(g.randrange(1, 4)):
+        if depth < 5 and g.random() < 0.6:
+            children.append(random_tree(g, depth + 1))
+        else:
+            children.append(("".join(g.choice(["word ", "more, ", "x"]) for _ in range(g.randrange(1, 14))).strip(), g.random() < 0.3))
+    return (g.choice(["div", "section", "blockquote"]), children)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_tree_points_against_plain_recursion(seed):
+    tree = ("body", [random_tree(random.Random(seed)), random_tree(random.Random(seed + 1))])
+
+    def markup(t):
+        if isinstance(t[1], bool):
+            return f"<a>{t[0]}</a>" if t[1] else f" {t[0]} "
+        return f"<{t[0]}>" + "".join(map(markup, t[1])) + f"</{t[0]}>"
+
+    want = []
+
+    def visit(t, above):
+        at = len(want)
+        want.append([0.0, 0, 0])
+        own = "".join(c[0] if c[1] else f" {c[0]} " for c in t[1] if isinstance(c[1], bool))
+        n = len(" ".join(own.split()))
+        links = sum(len(" ".join(c[0].split())) for c in t[1] if c[1] is True)
+        if n >= 25:
+            points = 1 + own.count(",") + min(n / 100, 3)
+            if t[0] != "blockquote":
+                want[at][0] += points
+            for level, k in enumerate(reversed(above[-6:])):
+                want[k][0] += points / (1, 2, 6, 9, 12, 15)[level]
+        chars = n
+        for c in t[1]:
+            if not isinstance(c[1], bool):
+                x, y = visit(c, [*above, at])
+                chars, links = chars + x, links + y
+        want[at][1:] = chars, links
+        return chars, links
+
+    root = html.parse(markup(tree))
+    want.append([0.0, 0, 0])
+    visit(tree, [0])
+    got = html.score(root)[1:]
+    assert [(n.points, n.chars, n.link_chars) for n in got] == [pytest.approx(tuple(w)) for w in want[1:]]
+
+
 def test_main_text_of_pages(spark):
     from html import unescape
 
