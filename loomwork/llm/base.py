@@ -6,7 +6,6 @@ do no harm, and emit columns of their own.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -63,14 +62,18 @@ def groups(sizes: Iterable[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Cut the lineage in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint_")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder in the warehouse where it is not set: both are seen by all executors."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+
+
 def id_hash(column: str = "doc_id") -> Column:
     """crc32 of the id as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

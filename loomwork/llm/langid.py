@@ -7,19 +7,21 @@ of the broadcast log-probability matrix and adds them by text (the sparse
 document-by-bucket matrix times the model). The matrix has 2^16 rows and a
 column per language, whatever the corpus.
 
-Training reads a bounded sample of the labelled rows: about `max_docs`, picked
-by a hash of doc_id (the documented bound). Scoring covers every row and whole
-texts.
-
-Defined cases: null text, or text without a letter: `und`, score 0; nothing
-learnt: `und`, score 0; ties: the first language in alphabetical order; repeated
-rows each give a row; very long texts are scored in pieces that overlap by the
-n-gram's reach, which changes nothing.
+Training reads a bounded sample of the labelled rows: about `max_docs`, a like
+share of it for each language, picked by a hash of doc_id (the documented bound;
+all rows of a language that has fewer). Priors are the shares of all labelled
+rows. Scoring covers every row and whole texts.
+
+Defined cases: null text, or text without a letter (Unicode category L): `und`,
+score 0; nothing learnt: `und`, score 0; a language whose rows hold no n-gram is
+not learnt; ties: the first language in alphabetical order; repeated rows each
+give a row; very long texts are scored in pieces that overlap by the n-gram's
+reach, which changes nothing; further columns of any name do no harm; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from loomwork.llm.base import arrow_schema, groups, id_hash, map_batches
 BITS = 16
 REACH = 3
 MAX_DOCS = 20_000
-SMOOTH = 0.5
-LETTER = re.compile(r"[^\W\d_]")
+#: Share of every language's probability that is spread evenly over the buckets: an unseen n-gram then speaks for none.
+SMOOTH = 0.01
 #: Code points per array.
 PIECE = 1 << 20
 
@@ -42,6 +44,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(points: np.ndarray) -> list[np.ndarray]:
     """Bucket of the n-gram that ends at each position, for n = 1, 2, 3 (arrays of their own lengths)."""
     h = points.astype(np.uint64)
@@ -75,7 +81,10 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndar
     if not total:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(place < min(1.0, max_docs / total)).select("text", "lang")
+    quota = max_docs / len(per_lang)
+    large = {x: quota / n for x, n in per_lang.items() if n > quota}
+    share = F.coalesce(F.create_map(*(F.lit(v) for kv in large.items() for v in kv))[F.col("lang")], F.lit(1.0)) if large else F.lit(1.0)
+    sample = rows.where(place < share).select("text", "lang")
     ddl = "lang string, bucket int, n long"
     schema = arrow_schema(ddl)
 
@@ -92,11 +101,11 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndar
 
     got = map_batches(sample, run, ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = got.toArrow()  # at most languages * 2^16 rows
-    langs = sorted(per_lang)
-    matrix = np.full(((1 << BITS), len(langs)), SMOOTH)
+    langs = sorted(set(table["lang"].to_pylist()))
+    matrix = np.zeros(((1 << BITS), len(langs)))
     column = {x: i for i, x in enumerate(langs)}
     matrix[table["bucket"].to_numpy(), [column[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
-    logs = np.log(matrix) - np.log(matrix.sum(axis=0))
+    logs = np.log((1 - SMOOTH) * matrix / matrix.sum(axis=0) + SMOOTH / (1 << BITS)) if langs else matrix
     prior = np.log([per_lang[x] / total for x in langs])
     return langs, np.vstack([logs, prior]).astype(np.float32)
 
@@ -105,7 +114,7 @@ def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tu
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not langs:
         return names, scores
-    todo = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+    todo = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
     for a, z in groups((len(texts[i]) for i in todo), PIECE):
         sums = _sums([texts[i] for i in todo[a:z]], matrix)
         for i, s in zip(todo[a:z], sums + matrix[-1]):

@@ -90,6 +90,45 @@ def test_language_batches_agree():
     assert langid.predict(["123", None, ""], ["a"], matrix[:, :1]) == (["und"] * 3, [0.0] * 3)
 
 
+def test_language_against_plain_naive_bayes(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the cat sat", "en"), ("a cat, the dog", "en"), ("le chat noir", "fr"), ("un chien", "fr"), ("el gato", "es"), ("²½ 12", "xx"), ("hund", None), (None, "en")] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = langid.train(docs)
+    learnt = [(t, x) for i, t, x in rows if t is not None and x is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def hashed(text):
+        points = [ord(c) for c in f" {text.lower()} "]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for p in points[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + p) % 2**64
+                yield (h + n) * 0xD6E8FEB86659FD93 % 2**64 >> 48
+
+    assert langs == sorted({x for _, x in learnt})
+    for text in ("the dog", "le chien", "un gato", "zzz"):
+        logs = {}
+        for x in langs:
+            counts = Counter(h for t, y in learnt if y == x for h in hashed(t))
+            own = lambda h: (1 - langid.SMOOTH) * counts[h] / counts.total() + langid.SMOOTH / (1 << langid.BITS)  # noqa: B023, E731
+            logs[x] = math.log(sum(y == x for _, y in learnt) / len(learnt)) + sum(math.log(own(h)) for h in hashed(text))
+        best = max(logs.values())
+        (name,), (score,) = langid.predict([text], langs, matrix)
+        assert name == max(logs, key=logs.get) and score == pytest.approx(1 / sum(math.exp(v - best) for v in logs.values()), rel=1e-3)
+
+
+def test_language_letters_and_rare_languages(spark):
+    names, scores = langid.predict(["²½ 12", "١٢", "Ⅷ", "_-", "字", "a1"], ["en"], np.zeros(((1 << langid.BITS) + 1, 1), np.float32))
+    assert names == ["und"] * 4 + ["en"] * 2 and scores[:4] == [0.0] * 4
+    rows = [(i, "the cat sat on the mat", "en") for i in range(2000)] + [(5000 + i, "le chat noir dort", "fr") for i in range(2000)]
+    rows += [(9000 + i, "zzyx qqwv zzyx", "zz") for i in range(4)]
+    langs, matrix = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=90)
+    assert langs == ["en", "fr", "zz"]
+    assert langid.predict(["the mat", "chat noir", "qqwv", "это русский текст здесь"], langs, matrix)[0][:3] == ["en", "fr", "zz"]
+    names, scores = langid.predict(["это русский текст здесь"], langs, matrix)
+    assert names != ["zz"] and scores[0] < 0.9  # what no language knows is left to the priors
+
+
 def test_language_pieces(monkeypatch):
     text = "abcdefghij" * 20
     whole = Counter(np.concatenate(list(langid.buckets(text))).tolist())
