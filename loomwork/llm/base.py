@@ -74,6 +74,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
+#: Keys that hold more than one in so many rows are common: at most as many are broadcast.
+COMMON = 1000
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str, spread: Column, total: int) -> DataFrame:
+    """rows (all of them) with the columns of labels (one row a key, with `n`, how many of `total` rows have it; dropped).
+
+    The labels of common keys are broadcast, `COMMON` at most; their rows pass the shuffle under the hash `spread`
+    instead of their key, so that no task gets the rows of one key.
+    """
+    names = [c for c in labels.columns if c not in (key, "n")]
+    common = labels.where(F.col("n") * COMMON > total).select(key, F.lit(True).alias("is_common"), *(F.col(c).alias(f"common_{c}") for c in names))
+    dealt = rows.join(F.broadcast(common), key, "left").withColumn("dealt", F.when(F.col("is_common").isNull(), F.col(key)).otherwise(spread))
+    other = labels.where(F.col("n") * COMMON <= total).select(F.col(key).alias("dealt"), *(F.col(c).alias(f"other_{c}") for c in names))
+    joined = dealt.join(other, "dealt", "left")
+    picked = [F.when(F.col("is_common"), F.col(f"common_{c}")).otherwise(F.col(f"other_{c}")).alias(c) for c in names]
+    return joined.select(*rows.columns, *picked)
+
+
 def id_hash(column: str = "doc_id") -> Column:
     """crc32 of the id as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

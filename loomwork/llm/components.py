@@ -1,8 +1,9 @@
 """Connected components by alternating star contraction.
 
-Each round is two joins and two grouped minima over the edge table, all with
-map-side combining, so a node with very many edges is never gathered in one
-task; the number of rounds grows with the logarithm of the largest component.
+Each round is two joins and two grouped minima over the edge table. The minima
+combine before the shuffle, and the joins deal the edges of common nodes to all
+tasks, so a node with very many edges is never gathered in one; the number of
+rounds grows with the logarithm of the largest component.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.base import checkpoint
+from loomwork.llm.base import checkpoint, labelled
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): every v of u, with the least of u and its v as `low`."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("low"))
-    return pairs.join(low, "u").withColumn("low", F.least("u", "low"))
+def _star(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs (u, v), `total` at most: every v of u, with the least of u and its v as `low`."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    return labelled(pairs, low, "u", F.xxhash64("v"), total).withColumn("low", F.least("u", "low"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        large = _star(_both_ways(edges)).where(F.col("v") > F.col("u"))
+        large = _star(_both_ways(edges), 2 * before[0]).where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
-        starred = _star(large)
+        starred = _star(large, 2 * before[0])
         small = starred.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
             starred.select("u", F.col("low").alias("v"))
         )

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomwork.llm.base import arrow_schema, checkpoint, map_batches, text_bytes
+from loomwork.llm.base import arrow_schema, checkpoint, labelled, map_batches, text_bytes
 from loomwork.llm.components import components
 
 SEED = 42
 RADIUS = 2
-SALTS = 8
+#: Groups of tasks that combine their minima.
+SALTS = 16
 
 
 def hashes(raw: bytes, size: int) -> np.ndarray:
@@ -86,14 +87,15 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     prints = checkpoint(fingerprints(docs, text, key, size))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = components(links(reps.select("fp")))
+    # the tasks' minima of a common fingerprint are combined by groups of tasks first
+    group = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("tasks")
+    partial = prints.groupBy("fp", group).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    reps = checkpoint(partial.groupBy("fp").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")))
+    groups = checkpoint(components(links(reps.select("fp"))))
     # the least document of each component of fingerprints; groups has only linked fingerprints
     named = groups.withColumnRenamed("node", "fp").join(reps, "fp")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    joined = named.join(least, "component").select("fp", "least")
-    label = reps.join(joined, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    # a fingerprint may be that of a third of all rows: its rows are dealt to SALTS copies of its label
-    salted = label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"])
+    least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    linked = labelled(named.select("fp", "component"), least, "component", F.xxhash64("fp"), groups.count()).select("fp", "least")
+    label = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    out = labelled(prints, label, "fp", F.xxhash64("doc_id"), prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
