@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (parts between line ends or the punctuation that ends clauses) are digested,
-with a paragraph's number among its equals, and each digest is added to one
+A text's paragraphs are digested (parts between line ends or the punctuation
+that ends clauses; longer ones are cut after words, and words after characters,
+that a hash of them picks, so that one changed word moves no other cut), with a
+paragraph's number among its equals, and each digest is added to one
 cell in each third of the sketch: a count, a sum of digests and a sum of check
 values, modulo powers of two. Sketches of two versions subtract cell by cell;
 what they share cancels, and peeling cells that hold one digest recovers the
@@ -13,14 +15,18 @@ shared paragraphs over that of all.
 Whole batches of comparisons are sketched and peeled together as numpy arrays.
 
 Each text is compared with its edited text and with the next document. The
-documents are dealt to ranges of ids and sorted there; a range also gets the
-first document of the next one, so one shuffle of the texts is enough and no
-task sees more than its range and a batch.
+documents are dealt to ranges of ids, about `RANGE_BYTES` each (`MOST_RANGES` at
+most, larger ones beyond), and sorted there, a task a range; an id that fills
+ranges by itself is divided by a hash of the text. A range also gets the first
+document of the next one, so one shuffle of the texts is enough and no task
+holds more than a batch.
 
 Defined cases: null text = empty, which has no paragraphs and an empty sketch;
 two empty texts are alike (1.0); the first document follows the last, so a
 single document follows itself; a null doc_id comes first; repeated rows of one
-doc_id follow each other in the order of their texts.
+doc_id follow each other in the order of the XXH64 of their texts (Spark's, as a
+signed number), then of the texts; further columns of any name do no harm; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +34,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -45,19 +51,49 @@ LARGEST = 1 << 20
 BATCH = 256
 #: Ids of first documents that are also given to the reader as a filter; beyond, the broadcast of a row a range selects alone.
 PUSHED = 1000
-SPLIT = re.compile(r"\n+|(?<=[.!?,;:])[ \t]+")
+#: Bytes of text in a range, and ranges, at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
+SPLIT = re.compile(r"\n+|(?<=[.!?,;:])[ \t]+|(?<=[。！？；，、])")
+#: Words of a paragraph, and characters of a word, from which they are cut; the cuts are about CUT apart.
+LONG_PART, LONG_WORD, CUT = 24, 64, 8
+
+
+def parts(text: str) -> Iterator[str]:
+    """The paragraphs of a text, white space as one blank."""
+    for p in SPLIT.split(text):
+        words = p.split()
+        if len(words) <= LONG_PART and len(p) <= LONG_WORD * 2:
+            if words:
+                yield " ".join(words)
+            continue
+        own: list[str] = []
+        for w in words:
+            if len(w) > LONG_WORD:
+                points = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                last = 0
+                for k in (np.flatnonzero((points[1:] * 37 + points[:-1]) % (CUT * 4) == 0) + 2).tolist():
+                    if k - last >= CUT:
+                        yield " ".join([*own, w[last:k]])
+                        own, last = [], k
+                w = w[last:]
+                if not w:
+                    continue
+            own.append(w)
+            if len(words) > LONG_PART and zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
+                yield " ".join(own)
+                own = []
+        if own:
+            yield " ".join(own)
 
 
 def digests(text: str) -> np.ndarray:
     """One digest per paragraph; the k-th of equal paragraphs has the seed k."""
     seen: dict[str, int] = {}
     out = []
-    for p in SPLIT.split(text):
-        p = " ".join(p.split())
-        if p:
-            k = seen.get(p, 0)
-            seen[p] = k + 1
-            out.append(xxh3_64_intdigest(p.encode(), k))
+    for p in parts(text):
+        k = seen.get(p, 0)
+        seen[p] = k + 1
+        out.append(xxh3_64_intdigest(p.encode(), k))
     return np.array(out, np.uint64)
 
 
@@ -183,31 +219,51 @@ def _rows(texts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def deal(edges: list[float], place: Column, h: Column) -> tuple[Column, int]:
+    """The range of a row, in the order of (place, h), and how many there are.
+
+    edges: quantiles of the places, ascending. A place that recurs among them fills ranges of its own, which h divides.
+    """
+    x = place.cast("double")
+    splits = sorted(set(edges))
+    index = sum((F.when(x >= s, 1).otherwise(0) for s in splits), F.lit(0)) if len(splits) < 8 else F.lit(0)
+    if len(splits) >= 8:
+        index = F.array_size(F.filter(F.lit(splits), lambda s: s <= x))
+    total = len(splits) + 1
+    for v in splits:
+        m = edges.count(v)
+        if m > 1 and abs(v) < 1 << 53:  # beyond, unlike places may share a double
+            sub = F.least(F.floor((h.cast("double") + float(1 << 63)) / float(1 << 64) * m), F.lit(m - 1))
+            index = index + F.when(x > v, m).when(x == v, sub).otherwise(0)
+            total += m
+    return index.cast("int"), total
+
+
 def compare_versions(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> a row of DDL per row."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 4 * parts
     least = -(1 << 63)
     slim = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("place"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    edges = sorted(set(slim.select(F.col("place").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    splits = [-float("inf"), *(edges or [0.0]), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="x", outputCol="range").transform(slim.withColumn("x", F.col("place").cast("double"))).drop("x")
-    # the first document of each range that has any (one row a range)
-    heads = sorted((int(r["range"]), r.place) for r in dealt.groupBy("range").agg(F.min("place").alias("place")).collect())
-    if not heads:
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
         return spark.createDataFrame([], DDL)
-    before = {place: float(heads[k - 1][0]) for k, (_, place) in enumerate(heads)}  # the first follows the last
+    ranges = ranges or min(MOST_RANGES, max(-(-size // RANGE_BYTES), 2 * spark.sparkContext.defaultParallelism))
+    edges = slim.select(F.col("place").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
+    index, total = deal(sorted(edges), F.col("place"), F.col("h"))
+    dealt = slim.withColumn("h", F.xxhash64("text")).withColumn("range", index)
+    # the first document of each range that has any (one row a range)
+    heads = sorted((r["range"], r.first.place, r.first.h) for r in dealt.groupBy("range").agg(F.min(F.struct("place", "h")).alias("first")).collect())
+    before = [(place, h, heads[k - 1][0]) for k, (_, place, h) in enumerate(heads)]  # the first follows the last
     schema = arrow_schema(DDL)
-    which = spark.createDataFrame(list(before.items()), "place long, range double")
-    wanted = slim.where(F.col("place").isin([p for _, p in heads])) if len(heads) <= PUSHED else slim  # a filter that reaches the reader
-    first = wanted.join(F.broadcast(which), "place").groupBy("place", "range").agg(F.min("text").alias("text"))
-    extra = first.select("place", F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
-    rows = dealt.select("place", "doc_id", "text", "range", F.lit(0).alias("extra")).unionByName(extra)
-    rows = rows.repartition(parts, "range").sortWithinPartitions("range", "extra", "place", "text")
+    which = spark.createDataFrame(before, "place long, h long, range int")
+    wanted = slim.where(F.col("place").isin([p for p, _, _ in before])) if len(heads) <= PUSHED else slim  # a filter that reaches the reader
+    first = wanted.withColumn("h", F.xxhash64("text")).join(F.broadcast(which), ["place", "h"]).groupBy("place", "h", "range").agg(F.min("text").alias("text"))
+    extra = first.select("place", "h", F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
+    rows = dealt.select("place", "h", "doc_id", "text", "range", F.lit(0).alias("extra")).unionByName(extra)
+    rows = rows.repartitionById(total, F.col("range")).sortWithinPartitions("range", "extra", "place", "h", "text")
     rows = rows.select("doc_id", "text", "range", "extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

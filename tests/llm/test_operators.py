@@ -430,6 +430,35 @@ def test_fingerprints(spark):
     assert got[rows[0][0]].fingerprint == got[5000].fingerprint and got[5001].fingerprint == got[5002].fingerprint
 
 
+def test_fingerprints_of_a_repeated_id(spark):
+    g = random.Random(4)
+    rows = [(i, f"text {i}, of its own. {'w' * (i % 5)}") for i in range(60)]
+    rows += [(30, f"version {g.random()}, of the same id") for _ in range(50)] + [(None, f"none {i}") for i in range(45)] + [(30, "same")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = [tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
+    order = sorted(hashed, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1], r[2]))
+    want = Counter()
+    for (d, _, t), (_, _, n) in zip(order, order[1:] + order[:1]):
+        want[d, len(t), hashlib.sha256(iblt.edited(t, n).encode()).hexdigest()] += 1
+    for ranges in (None, 9):
+        got = iblt.compare_versions(docs, ranges)
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()) == want
+    index, total = iblt.deal([1.0, 3.0, 3.0, 3.0, 8.0], F.col("place"), F.col("h"))
+    spread = spark.range(100).select(F.lit(3).alias("place"), F.xxhash64("id").alias("h")).unionByName(spark.range(10).select(F.col("id").alias("place"), F.lit(0).alias("h")))
+    got = spread.select("place", "h", index.alias("k")).collect()
+    assert len({r.k for r in got if r.place == 3}) == 3 and max(r.k for r in got) < total
+    assert [r.k for r in sorted(got, key=lambda r: (r.place, r.h))] == sorted(r.k for r in got)
+
+
+def test_long_paragraphs_are_cut_by_content():
+    g = random.Random(1)
+    words = ["".join(g.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    for text, changed in ((" ".join(words), " ".join([*words[:200], "changed", *words[201:]])), ("".join(words), "".join([*words[:200], "changed", *words[201:]]))):
+        a, b = iblt.digests(text), iblt.digests(changed)
+        assert len(a) > 20 and iblt.likeness([a], [b])[0] > 0.8
+    assert list(iblt.parts("one, two. three\n\nfour  five")) == ["one,", "two.", "three", "four five"] and list(iblt.parts("x" * 500)) == ["x" * 500]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=80), st.sets(st.integers(0, 2**64 - 1), max_size=80), st.sets(st.integers(0, 2**64 - 1), max_size=80))
 def test_peeling(a, b, both):
