@@ -198,6 +198,20 @@ def test_decontamination_blocks(spark, awkward):
     assert decontam.keep(docs, items, block_bytes=20).count() == len(AWKWARD) - sum('contaminated=True' in r for r in one)
 
 
+def test_decontamination_blocks_over_shuffled_rows(spark):
+    g = random.Random(3)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(g.choice(vocab) for _ in range(g.randrange(3, 16)))) for i in range(25)]
+    rows = [(i % 50, " ".join(g.choice(vocab) for _ in range(20)) + (f" {items[i % 25][1]} x" if i % 3 == 0 else "")) for i in range(120)] + [(None, items[0][1])] * 3 + [(7, items[1][1])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).dropDuplicates().unionByName(spark.createDataFrame(rows[-43:], "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, decontam.contamination(docs, bench).collect()))
+    many = sorted(map(str, decontam.contamination(docs, bench, block_bytes=200).collect()))
+    assert one == many and sum("contaminated=True" in r for r in one) > 40
+    kept = decontam.keep(docs.withColumn("h", F.lit(1)).withColumn("f", F.lit(2)), bench, block_bytes=200)
+    assert kept.columns == ["doc_id", "text", "h", "f"] and kept.count() == sum("contaminated=False" in r for r in one)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4))
 def test_wu_manber(doc, items):
