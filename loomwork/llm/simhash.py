@@ -12,7 +12,8 @@ Defined cases: null text = no words = fingerprint 0, linked like any other;
 fewer words than a shingle = the whole sequence is the one shingle; equal texts
 have equal fingerprints and meet before the variants are made; repeated rows
 of a doc_id each give a row; a null doc_id takes no part in the choice of
-component_id unless it is alone (then null); an empty table gives no rows.
+component_id unless it is alone (then null); an empty table gives no rows;
+further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -63,16 +64,16 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of docs."""
-    schema = arrow_schema("doc_id long, fp long")
+    """(doc_id, fp, h): one row per row of docs; h is the XXH64 of the text (Spark's)."""
+    schema = arrow_schema("doc_id long, fp long, h long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x, size) for x in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), b.column(2)], schema=schema)
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(slim, run, "doc_id long, fp long")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    return map_batches(slim, run, "doc_id long, fp long, h long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -85,7 +86,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
+    """(doc_id, fingerprint, component_id, cluster, h) for every row of docs.
+
+    cluster is the least linked fingerprint: unlike component_id, it differs between groups that share a repeated doc_id.
+    """
     prints = checkpoint(fingerprints(docs, text, key, size))
     # the tasks' minima of a common fingerprint are combined by groups of tasks first
     group = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("tasks")
@@ -95,7 +99,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     # the least document of each component of fingerprints; groups has only linked fingerprints
     named = groups.withColumnRenamed("node", "fp").join(reps, "fp")
     least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
-    linked = labelled(named.select("fp", "component"), least, "component", F.xxhash64("fp"), groups.count()).select("fp", "least")
-    label = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    linked = labelled(named.select("fp", "component"), least, "component", F.xxhash64("fp"), groups.count()).select("fp", "component", "least")
+    label = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "fp").alias("cluster"), "n")
     out = labelled(prints, label, "fp", F.xxhash64("doc_id"), prints.count())
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "cluster", "h")
+
+
+def representatives(docs: DataFrame, size: int = 3) -> DataFrame:
+    """Of each component the row with the least doc_id (of those, the least XXH64 of text), all columns of docs.
+
+    Of rows equal in both, the one whose other columns come first as JSON. Rows without doc_id all stay.
+    """
+    groups = near_duplicates(docs, size=size).where("doc_id is not null")
+    kept = groups.groupBy("cluster").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.h").alias("h"))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.struct(*docs.columns).alias("row"), F.to_json(F.struct(*others)).alias("rank"))
+    picked = rows.join(kept, ["id", "h"]).groupBy("id", "h").agg(F.min_by("row", "rank").alias("row"))
+    return picked.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

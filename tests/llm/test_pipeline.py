@@ -58,3 +58,28 @@ def test_awkward_and_empty(spark, tmp_path):
     spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {1, 3, None}
+
+
+def test_repeated_ids_clashing_columns_and_long_texts(spark, tmp_path):
+    import random
+
+    g = random.Random(9)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(6)]
+    long = " ".join(word() for _ in range(30_000))
+    rows = [(1, texts[0], "en", "b"), (1, texts[0], "en", "a"), (1, texts[1], "en", "c"), (2, texts[0], "en", "d"), (3, texts[2], "fr", "e"), (4, texts[2], "fr", "f"), (5, long, "en", "g"), (6, long, "en", "h"), (7, "", "en", "i"), (8, None, "en", "j")]
+    rows = [(d, t, x, "s", len(t or ""), s, 1.0, 2, 3, 4, "r") for d, t, x, s in rows]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, h string, score double, id long, row long, component_id long, rank string"
+    docs = spark.createDataFrame(rows, ddl)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(texts[2].split()[5:25]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(1, texts[0], "a"), (1, texts[1], "c"), (3, texts[2], "e"), (5, long, "g"), (7, "", "i")}
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates_out(spark, docs.repartition(parts), str(tmp_path))
+        assert out.columns == docs.columns and {(r.doc_id, r.text, r.h) for r in out.collect()} == want
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], ddl).schema], name
+    assert {r.doc_id for r in docs.collect()} == {1, 5, 7}
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path))
+    assert pieces.where("doc_id = 5").agg({"length": "sum"}).first()[0] == len(packing.public_encoder()(long)) + 1
