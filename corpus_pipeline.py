@@ -5,25 +5,26 @@ as Parquet and read again as the next one's docs. All but the last return the
 columns of documents:
 
 1. toxicity: documents predicted toxic (score >= 0.5) go;
-2. near_duplicates: of each group within 2 fingerprint bits, the document with
-   the smallest doc_id stays (of rows that repeat it, one);
+2. near_duplicates: of each group within 2 fingerprint bits (the shingles and the
+   radius of the operator's own contract), the document with the smallest doc_id
+   stays (of rows that repeat it in the group, the one that
+   `simhash.representatives` defines);
 3. decontamination: documents that hold a window of a benchmark item go;
 4. personal_data: spans are replaced by their kind in brackets, n_chars follows;
 5. packing: a row per piece of a document in its window.
 
 A row with a null doc_id cannot be named by a group and stays in stage 2; the
-other stages decide by its text alone. An empty table passes through.
+other stages decide by its text alone. Rows that share an id but not a group all
+stay. An empty table passes through; further columns pass through unchanged.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from loomwork.llm import decontam, packing, pii, simhash, toxicity
-from loomwork.llm.base import table
+from loomwork.llm.base import shared_folder, table
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +33,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("kept")).select("kept")
-    named = docs.join(keep, docs["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return simhash.representatives(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every other stage is written below the shared checkpoint folder and read again."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline_")
-    top = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
