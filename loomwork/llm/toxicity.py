@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.base import arrow_schema, id_hash, map_batches, text_bytes
 
 MAX_DOCS = 3000
-MAX_BYTES = 32 << 20
+MAX_BYTES = 16 << 20
 #: Discounts of stems, words and pairs that are tried.
 GRID = ((5.0, 10.0, 16.0), (10.0, 10.0, 16.0), (20.0, 20.0, 16.0))
 #: Shares of a text's lowest and of its highest log ratios, left out of what counts as its ordinary level, that are tried.
@@ -211,8 +211,11 @@ def levels(c: Counts, counts: list[np.ndarray], stem_discount: float, discount:
     kept = [x * left for x in counts]
     sums = [np.bincount(c.first, weights=k, minlength=c.size)[c.first] for k in kept]
     known = np.minimum(*sums) > 0  # contexts that both classes know; after others both back off whole
-    log = [np.log(np.where(known, (1 - mass) * k / np.maximum(s, 1e-9) + mass * w[c.second], w[c.second])) for k, s, w in zip(kept, sums, words)]
-    return Levels(ratios, np.log(words[1] / words[0]), log[1] - log[0], outlive, follows[0] + follows[1] > discount, known & (left > 0))
+    pairs = np.zeros(len(c.pairs))
+    for sign, k, s, w in zip((-1, 1), kept, sums, words):
+        low = w[c.second]
+        pairs += sign * np.log(np.where(known, (1 - mass) * k / np.maximum(s, 1e-9) + mass * low, low))
+    return Levels(ratios, np.log(words[1] / words[0]), pairs, outlive, follows[0] + follows[1] > discount, known & (left > 0))
 
 
 def fit(texts: list[tuple[bytes, int]], base_rate: float | None = None) -> Model | float:
@@ -224,18 +227,20 @@ def fit(texts: list[tuple[bytes, int]], base_rate: float | None = None) -> Model
     if any(set(labels[fold != k].tolist()) != {0, 1} for k in range(FOLDS)):
         return float(rate)
     c = Counts(rows)
-    best, sums = None, np.zeros((len(rows), len(TRIM)))
-    parts = [c.of(fold != k) for k in range(FOLDS)]
-    for discounts in GRID:
-        for k in range(FOLDS):
-            sums[fold == k] = c.held(levels(c, parts[k], *discounts).pairs, fold == k)
+    sums = np.zeros((len(GRID), len(rows), len(TRIM)))
+    for k in range(FOLDS):  # the counts of one fold at a time
+        part = c.of(fold != k)
+        for g, discounts in enumerate(GRID):
+            sums[g, fold == k] = c.held(levels(c, part, *discounts).pairs, fold == k)
+        del part
+    best = None
+    for own, discounts in zip(sums, GRID):
         for t, trim in enumerate(TRIM):
             for steady in STEADY:
-                found = calibrate(sums[:, t] / (c.lengths + steady), labels, rate)
+                found = calibrate(own[:, t] / (c.lengths + steady), labels, rate)
                 if best is None or found[0] > best[0][0] + 1e-9:
                     best = (found, discounts, trim, steady)
     (_, slope, bias, floor), discounts, trim, steady = best
-    del parts
     own = levels(c, c.of(np.ones(len(rows), bool)), *discounts)
     # a word or pair that the discount uses up has the ratio of the level below: it need not be kept
     named = own.own_word.copy()
