@@ -28,18 +28,40 @@ def word_similarity(a: str, b: str) -> float:
     return 1.0 if not longest else 1 - levenshtein(a, b) / longest
 
 
-def tau_similarity(left: list[str], right: list[str], alike=word_similarity) -> float:
-    """1 for equal rankings, towards 0 for disjoint or reversed ones; two empty rankings are equal."""
+def half(a: str, b: str) -> float:
+    """The constant element similarity: 1 for the same word, else a half."""
+    return 1.0 if a == b else 0.5
+
+
+def tau_distance(left: list[str], right: list[str], alike=word_similarity) -> float:
+    """0 for equal rankings, up to 1 for disjoint or reversed ones; the same both ways; two empty rankings are equal.
+
+    Over all pairs of words of both rankings: a word stands at its place, or, where the other ranking does not have it,
+    at that of the word most like it (of several the first), as surely as the two are alike; without any likeness, nowhere.
+    A pair costs 1 less its two words' sureness, or all of it where the rankings order it in opposite ways.
+    """
     if not left or not right:
-        return 1.0 if not left and not right else 0.0
-    s = np.array([[alike(a, b) for b in right] for a in left])
-    # where each left word is found on the right, and how surely
-    best, at = s.max(axis=1), s.argmax(axis=1)
-    n = len(left)
-    if n == 1:
-        return float(best[0])
-    i, j = np.triu_indices(n, 1)
-    weight = best[i] * best[j]
-    order = np.sign(at[j] - at[i])  # 1 concordant, -1 discordant, 0 both on one word
-    agree = np.where(order > 0, 1.0, np.where(order == 0, 0.5, 0.0))
-    return float((weight * agree).sum() / len(i))
+        return 0.0 if not left and not right else 1.0
+    words = sorted(set(left) | set(right))
+    places, sure = np.zeros((2, len(words))), np.ones(len(words))
+    for k, ranking in enumerate((left, right)):
+        at = {w: i for i, w in reversed(list(enumerate(ranking)))}
+        for i, w in enumerate(words):
+            if w in at:
+                places[k, i] = at[w]
+            else:
+                likeness = [alike(w, x) for x in ranking]
+                best = int(np.argmax(likeness))
+                places[k, i] = best
+                sure[i] *= likeness[best]
+    if len(words) == 1:
+        return float(1 - sure[0])
+    i, j = np.triu_indices(len(words), 1)
+    one, two = np.sign(places[0, i] - places[0, j]), np.sign(places[1, i] - places[1, j])
+    kept = np.where(one * two < 0, 0.0, np.where(one == two, 1.0, 0.5)) * sure[i] * sure[j]
+    return float(1 - kept.mean())
+
+
+def tau_similarity(left: list[str], right: list[str], alike=word_similarity) -> float:
+    """1 for equal rankings, towards 0 for disjoint or reversed ones."""
+    return 1 - tau_distance(left, right, alike)

@@ -25,7 +25,8 @@ def without_stop_words(words: Column, stop: list[str]) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    """Null, empty, or nothing but characters up to U+0020 (blanks, tabs, line ends and other controls)."""
+    return text.isNull() | text.rlike(r"\A[\x00-\x20]*\z")
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -35,14 +36,23 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash with factor 31 over the characters, as a signed number."""
+    """The 32-bit polynomial hash with factor 31 over the UTF-16 units, as a signed number."""
     span = 1 << 32
-    rolled = F.aggregate(
-        F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: (acc * 31 + F.ascii(c)) % span
-    )
+
+    def step(acc: Column, c: Column) -> Column:
+        p = F.ascii(c)
+        high, low = 0xD800 + F.floor((p - 0x10000) / 0x400), 0xDC00 + (p - 0x10000) % 0x400
+        return F.when(p < 0x10000, (acc * 31 + p) % span).otherwise(((acc * 31 + high) % span * 31 + low) % span)
+
+    rolled = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
     return (rolled + (span >> 1)) % span - (span >> 1)
 
 
+def on_route(u: Column, route: str) -> Column:
+    """Whether the URI passes a route, as in .../items/..."""
+    return u.contains(f"/{route}/")
+
+
 def uri(*parts: str | Column) -> Column:
     return F.concat_ws("/", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 

@@ -12,10 +12,15 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def normalised(v: Column) -> Column:
+    """The array over its total, which is taken once (bound to a variable of its own)."""
+    held = F.transform(F.array(v), lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x, lambda t: F.transform(a, lambda x: x / t)))
+    return F.get(held, F.lit(0))
+
+
 def softmax(v: Column, temperature: float = 1.0) -> Column:
     """exp(t x) normalised to 1; null stays null."""
-    e = F.transform(v, lambda x: F.exp(x.cast("double") * temperature))
-    return F.transform(e, lambda x: x / total(e))
+    return normalised(F.transform(v, lambda x: F.exp(x.cast("double") * temperature)))
 
 
 def entropy(v: Column) -> Column:
@@ -93,6 +98,13 @@ def bit_neighbours(bits: Column) -> Column:
     return F.when(F.length(bits) > 0, F.transform(F.sequence(F.lit(1), F.length(bits)), flipped)).otherwise(F.array().cast("array<string>"))
 
 
+def bit_permutations(bits: Column) -> Column:
+    """All orders of the bits of a short signature, ascending: as many as there are ways to place its ones."""
+    ones, n = F.length(F.regexp_replace(bits, "0", "")), F.length(bits)
+    numbers = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), n).cast("long") - 1)
+    return F.transform(F.filter(numbers, lambda x: F.bit_count(x) == ones), lambda x: F.lpad(F.bin(x), n, F.lit("0")))
+
+
 def relationship_similarity(a: Column, b: Column) -> Column:
     """Similarity of the weights of two lists of (uri, weight), each put in the order of uris; 0 where empty or of two sizes."""
     weights = lambda x: F.transform(F.array_sort(x), lambda r: r["weight"])

@@ -13,15 +13,21 @@ from loomwork.plans.config import Criteria
 from loomwork.plans.shipping import ship
 
 
+#: Topics of a domain that are broadcast at most.
+MOST_BROADCAST = 10_000
+
+
 def topics(left: DataFrame, right: DataFrame, words: int = 100) -> DataFrame:
     """topics x topics (both bounded by the models' k): rank similarity of their words.
 
-    left, right: domain, uri, elements -> domain_uri, domain_topic_uri, topic_uri, score.
+    left, right: domain, uri, elements -> domain_uri, domain_topic_uri, topic_uri, score. The pairs, which the models' k
+    bound, are dealt by topic; only the other domain's topics are broadcast, and only up to `MOST_BROADCAST` of them.
     """
     a = left.select(F.col("uri").alias("topic_uri"), F.slice("elements", 1, words).alias("a"))
     b = right.select(F.col("domain").alias("domain_uri"), F.col("uri").alias("domain_topic_uri"), F.slice("elements", 1, words).alias("b"))
     ship(left.sparkSession)
-    pairs = a.crossJoin(F.broadcast(b)).repartition("topic_uri")
+    few = b.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    pairs = a.repartition("topic_uri").crossJoin(F.broadcast(b) if few else b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

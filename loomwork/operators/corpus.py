@@ -13,9 +13,10 @@ def scan(corpus: DataFrame, domain: str, kind: str) -> DataFrame:
     return corpus.where((F.col("domain") == domain) & (F.col("type") == kind))
 
 
-def scan_types(corpus: DataFrame, domain: str, kinds: list[str]) -> DataFrame:
-    """Resources of several types in one scan."""
-    return corpus.where((F.col("domain") == domain) & F.col("type").isin(kinds))
+def scan_types(corpus: DataFrame, domain: str | None, kinds: list[str]) -> DataFrame:
+    """Resources of several types in one scan, of a domain or of all."""
+    rows = corpus.where(F.col("type").isin(kinds))
+    return rows if domain is None else rows.where(F.col("domain") == domain)
 
 
 def by_uris(corpus: DataFrame, uris: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ def edges_of(similarities: DataFrame, least: float | None = None) -> DataFrame:
     return rows if least is None else rows.where(F.col("score") > least)
 
 
+def usable(edges: DataFrame, least: float) -> DataFrame:
+    return edges.where(F.col("score") > least)
+
+
 def vertices_of(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices, and the ends of edges that have none, as ("Missing", "item")."""
     ends = edges.select(F.col("src").alias("uri")).union(edges.select("dst")).distinct()
@@ -148,16 +152,49 @@ def two_level(
         if not found:
             return empty
         way = list(found.nodes)
-    chosen = F.col("type").isin(types) if types else F.lit(True)
-    nodes = members.join(shapes.where(chosen), "uri")
-    of_sector = lambda s: nodes.where(F.col("cluster") == s).select("uri", "type", "vector")
-    edges = edges_of(in_sector.where(F.col("sector").isin(way)), least)
-    for here, there in zip(way, way[1:]):
-        edges = edges.unionByName(edges_of(similarity.across(of_sector(there), of_sector(here), least)))
+    inside = in_sector.where(F.col("sector").isin(way))
+    nodes = members.where(F.col("cluster").isin(way)).join(shapes, "uri")
+    if types:  # both ends of an edge; the ends of the path are asked for whatever their type
+        known = lambda n: F.col(f"resource_type_{n}").isin(types) | F.col(f"resource_uri_{n}").isin(start, end)
+        inside = inside.where(known(1) & known(2))
+        nodes = nodes.where(F.col("type").isin(types) | F.col("uri").isin(start, end))
+    edges = edges_of(inside, least)
+    if len(way) > 1:
+        steps = spark.createDataFrame(list(zip(way[1:], way)), "sector string, other string")
+        sectored = nodes.select("uri", "type", "vector", F.col("cluster").cast("string").alias("sector"))
+        edges = edges.unionByName(edges_of(similarity.across(sectored, steps, least)))
     path = shortest(edges, start, end).where(F.size("nodes") <= max_length).limit(max_results)
     return scored(path, shapes).join(path, "nodes").select("nodes", "scores", "acc_score", "avg_score", "length", "cost")
 
 
+def ordered(paths: DataFrame) -> DataFrame:
+    """Several paths (length, acc_score, nodes): the shorter first, then the one whose scores sum to less, then by nodes."""
+    return paths.orderBy("length", F.round("acc_score", 9), "nodes")
+
+
+def between_centroids(centres: DataFrame, start: str, end: str, least: float, max_length: int = 10, max_results: int = 10, types: list[str] | None = None) -> DataFrame:
+    """All paths of the least number of hops between two centroids over similarities > least, of the wanted types."""
+    from loomwork.operators import similarity
+
+    near = similarity.of_centroids(centres.where(F.col("type").isin(types)) if types else centres)
+    return bfs(edges_of(near, least), [start], [end], least, max_length, max_results)
+
+
+def joined_edges(edges: list[DataFrame]) -> DataFrame:
+    """Set union of the edges of sectors along a path."""
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out.distinct()
+
+
+def across_joined_sectors(sectored: DataFrame, in_sector: DataFrame, way: list[str], start: str, end: str, least: float) -> DataFrame:
+    """The shortest path over the joined edges of sectors that overlap one after the other."""
+    joined_sectors([sectored.where(F.col("sector") == s).select("uri") for s in way])
+    edges = joined_edges([edges_of(in_sector.where(F.col("sector") == s), least) for s in way])
+    return shortest(edges, start, end)
+
+
 def joined_sectors(nodes: list[DataFrame]) -> DataFrame:
     """Set union of the nodes of sectors along a path; neighbours must share nodes."""
     for a, b in zip(nodes, nodes[1:]):

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions import text as X
 from loomwork.plans.lineage import cut
 
 MAX_DEPTH = 8
+#: Parts that a sector is split into at once: centres in the driver, whatever the number of rows.
+MOST_PARTS = 32
 
 
 def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: float = 1e-5, seed: int = 42, init: str = "k-means||", init_steps: int = 5) -> DataFrame:
     """shapes (uri, type, vector) with `sector`: recursive k-means until no sector exceeds `size` rows.
 
-    One k-means per oversized sector and level; only the counts of sectors reach the driver. A sector that
+    One k-means of at most `MOST_PARTS` parts per oversized sector and level; only the counts of sectors reach the driver. A sector that
     k-means cannot split (equal points), or that is still too large at the depth limit, is dealt out by a
     hash of the uri, which keeps the bound.
     """
@@ -35,7 +37,7 @@ def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: f
             return done
         split = None
         for s, n in sorted(large.items()):
-            k = max(2, math.ceil(n / size))
+            k = min(MOST_PARTS, max(2, math.ceil(n / size)))
             part = open_.where(F.col("sector") == s).withColumn("features", array_to_vector("vector"))
             model = KMeans(k=k, maxIter=iterations, tol=epsilon, seed=seed, initMode=init, initSteps=init_steps).fit(part)
             got = model.transform(part).withColumn("sector", F.concat_ws(".", "sector", F.col("prediction").cast("string")))
@@ -85,15 +87,33 @@ def overlaps(members: DataFrame) -> DataFrame:
     return shared.join(sizes, "cluster").select("cluster", "other", (F.col("shared") / F.col("n")).alias("score"))
 
 
+#: Centroids that are put into a row's expression at most; more are reached through the sector of the row.
+MOST_CENTRES = 2000
+
+
 def near_centroids(shapes: DataFrame, centres: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """Overlapping membership: every centroid (few, broadcast) within the least distance / ratio of a point."""
-    square = F.aggregate(F.zip_with("vector", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
-    far = shapes.select("uri", "vector").crossJoin(F.broadcast(centres.select(F.col("uri").alias("cluster"), F.col("vector").alias("centre"))))
-    each = far.select("uri", F.struct(F.sqrt(square).alias("d"), "cluster").alias("c")).groupBy("uri").agg(F.collect_list("c").alias("all"), F.min("c").alias("best"))
-    kept = F.filter("all", lambda c: c["d"] <= F.col("best.d") / ratio)
-    return each.select("uri", F.explode(kept).alias("c")).select("uri", F.col("c.cluster").alias("cluster"))
+    """Overlapping membership: every centroid within the least distance / ratio of a point, one narrow pass over the shapes."""
+    known = centres.orderBy("uri").limit(MOST_CENTRES + 1).select("uri", "vector").collect()
+    if len(known) > MOST_CENTRES:
+        raise ValueError(f"over {MOST_CENTRES} centroids: split the space first and compare within its parts")
+    if not known:
+        return shapes.select("uri", F.lit("").alias("cluster")).limit(0)
+    schema = "array<struct<cluster:string,centre:array<double>>>"
+    fixed = F.from_json(F.lit(json.dumps([{"cluster": r.uri, "centre": [float(x) for x in r.vector]} for r in known])), schema)
+    square = lambda v: F.aggregate(F.zip_with("vector", v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
+    each = shapes.where(F.col("vector").isNotNull()).select("uri", F.transform(fixed, lambda c: F.struct(F.sqrt(square(c["centre"])).alias("d"), c["cluster"].alias("cluster"))).alias("all"))
+    best = each.select("uri", "all", F.array_min(F.transform("all", lambda c: c["d"])).alias("least"))
+    return best.select("uri", F.explode(F.filter("all", lambda c: c["d"] <= F.col("least") / ratio)).alias("c")).select("uri", F.col("c.cluster").alias("cluster"))
 
 
 def numbered(sectored: DataFrame) -> DataFrame:
-    """Sector names as stable numbers."""
-    return sectored.withColumn("cluster", F.abs(X.java_hash(F.col("sector"))))
+    """Sector names as numbers from 0, in the order of the names (as many as there are sectors)."""
+    names = sectored.select("sector").distinct()
+    place = F.row_number().over(Window.orderBy("sector")) - 1
+    return sectored.join(names.withColumn("cluster", place.cast("long")), "sector")
+
+
+def shared(members: DataFrame, a: str, b: str) -> DataFrame:
+    """The resources that belong to both clusters."""
+    of = lambda c: members.where(F.col("cluster") == c).select("uri")
+    return of(a).intersect(of(b))

@@ -20,10 +20,9 @@ def of_subdomains(members: DataFrame, shapes: DataFrame) -> DataFrame:
     means = cells.groupBy("subdomain", "pos").agg(F.avg("x").alias("x"))
     whole = means.groupBy("subdomain").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("cells"))
     vector = F.transform("cells", lambda c: c["x"])
-    total = V.total(vector)
     return whole.select(
         F.abs(X.java_hash(F.col("subdomain"))).alias("id"), F.col("subdomain").alias("uri"), F.lit("domain").alias("type"),
-        F.transform(vector, lambda x: x / total).alias("vector"),
+        V.normalised(vector).alias("vector"),
     )
 
 
@@ -49,6 +48,10 @@ def page_of_topic(shapes: DataFrame, topic: int, kind: str, size: int = 20, afte
     return (rows if after is None else rows.where(F.col("uri") > after)).orderBy("uri").limit(size)
 
 
+def of_uri(shapes: DataFrame, uri: str) -> DataFrame:
+    return shapes.where(F.col("uri") == uri)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "uri") -> DataFrame:
     """Rows of new replace those of old with the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -8,6 +8,8 @@ logarithm a dimension.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,15 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select(turned, *rest).select(*(F.col(f"p.c{i}").alias(n) for i, n in enumerate(names)), *rest)
 
 
-def across(current: DataFrame, neighbour: DataFrame, least: float) -> DataFrame:
-    """Edges from a neighbouring sector to the current one, score > least; URIs that differ only in case are one."""
-    a, b = _sided(neighbour, "1"), _sided(current, "2")
-    pairs = a.join(b, F.lower("uri_1") != F.lower("uri_2"))
-    scored = pairs.select(
+def across(sectored: DataFrame, neighbours: DataFrame, least: float, sector: str = "sector") -> DataFrame:
+    """Edges from each sector's neighbours to it, score > least; URIs that differ only in case are one.
+
+    neighbours: sector, other. Two equi-joins, so the pairs are those of neighbouring sectors, whose size is bounded.
+    """
+    a, b = _sided(sectored, "1", sector), _sided(sectored, "2", sector)
+    near = neighbours.select(F.col("sector").alias("here"), F.col("other").alias("there"))
+    pairs = a.join(near, a[sector] == F.col("there")).drop(sector).join(b, F.col("here") == b[sector])
+    scored = pairs.where(F.lower("uri_1") != F.lower("uri_2")).select(
         F.col("uri_1").alias("resource_uri_1"), F.col("type_1").alias("resource_type_1"), F.col("uri_2").alias("resource_uri_2"),
         F.col("type_2").alias("resource_type_2"), _score("1", "2").alias("score"),
     )
@@ -78,10 +84,20 @@ def similar_to(similarities: DataFrame, uri: str, criteria: Criteria = Criteria(
     return rows.orderBy(F.desc(F.round("score", 9)), "resource_uri_2").limit(criteria.max).select(F.col("resource_uri_2").alias("uri"), "score")
 
 
+def alike(sectored: DataFrame, uri: str, criteria: Criteria = Criteria(), sector: str = "sector") -> DataFrame:
+    """What similar_to() gives for one resource without any stored pairs: a look-up of its shape, then one scan of its sector."""
+    row = sectored.where((F.col("uri") == uri) & F.col("vector").isNotNull()).select(sector, "vector").first()
+    if row is None:
+        return sectored.select("uri", F.lit(0.0).alias("score")).limit(0)
+    own = sectored.where((F.col(sector) == row[sector]) & (F.col("uri") != uri) & F.col("vector").isNotNull())
+    return similar_to_vector(own, list(row.vector), Criteria(criteria.max, criteria.threshold, criteria.types[:1]), strict=False)
+
+
 def similar_to_vector(shapes: DataFrame, vector: list[float], criteria: Criteria = Criteria(), strict: bool = True) -> DataFrame:
     """Resources alike to a free text's shape: the vector is a literal, so one scan and a top-k, no join."""
     rows = shapes.where(F.col("type").isin(list(criteria.types))) if criteria.types else shapes
-    scored = rows.select("uri", V.js_similarity(F.col("vector"), V.literal(vector)).alias("score"))
+    h = -sum(x * math.log2(x) for x in vector if x > 0)  # once, not once a row
+    scored = rows.select("uri", V.js_similarity(F.col("vector"), V.literal(vector), None, F.lit(h)).alias("score"))
     scored = scored.where(F.col("score") > criteria.threshold if strict else F.col("score") >= criteria.threshold)
     return scored.orderBy(F.desc(F.round("score", 9)), "uri").limit(criteria.max)
 

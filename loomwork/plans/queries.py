@@ -2,7 +2,9 @@
 
 Mapping: `documents` is the corpus (domain = lang, subdomain = source), the
 softmax of `embeddings` (temperature 10) the shapes with `label` as sector,
-`events` the event stream. Topics that SQL can reproduce are the commonest
+`events` the event stream. Operators on pairs run in sectors that are bounded
+by nature: the lines of an order (`lineitem`), with their figures as shapes.
+Paths and ranks run on the graph of parts and their suppliers. Topics that SQL can reproduce are the commonest
 words of each source. Scores are rounded to 6 places on both sides.
 """
 
@@ -121,9 +123,12 @@ def corpus_parts(spark, sf_dir):
     return corpus.parts(rows).select(F.substring("resource", 2, 1000).alias("resource"), F.length("tokens").cast("long").alias("n"))
 
 
-@query("SELECT lang AS domain, count(*) AS n, count(*) FILTER (text IS NULL OR trim(text) = '') AS n_blank FROM documents GROUP BY lang")
+@query("SELECT lang AS domain, count(*) AS n, count(*) FILTER (text IS NULL OR regexp_full_match(text, '[\\x00-\\x20]*')) AS n_blank FROM (SELECT * FROM documents UNION ALL BY NAME SELECT CASE turn % 4 WHEN 0 THEN chr(9) || chr(10) WHEN 1 THEN NULL WHEN 2 THEN '  ' ELSE text END AS text, role AS lang FROM conversations) GROUP BY lang")
 def blank_tokens(spark, sf_dir):
-    rows = corpus_of(spark, sf_dir).withColumn("blank", X.is_blank(F.col("tokens")))
+    turn = F.col("turn") % 4
+    text = F.when(turn == 0, "\t\n").when(turn == 1, F.lit(None)).when(turn == 2, "  ").otherwise(F.col("text"))
+    said = read(spark, sf_dir, "conversations").select(text.alias("tokens"), F.col("role").alias("domain"))
+    rows = corpus_of(spark, sf_dir).select("tokens", "domain").unionByName(said).withColumn("blank", X.is_blank(F.col("tokens")))
     return corpus.filled(rows).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.col("blank").cast("long")).alias("n_blank"))
 
 
@@ -146,24 +151,24 @@ def bow_counts(spark, sf_dir):
     return corpus.bags(words, corpus.vocabulary(words, 500))
 
 
-HASH = """(list_reduce(list_transform(string_split(u, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, x: (a * 31 + x) % 4294967296, CAST(0 AS BIGINT))
-+ 2147483648) % 4294967296 - 2147483648"""
+UNITS = "flatten(list_transform(string_split(u, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END))"
+HASH = f"(list_reduce({UNITS}, lambda a, x: (a * 31 + x) % 4294967296, CAST(0 AS BIGINT)) + 2147483648) % 4294967296 - 2147483648"
 
 
-@query(f"SELECT u AS uri, {HASH} AS id, abs({HASH}) AS positive FROM (SELECT 'http://example.org/' || lang || '/items/' || doc_id AS u FROM documents)")
+@query(f"SELECT u AS uri, {HASH} AS id, abs({HASH}) AS positive FROM (SELECT 'http://example.org/' || lang || '/items/' || doc_id || chr(128512) AS u FROM documents)")
 def uri_hash(spark, sf_dir):
-    uri = X.uri("http://example.org", F.col("domain"), F.col("resource"))
+    uri = F.concat(X.uri("http://example.org", F.col("domain"), F.col("resource")), F.lit("\U0001f600"))
     return corpus_of(spark, sf_dir).select(uri.alias("uri")).select("uri", X.java_hash(F.col("uri")).alias("id"), F.abs(X.java_hash(F.col("uri"))).alias("positive"))
 
 
-@query("""WITH v AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[\\W]+'), lambda t: length(t) >= 4)) AS t FROM documents),
-w AS (SELECT t FROM v GROUP BY t ORDER BY count(*) DESC, t LIMIT 60)
-SELECT a.t AS a, b.t AS b, CAST(levenshtein(a.t, b.t) AS BIGINT) AS distance, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS score
-FROM w a JOIN w b ON a.t < b.t""")
+@query("""SELECT a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance,
+round(CASE WHEN greatest(length(a.p_name), length(b.p_name)) = 0 THEN 1 ELSE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END, 6) AS score
+FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey""")
 def levenshtein_similarity(spark, sf_dir):
-    words = corpus.vocabulary(corpus.with_words(corpus_of(spark, sf_dir)), 60).select("term")
-    pairs = words.select(F.col("term").alias("a")).join(F.broadcast(words.select(F.col("term").alias("b"))), F.col("a") < F.col("b"))  # 60 words
-    return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), r6(X.levenshtein_similarity(F.col("a"), F.col("b"))).alias("score"))
+    """Each part's name against the next one's."""
+    rows = read(spark, sf_dir, "part")
+    a, b = rows.select((F.col("p_partkey") + 1).alias("k"), F.col("p_name").alias("a")), rows.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("b"))
+    return a.join(b, "k").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), r6(X.levenshtein_similarity(F.col("a"), F.col("b"))).alias("score"))
 
 
 @query("SELECT 'items/' || min(conv_id * 1000 + turn) AS item, 'documents/' || conv_id AS document FROM conversations GROUP BY conv_id")
@@ -267,17 +272,87 @@ def top_tags(spark, sf_dir):
 # similarity
 
 
-@query(f"WITH {PAIRS} SELECT uri_1, uri_2, round(score, 6) AS score FROM p WHERE score > 0.6")
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as shapes: their figures as shares of their sum; the sector is the order, a handful of lines."""
+    rows = read(spark, sf_dir, "lineitem")
+    name = X.uri("lines", F.concat_ws("-", *(F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey"))))
+    figures = F.array(F.col("l_quantity"), F.col("l_discount") * 500, F.col("l_tax") * 500, F.col("l_linenumber") * 5.0, F.lit(5.0))
+    return rows.select(name.alias("uri"), F.lit("item").alias("type"), F.col("l_orderkey").alias("sector"), V.normalised(figures).alias("vector"))
+
+
+LINES = """le AS (SELECT l_orderkey AS sector, 'lines/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS uri,
+[l_quantity, l_discount * 500, l_tax * 500, l_linenumber * 5.0::DOUBLE, 5.0::DOUBLE] AS v FROM lineitem),
+l AS (SELECT uri, sector, list_transform(v, lambda x: x / list_sum(v)) AS vector FROM le),
+lh AS (SELECT *, -list_sum(list_transform(vector, lambda p: CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)) AS h FROM l)"""
+LINE_PAIRS = f"""{LINES}, p AS (SELECT a.uri AS uri_1, b.uri AS uri_2, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score
+FROM lh a JOIN lh b ON a.sector = b.sector AND a.uri < b.uri)"""
+
+
+@query(f"WITH {LINE_PAIRS} SELECT uri_1, uri_2, round(score, 6) AS score FROM p WHERE score > 0.9")
 def js_pairs_in_sector(spark, sf_dir):
-    rows = similarity.in_sector(shapes_of(spark, sf_dir), least=0.6)
+    rows = similarity.in_sector(lines_of(spark, sf_dir), least=0.9)
     return rows.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
 
 
 @query(f"""WITH {PAIRS}, b AS (SELECT uri_1, uri_2, score FROM p UNION ALL SELECT uri_2, uri_1, score FROM p)
 SELECT uri_2 AS uri, round(score, 6) AS score FROM b WHERE uri_1 = 'items/5' AND score >= 0.5 ORDER BY round(score, 9) DESC, uri_2 LIMIT 10""")
 def similar_to(spark, sf_dir):
-    rows = similarity.in_sector(shapes_of(spark, sf_dir), both_ways=True)
-    return similarity.similar_to(rows, "items/5", Criteria(threshold=0.5, types=("item",))).withColumn("score", r6("score"))
+    return similarity.alike(shapes_of(spark, sf_dir), "items/5", Criteria(threshold=0.5, types=("item",))).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {PAIRS.replace("a.label = b.label", "a.label = b.label AND a.label IN (SELECT label FROM shapes WHERE uri = 'items/7')")}, b AS (SELECT uri_1, uri_2, score FROM p UNION ALL SELECT uri_2, uri_1, score FROM p)
+SELECT uri_1 AS resource_uri_1, uri_2 AS resource_uri_2, round(score, 6) AS score FROM b WHERE uri_1 = 'items/7' OR uri_2 = 'items/7'
+UNION ALL SELECT 'items/7', 'items/7', 0 UNION ALL SELECT 'items/7', 'items/7', 0""")
+def one_to_all(spark, sf_dir):
+    """One shape against all of its sector, both ways; with itself 0."""
+    rows = shapes_of(spark, sf_dir)
+    own = shapes.of_uri(rows, "items/7").first()
+    got = similarity.one_to_all(rows.where(F.col("sector") == own.sector), "items/7", list(own.vector))
+    return got.select("resource_uri_1", "resource_uri_2", r6("score").alias("score"))
+
+
+@query(f"WITH {LINE_PAIRS}, f AS (SELECT min(uri_1) AS u FROM p WHERE score > 0.9) SELECT round(score, 6) AS score FROM p WHERE uri_1 = (SELECT u FROM f) AND uri_2 = (SELECT min(uri_2) FROM p WHERE score > 0.9 AND uri_1 = (SELECT u FROM f))")
+def stored_similarity(spark, sf_dir):
+    """A look-up in stored similarities by both keys."""
+    pairs = similarity.in_sector(lines_of(spark, sf_dir), least=0.9)
+    first = pairs.select(F.min(F.struct("resource_uri_1", "resource_uri_2")).alias("f")).first().f
+    return similarity.stored(pairs, first.resource_uri_1, first.resource_uri_2).select(r6("score").alias("score"))
+
+
+@query("SELECT 'items/' || vec_id AS uri, CAST(label AS INTEGER) AS cluster FROM embeddings WHERE vec_id = 11")
+def clusters_of_resource(spark, sf_dir):
+    members = sectors.membership(shapes_of(spark, sf_dir))
+    return sectors.clusters_of(members, "items/11").select(F.lit("items/11").alias("uri"), F.col("cluster").cast("int").alias("cluster"))
+
+
+@query(f"WITH {SHAPES} SELECT uri, CAST(list_position(vector, list_max(vector)) - 1 AS INTEGER) AS topic, len(vector) AS n FROM shapes WHERE uri = 'items/11' AND len(vector) = 64")
+def shape_by_uri(spark, sf_dir):
+    """A point look-up, the right number of dimensions, the first of the largest weights."""
+    rows = shapes.of_length(shapes.of_uri(shapes_of(spark, sf_dir), "items/11"), 64)
+    return rows.select("uri", V.argmax_first(F.col("vector")).alias("topic"), F.size("vector").cast("long").alias("n"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang = 'fr' INTERSECT SELECT doc_id FROM documents WHERE source = 'src3'")
+def shared_members(spark, sf_dir):
+    """The intersection of two clusters' members."""
+    rows = corpus_of(spark, sf_dir)
+    members = rows.select(F.col("resource").alias("uri"), F.explode(F.array("domain", "source")).alias("cluster"))
+    return sectors.shared(members, "fr", "src3").select(X.uri_id(F.col("uri")).cast("long").alias("id"))
+
+
+@query("""SELECT lang AS domain, 'item' AS type, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT lang, 'part', CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) FROM documents WHERE text IS NOT NULL GROUP BY lang""")
+def corpus_sizes(spark, sf_dir):
+    """The union of the corpora of two types, and the counters of a domain: resources by type."""
+    items = corpus_of(spark, sf_dir).select(F.concat(F.lit("/"), "resource").alias("resource"), "tokens", "domain", "type")
+    both = items.unionByName(corpus.parts(items))
+    return corpus.scan_types(both, None, ["item", "part"]).groupBy("domain", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE contains('/items/' || doc_id, '/items/')")
+def route_predicate(spark, sf_dir):
+    rows = corpus_of(spark, sf_dir).select(F.concat(F.lit("/"), "resource").alias("uri"))
+    return rows.where(X.on_route(F.col("uri"), "items") & ~X.on_route(F.col("uri"), "parts")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SHAPES}, t AS (SELECT vector AS q, h AS hq FROM s WHERE uri = 'items/0')
@@ -295,11 +370,14 @@ def compare_resources(spark, sf_dir):
     return similarity.between(shapes_of(spark, sf_dir), "items/3", "items/11").withColumn("score", r6("score"))
 
 
-@query(f"""WITH {SHAPES}, c AS (SELECT a.uri AS uri_1, b.uri AS uri_2, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score
-FROM s a, s b WHERE a.label = 1 AND b.label = 0 AND lower(a.uri) <> lower(b.uri)) SELECT uri_1, uri_2, round(score, 6) AS score FROM c WHERE score > 0.6""")
+@query(f"""WITH {LINES}, o AS (SELECT o_orderkey AS sector, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM orders),
+c AS (SELECT a.uri AS uri_1, b.uri AS uri_2, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score
+FROM o JOIN lh a ON a.sector = o.other JOIN lh b ON b.sector = o.sector WHERE lower(a.uri) <> lower(b.uri)) SELECT uri_1, uri_2, round(score, 6) AS score FROM c WHERE score > 0.9""")
 def cross_sector_edges(spark, sf_dir):
-    rows = shapes_of(spark, sf_dir)
-    got = similarity.across(rows.where("sector = 0"), rows.where("sector = 1"), 0.6)
+    """Edges between neighbouring sectors: an order and the customer's next one."""
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    steps = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sector"), following.alias("other")).where("other is not null")
+    got = similarity.across(lines_of(spark, sf_dir), steps, 0.9)
     return got.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
 
 
@@ -325,10 +403,10 @@ def centroid_similarity(spark, sf_dir):
     return rows.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
 
 
-@query("""WITH c AS (SELECT a.vec_id AS k1, b.vec_id AS k2, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT k1, k2, round(score, 6) AS score FROM c WHERE score > 0.3""")
+@query(f"""WITH {LINES}, c AS (SELECT a.uri AS k1, b.uri AS k2, list_cosine_similarity(a.vector, b.vector) AS score
+FROM l a JOIN l b ON a.sector = b.sector AND a.uri < b.uri) SELECT k1, k2, round(score, 6) AS score FROM c WHERE score > 0.95""")
 def cosine_pairs(spark, sf_dir):
-    return similarity.cosine_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.3).withColumn("score", r6("score"))
+    return similarity.cosine_pairs(lines_of(spark, sf_dir), "uri", "vector", "sector", 0.95).withColumn("score", r6("score"))
 
 
 @query("""WITH m AS (SELECT vec_id, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -376,23 +454,9 @@ def signature_neighbours(spark, sf_dir):
     return rows.select("uri", F.explode(V.bit_neighbours(F.col("bits"))).alias("near"))
 
 
-@query(f"""WITH {SHAPES}, r AS (SELECT label, list(vector[1] / (vector[1] + vector[2]) ORDER BY uri) AS w FROM shapes GROUP BY label),
-k AS (SELECT label, list_transform(w[:4], lambda x: x / list_sum(w[:4])) AS w FROM r),
-h AS (SELECT *, -list_sum(list_transform(w, lambda p: CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)) AS h FROM k)
-SELECT a.label AS a, b.label AS b, round({js('a.w', 'b.w', 'a.h', 'b.h')}, 6) AS score FROM h a JOIN h b ON a.label + 1 = b.label""")
-def relationship_similarity(spark, sf_dir):
-    v = F.col("vector")
-    rows = shapes_of(spark, sf_dir).select("sector", F.struct("uri", (v[0] / (v[0] + v[1])).alias("weight")).alias("r"))
-    lists = rows.groupBy("sector").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 4).alias("l"))  # a list a label
-    total = F.aggregate("l", F.lit(0.0), lambda acc, r: acc + r["weight"])
-    own = lists.select("sector", F.transform("l", lambda r: F.struct(r["uri"].alias("uri"), (r["weight"] / total).alias("weight"))).alias("l"))
-    pairs = own.alias("a").join(own.alias("b"), F.col("a.sector") + 1 == F.col("b.sector"))
-    return pairs.select(F.col("a.sector").alias("a"), F.col("b.sector").alias("b"), r6(V.relationship_similarity(F.col("a.l"), F.col("b.l"))).alias("score"))
-
-
 @query(f"""WITH {SHAPES} SELECT a.uri AS a, b.uri AS b, round({js('a.vector', 'b.vector', 'a.h', 'b.h')}, 6) AS score
 FROM s a JOIN s b ON CAST(a.uri[7:] AS BIGINT) + 1 = CAST(b.uri[7:] AS BIGINT)""")
-def relationship_similarity_topics(spark, sf_dir):
+def relationship_similarity(spark, sf_dir):
     """Whole lists: each resource's relationships are all its topic weights; every row meets the next one."""
     topic = lambda w, i: F.struct(X.uri("topics", i.cast("string")).alias("uri"), w.alias("weight"))
     own = shapes_of(spark, sf_dir).select("uri", F.substring_index("uri", "/", -1).cast("long").alias("id"), F.transform("vector", topic).alias("l"))
@@ -407,20 +471,30 @@ def hamming(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", V.hamming(F.substring(digest, 1, 16), F.substring(digest, 49, 16)).alias("apart"))
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT uri_1, uri_2 FROM p WHERE score > 0.6),
-b AS (SELECT uri, label, left({BITS}, 4) AS bits FROM shapes),
-f AS (SELECT a.uri AS uri_1, c.uri AS uri_2 FROM b a JOIN b c ON a.label = c.label AND a.bits = c.bits AND a.uri < c.uri),
+LINE_BITS = BITS.replace("vector[1:63]", "vector[1:4]").replace("vector[2:64]", "vector[2:5]")
+
+
+@query(f"""WITH {LINE_PAIRS}, t AS (SELECT DISTINCT uri_1, uri_2 FROM p WHERE score > 0.9), b AS (SELECT uri, sector, {LINE_BITS} AS bits FROM l),
+f AS (SELECT DISTINCT a.uri AS uri_1, c.uri AS uri_2 FROM b a JOIN b c ON a.sector = c.sector AND a.bits = c.bits AND a.uri < c.uri),
 h AS (SELECT count(*) AS n FROM f JOIN t USING (uri_1, uri_2))
 SELECT round(h.n / (SELECT count(*) FROM f), 6) AS precision, round(h.n / (SELECT count(*) FROM t), 6) AS recall FROM h""")
 def neighbour_quality(spark, sf_dir):
-    rows = shapes_of(spark, sf_dir)
-    true = similarity.in_sector(rows, least=0.6)
-    b = rows.select("uri", "sector", F.substring(V.bit_signature(F.col("vector"), 0.05, 0.25), 1, 4).alias("bits"))
+    """Equal whole signatures as a guess of alike lines, against all pairs of a sector."""
+    rows = lines_of(spark, sf_dir)
+    true = similarity.in_sector(rows, least=0.9)
+    b = rows.select("uri", "sector", V.bit_signature(F.col("vector"), 0.05, 0.25).alias("bits"))
     found = b.join(b.withColumnRenamed("uri", "uri_2"), ["sector", "bits"]).where("uri < uri_2").select(F.col("uri").alias("resource_uri_1"), F.col("uri_2").alias("resource_uri_2"))
     got = similarity.precision_recall(found, true, ["resource_uri_1", "resource_uri_2"])
     return got.select(r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
+@query("""WITH b AS (SELECT DISTINCT l_linenumber AS n, bin(l_linenumber) AS bits FROM lineitem), x AS (SELECT n, bits, unnest(range(0, CAST(power(2, length(bits)) AS BIGINT))) AS k FROM b)
+SELECT bits, lpad(bin(k), CAST(length(bits) AS INTEGER), '0') AS other FROM x WHERE bit_count(k) = bit_count(n)""")
+def signature_permutations(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.bin(F.col("l_linenumber").cast("long")).alias("bits")).distinct()
+    return rows.select("bits", F.explode(V.bit_permutations(F.col("bits"))).alias("other"))
+
+
 @query("""WITH m AS (SELECT doc_id, 'lang:' || lang AS c FROM documents UNION ALL SELECT doc_id, 'source:' || source FROM documents),
 z AS (SELECT c, count(*) AS n FROM m GROUP BY c)
 SELECT a.c AS cluster, b.c AS other, round(count(*) / any_value(z.n), 6) AS score FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.c <> b.c JOIN z ON z.c = a.c GROUP BY ALL""")
@@ -444,125 +518,123 @@ def pair_counts(spark, sf_dir):
 
 # graph
 
-# The example graph.
-EDGES = [
-    ("uri1", "uri3", 0.5), ("uri3", "uri6", 0.5), ("uri1", "uri4", 0.8), ("uri4", "uri7", 0.5), ("uri4", "uri6", 0.9), ("uri2", "uri4", 0.5),
-    ("uri4", "uri5", 0.5), ("uri4", "uri3", 0.8), ("uri6", "uri9", 0.8), ("uri7", "uri9", 0.8), ("uri5", "uri7", 0.5),
-]
-EDGES_SQL = "edges(src, dst, score) AS (VALUES " + ", ".join(f"('{a}', '{b}', {s}::DOUBLE)" for a, b, s in EDGES) + ")"
 
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the suppliers that delivered them, both ways; the score is the mean discount, from 0 to a half."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_discount") * 5, 4).alias("score"))
+    part, supplier = X.uri("parts", F.col("l_partkey").cast("string")), X.uri("suppliers", F.col("l_suppkey").cast("string"))
+    ends = F.explode(F.array(F.struct(part.alias("src"), supplier.alias("dst")), F.struct(supplier.alias("src"), part.alias("dst"))))
+    return rows.select(ends.alias("e"), "score").select("e.src", "e.dst", "score")
 
-def example(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "src string, dst string, score double")
 
+START, END, LEAST = "suppliers/1", "suppliers/2", 0.1
+TRADE = """g AS (SELECT 'parts/' || l_partkey AS p, 'suppliers/' || l_suppkey AS s, round(avg(l_discount) * 5, 4) AS score FROM lineitem GROUP BY ALL),
+edges AS (SELECT p AS src, s AS dst, score FROM g UNION ALL SELECT s, p, score FROM g)"""
+# all ways of at most two steps; where the end is nearer than three, these are all of the shortest
+WAYS = f"""{TRADE}, one AS (SELECT dst, [src, dst] AS nodes, [1.0::DOUBLE, score] AS scores FROM edges WHERE src = '{START}' AND score > {LEAST}),
+two AS (SELECT e.dst, list_append(nodes, e.dst) AS nodes, list_append(scores, e.score) AS scores FROM one JOIN edges e ON e.src = one.dst AND e.score > {LEAST}),
+way AS (SELECT nodes, scores, len(nodes) - 1 AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE dst = '{END}')"""
 
-def near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both-way edges between alike resources of a sector."""
-    return graph.edges_of(similarity.in_sector(shapes_of(spark, sf_dir), both_ways=True), 0.6)
 
+def trade_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(trade_graph(spark, sf_dir), [START], [END], LEAST, max_results=2**31 - 1)
 
-NEAR = f"""{PAIRS}, edges AS (SELECT uri_1 AS src, uri_2 AS dst, score FROM p WHERE score > 0.6 UNION ALL SELECT uri_2, uri_1, score FROM p WHERE score > 0.6)"""
-WAYS = f"""WITH RECURSIVE {EDGES_SQL}, way(node, nodes, cost, hops) AS (SELECT 'uri1', ['uri1'], 0::DOUBLE, 0
-UNION ALL SELECT dst, list_append(nodes, dst), cost + score, hops + 1 FROM way JOIN edges ON src = node AND NOT list_contains(nodes, dst))"""
 
-
-@query(f"""{WAYS} SELECT array_to_string(nodes, ',') AS path, CAST(hops AS INTEGER) AS hops FROM way
-WHERE node = 'uri9' AND hops = (SELECT min(hops) FROM way WHERE node = 'uri9')""")
+@query(f"WITH {WAYS} SELECT array_to_string(nodes, ',') AS path, CAST(hops AS INTEGER) AS hops FROM way WHERE hops = (SELECT min(hops) FROM way)")
 def bfs_paths(spark, sf_dir):
-    return graph.bfs(example(spark), ["uri1"], ["uri9"], 0.1).select(F.concat_ws(",", "nodes").alias("path"), "hops")
-
-
-@query(f"{WAYS} SELECT array_to_string(nodes, ',') AS path, round(cost, 6) AS cost FROM way WHERE node = 'uri9' ORDER BY cost, nodes LIMIT 1")
-def sssp_path(spark, sf_dir):
-    return graph.shortest(example(spark), "uri1", "uri9").select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
+    return trade_ways(spark, sf_dir).select(F.concat_ws(",", "nodes").alias("path"), "hops")
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL.replace('score)', 'score0)')}, w AS (SELECT src, dst, 1 - score0 AS score FROM edges),
-way(node, nodes, cost) AS (SELECT 'uri1', ['uri1'], 0::DOUBLE UNION ALL SELECT dst, list_append(nodes, dst), cost + score FROM way JOIN w ON src = node AND NOT list_contains(nodes, dst))
-SELECT array_to_string(nodes, ',') AS path, round(cost, 6) AS cost FROM way WHERE node = 'uri9' ORDER BY round(cost, 9), nodes LIMIT 1""")
-def sssp_alike_path(spark, sf_dir):
-    return graph.shortest(example(spark), "uri1", "uri9", weight="1-score").select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
-
-
-@query(f"{WAYS} SELECT 'uri1' AS start, 'uri9' AS \"end\", CAST(min(hops) AS INTEGER) AS hops FROM way WHERE node = 'uri9'")
+@query(f"WITH {WAYS} SELECT '{START}' AS start, '{END}' AS \"end\", CAST(min(hops) AS INTEGER) AS hops FROM way")
 def hop_count(spark, sf_dir):
-    return graph.hops(example(spark), "uri1", "uri9")
+    return graph.hops(graph.usable(trade_graph(spark, sf_dir), LEAST), START, END)
 
 
-def _ranks(rounds: int) -> str:
-    out = f"WITH {NEAR}, l AS (SELECT DISTINCT src, dst FROM edges), d AS (SELECT src, count(*) AS n FROM l GROUP BY src), v AS (SELECT DISTINCT src AS uri FROM l UNION SELECT dst FROM l), r0 AS (SELECT uri, 1.0::DOUBLE AS rank FROM v)"
+def _shortest(weight: str, rounds: int = 6) -> str:
+    """Bellman-Ford in rounds; with weights of 0.1 at least, a way of six steps costs more than the best of two."""
+    out = f"WITH {TRADE}, w AS (SELECT src, dst, {weight} AS w FROM edges WHERE score > {LEAST}), b0 AS (SELECT '{START}' AS node, {{'cost': 0::DOUBLE, 'nodes': ['{START}']}} AS best)"
     for k in range(rounds):
-        out += f", r{k + 1} AS MATERIALIZED (SELECT v.uri, 0.01 + 0.99 * coalesce(sum(r.rank / d.n), 0) AS rank FROM v LEFT JOIN l ON l.dst = v.uri LEFT JOIN r{k} r ON r.uri = l.src LEFT JOIN d ON d.src = l.src GROUP BY v.uri)"
-    return out + f" SELECT uri, round(rank, 6) AS rank FROM r{rounds}"
-
+        out += f""", b{k + 1} AS MATERIALIZED (SELECT node, min(best) AS best FROM (SELECT * FROM b{k} UNION ALL
+SELECT dst, {{'cost': best.cost + w, 'nodes': list_append(best.nodes, dst)}} FROM b{k} JOIN w ON src = node) GROUP BY node)"""
+    return out + f" SELECT array_to_string(best.nodes, ',') AS path, round(best.cost, 6) AS cost FROM b{rounds} WHERE node = '{END}'"
 
-@query(_ranks(20))
-def pagerank(spark, sf_dir):
-    return graph.pagerank(near_graph(spark, sf_dir)).select("uri", r6("rank").alias("rank"))
 
-
-@query("""SELECT 'item(uri1)->item(uri3)->part(uri6)' AS text, 3 AS length, round(1.0 + 0.5 + 0.25, 6) AS acc_score, round(((1.0 + 0.5) / 2 + 0.25) / 2, 6) AS avg_score""")
-def path_scores(spark, sf_dir):
-    row = spark.createDataFrame([(["items/uri1", "items/uri3", "parts/uri6"], [1.0, 0.5, 0.25])], "nodes array<string>, scores array<double>")
-    return row.select(X.path_text(F.col("nodes")).alias("text"), F.size("nodes").alias("length"), r6(V.total(F.col("scores"))).alias("acc_score"), r6(V.pairwise_fold(F.col("scores"))).alias("avg_score"))
-
-
-# the same operators over the whole graph of alike resources; recursive SQL is too slow for it, so tests hold them to brute force
-
-
-START = "items/0"
+@query(_shortest("score"))
+def sssp_path(spark, sf_dir):
+    found = graph.shortest(graph.usable(trade_graph(spark, sf_dir), LEAST), START, END)
+    return found.select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
 
 
-def near_ways(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The edges, and the resource of START's sector that is least like it ("" where there is none)."""
-    pairs = cut(similarity.in_sector(shapes_of(spark, sf_dir), both_ways=True))
-    end = pairs.where(F.col("resource_uri_1") == START).orderBy("score", "resource_uri_2").first()
-    return cut(graph.edges_of(pairs, 0.6)), end.resource_uri_2 if end else ""
+@query(_shortest("1 - score"))
+def sssp_alike_path(spark, sf_dir):
+    found = graph.shortest(graph.usable(trade_graph(spark, sf_dir), LEAST), START, END, weight="1-score")
+    return found.select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
 
 
-def near_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, end = near_ways(spark, sf_dir)
-    return graph.bfs(edges, [START], [end], 0.6, max_length=1000, max_results=2**31 - 1)
+@query(f"""WITH {WAYS} SELECT array_to_string(list_transform(nodes, lambda u: rtrim(split_part(u, '/', 1), 's') || '(' || split_part(u, '/', 2) || ')'), '->') AS text,
+CAST(len(nodes) AS INTEGER) AS length, round(list_sum(scores), 6) AS acc_score, round(list_reduce(scores, lambda a, x: (a + x) / 2), 6) AS avg_score
+FROM way WHERE hops = (SELECT min(hops) FROM way) AND len(nodes) <= 5 ORDER BY len(nodes), round(list_sum(scores), 9), nodes LIMIT 25""")
+def path_scores(spark, sf_dir):
+    """Several paths with their scores, in order, of a bounded length."""
+    paths = trade_ways(spark, sf_dir).select("nodes", F.size("nodes").alias("length"), V.total(F.col("scores")).alias("acc_score"), V.pairwise_fold(F.col("scores")).alias("avg_score"))
+    best = graph.ordered(paths.where(F.col("length") <= 5)).limit(25)
+    return best.select(X.path_text(F.col("nodes")).alias("text"), "length", r6("acc_score").alias("acc_score"), r6("avg_score").alias("avg_score"))
 
 
-@query()
-def near_bfs_paths(spark, sf_dir):
-    return near_bfs(spark, sf_dir).select(F.concat_ws(",", "nodes").alias("path"), "hops")
+@query(f"""WITH {TRADE}, v AS (SELECT 'parts/' || p_partkey AS uri FROM part WHERE p_size < 40)
+SELECT uri, uri AS name, 'part' AS type FROM v UNION ALL SELECT src, 'Missing', 'item' FROM (SELECT DISTINCT src FROM edges WHERE src NOT IN (SELECT uri FROM v))""")
+def missing_vertices(spark, sf_dir):
+    """Vertices, and the ends of edges that no vertex row names."""
+    known = read(spark, sf_dir, "part").where("p_size < 40").select(X.uri("parts", F.col("p_partkey").cast("string")).alias("uri"), F.lit("part").alias("type"))
+    return graph.vertices_of(known, trade_graph(spark, sf_dir))
 
 
-@query()
-def near_sssp_path(spark, sf_dir):
-    edges, end = near_ways(spark, sf_dir)
-    return graph.shortest(edges, START, end).select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
+@query(f"""WITH {TRADE}, p AS (SELECT p_partkey, p_size FROM part), e AS (SELECT edges.*, p_size FROM edges JOIN p ON src = 'parts/' || p_partkey)
+SELECT DISTINCT src, dst, score FROM e WHERE p_size <= 30 OR p_size >= 20""")
+def sector_edges_union(spark, sf_dir):
+    """The set union of the edges of two overlapping sectors (parts by size)."""
+    size = read(spark, sf_dir, "part").select(X.uri("parts", F.col("p_partkey").cast("string")).alias("src"), "p_size")
+    rows = trade_graph(spark, sf_dir).join(size, "src")
+    return graph.joined_edges([rows.where("p_size <= 30").select("src", "dst", "score"), rows.where("p_size >= 20").select("src", "dst", "score")])
 
 
-@query()
-def near_sssp_alike_path(spark, sf_dir):
-    edges, end = near_ways(spark, sf_dir)
-    return graph.shortest(edges, START, end, weight="1-score").select(F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
+def _ranks(rounds: int) -> str:
+    out = f"WITH {TRADE}, l AS (SELECT DISTINCT src, dst FROM edges), d AS (SELECT src, count(*) AS n FROM l GROUP BY src), v AS (SELECT DISTINCT src AS uri FROM l UNION SELECT dst FROM l), r0 AS (SELECT uri, 1.0::DOUBLE AS rank FROM v)"
+    for k in range(rounds):
+        out += f", r{k + 1} AS MATERIALIZED (SELECT v.uri, 0.01 + 0.99 * coalesce(sum(r.rank / d.n), 0) AS rank FROM v LEFT JOIN l ON l.dst = v.uri LEFT JOIN r{k} r ON r.uri = l.src LEFT JOIN d ON d.src = l.src GROUP BY v.uri)"
+    return out + f" SELECT uri, round(rank, 6) AS rank FROM r{rounds}"
 
 
-@query()
-def near_hop_count(spark, sf_dir):
-    edges, end = near_ways(spark, sf_dir)
-    return graph.hops(edges, START, end)
+@query(_ranks(20))
+def pagerank(spark, sf_dir):
+    return graph.pagerank(trade_graph(spark, sf_dir)).select("uri", r6("rank").alias("rank"))
 
 
-@query()
-def near_path_scores(spark, sf_dir):
-    paths = near_bfs(spark, sf_dir)
-    return paths.select(X.path_text(F.col("nodes")).alias("text"), F.size("nodes").alias("length"), r6(V.total(F.col("scores"))).alias("acc_score"), r6(V.pairwise_fold(F.col("scores"))).alias("avg_score"))
+def bounded(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """The shapes of embeddings in sectors of at most `size` rows."""
+    return cut(sectors.assign(shapes_of(spark, sf_dir).drop("sector"), size))
 
 
 @query()
 def two_level_path(spark, sf_dir):
-    rows = shapes_of(spark, sf_dir).withColumn("sector", F.col("sector").cast("string"))
+    """From the first resource to the one farthest down the alphabet, over sectors of at most 200 rows."""
+    rows = bounded(spark, sf_dir, 200)
+    ends = rows.agg(F.min("uri").alias("a"), F.max("uri").alias("b")).first()
     pairs = similarity.in_sector(rows, both_ways=True)
-    ends = rows.groupBy("sector").agg(F.min("uri").alias("uri")).where(F.col("sector").isin("0", "1")).orderBy("sector").collect()
-    found = graph.two_level(rows, sectors.membership(rows), pairs, sectors.centroids(rows), ends[0].uri, ends[1].uri, least=0.5)
+    found = graph.two_level(rows.drop("sector"), sectors.membership(rows), pairs, sectors.centroids(rows), ends.a, ends.b, least=0.2, types=["item"])
     return found.select(F.concat_ws(",", "nodes").alias("path"), "length", r6("cost").alias("cost"), r6("acc_score").alias("acc_score"))
 
 
+@query(f"""WITH {CENTRES}, ce AS (SELECT CAST(a.label AS VARCHAR) AS src, CAST(b.label AS VARCHAR) AS dst, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score FROM ch a JOIN ch b ON a.label <> b.label),
+one AS (SELECT dst, [src, dst] AS nodes FROM ce WHERE src = '0' AND score > 0.5), two AS (SELECT ce.dst, list_append(nodes, ce.dst) AS nodes FROM one JOIN ce ON ce.src = one.dst AND ce.score > 0.5),
+way AS (SELECT nodes FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE dst = '9')
+SELECT array_to_string(nodes, ',') AS path, CAST(len(nodes) - 1 AS INTEGER) AS hops FROM way WHERE len(nodes) = (SELECT min(len(nodes)) FROM way)""")
+def centroid_paths(spark, sf_dir):
+    """All shortest paths between two centroids, of the wanted type."""
+    found = graph.between_centroids(sectors.centroids(shapes_of(spark, sf_dir)), "0", "9", 0.5, types=["centroid"])
+    return found.select(F.concat_ws(",", "nodes").alias("path"), "hops")
+
+
 # comparisons
 
 COMPARISONS = """c AS (SELECT 'd' || a AS domain, 'd' || b AS domain_uri, 'd' || a || '/topics/' || i AS topic_uri, 'd' || b || '/topics/' || j AS domain_topic_uri,
@@ -639,13 +711,10 @@ def event_actions(spark, sf_dir):
 # trained models: results hold to invariants, tested beside
 
 
-def small_config() -> Config:
-    return Config(vocabulary_size=5000, max_iterations=5, optimizer="manual", topics=8)
-
-
 def trained(spark: SparkSession, sf_dir: str):
+    """The default settings but for 20 topics, whatever the size of the corpus."""
     rows = corpus.filled(corpus_of(spark, sf_dir))
-    config = small_config()
+    config = Config(optimizer="manual", topics=20)
     return rows, topics.train(rows, topics.choose(rows, config), config)
 
 
@@ -675,7 +744,8 @@ def kmeans_sectors(spark, sf_dir):
     return sectors.assign(shapes_of(spark, sf_dir).drop("sector"), size=100).select("uri", "sector")
 
 
-@query()
+@query(f"""WITH {CENTRES}, d AS (SELECT uri, CAST(c.label AS VARCHAR) AS cluster, sqrt(list_sum(list_transform(list_zip(s.vector, c.vector), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM shapes s, c),
+m AS (SELECT uri, min(d) AS least FROM d GROUP BY uri) SELECT uri, cluster FROM d JOIN m USING (uri) WHERE d <= least / 0.95""")
 def near_centroid_members(spark, sf_dir):
     rows = shapes_of(spark, sf_dir)
     return sectors.near_centroids(rows, sectors.centroids(rows), 0.95)

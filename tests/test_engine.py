@@ -10,6 +10,13 @@ from loomwork.sources.store import Store
 from loomwork.streaming import events as E
 
 
+# The example graph.
+EDGES = [
+    ("uri1", "uri3", 0.5), ("uri3", "uri6", 0.5), ("uri1", "uri4", 0.8), ("uri4", "uri7", 0.5), ("uri4", "uri6", 0.9), ("uri2", "uri4", 0.5),
+    ("uri4", "uri5", 0.5), ("uri4", "uri3", 0.8), ("uri6", "uri9", 0.8), ("uri7", "uri9", 0.8), ("uri5", "uri7", 0.5),
+]
+
+
 def test_basic_k():
     ks = [topics.basic(n, Config()).k for n in (1, 2, 8, 50, 200, 5000)]
     assert ks == [2, 2, 4, 10, 20, 100]
@@ -17,15 +24,17 @@ def test_basic_k():
 
 
 def test_graph_edges(spark):
-    from loomwork.plans.queries import example
-
-    g = example(spark)
+    g = spark.createDataFrame(EDGES, "src string, dst string, score double")
     assert graph.bfs(g, ["uri1"], ["uri1"]).first().nodes == ["uri1"]
     assert graph.bfs(g, ["uri1"], ["uri2"]).isEmpty() and graph.hops(g, "uri1", "uri10").isEmpty() and graph.shortest(g, "uri1", "uri8").isEmpty()
     assert graph.bfs(g, ["uri1"], ["uri9"], max_length=2).isEmpty()
     assert {tuple(r.nodes) for r in graph.bfs(g, ["uri1"], ["uri9"], 0.1).collect()} == {
         ("uri1", "uri3", "uri6", "uri9"), ("uri1", "uri4", "uri6", "uri9"), ("uri1", "uri4", "uri7", "uri9")
     }
+    (best,) = graph.shortest(g, "uri1", "uri9").collect()
+    assert best.nodes == ["uri1", "uri3", "uri6", "uri9"] and best.cost == pytest.approx(1.8) and graph.hops(g, "uri1", "uri9").first().hops == 3
+    (near,) = graph.shortest(g, "uri1", "uri9", weight="1-score").collect()
+    assert near.nodes == ["uri1", "uri4", "uri6", "uri9"] and near.cost == pytest.approx(0.5)
     nodes = graph.vertices_of(spark.createDataFrame([("uri1", "item")], "uri string, type string"), g)
     assert nodes.count() == 8 and nodes.where("name = 'Missing'").count() == 7
 
@@ -115,3 +124,19 @@ def test_corpus_sources(spark):
     assert corpus.scan_types(rows, "d", ["part"]).isEmpty()
     assert corpus.tokens_of(rows, "items/2").first().tokens == "x\ny"
     assert [r.resource for r in corpus.parts(rows).collect()] == ["items/1-0", "items/2-0", "items/2-1"]
+
+
+def test_paths_keep_to_the_wanted_types(spark):
+    rows = [("a", "item", [0.9, 0.1]), ("b", "part", [0.6, 0.4]), ("c", "item", [0.5, 0.5]), ("d", "item", [0.1, 0.9])]
+    shapes_ = spark.createDataFrame(rows, "uri string, type string, vector array<double>")
+    sectored = shapes_.withColumn("sector", F.lit("0"))
+    pairs = similarity.in_sector(sectored, both_ways=True)
+    one = lambda **k: [r.nodes for r in graph.two_level(shapes_, sectors.membership(sectored), pairs, sectors.centroids(sectored), "a", "d", least=0.8, **k).collect()]
+    assert one() == [["a", "c", "d"]] or one() == [["a", "b", "d"]]
+    assert one(types=["item"]) == [["a", "c", "d"]] and one(types=["part"]) in ([["a", "b", "d"]], [])
+    assert graph.across_joined_sectors(sectored.unionByName(sectored.withColumn("sector", F.lit("1"))), pairs.unionByName(pairs.withColumn("sector", F.lit("1"))), ["0", "1"], "a", "d", 0.8).first().nodes[0] == "a"
+
+
+def test_sector_numbers_are_dense(spark):
+    rows = spark.createDataFrame([("x", "Aa"), ("y", "BB"), ("z", "Aa")], "uri string, sector string")  # their hashes collide
+    assert {(r.uri, r.cluster) for r in sectors.numbered(rows).collect()} == {("x", 0), ("z", 0), ("y", 1)}

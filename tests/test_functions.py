@@ -79,3 +79,11 @@ def test_settings():
     got = resolve({"lda.topics": "5", "lda.alpha": "0.5"}, {"LDA_NUM_TOPICS": "9", "LDA_VOCABULARY_SIZE": "50"})
     assert (got.topics, got.alpha, got.vocabulary_size) == (5, 0.5, 50)
     assert X.stop_words(None) == [] and X.stop_words("a, b") == ["a", " b"]
+
+
+def test_rankings_both_ways():
+    a, b = ["alpha", "beta"], ["beta", "gamma", "alpha"]
+    assert ranking.tau_similarity(a, b) == ranking.tau_similarity(b, a)
+    assert ranking.tau_distance(a, a) == 0 and ranking.tau_similarity([], []) == 1 and ranking.tau_similarity(a, []) == 0
+    assert ranking.tau_distance(a, a[::-1]) == 1 and 0 < ranking.tau_distance(a, b, ranking.half) < 1
+    assert ranking.tau_distance(a, ["xxxx", "yyyy"], ranking.half) == ranking.tau_distance(["xxxx", "yyyy"], a, ranking.half) > 0.5
