@@ -56,9 +56,11 @@ def words(raw: bytes) -> list[bytes]:
 _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
-def _hash(a: int, b: int, c: int) -> int:
-    x = a * _MIX[0] ^ b * _MIX[1] ^ c * _MIX[2]
-    return x ^ x >> 15
+class Known(dict):
+    """Numbers of words; all other words are 0."""
+
+    def __missing__(self, x: bytes) -> int:
+        return 0
 
 
 class Table:
@@ -66,7 +68,7 @@ class Table:
 
     def __init__(self, m: int, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         self.m, self.b = m, min(BLOCK_WORDS, m)
-        self.ids = ids.tolist()
+        self.ids = ids
         at = np.concatenate([np.arange(a, a + n - self.b + 1) for a, n in zip(starts, lengths)])  # every block
         place = np.concatenate([np.arange(n - self.b + 1) for n in lengths])
         h = self.hashes(ids, at)
@@ -74,7 +76,7 @@ class Table:
         jump = m - self.b + 1
         shift = np.full(self.mask + 1, min(jump, 255), np.uint8)
         np.minimum.at(shift, h & self.mask, np.minimum(np.maximum(m - self.b - place, 0), 255).astype(np.uint8))
-        self.shift = shift.tobytes()
+        self.shift = shift
         ends = place >= m - self.b  # blocks that end a pattern
         order = np.argsort(h[ends], kind="stable")
         self.keys, self.patterns = h[ends][order], (at[ends] - (m - self.b))[order]
@@ -90,7 +92,7 @@ class Searcher:
     """The tables of all pattern lengths; `items`: (id as text, UTF-8 text)."""
 
     def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
-        self.words: dict[bytes, int] = {}
+        self.words = Known()
         self.names: list[str] = []
         by_length: dict[int, list[int]] = {}
         ids, sizes = [], []
@@ -110,25 +112,26 @@ class Searcher:
         """Ranges of word positions inside occurrences, merged and ascending, and the items that occur."""
         found: list[tuple[int, int]] = []
         items: set[str] = set()
-        get = self.words.get
-        ids = [get(x, 0) for x in w]
+        ids = np.fromiter(map(self.words.__getitem__, w), np.int64, len(w))
         n = len(ids)
         for t in self.tables:
-            m, b, mask, shift = t.m, t.b, t.mask, t.shift
-            at = m
+            m, b = t.m, t.b
+            if n < m:
+                continue
+            h = t.hashes(ids, np.arange(n - b + 1))  # of the block that starts at each word
+            jumps = t.shift[h & t.mask]
+            if jumps.all():  # no block ends a pattern
+                continue
+            jump, at = jumps.tobytes(), m
             while at <= n:
-                if b == BLOCK_WORDS:
-                    h = _hash(ids[at - 3], ids[at - 2], ids[at - 1])
-                else:
-                    h = _hash(ids[at - b], ids[at - 1] if b > 1 else 0, 0)
-                s = shift[h & mask]
+                s = jump[at - b]
                 if s:
                     at += s
                     continue
-                lo, hi = np.searchsorted(t.keys, h, "left"), np.searchsorted(t.keys, h, "right")
+                lo, hi = np.searchsorted(t.keys, (h[at - b], h[at - b] + 1))
                 if lo < hi:
                     own = ids[at - m : at]
-                    hits = [p for p in t.patterns[lo:hi].tolist() if t.ids[p : p + m] == own]
+                    hits = [p for p in t.patterns[lo:hi].tolist() if (t.ids[p : p + m] == own).all()]
                     if hits:
                         found.append((at - m, at))
                         items.update(self.names[k] for k in np.searchsorted(self.ends, hits, "right").tolist())
