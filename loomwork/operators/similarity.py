@@ -39,6 +39,17 @@ def in_sector(sectored: DataFrame, sector: str = "sector", least: float | None =
     return mirrored(scored) if both_ways else scored
 
 
+def of_changed(sectored: DataFrame, changed: DataFrame) -> DataFrame:
+    """What in_sector() gives both ways for the pairs with a resource of `changed` (uri): changed rows meet the rows of their sectors only."""
+    rows = sectored.where(F.col("vector").isNotNull()).join(changed.select("uri", F.lit(True).alias("new")).distinct(), "uri", "left")
+    pairs = _sided(rows.where("new"), "1", "sector").join(_sided(rows, "2", "sector", "new"), "sector")
+    once = pairs.where("uri_1 <> uri_2 and (new is null or uri_1 < uri_2)")
+    return mirrored(once.select(
+        F.col("uri_1").alias("resource_uri_1"), F.col("type_1").alias("resource_type_1"), F.col("uri_2").alias("resource_uri_2"),
+        F.col("type_2").alias("resource_type_2"), _score("1", "2").alias("score"), "sector",
+    ))
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
     """Each pair in both directions, in one pass."""
     way = [F.col(f"resource_{x}_{n}") for n in (1, 2) for x in ("uri", "type")]

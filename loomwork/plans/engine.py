@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import vectors as V
 from loomwork.operators import compare, corpus, distributions, graph, sectors, shapes, similarity, tags, topics
 from loomwork.plans.config import Config, Criteria
+from loomwork.plans.lineage import cut
 from loomwork.sources.store import Store, forget_models
 
 
@@ -72,15 +73,47 @@ class Domain:
         return row.first().json
 
     def shape(self, resources: DataFrame) -> None:
-        """New or changed resources: shaped by the stored model, others stay as they are."""
-        from functools import partial
-
-        infer = partial(topics.infer, self.store.load_model())
+        """New or changed resources: shaped by the stored model; distributions, tags and similarities follow for these alone."""
+        rows = cut(corpus.filled(resources))
+        uris = rows.select(F.col("resource").alias("uri")).distinct()
+        self.store.upsert("corpus", rows)
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("date")
-        new = infer(corpus.filled(resources)).withColumn("date", now)
-        self.store.upsert("shapes", new)
-        self.store.append("events", new.select(F.lit("shape.created").alias("key"), F.col("uri").alias("resource"), F.col("date").alias("time")))
-        self.distribute()
+        self.store.upsert("shapes", topics.infer(self.store.load_model(), rows).withColumn("date", now))
+        changed = self.store.read("shapes").join(uris, "uri", "left_semi")
+        table, gone = self.store.read("topics"), uris.select(F.col("uri").alias("resource_uri"))
+        self.store.replace("distributions", gone, distributions.build(changed, table))
+        self.store.replace("annotations", gone, distributions.annotations(self.store.read("distributions").join(gone, "resource_uri", "left_semi"), table))
+        self.store.replace("shapes_by_topic", uris, shapes.dominant(changed).where("topic is not null"))
+        self._relate_changed(changed, uris)
+        self.store.append("events", changed.select(F.lit("shape.created").alias("key"), F.col("uri").alias("resource"), F.col("date").alias("time")))
+
+    def _relate_changed(self, changed: DataFrame, uris: DataFrame) -> None:
+        """Changed shapes join the sector of the nearest centroid and meet its rows; other pairs stay.
+
+        All sectors are formed anew where there are none, more than `sectors.MOST_CENTRES`, or one of over twice the wanted size.
+        """
+        centres = self.store.read("centroids")
+        if not 0 < centres.count() <= sectors.MOST_CENTRES:
+            return self.relate()
+        useful = changed.where(V.total(F.col("vector")) > 0)
+        nearest = sectors.near_centroids(useful, centres, 1.0).groupBy("uri").agg(F.min("cluster").alias("sector"))
+        before = self.store.read("subgraph_nodes")
+        numbers = before.join(self.store.read("clusters"), "uri").select("sector", "cluster").distinct()
+        touched = cut(before.join(uris, "uri", "left_semi").select("sector").union(nearest.select("sector")).distinct())
+        self.store.replace("subgraph_nodes", uris, useful.join(nearest, "uri"))
+        nodes = self.store.read("subgraph_nodes")
+        if nodes.groupBy("sector").agg(F.count("*").alias("n")).where(F.col("n") > 2 * self.config.sector_size).count():
+            return self.relate()
+        self.store.replace("clusters", uris, nodes.join(uris, "uri", "left_semi").join(numbers, "sector"))
+        pairs = cut(similarity.of_changed(nodes, uris))
+        for name in ("subgraph_edges", "similarities"):
+            kept = self.store.read(name)
+            for end in ("resource_uri_1", "resource_uri_2"):
+                kept = kept.join(uris.select(F.col("uri").alias(end)), end, "left_anti")
+            self.store.write(name, kept.select(*pairs.drop("sector").columns, *(c for c in kept.columns if c in ("sector", "date"))).unionByName(pairs, allowMissingColumns=True))
+        moved = sectors.centroids(nodes.join(touched, "sector", "left_semi"))
+        self.store.replace("centroids", touched.select(F.col("sector").alias("uri")), moved)
+        self.store.write("centroid_similarities", similarity.of_centroids(self.store.read("centroids")))
 
     def relevant_resources(self, topic_uri: str, criteria: Criteria = Criteria()) -> DataFrame:
         return distributions.relevant_resources(self.store.read("distributions"), topic_uri, criteria)

@@ -1,7 +1,9 @@
 """A domain's tables as Parquet below one folder, and the models beside them.
 
 Schemas are declared, never inferred. Sector sub-graphs are partitioned by
-sector, so reading one sector prunes to its folder.
+sector, so reading one sector prunes to its folder. A table is a folder of
+versions; the last one that Spark has marked as complete counts, so a writer
+lost at any time leaves the version before. That one is kept for its readers.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SCHEMAS = {
     "events": "key string, resource string, time string",
 }
 PARTITIONED = {"subgraph_nodes": ["sector"], "subgraph_edges": ["sector"], "shapes_by_topic": ["topic", "type"]}
-KEYED = {"shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"]}
+KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"]}
 
 
 @dataclass
@@ -49,40 +51,67 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.root)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def exists(self, name: str) -> bool:
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of all versions of a table, complete or not, ascending."""
         fs, path = self._fs()
-        return bool(fs.exists(path(self.path(name))))
+        top = path(self.path(name))
+        return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(top)) if fs.exists(top) else []
+
+    def _version_path(self, name: str, version: int) -> str:
+        return f"{self.path(name)}/v{version:08d}"
+
+    def _current(self, name: str) -> int | None:
+        fs, path = self._fs()
+        return next((v for v in reversed(self._versions(name)) if fs.exists(path(f"{self._version_path(name, v)}/_SUCCESS"))), None)
+
+    def exists(self, name: str) -> bool:
+        return self._current(name) is not None
 
     def read(self, name: str) -> DataFrame:
         """The table, empty where nothing has been written."""
-        if not self.exists(name):
+        version = self._current(name)
+        if version is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self._version_path(name, version))
 
     def _conform(self, name: str, df: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
         return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
 
-    def write(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+    def _save(self, name: str, df: DataFrame, version: int, mode: str) -> None:
         keys = PARTITIONED.get(name, [])
         out = self._conform(name, df)
         if keys:
-            out = out.repartition(*keys)
-        out.write.mode(mode).partitionBy(*keys).parquet(self.path(name))
+            out = out.hint("rebalance", *keys)  # the rows of a common key go to as many tasks as their size asks for
+        marked = out.write.mode(mode).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+        marked.partitionBy(*keys).parquet(self._version_path(name, version))
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """A new version; df may read the table itself. Versions before the last complete one go."""
+        before, known = self._current(name), self._versions(name)
+        self._save(name, df, known[-1] + 1 if known else 0, "errorifexists")
+        fs, path = self._fs()
+        for v in known:
+            if v != before:
+                fs.delete(path(self._version_path(name, v)), True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, df, "append")
+        version = self._current(name)
+        if version is None:
+            self.write(name, df)
+        else:
+            self._save(name, df, version, "append")
+
+    def replace(self, name: str, gone: DataFrame, new: DataFrame) -> None:
+        """The rows that match `gone` in all its columns leave the table, those of `new` join it; the others stay."""
+        new = self._conform(name, new)
+        old = self.read(name).join(gone.distinct(), gone.columns, "left_anti").select(*new.columns)
+        self.write(name, old.unionByName(new))
 
     def upsert(self, name: str, df: DataFrame) -> None:
-        """Rows of df replace those of the same key; the others stay. Written beside the table, then swapped in."""
-        keys = KEYED[name]
-        new = self._conform(name, df).dropDuplicates(keys)
-        old = self.read(name).join(new.select(*keys), keys, "left_anti")
-        beside = f"{name}__new"
-        old.unionByName(new).write.mode("overwrite").parquet(self.path(beside))
-        fs, path = self._fs()
-        fs.delete(path(self.path(name)), True)
-        fs.rename(path(self.path(beside)), path(self.path(name)))
+        """Rows of df replace those of the same key; the others stay."""
+        new = self._conform(name, df).dropDuplicates(KEYED[name])
+        self.replace(name, new.select(*KEYED[name]), new)
 
     def create(self) -> None:
         """An empty workspace: what was there is gone."""

@@ -69,7 +69,7 @@ def batches(events: DataFrame, most: int = 1000, delay_ms: int = 30_000) -> Data
     return events.groupBy("domain").applyInPandasWithState(step, BATCH, "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-#: Routing keys of events, and what a domain does about them.
+# Routing keys of events, and what a domain does about them.
 ACTIONS = {
     "domain.pending": "train", "domain.completed": "none", "domain.deleted": "destroy", "resource.added": "shape",
     "item.updated": "shape", "part.updated": "shape", "subdomain.added": "shape",
@@ -91,6 +91,38 @@ def acknowledged(batch: DataFrame) -> DataFrame:
     return batch.select(F.lit("shape.created").alias("key"), F.explode("resources").alias("resource"), "domain")
 
 
+class Dispatcher:
+    """What events ask of their domains, done for every micro-batch of a stream (the `work` of run_each).
+
+    domain: the domain of a name; resources and subdomains: the present tables (resource, tokens, domain, type) and (subdomain, uri).
+    The last order to train or destroy in a batch comes first, by time; then its domain's resources are shaped, unless it has just been
+    trained on them. A domain without a model is trained instead. Every action may be repeated, as a batch is after a lost driver.
+    Only names of domains reach the driver, not resources.
+    """
+
+    def __init__(self, domain: Callable, resources: Callable[[], DataFrame], subdomains: Callable[[], DataFrame] | None = None):
+        self.domain, self.resources, self.subdomains = domain, resources, subdomains
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        rows = routed(batch).where("action <> 'none'")
+        order = F.max_by("action", F.when(F.col("action") != "shape", F.struct("ts", "action")))
+        for row in rows.groupBy("domain").agg(order.alias("order")).orderBy("domain").collect():
+            d = self.domain(row.domain)
+            if row.order == "destroy":
+                d.delete()
+            elif row.order == "train" or not d.store.exists("topics"):
+                d.build(self.resources(), self.subdomains() if self.subdomains else None)
+            else:
+                self._shape(d, rows.where((F.col("domain") == row.domain) & (F.col("action") == "shape")))
+
+    def _shape(self, d, asked: DataFrame) -> None:
+        wanted = asked.where("key <> 'subdomain.added'").select("resource")
+        if self.subdomains:
+            inside = self.subdomains().join(asked.where("key = 'subdomain.added'").select(F.col("resource").alias("subdomain")), "subdomain", "left_semi")
+            wanted = wanted.union(inside.select("uri"))
+        d.shape(self.resources().where(F.col("domain") == d.name).join(wanted.distinct(), "resource", "left_semi"))
+
+
 def run_each(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     """Start a query that hands every micro-batch to `work`."""
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)

@@ -83,6 +83,18 @@ def test_domain(spark, tmp_path):
     d.shape(rows.where(F.col("resource") == uri).withColumn("tokens", F.lit("")))
     assert d.store.read("shapes").count() == before and d.store.read("events").count() == 1
     assert sum(d.store.read("shapes").where(F.col("uri") == uri).first().vector) == 0
+    assert d.similar_to(uri).isEmpty() and d.store.read("subgraph_nodes").where(F.col("uri") == uri).isEmpty()
+    d.shape(rows.where(F.col("resource") == uri).unionByName(rows.limit(3)))  # back again; what was refreshed equals what is formed anew
+    fresh = similarity.in_sector(d.store.read("subgraph_nodes"), both_ways=True)
+    pair = ["resource_uri_1", "resource_uri_2", "sector", F.round("score", 9)]
+    assert sorted(d.store.read("subgraph_edges").select(*pair).collect()) == sorted(fresh.select(*pair).collect())
+    assert d.store.read("similarities").count() == fresh.count() and d.store.read("distributions").count() == 122 * 4
+    means = {r.uri: r.vector for r in sectors.centroids(d.store.read("subgraph_nodes")).collect()}
+    kept = {r.uri: r.vector for r in d.store.read("centroids").collect()}
+    assert kept.keys() == means.keys() and all(kept[u] == pytest.approx(means[u]) for u in means)
+    assert d.store.read("clusters").count() == d.store.read("subgraph_nodes").count()
+    d.store.truncate("events")
+    d.store.append("events", spark.createDataFrame([("shape.created", uri, "")], "key string, resource string, time string"))
     assert d.compare_topics(d, 10).count() == 16
     assert d.item_of_document("nope") == ""
     assert '"id":"domains/d"' in d.announce() and d.store.read("events").count() == 2
@@ -107,6 +119,56 @@ def test_streaming_batches(spark, tmp_path):
     assert late and late[0].resources == ["r1"] and late[0].reason == "delay"
 
 
+def test_store_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create()
+    tags = lambda *rows: spark.createDataFrame(rows, "word string, score double")
+    assert store.read("tags").isEmpty()
+    store.append("tags", tags(("a", 1.0), ("b", 2.0)))
+    early = store.read("tags")
+    store.upsert("tags", tags(("b", 3.0), ("c", 4.0)))
+    assert early.count() == 2 and sorted(map(tuple, store.read("tags").collect())) == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
+    torn = tmp_path / "s" / "tags" / "v00000009"  # of a writer that was lost
+    torn.mkdir()
+    assert store.read("tags").count() == 3
+    store.write("tags", store.read("tags").where("score > 3"))
+    assert [r.word for r in store.read("tags").collect()] == ["c"] and not torn.exists()
+    store.truncate("tags")
+    assert not store.exists("tags")
+
+
+def test_dispatcher(spark, tmp_path):
+    class Fake:
+        def __init__(self, name):
+            self.name, self.store, self.did = name, self, []
+
+        def exists(self, _):
+            return self.name != "untrained"
+
+        def delete(self):
+            self.did.append("delete")
+
+        def build(self, rows, members):
+            self.did.append("build")
+
+        def shape(self, rows):
+            self.did.append(sorted(r.resource for r in rows.collect()))
+
+    got = {n: Fake(n) for n in ("a", "b", "c", "untrained")}
+    rows = spark.createDataFrame([(f"r{i}", "", n, "item") for n in got for i in range(5)], "resource string, tokens string, domain string, type string")
+    members = spark.createDataFrame([("s1", "r3"), ("s1", "r4"), ("s2", "r0")], "subdomain string, uri string")
+    sent = [
+        ("resource.added", "a", "r1", 1), ("item.updated", "a", "r1", 2), ("subdomain.added", "a", "s1", 3), ("domain.completed", "a", "a", 4),
+        ("domain.deleted", "b", "b", 1), ("domain.pending", "b", "b", 2), ("item.updated", "b", "r1", 3),
+        ("domain.pending", "c", "c", 1), ("domain.deleted", "c", "c", 2), ("resource.added", "untrained", "r1", 1),
+    ]
+    schema = "key string, domain string, resource string, ts long"
+    spark.createDataFrame(sent, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    E.run_each(stream, E.Dispatcher(got.__getitem__, lambda: rows, lambda: members), str(tmp_path / "cp")).awaitTermination(90)
+    assert {n: d.did for n, d in got.items()} == {"a": [["r1", "r3", "r4"]], "b": ["build"], "c": ["delete"], "untrained": ["build"]}
+
+
 def test_streaming_sessions(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("SELECT 'a' AS domain, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 10) AS ts FROM range(5) UNION ALL SELECT 'a', timestamp'2024-01-01 02:00:00'").coalesce(1).write.parquet(src)
