@@ -294,6 +294,15 @@ def js_pairs_in_sector(spark, sf_dir):
     return rows.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
 
 
+@query(f"""WITH {LINE_PAIRS}, b AS (SELECT uri_1, uri_2, score FROM p UNION ALL SELECT uri_2, uri_1, score FROM p)
+SELECT uri_1, uri_2, round(score, 6) AS score FROM b WHERE split_part(uri_1, '-', 2) = '2' OR split_part(uri_2, '-', 2) = '2'""")
+def changed_pairs(spark, sf_dir):
+    """The pairs, both ways, that a change of every order's second line renews."""
+    rows = lines_of(spark, sf_dir)
+    found = similarity.of_changed(rows, rows.where(F.split_part("uri", F.lit("-"), F.lit(2)) == "2"))
+    return found.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
+
+
 @query(f"""WITH {PAIRS}, b AS (SELECT uri_1, uri_2, score FROM p UNION ALL SELECT uri_2, uri_1, score FROM p)
 SELECT uri_2 AS uri, round(score, 6) AS score FROM b WHERE uri_1 = 'items/5' AND score >= 0.5 ORDER BY round(score, 9) DESC, uri_2 LIMIT 10""")
 def similar_to(spark, sf_dir):
