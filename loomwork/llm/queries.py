@@ -1,4 +1,4 @@
-"""The ten corpus operators as queries over their whole tables, and the SQL of those that SQL can express."""
+"""The thirteen corpus operators as queries over their whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import brown, decontam, html, iblt, langid, packing, pii, secrets, simhash, toxicity
+from loomwork.llm import brown, decontam, html, iblt, langid, packing, phrases, pieces, pii, prefixes, secrets, simhash, toxicity
 from loomwork.llm.base import id_hash, table
 
 
@@ -60,9 +60,21 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL}
+    return {"op3_decontamination": decontam.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op13_prefixes": prefixes.ORACLE_SQL}
