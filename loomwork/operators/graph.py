@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
+from loomwork.operators import paths, similarity
 from loomwork.plans.lineage import cut
 
 
@@ -116,9 +117,9 @@ def pagerank(edges: DataFrame, reset: float = 0.01, rounds: int = 20, start: flo
     return ranks
 
 
-def scored(paths: DataFrame, shapes: DataFrame) -> DataFrame:
-    """paths (nodes, ...) with node scores: 1.0, then the similarity of each node with the one before; sums and folds of them."""
-    steps = paths.select("nodes", F.posexplode("nodes").alias("pos", "uri"))
+def scored(found: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Paths (nodes, ...) with node scores: 1.0, then the similarity of each node with the one before; sums and folds of them."""
+    steps = found.select("nodes", F.posexplode("nodes").alias("pos", "uri"))
     vec = shapes.select("uri", "vector")
     named = steps.join(vec, "uri")
     before = named.select("nodes", (F.col("pos") + 1).alias("pos"), F.col("vector").alias("last"))
@@ -131,51 +132,53 @@ def scored(paths: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def two_level(
     shapes: DataFrame, members: DataFrame, in_sector: DataFrame, centres: DataFrame, start: str, end: str,
-    least: float = 0.5, max_length: int = 10, max_results: int = 10, types: list[str] | None = None,
+    least: float = 0.5, max_length: int = 10, max_results: int = 10, types: list[str] | None = None, weight: str = "score",
 ) -> DataFrame:
-    """A path of sectors first, then a path of resources inside the sectors on it and between neighbours.
+    """Paths of sectors first, then paths of resources inside the sectors on one of them and between neighbours.
 
-    shapes: uri, type, vector; members: uri, cluster; in_sector: similarities with `sector`; centres: uri, type, vector.
+    shapes: uri, type, vector; members: uri, cluster (a resource may be in several); in_sector: similarities with `sector`;
+    centres: uri, type, vector, where type is that of the resources whose mean it is, or `centroid` for all of a sector.
+    Sector ways are tried in order of weight, `max_results` of them, until one holds paths of resources: the `max_results` best of these
+    are returned, by `place`. With `types`, both the centroids of these types alone and the resources between the ends are used.
     """
-    from loomwork.operators import similarity
-
     spark = shapes.sparkSession
-    sector_of = {r.uri: r.cluster for r in members.where(F.col("uri").isin(start, end)).orderBy(F.desc("cluster")).collect()}
-    empty = spark.createDataFrame([], "nodes array<string>, scores array<double>, acc_score double, avg_score double, length int, cost double")
-    if start not in sector_of or end not in sector_of:
-        return empty
-    a, b = sector_of[start], sector_of[end]
-    way = [a]
-    if a != b:
-        between = similarity.of_centroids(centres).where(F.col("score") >= least / 2)
-        found = shortest(edges_of(between), str(a), str(b)).first()
-        if not found:
-            return empty
-        way = list(found.nodes)
-    inside = in_sector.where(F.col("sector").isin(way))
-    nodes = members.where(F.col("cluster").isin(way)).join(shapes, "uri")
+    of = {start: [], end: []}
+    for r in members.where(F.col("uri").isin(start, end)).distinct().collect():
+        of[r.uri].append(str(r.cluster))
+    empty = spark.createDataFrame([], "place int, nodes array<string>, scores array<double>, acc_score double, avg_score double, length int, cost double")
+    w = F.col("score") if weight == "score" else 1 - F.col("score")
+    between = sector_edges(centres, least / 2, types).select("src", "dst", w.alias("w"))
+    nodes = members.select("uri", F.col("cluster").cast("string").alias("sector")).join(shapes, "uri")
     if types:  # both ends of an edge; the ends of the path are asked for whatever their type
-        known = lambda n: F.col(f"resource_type_{n}").isin(types) | F.col(f"resource_uri_{n}").isin(start, end)
-        inside = inside.where(known(1) & known(2))
         nodes = nodes.where(F.col("type").isin(types) | F.col("uri").isin(start, end))
-    edges = edges_of(inside, least)
-    if len(way) > 1:
-        steps = spark.createDataFrame(list(zip(way[1:], way)), "sector string, other string")
-        sectored = nodes.select("uri", "type", "vector", F.col("cluster").cast("string").alias("sector"))
-        edges = edges.unionByName(edges_of(similarity.across(sectored, steps, least)))
-    path = shortest(edges, start, end).where(F.size("nodes") <= max_length).limit(max_results)
-    return scored(path, shapes).join(path, "nodes").select("nodes", "scores", "acc_score", "avg_score", "length", "cost")
-
-
-def ordered(paths: DataFrame) -> DataFrame:
+    known = lambda n: F.col(f"resource_type_{n}").isin(types) | F.col(f"resource_uri_{n}").isin(start, end)
+    for way in paths.in_order(between, of[start], of[end], max_results, max_length):
+        sectors_on = list(way.nodes)
+        inside = in_sector.where(F.col("sector").cast("string").isin(sectors_on))
+        edges = edges_of(inside.where(known(1) & known(2)) if types else inside, least)
+        if len(sectors_on) > 1:
+            steps = spark.createDataFrame(list(zip(sectors_on[1:], sectors_on)), "sector string, other string")
+            edges = edges.unionByName(edges_of(similarity.across(nodes.where(F.col("sector").isin(sectors_on)), steps, least)))
+        found = paths.several(edges.select("src", "dst", w.alias("w")), [start], [end], max_results, max_length)
+        if not found.isEmpty():
+            return scored(found, shapes).join(found, "nodes").select("place", "nodes", "scores", "acc_score", "avg_score", "length", "cost").orderBy("place")
+    return empty
+
+
+def sector_edges(centres: DataFrame, least: float, types: list[str] | None = None) -> DataFrame:
+    """Edges of sectors by their centroids of the wanted types (without any: of all resources); of several types the most alike counts."""
+    wanted = centres.where(F.col("type").isin(types) if types else F.col("type") == "centroid")
+    near = similarity.of_centroids(wanted).where(F.col("score") >= least)
+    return edges_of(near).groupBy("src", "dst").agg(F.max("score").alias("score"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
     """Several paths (length, acc_score, nodes): the shorter first, then the one whose scores sum to less, then by nodes."""
-    return paths.orderBy("length", F.round("acc_score", 9), "nodes")
+    return found.orderBy("length", F.round("acc_score", 9), "nodes")
 
 
 def between_centroids(centres: DataFrame, start: str, end: str, least: float, max_length: int = 10, max_results: int = 10, types: list[str] | None = None) -> DataFrame:
     """All paths of the least number of hops between two centroids over similarities > least, of the wanted types."""
-    from loomwork.operators import similarity
-
     near = similarity.of_centroids(centres.where(F.col("type").isin(types)) if types else centres)
     return bfs(edges_of(near, least), [start], [end], least, max_length, max_results)
 

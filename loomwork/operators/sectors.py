@@ -57,6 +57,11 @@ def centroids(sectored: DataFrame) -> DataFrame:
     return _means(sectored, ["sector"]).select(F.col("sector").cast("string").alias("uri"), F.lit("centroid").alias("type"), "vector")
 
 
+def typed_centroids(sectored: DataFrame) -> DataFrame:
+    """Mean vector of each sector and type: uri, type, vector."""
+    return _means(sectored, ["sector", "type"]).select(F.col("sector").cast("string").alias("uri"), "type", "vector")
+
+
 def centroids_by_type(sectored: DataFrame, ordinals: dict[str, int]) -> DataFrame:
     """Mean vector of each sector and type, with id (ordinal + 1) * 10000 + sector (numeric sectors)."""
     place = F.create_map(*(x for t, k in ordinals.items() for x in (F.lit(t), F.lit(k))))

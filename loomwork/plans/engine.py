@@ -59,9 +59,14 @@ class Domain:
         pairs = similarity.in_sector(sectored, both_ways=True)
         self.store.write("subgraph_edges", pairs)
         self.store.write("similarities", self.store.read("subgraph_edges"))
-        self.store.write("centroids", sectors.centroids(sectored))
+        self.store.write("centroids", self._centroids(sectored))
         self.store.write("centroid_similarities", similarity.of_centroids(self.store.read("centroids")))
 
+    @staticmethod
+    def _centroids(sectored: DataFrame) -> DataFrame:
+        """Of each sector: the mean of all resources (type `centroid`) and of each type of them."""
+        return sectors.centroids(sectored).unionByName(sectors.typed_centroids(sectored))
+
     def announce(self) -> str:
         """The message that the domain has been analysed, also kept among the events: name, id and time as JSON."""
         message = self.spark.range(1).select(
@@ -92,7 +97,7 @@ class Domain:
 
         All sectors are formed anew where there are none, more than `sectors.MOST_CENTRES`, or one of over twice the wanted size.
         """
-        centres = self.store.read("centroids")
+        centres = self.store.read("centroids").where("type = 'centroid'")
         if not 0 < centres.count() <= sectors.MOST_CENTRES:
             return self.relate()
         useful = changed.where(V.total(F.col("vector")) > 0)
@@ -111,7 +116,7 @@ class Domain:
             for end in ("resource_uri_1", "resource_uri_2"):
                 kept = kept.join(uris.select(F.col("uri").alias(end)), end, "left_anti")
             self.store.write(name, kept.select(*pairs.drop("sector").columns, *(c for c in kept.columns if c in ("sector", "date"))).unionByName(pairs, allowMissingColumns=True))
-        moved = sectors.centroids(nodes.join(touched, "sector", "left_semi"))
+        moved = self._centroids(nodes.join(touched, "sector", "left_semi"))
         self.store.replace("centroids", touched.select(F.col("sector").alias("uri")), moved)
         self.store.write("centroid_similarities", similarity.of_centroids(self.store.read("centroids")))
 
@@ -143,7 +148,7 @@ class Domain:
         return similarity.between(self.store.read("shapes"), a, b)
 
     def path(self, start: str, end: str, criteria: Criteria = Criteria(), max_length: int = 10) -> DataFrame:
-        """Two-level search between resources."""
+        """The best ways between two resources, by `place`: two-level search."""
         nodes = self.store.read("subgraph_nodes")
         return graph.two_level(
             nodes.select("uri", "type", "vector"), sectors.membership(nodes), self.store.read("subgraph_edges"), self.store.read("centroids"),

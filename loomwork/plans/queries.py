@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
 from loomwork.functions import vectors as V
-from loomwork.operators import compare, corpus, distributions, graph, sectors, shapes, similarity, tags, topics
+from loomwork.operators import compare, corpus, distributions, graph, paths, sectors, shapes, similarity, tags, topics
 from loomwork.plans.config import Config, Criteria
 from loomwork.plans.lineage import cut
 from loomwork.streaming import events as E
@@ -585,8 +585,8 @@ CAST(len(nodes) AS INTEGER) AS length, round(list_sum(scores), 6) AS acc_score,
 FROM way WHERE hops = (SELECT min(hops) FROM way) AND len(nodes) <= 5 ORDER BY len(nodes), round(list_sum(scores), 9), nodes LIMIT 25""")
 def path_scores(spark, sf_dir):
     """Several paths with their scores, in order, of a bounded length."""
-    paths = trade_ways(spark, sf_dir).select("nodes", F.size("nodes").alias("length"), V.total(F.col("scores")).alias("acc_score"), V.pairwise_fold(F.col("scores")).alias("avg_score"))
-    best = graph.ordered(paths.where(F.col("length") <= 5)).limit(25)
+    ways = trade_ways(spark, sf_dir).select("nodes", F.size("nodes").alias("length"), V.total(F.col("scores")).alias("acc_score"), V.pairwise_fold(F.col("scores")).alias("avg_score"))
+    best = graph.ordered(ways.where(F.col("length") <= 5)).limit(25)
     return best.select(X.path_text(F.col("nodes")).alias("text"), "length", r6("acc_score").alias("acc_score"), r6("avg_score").alias("avg_score"))
 
 
@@ -630,8 +630,29 @@ def two_level_path(spark, sf_dir):
     rows = bounded(spark, sf_dir, 200)
     ends = rows.agg(F.min("uri").alias("a"), F.max("uri").alias("b")).first()
     pairs = similarity.in_sector(rows, both_ways=True)
-    found = graph.two_level(rows.drop("sector"), sectors.membership(rows), pairs, sectors.centroids(rows), ends.a, ends.b, least=0.2, types=["item"])
-    return found.select(F.concat_ws(",", "nodes").alias("path"), "length", r6("cost").alias("cost"), r6("acc_score").alias("acc_score"))
+    centres = sectors.centroids(rows).unionByName(sectors.typed_centroids(rows))
+    found = graph.two_level(rows.drop("sector"), sectors.membership(rows), pairs, centres, ends.a, ends.b, least=0.2, max_results=2, types=["item"])
+    return found.select("place", F.concat_ws(",", "nodes").alias("path"), "length", r6("cost").alias("cost"), r6("acc_score").alias("acc_score"))
+
+
+FAR = "parts/1"
+
+
+def _several(steps: int, most: int) -> str:
+    """All loopless ways of at most so many steps, the best of them."""
+    out = f"WITH {TRADE}, w0 AS (SELECT '{START}' AS node, ['{START}'] AS nodes, 0::DOUBLE AS cost)"
+    for k in range(steps):
+        out += f", w{k + 1} AS (SELECT dst AS node, list_append(nodes, dst) AS nodes, cost + score AS cost FROM w{k} JOIN edges ON src = node AND score > {LEAST} WHERE NOT list_contains(nodes, dst) AND node <> '{FAR}')"
+    union = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, steps + 1))
+    return out + f""", best AS (SELECT nodes, cost, row_number() OVER (ORDER BY round(cost, 9), len(nodes), nodes) AS place FROM ({union}) WHERE node = '{FAR}')
+SELECT CAST(place AS INTEGER) AS place, array_to_string(nodes, ',') AS path, round(cost, 6) AS cost FROM best WHERE place <= {most}"""
+
+
+@query(_several(3, 5))
+def several_paths(spark, sf_dir):
+    """The five best loopless ways of at most three steps from a supplier to a part (one step only if the supplier delivers it), in order."""
+    edges = graph.usable(trade_graph(spark, sf_dir), LEAST).select("src", "dst", F.col("score").alias("w"))
+    return paths.several(edges, [START], [FAR], 5, 4).select("place", F.concat_ws(",", "nodes").alias("path"), r6("cost").alias("cost"))
 
 
 @query(f"""WITH {CENTRES}, ce AS (SELECT CAST(a.label AS VARCHAR) AS src, CAST(b.label AS VARCHAR) AS dst, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score FROM ch a JOIN ch b ON a.label <> b.label),
