@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
@@ -14,6 +14,17 @@ from loomwork.plans.lineage import cut
 from loomwork.sources.store import Store, forget_models
 
 
+# Stages of a build in their order, and the event that says a stage is done.
+STAGES = (
+    ("model", "model.trained"), ("tags", "tags.generated"), ("shapes", "shapes.created"), ("subdomains", "subdomain.shapes.created"),
+    ("distributions", "distributions.created"), ("similarities", "similarities.created"),
+)
+
+
+def _now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ")
+
+
 @dataclass
 class Domain:
     spark: SparkSession
@@ -24,24 +35,38 @@ class Domain:
     def build(self, resources: DataFrame, subdomains: DataFrame | None = None) -> None:
         """Train on items, shape items and parts, then subdomains, distributions, tags, annotations and similarities.
 
-        resources: resource, tokens, domain, type; subdomains: subdomain, uri.
+        resources: resource, tokens, domain, type; subdomains: subdomain, uri. The stages of STAGES one after the other;
+        streaming.chain runs the same ones by events.
         """
+        for name, _ in STAGES:
+            self.stage(name, resources, subdomains)
+
+    def stage(self, name: str, resources: DataFrame, subdomains: DataFrame | None = None) -> None:
+        """One stage of a build. It writes tables of its own from those of the stages before, so it may be repeated."""
+        {
+            "model": lambda: self.train(resources), "tags": self.tag, "shapes": self.shape_all, "subdomains": lambda: self.shape_subdomains(subdomains),
+            "distributions": self.distribute, "similarities": self.relate,
+        }[name]()
+
+    def train(self, resources: DataFrame) -> None:
         self.store.create()
         forget_models()
-        rows = corpus.filled(resources.where(F.col("domain") == self.name))
-        self.store.write("corpus", rows)
-        rows = self.store.read("corpus")
-        items = rows.where(F.col("type") == "item")
+        self.store.write("corpus", corpus.filled(resources.where(F.col("domain") == self.name)))
+        items = self.store.read("corpus").where(F.col("type") == "item")
         model = topics.train(items, topics.choose(items, self.config), self.config)
         self.store.save_model(model)
-        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("date")
-        self.store.write("topics", topics.describe(model, self.name, self.config.words_per_topic).withColumn("date", now))
+        self.store.write("topics", topics.describe(model, self.name, self.config.words_per_topic).withColumn("date", _now()))
+
+    def tag(self) -> None:
         self.store.write("tags", tags.of_domain(self.store.read("topics")))
-        self.store.write("shapes", topics.infer(model, rows.where(F.col("type").isin("item", "part"))).withColumn("date", now))
+
+    def shape_all(self) -> None:
+        rows = self.store.read("corpus").where(F.col("type").isin("item", "part"))
+        self.store.write("shapes", topics.infer(self.store.load_model(), rows).withColumn("date", _now()))
+
+    def shape_subdomains(self, subdomains: DataFrame | None) -> None:
         if subdomains is not None:
-            self.store.append("shapes", shapes.of_subdomains(subdomains, self.store.read("shapes")).withColumn("date", now))
-        self.distribute()
-        self.relate()
+            self.store.upsert("shapes", cut(shapes.of_subdomains(subdomains, self.store.read("shapes").where("type <> 'domain'")).withColumn("date", _now())))
 
     def distribute(self) -> None:
         table, own = self.store.read("topics"), self.store.read("shapes")

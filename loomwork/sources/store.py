@@ -33,9 +33,10 @@ SCHEMAS = {
     "subgraph_nodes": "uri string, type string, vector array<double>, sector string",
     "subgraph_edges": "resource_uri_1 string, resource_uri_2 string, score double, resource_type_1 string, resource_type_2 string, sector string",
     "events": "key string, resource string, time string",
+    "progress": "domain string, version long, stage string",
 }
 PARTITIONED = {"subgraph_nodes": ["sector"], "subgraph_edges": ["sector"], "shapes_by_topic": ["topic", "type"]}
-KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"]}
+KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"], "progress": ["domain", "version", "stage"]}
 
 
 @dataclass

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from loomwork.plans.shipping import ship
 
@@ -86,6 +87,66 @@ def routed(events: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     return waits.withColumn("action", F.when((F.col("action") == "shape") & F.col("p").isNotNull(), "train").otherwise(F.col("action"))).drop("p")
 
 
+HELD = "domain string, action string, key string, resource string, ts timestamp"
+
+
+class _Pending(StatefulProcessor):
+    """State of a domain: events (as of their own time) up to which it is trained, and up to which a training is awaited."""
+
+    def __init__(self, delay_ms: int):
+        self.delay = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "trained timestamp, asked timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        trained, asked = self.times.get() if self.times.exists() else (None, None)
+        out, newest = [], asked
+        for e in pd.concat(rows).sort_values(["ts", "key", "resource"]).itertuples(index=False):
+            action = ACTIONS.get(e.key, "none")
+            late = trained is not None and e.ts <= pd.Timestamp(trained)  # the last training has taken it in
+            if action == "destroy":
+                trained = asked = newest = None
+                out.append((key[0], action, e.key, e.resource, e.ts))
+            elif action == "train" and not late:
+                newest = e.ts if newest is None else max(pd.Timestamp(newest), e.ts)
+            elif action == "shape" and not late and newest is None:
+                out.append((key[0], action, e.key, e.resource, e.ts))  # else the training that is awaited takes it in
+        if newest != asked or newest is None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if newest is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay)
+        self.times.update((_plain(trained), _plain(newest)))
+        yield pd.DataFrame(out, columns=["domain", "action", "key", "resource", "ts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, asked = self.times.get()
+        self.times.update((asked, None))
+        yield pd.DataFrame([(key[0], "train", "domain.pending", None, asked)], columns=["domain", "action", "key", "resource", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(ts):
+    return ts.to_pydatetime() if isinstance(ts, pd.Timestamp) else ts
+
+
+def held(events: DataFrame, delay_ms: int = 30_000) -> DataFrame:
+    """events (key, domain, resource, ts; a stream) -> what is due: domain, action, key, resource, ts.
+
+    An order to train is held back until `delay_ms` have passed without a newer one; each newer one restarts the delay. Shaping gives
+    way to a training that is awaited. Events no newer than the last training are late or repeated and do nothing; so does a repeated order while
+    its training is awaited. An order to destroy is due at once and calls off the training. The state of a domain is two times.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    ship(events.sparkSession)
+    rows = events.select("domain", "key", "resource", "ts")
+    return rows.groupBy("domain").transformWithStateInPandas(_Pending(delay_ms), HELD, "append", "processingTime")
+
+
 def acknowledged(batch: DataFrame) -> DataFrame:
     """A shape.created event for each resource of a passed-on batch."""
     return batch.select(F.lit("shape.created").alias("key"), F.explode("resources").alias("resource"), "domain")
@@ -97,19 +158,23 @@ class Dispatcher:
     domain: the domain of a name; resources and subdomains: the present tables (resource, tokens, domain, type) and (subdomain, uri).
     The last order to train or destroy in a batch comes first, by time; then its domain's resources are shaped, unless it has just been
     trained on them. A domain without a model is trained instead. Every action may be repeated, as a batch is after a lost driver.
-    Only names of domains reach the driver, not resources.
+    Only names of domains reach the driver, not resources. Rows of held() have their action already.
+
+    chain: where it is given (streaming.chain), a build is begun there and goes on by events of its own; the number of the batch is its version.
     """
 
-    def __init__(self, domain: Callable, resources: Callable[[], DataFrame], subdomains: Callable[[], DataFrame] | None = None):
-        self.domain, self.resources, self.subdomains = domain, resources, subdomains
+    def __init__(self, domain: Callable, resources: Callable[[], DataFrame], subdomains: Callable[[], DataFrame] | None = None, chain=None):
+        self.domain, self.resources, self.subdomains, self.chain = domain, resources, subdomains, chain
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = routed(batch).where("action <> 'none'")
+        rows = (batch if "action" in batch.columns else routed(batch)).where("action <> 'none'")
         order = F.max_by("action", F.when(F.col("action") != "shape", F.struct("ts", "action")))
         for row in rows.groupBy("domain").agg(order.alias("order")).orderBy("domain").collect():
             d = self.domain(row.domain)
             if row.order == "destroy":
                 d.delete()
+            elif self.chain and (row.order == "train" or not d.store.exists("topics")):
+                self.chain.begin(row.domain, number)
             elif row.order == "train" or not d.store.exists("topics"):
                 d.build(self.resources(), self.subdomains() if self.subdomains else None)
             else:
