@@ -102,8 +102,11 @@ class Domain:
         self.store.append("events", row)
         return row.first().json
 
-    def shape(self, resources: DataFrame) -> None:
-        """New or changed resources: shaped by the stored model; distributions, tags and similarities follow for these alone."""
+    def shape(self, resources: DataFrame, batch: str | None = None) -> None:
+        """New or changed resources: shaped by the stored model; distributions, tags and similarities follow for these alone.
+
+        What is written grows with their sectors, not with the corpus. batch: a name under which the events of a repeated call count once.
+        """
         rows = cut(corpus.filled(resources))
         uris = rows.select(F.col("resource").alias("uri")).distinct()
         self.store.upsert("corpus", rows)
@@ -115,7 +118,7 @@ class Domain:
         self.store.replace("annotations", gone, distributions.annotations(self.store.read("distributions").join(gone, "resource_uri", "left_semi"), table))
         self.store.replace("shapes_by_topic", uris, shapes.dominant(changed).where("topic is not null"))
         self._relate_changed(changed, uris)
-        self.store.append("events", changed.select(F.lit("shape.created").alias("key"), F.col("uri").alias("resource"), F.col("date").alias("time")))
+        self.store.append("events", changed.select(F.lit("shape.created").alias("key"), F.col("uri").alias("resource"), F.col("date").alias("time")), batch)
 
     def _relate_changed(self, changed: DataFrame, uris: DataFrame) -> None:
         """Changed shapes join the sector of the nearest centroid and meet its rows; other pairs stay.
@@ -136,14 +139,16 @@ class Domain:
             return self.relate()
         self.store.replace("clusters", uris, nodes.join(uris, "uri", "left_semi").join(numbers, "sector"))
         pairs = cut(similarity.of_changed(nodes, uris))
+        ends = [uris.select(F.col("uri").alias(f"resource_uri_{n}")) for n in (1, 2)]
         for name in ("subgraph_edges", "similarities"):
-            kept = self.store.read(name)
-            for end in ("resource_uri_1", "resource_uri_2"):
-                kept = kept.join(uris.select(F.col("uri").alias(end)), end, "left_anti")
-            self.store.write(name, kept.select(*pairs.drop("sector").columns, *(c for c in kept.columns if c in ("sector", "date"))).unionByName(pairs, allowMissingColumns=True))
+            self.store.replace(name, ends, pairs)
         moved = self._centroids(nodes.join(touched, "sector", "left_semi"))
-        self.store.replace("centroids", touched.select(F.col("sector").alias("uri")), moved)
-        self.store.write("centroid_similarities", similarity.of_centroids(self.store.read("centroids")))
+        moved = cut(moved)
+        gone = touched.select(F.col("sector").alias("uri"))
+        self.store.replace("centroids", gone, moved)
+        centres = self.store.read("centroids").withColumn("sector", F.col("type"))
+        near = cut(similarity.of_changed(centres, gone).drop("sector"))
+        self.store.replace("centroid_similarities", [gone.select(F.col("uri").alias(f"resource_uri_{n}")) for n in (1, 2)], near)
 
     def relevant_resources(self, topic_uri: str, criteria: Criteria = Criteria()) -> DataFrame:
         return distributions.relevant_resources(self.store.read("distributions"), topic_uri, criteria)

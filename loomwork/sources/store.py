@@ -4,6 +4,11 @@ Schemas are declared, never inferred. Sector sub-graphs are partitioned by
 sector, so reading one sector prunes to its folder. A table is a folder of
 versions; the last one that Spark has marked as complete counts, so a writer
 lost at any time leaves the version before. That one is kept for its readers.
+
+A small change does not write a version but a delta beside it: the keys of the
+rows that go and the rows that come. Readers merge a version with its complete
+deltas in their order. When these are many or large, the next change writes a new version.
+A delta of a batch has the batch's name, so a batch that is repeated adds nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ SCHEMAS = {
 PARTITIONED = {"subgraph_nodes": ["sector"], "subgraph_edges": ["sector"], "shapes_by_topic": ["topic", "type"]}
 KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"], "progress": ["domain", "version", "stage"]}
 
+#: Deltas of a version before the next change merges them, by number and by size (then as large as the version, and so many bytes at least).
+MOST_DELTAS, LEAST_BYTES = 16, 1 << 20
+
 
 @dataclass
 class Store:
@@ -52,18 +60,38 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.root)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self, name: str) -> list[int]:
-        """Numbers of all versions of a table, complete or not, ascending."""
+    def _folders(self, name: str) -> list[str]:
         fs, path = self._fs()
         top = path(self.path(name))
-        return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(top)) if fs.exists(top) else []
+        return sorted(f.getPath().getName() for f in fs.listStatus(top)) if fs.exists(top) else []
+
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of all versions of a table, complete or not, ascending."""
+        return [int(f[1:]) for f in self._folders(name) if "." not in f]
 
     def _version_path(self, name: str, version: int) -> str:
         return f"{self.path(name)}/v{version:08d}"
 
+    def _complete(self, folder: str) -> bool:
+        fs, path = self._fs()
+        return fs.exists(path(f"{folder}/_SUCCESS"))
+
     def _current(self, name: str) -> int | None:
+        return next((v for v in reversed(self._versions(name)) if self._complete(self._version_path(name, v))), None)
+
+    def _deltas(self, name: str, version: int) -> list[str]:
+        """Complete deltas of a version, in their order."""
+        first = f"v{version:08d}."
+        return [f for f in (f"{self.path(name)}/{x}" for x in self._folders(name) if x.startswith(first)) if self._complete(f"{f}/come")]
+
+    def bytes(self, name: str, deltas: bool | None = None) -> int:
+        """Size of the present version with its deltas, or of its deltas alone (True), or of itself alone (False)."""
         fs, path = self._fs()
-        return next((v for v in reversed(self._versions(name)) if fs.exists(path(f"{self._version_path(name, v)}/_SUCCESS"))), None)
+        version = self._current(name)
+        if version is None:
+            return 0
+        wanted = ([] if deltas else [self._version_path(name, version)]) + ([] if deltas is False else self._deltas(name, version))
+        return sum(fs.getContentSummary(path(f)).getLength() for f in wanted)
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -73,41 +101,67 @@ class Store:
         version = self._current(name)
         if version is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self._version_path(name, version))
+        of = lambda folder: self.spark.read.schema(SCHEMAS[name]).parquet(folder)
+        out = of(self._version_path(name, version))
+        columns = out.columns
+        for delta in self._deltas(name, version):
+            k = 0
+            while self._complete(f"{delta}/go{k}"):
+                gone = self.spark.read.parquet(f"{delta}/go{k}")
+                out = out.join(gone, gone.columns, "left_anti")
+                k += 1
+            out = out.select(*columns).unionByName(of(f"{delta}/come").select(*columns))
+        return out
 
     def _conform(self, name: str, df: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
         return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
 
-    def _save(self, name: str, df: DataFrame, version: int, mode: str) -> None:
+    def _save(self, name: str, df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
         keys = PARTITIONED.get(name, [])
         out = self._conform(name, df)
         if keys:
             out = out.hint("rebalance", *keys)  # the rows of a common key go to as many tasks as their size asks for
         marked = out.write.mode(mode).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
-        marked.partitionBy(*keys).parquet(self._version_path(name, version))
+        marked.partitionBy(*keys).parquet(folder)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version; df may read the table itself. Versions before the last complete one go."""
-        before, known = self._current(name), self._versions(name)
-        self._save(name, df, known[-1] + 1 if known else 0, "errorifexists")
+        """A new version; df may read the table itself. Versions before the last complete one go, with their deltas."""
+        before, known = self._current(name), self._folders(name)
+        last = max((int(f[1:9]) for f in known), default=-1)
+        self._save(name, df, self._version_path(name, last + 1))
         fs, path = self._fs()
-        for v in known:
-            if v != before:
-                fs.delete(path(self._version_path(name, v)), True)
+        for f in known:
+            if before is None or not f.startswith(f"v{before:08d}"):
+                fs.delete(path(f"{self.path(name)}/{f}"), True)
+
+    def append(self, name: str, df: DataFrame, batch: str | None = None) -> None:
+        """Rows join the table, all or none; those of a batch (its name, where given) once, as long as its delta is not merged."""
+        self.change(name, [], df, batch)
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def replace(self, name: str, gone: DataFrame | list[DataFrame], new: DataFrame) -> None:
+        """The rows that match `gone` (or any of these) in all its columns leave the table, those of `new` join it; the others stay, and stay where they are."""
+        self.change(name, [g.distinct() for g in (gone if isinstance(gone, list) else [gone])], new)
+
+    def change(self, name: str, gone: list[DataFrame], new: DataFrame, batch: str | None = None) -> None:
         version = self._current(name)
         if version is None:
-            self.write(name, df)
-        else:
-            self._save(name, df, version, "append")
-
-    def replace(self, name: str, gone: DataFrame, new: DataFrame) -> None:
-        """The rows that match `gone` in all its columns leave the table, those of `new` join it; the others stay."""
-        new = self._conform(name, new)
-        old = self.read(name).join(gone.distinct(), gone.columns, "left_anti").select(*new.columns)
-        self.write(name, old.unionByName(new))
+            return self.write(name, new)
+        fs, path = self._fs()
+        first = self._version_path(name, version)
+        taken = [f for f in self._folders(name) if f.startswith(f"v{version:08d}.")]
+        if batch is not None and any(f.endswith(f".{batch}") and self._complete(f"{self.path(name)}/{f}/come") for f in taken):
+            return None
+        number = max((int(f.split(".")[1]) for f in taken), default=-1) + 1
+        folder = f"{first}.{number:06d}" + (f".{batch}" if batch is not None else "")
+        for k, g in enumerate(gone):
+            g.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{folder}/go{k}")
+        self._save(name, new, f"{folder}/come")  # complete with this, the last of its files
+        deltas = self._deltas(name, version)
+        size = lambda f: fs.getContentSummary(path(f)).getLength()
+        if len(deltas) >= MOST_DELTAS or sum(map(size, deltas)) > max(LEAST_BYTES, size(first)):
+            self.write(name, self.read(name))
+        return None
 
     def upsert(self, name: str, df: DataFrame) -> None:
         """Rows of df replace those of the same key; the others stay."""

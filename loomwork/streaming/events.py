@@ -178,14 +178,14 @@ class Dispatcher:
             elif row.order == "train" or not d.store.exists("topics"):
                 d.build(self.resources(), self.subdomains() if self.subdomains else None)
             else:
-                self._shape(d, rows.where((F.col("domain") == row.domain) & (F.col("action") == "shape")))
+                self._shape(d, rows.where((F.col("domain") == row.domain) & (F.col("action") == "shape")), f"batch{number}")
 
-    def _shape(self, d, asked: DataFrame) -> None:
+    def _shape(self, d, asked: DataFrame, batch: str) -> None:
         wanted = asked.where("key <> 'subdomain.added'").select("resource")
         if self.subdomains:
             inside = self.subdomains().join(asked.where("key = 'subdomain.added'").select(F.col("resource").alias("subdomain")), "subdomain", "left_semi")
             wanted = wanted.union(inside.select("uri"))
-        d.shape(self.resources().where(F.col("domain") == d.name).join(wanted.distinct(), "resource", "left_semi"))
+        d.shape(self.resources().where(F.col("domain") == d.name).join(wanted.distinct(), "resource", "left_semi"), batch)
 
 
 def run_each(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from loomwork.operators import corpus, graph, sectors, shapes, similarity, topics
 from loomwork.plans.config import Config, Criteria
 from loomwork.plans.engine import Domain
-from loomwork.sources.store import Store
+from loomwork.sources import store as store_module
+from loomwork.sources.store import SCHEMAS, Store
 from loomwork.streaming import events as E
 
 
@@ -151,7 +152,7 @@ def test_dispatcher(spark, tmp_path):
         def build(self, rows, members):
             self.did.append("build")
 
-        def shape(self, rows):
+        def shape(self, rows, batch=None):
             self.did.append(sorted(r.resource for r in rows.collect()))
 
     got = {n: Fake(n) for n in ("a", "b", "c", "untrained")}
@@ -194,7 +195,7 @@ def test_paths_keep_to_the_wanted_types(spark):
     sectored = shapes_.withColumn("sector", F.lit("0"))
     pairs = similarity.in_sector(sectored, both_ways=True)
     one = lambda **k: [r.nodes for r in graph.two_level(shapes_, sectors.membership(sectored), pairs, sectors.centroids(sectored), "a", "d", least=0.8, **k).collect()]
-    assert one() == [["a", "c", "d"]] or one() == [["a", "b", "d"]]
+    assert {("a", "c", "d"), ("a", "b", "d")} <= set(map(tuple, one())) and one(max_results=1) == one()[:1]
     assert one(types=["item"]) == [["a", "c", "d"]] and one(types=["part"]) in ([["a", "b", "d"]], [])
     assert graph.across_joined_sectors(sectored.unionByName(sectored.withColumn("sector", F.lit("1"))), pairs.unionByName(pairs.withColumn("sector", F.lit("1"))), ["0", "1"], "a", "d", 0.8).first().nodes[0] == "a"
 
@@ -202,3 +203,44 @@ def test_paths_keep_to_the_wanted_types(spark):
 def test_sector_numbers_are_dense(spark):
     rows = spark.createDataFrame([("x", "Aa"), ("y", "BB"), ("z", "Aa")], "uri string, sector string")  # their hashes collide
     assert {(r.uri, r.cluster) for r in sectors.numbered(rows).collect()} == {("x", 0), ("z", 0), ("y", 1)}
+
+
+def test_small_changes_are_deltas(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create()
+    corpus = spark.range(30_000).select(F.concat(F.lit("r"), "id").alias("resource"), F.sha2(F.col("id").cast("string"), 256).alias("tokens"), F.lit("d").alias("domain"), F.lit("item").alias("type"))
+    store.write("corpus", corpus)
+    base, early = store.bytes("corpus", deltas=False), store.read("corpus")
+    for k in range(5):
+        store.upsert("corpus", spark.createDataFrame([(f"r{k}", "new", "d", "item"), (f"s{k}", "new", "d", "item")], SCHEMAS["corpus"]))
+    assert store.bytes("corpus", deltas=False) == base and store.bytes("corpus", deltas=True) < base / 20
+    assert early.count() == 30_000 and early.where("tokens = 'new'").isEmpty()  # its readers are unharmed
+    now = store.read("corpus")
+    assert now.count() == 30_005 and now.where("tokens = 'new'").count() == 10 and now.groupBy("resource").count().where("count > 1").isEmpty()
+    torn = [p for p in (tmp_path / "s" / "corpus").glob("v*.000004*/come/_SUCCESS")]
+    assert len(torn) == 1
+    torn[0].unlink()  # a writer that was lost before the end of its delta
+    assert store.read("corpus").count() == 30_004
+    store.upsert("corpus", spark.createDataFrame([("r4", "again", "d", "item")], SCHEMAS["corpus"]))
+    assert store.read("corpus").count() == 30_004 and store.read("corpus").where("resource = 'r4'").first().tokens == "again"
+
+
+def test_deltas_are_merged_and_batches_count_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_DELTAS", 4)
+    store = Store(spark, str(tmp_path / "s"))
+    store.create()
+    event = lambda x: spark.createDataFrame([("k", x, "")], SCHEMAS["events"])
+    store.append("events", event("a"), "batch0")
+    for _ in range(2):
+        store.append("events", event("b"), "batch1")
+    assert sorted(r.resource for r in store.read("events").collect()) == ["a", "b"]
+    for x in "cdefg":
+        store.append("events", event(x))
+    assert sorted(r.resource for r in store.read("events").collect()) == list("abcdefg")
+    assert len(list((tmp_path / "s" / "events").glob("v*.*"))) < 8 and store._current("events") > 0
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    edges = spark.createDataFrame([(x, y, 0.5, "item", "item", "0") for x, y in pairs], SCHEMAS["subgraph_edges"])
+    store.write("subgraph_edges", edges)
+    ends = [spark.createDataFrame([("a",)], f"resource_uri_{n} string") for n in (1, 2)]
+    store.replace("subgraph_edges", ends, edges.where("resource_uri_2 = 'b'"))
+    assert sorted(r[:2] for r in store.read("subgraph_edges").collect()) == [("a", "b"), ("b", "c")]
