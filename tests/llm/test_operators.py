@@ -42,13 +42,15 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     pages = [(1, "u", None), (2, None, ""), (None, "u", "plain"), (4, "u", "<p>" * 3000 + "deep"), (4, "u", "<div><script>x"), (5, "u", "<article><p>" + "word, " * 9000 + "</article>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{top}/pages.parquet")
+    turns = [(1, 1, "u", "hi"), (1, 1, "u", "hi"), (2, None, None, None), (None, 1, "u", "x"), (6, 1, "u", LONG), (6, 2, "a", "")]
+    spark.createDataFrame([(*t, "e") for t in turns], "conv_id long, turn long, role string, text string, node string").write.parquet(f"{top}/conversations.parquet")
     return str(top)
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("empty")
-    for name, ddl in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, ddl in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], ddl).write.parquet(f"{top}/{name}.parquet")
     return str(top)
 
@@ -59,6 +61,11 @@ def test_awkward_rows(spark, awkward, name):
     if name.startswith("op7"):
         assert len(rows) == 6 and (rows.text.str.len() == rows.n_chars).all()
         assert set(rows.text) >= {"", "plain", "deep", ("word, " * 9000).strip()}
+    elif name.startswith("op11"):
+        assert rows.columns.tolist() == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and "lorem ipsum dolor sit" not in set(rows.phrase) - set(rows[rows.lang == "la"].phrase)
+        assert (rows[rows.lang == "la"].n == 200_000).all() and len(rows[rows.lang == "la"])
+    elif name.startswith("op13"):
+        assert rows[rows.depth == 0].n_convs.tolist() == [3]
     elif name.startswith("op5"):
         assert rows.length.sum() == sum(len(packing.public_encoder()(t or "")) + 1 for _, t, _ in AWKWARD)
     else:
