@@ -17,6 +17,11 @@ those of the publicly known readability scoring.
 Inside an article or main element, or a block named as content, a class name
 counts only if all its parts do (`social-share`, not `social-history`).
 
+A form, fieldset or block left out by its name is taken back where it holds over
+five times the points of all that is kept (a form around the page, a post marked
+`tag-...`); reader comments only where nothing else has points. Headings and
+sections beside the best block stay.
+
 Defined cases: null or empty html gives an empty text; without any points the
 article, main or body element with the most text is taken, and without body
 the page; of equal points the first block wins; unclosed elements end with their
@@ -70,6 +75,8 @@ CONTENT = frozenset("article body content entry main post story text".split())
 WITHOUT = frozenset("has have hide is no with without".split())  # "has-sidebar" is not a sidebar
 # Inline elements with such names are left out.
 NAMED_OUT_INLINE = frozenset("ad ads adslot advert adverts advertisement advertising popup promo promoted share sharing skip sponsor sponsored".split())
+# Names of reader comments.
+TALKS = frozenset("comment comments commentlist disqus replies respond responses".split())
 # Parts of names that say nothing of the content.
 NEUTRAL = frozenset(
     "a above all area articles bar below block body bottom box btn button buttons card center col column container content cta desktop end entry feed first float form frame"
@@ -78,15 +85,17 @@ NEUTRAL = frozenset(
     " stories text the title to top ui unit up user view wide wrap wrapper x zone article story".split()
 )
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 LONG_ENOUGH = 25
 
 
 class Block:
-    __slots__ = ("tag", "parent", "children", "dropped", "article", "inside", "content", "own", "links", "chars", "link_chars", "points", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "dropped", "article", "inside", "content", "own", "links", "chars", "link_chars", "points", "total")
 
-    def __init__(self, tag: str, parent: Block | None, dropped: bool, content: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Block | None, mark: int, content: bool = False):
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.dropped = mark > 0 or parent is not None and parent.dropped
         self.children: list = []  # blocks and strings (inline text), in page order
         self.article = tag == "article" or parent is not None and parent.article
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
@@ -126,15 +135,20 @@ def _out(parts: list[str], strict: bool, article: bool = False) -> bool:
     return not strict or all(p in NAMED_OUT or p in NAMED_OUT_UNLESS_CONTENT or p in NEUTRAL or p.isdigit() and len(p) < 4 for p in own)
 
 
-def _unwanted(tag: str, found: dict[str, str], parent: Block) -> bool:
-    """Whether a block element is no part of the main text."""
+# Why a block is left out: it may be taken back, holds comments, or is out for good.
+MAYBE, TALK, NEVER = 1, 2, 3
+
+
+def _unwanted(tag: str, found: dict[str, str], parent: Block) -> int:
+    """0, or why a block element is no part of the main text."""
     if tag in DROPPED:
-        return not (tag == "header" and parent.article)
+        return 0 if tag == "header" and parent.inside else MAYBE if tag in ("form", "fieldset") and not _hidden(found) else NEVER
     if not found or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if _hidden(found) or found.get("role", "").lower() in ROLES:
-        return True
-    return any(_out(parts, parent.content, parent.article) for parts in _parts(found))
+        return MAYBE if not _hidden(found) and found["role"].lower() == "form" else NEVER
+    named = [set(parts) for parts in _parts(found) if _out(parts, parent.content, parent.article)]
+    return 0 if not named else TALK if any(parts & TALKS for parts in named) else MAYBE
 
 
 def _unwanted_inline(found: dict[str, str]) -> bool:
@@ -144,7 +158,7 @@ def _unwanted_inline(found: dict[str, str]) -> bool:
 
 def parse(html: str) -> Block:
     """The tree of block elements; strings among the children are (decoded text, inside a link)."""
-    root = Block("#root", None, False)
+    root = Block("#root", None, 0)
     cur, link, at = root, 0, 0
     open_: dict[str, int] = {}  # how many elements of a kind are open
     veil: list | None = None  # an inline element that is left out: its tag, how many of them are open, the block around it
@@ -218,7 +232,7 @@ def parse(html: str) -> Block:
                 close(node)
         found = _attributes(attributes) if HINT.search(attributes) else {}
         content = any(set(p) & CONTENT for p in _parts(found))
-        cur = Block(tag, cur, cur.dropped or veil is not None or _unwanted(tag, found, cur), content)
+        cur = Block(tag, cur, NEVER if veil is not None else _unwanted(tag, found, cur), content)
         open_[tag] = open_.get(tag, 0) + 1
         if empty and tag not in ("p", "li", "body", "html"):
             close(cur)
@@ -235,8 +249,37 @@ def _walk(root: Block) -> Iterator[Block]:
         stack.extend(c for c in reversed(node.children) if isinstance(c, Block))
 
 
+def take_back(root: Block) -> None:
+    """Marks go from blocks that hold most of the page."""
+    nodes = list(_walk(root))
+    if not any(n.mark in (MAYBE, TALK) for n in nodes):
+        return
+    own = {}
+    for n in nodes:
+        texts = [c for c in n.children if not isinstance(c, Block)]
+        plain = len(" ".join("".join(t for t, linked in texts if not linked).split()))
+        own[n] = 1 + min(plain / 100, 3) + sum(t.count(",") for t, _ in texts) if plain >= LONG_ENOUGH else 0.0
+    while True:
+        kept = sum(own[n] for n in nodes if not n.dropped)
+        if not kept and any(c[0].strip() for n in nodes if not n.dropped for c in n.children if not isinstance(c, Block)):
+            kept = 1.0  # a short text counts as a paragraph
+        held = dict.fromkeys(nodes, 0.0)  # by a block and those in it that may be taken back with it
+        for n in reversed(nodes):
+            held[n] += own[n]
+            if n.parent is not None and n.mark in (0, MAYBE):
+                held[n.parent] += held[n]
+        outer = [n for n in nodes if n.mark in (MAYBE, TALK) and not n.parent.dropped and held[n] > (5 * kept if n.mark == MAYBE else 0) and (n.mark == MAYBE or not kept)]
+        if not outer:
+            return
+        best = max(outer, key=lambda n: (n.mark == MAYBE, held[n]))
+        best.mark = 0
+        for n in nodes:
+            n.dropped = n.mark > 0 or n.parent is not None and n.parent.dropped
+
+
 def score(root: Block) -> list[Block]:
     """Fill in sizes and points; blocks in page order that are not left out."""
+    take_back(root)
     nodes = [n for n in _walk(root) if not n.dropped]
     for n in nodes:
         text = "".join(t for c in n.children if not isinstance(c, Block) for t in (c[0],))
@@ -298,13 +341,17 @@ def choose(nodes: list[Block]) -> list[Block]:
         return [up]
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * best.points * (1 - density(best)))
+    least = 0.2 * best.points * (1 - density(best))
+    beside = [c for c in best.parent.children if isinstance(c, Block) and not c.dropped]
     out = []
-    for c in best.parent.children:
-        if isinstance(c, Block) and not c.dropped:
-            prose = c.tag in ("p", "pre", "blockquote") and (c.chars > 80 and density(c) < 0.25 or 0 < c.chars <= 80 and not c.link_chars)
-            if c is best or c.points * (1 - density(c)) >= least or prose:
-                out.append(c)
+    for c in beside:
+        prose = c.tag in ("p", "pre", "blockquote") and (c.chars > 80 and density(c) < 0.25 or 0 < c.chars <= 80 and not c.link_chars)
+        heading = c.tag in HEADINGS and c.chars and not c.link_chars
+        section = c.tag == "section" and c.tag == best.tag and c.chars and density(c) < 0.25
+        if c is best or c.points * (1 - density(c)) >= least or prose or heading or section:
+            out.append(c)
+    while out[-1].tag in HEADINGS and out[-1] is not best:  # of what is left out
+        out.pop()
     return out
 
 
