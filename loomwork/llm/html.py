@@ -19,7 +19,7 @@ counts only if all its parts do (`social-share`, not `social-history`).
 
 A form, fieldset or block left out by its name is taken back where it holds over
 five times the points of all that is kept (a form around the page, a post marked
-`tag-...`); reader comments only where nothing else has points. Headings and
+`tag-...`) and no article or main element has text; reader comments only where nothing else has points. Headings and
 sections beside the best block stay.
 
 Defined cases: null or empty html gives an empty text; without any points the
@@ -261,7 +261,10 @@ def take_back(root: Block) -> None:
         own[n] = 1 + min(plain / 100, 3) + sum(t.count(",") for t, _ in texts) if plain >= LONG_ENOUGH else 0.0
     while True:
         kept = sum(own[n] for n in nodes if not n.dropped)
-        if not kept and any(c[0].strip() for n in nodes if not n.dropped for c in n.children if not isinstance(c, Block)):
+        words = {n.inside for n in nodes if not n.dropped for c in n.children if not isinstance(c, Block) and c[0].strip()}
+        if True in words:
+            return  # an article has text
+        if words and not kept:
             kept = 1.0  # a short text counts as a paragraph
         held = dict.fromkeys(nodes, 0.0)  # by a block and those in it that may be taken back with it
         for n in reversed(nodes):

@@ -852,21 +852,21 @@ def test_exchange_raises_likelihood():
     assert likelihood(own) > likelihood(start) and len(set(own[:6])) == 1 and len(set(own[6:12])) == 1
 
 
-PROSE = "<p>" + "Some words, and more of the story, which goes on and on for a while. " * 4 + "</p>"
+STORY = "<p>" + "Some words, and more of the story, which goes on and on for a while. " * 4 + "</p>"
 
 
 @pytest.mark.parametrize(("page", "stories", "has", "lacks"), [
-    (f'<body><form id="aspnetForm"><div id="content">{PROSE * 3}</div></form></body>', 12, [], []),
-    (f'<fieldset>{PROSE * 3}</fieldset>', 12, [], []),
-    (f'<div class="hentry tag-politics category-news">{PROSE * 3}</div>', 12, [], []),
-    (f'<div id="p1" class="post-1 type-post tag-politics">{PROSE * 3}</div>', 12, [], []),
-    (f'<div class="banner-1908">{PROSE * 3}</div>', 12, [], []),
-    (f'<div class="cookie-recipes">{PROSE * 3}</div><div class="banner">Buy, buy, buy this now, today and tomorrow too.</div>', 12, [], ["Buy"]),
-    (f'<body><h1>Title here</h1><div class="text">{PROSE * 3}</div><h3>Left out</h3><div><a href="x">link</a></div></body>', 12, ["Title here"], ["Left out", "link"]),
-    (f'<main><header><h1>Title here</h1></header>{PROSE * 3}</main>', 12, ["Title here"], []),
-    (f'<div><section><h2>One</h2>{PROSE * 3}</section><section><h2>Two</h2><p>Short.</p></section><section><h2>Three</h2>{PROSE}</section></div>', 16, ["One", "Two", "Short", "Three"], []),
-    (f'<div id="content">{PROSE}</div><div class="comments">{PROSE * 9}</div>', 4, [], []),
-    (f'<form><input><p>Search the whole site, here, and find what you want, now.</p></form><div>{PROSE * 2}</div>', 8, [], ["Search"]),
+    (f'<body><form id="aspnetForm"><div id="content">{STORY * 3}</div></form></body>', 12, [], []),
+    (f'<fieldset>{STORY * 3}</fieldset>', 12, [], []),
+    (f'<div class="hentry tag-politics category-news">{STORY * 3}</div>', 12, [], []),
+    (f'<div id="p1" class="post-1 type-post tag-politics">{STORY * 3}</div>', 12, [], []),
+    (f'<div class="banner-1908">{STORY * 3}</div>', 12, [], []),
+    (f'<div class="cookie-recipes">{STORY * 3}</div><div class="banner">Buy, buy, buy this now, today and tomorrow too.</div>', 12, [], ["Buy"]),
+    (f'<body><h1>Title here</h1><div class="text">{STORY * 3}</div><h3>Left out</h3><div><a href="x">link</a></div></body>', 12, ["Title here"], ["Left out", "link"]),
+    (f'<main><header><h1>Title here</h1></header>{STORY * 3}</main>', 12, ["Title here"], []),
+    (f'<div><section><h2>One</h2>{STORY * 3}</section><section><h2>Two</h2><p>Short.</p></section><section><h2>Three</h2>{STORY}</section></div>', 16, ["One", "Two", "Short", "Three"], []),
+    (f'<div id="content">{STORY}</div><div class="comments">{STORY * 9}</div>', 4, [], []),
+    (f'<form><input><p>Search the whole site, here, and find what you want, now.</p></form><div>{STORY * 2}</div>', 8, [], ["Search"]),
     ('<div>Short text.</div><div class="promo">An offer, and another one that is longer than the text.</div>', 0, ["Short text."], ["offer"]),
 ])
 def test_pages_are_not_lost(page, stories, has, lacks):
