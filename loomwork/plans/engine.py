@@ -52,6 +52,8 @@ class Domain:
         self.store.create()
         forget_models()
         self.store.write("corpus", corpus.filled(resources.where(F.col("domain") == self.name)))
+        for r in self.store.read("corpus").groupBy("type").count().collect():
+            self.store.count(f"{r.type}s", r["count"], "build")
         items = self.store.read("corpus").where(F.col("type") == "item")
         model = topics.train(items, topics.choose(items, self.config), self.config)
         self.store.save_model(model)

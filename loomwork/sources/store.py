@@ -39,9 +39,10 @@ SCHEMAS = {
     "subgraph_edges": "resource_uri_1 string, resource_uri_2 string, score double, resource_type_1 string, resource_type_2 string, sector string",
     "events": "key string, resource string, time string",
     "progress": "domain string, version long, stage string",
+    "counters": "name string, batch string, n long",
 }
 PARTITIONED = {"subgraph_nodes": ["sector"], "subgraph_edges": ["sector"], "shapes_by_topic": ["topic", "type"]}
-KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"], "progress": ["domain", "version", "stage"]}
+KEYED = {"corpus": ["resource"], "shapes": ["uri"], "centroids": ["uri"], "topics": ["uri"], "tags": ["word"], "clusters": ["uri", "cluster"], "progress": ["domain", "version", "stage"], "counters": ["name", "batch"]}
 
 #: Deltas of a version before the next change merges them, by number and by size (then as large as the version, and so many bytes at least).
 MOST_DELTAS, LEAST_BYTES = 16, 1 << 20
@@ -168,6 +169,18 @@ class Store:
         new = self._conform(name, df).dropDuplicates(KEYED[name])
         self.replace(name, new.select(*KEYED[name]), new)
 
+    def count(self, name: str, n: int, batch: str) -> None:
+        """A counter grows by what a batch has counted; a batch that is repeated adds nothing."""
+        self.upsert("counters", self.spark.createDataFrame([(name, batch, n)], SCHEMAS["counters"]))
+
+    def counted(self, name: str) -> int:
+        return self.read("counters").where(F.col("name") == name).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def reset(self, name: str) -> None:
+        """The counter is 0 again."""
+        gone = self.spark.createDataFrame([(name,)], "name string")
+        self.replace("counters", gone, self.spark.createDataFrame([], SCHEMAS["counters"]))
+
     def create(self) -> None:
         """An empty workspace: what was there is gone."""
         self.destroy()
