@@ -599,12 +599,12 @@ def missing_vertices(spark, sf_dir):
 
 
 @query(f"""WITH {TRADE}, p AS (SELECT p_partkey, p_size FROM part), e AS (SELECT edges.*, p_size FROM edges JOIN p ON src = 'parts/' || p_partkey)
-SELECT DISTINCT src, dst, score FROM e WHERE p_size <= 30 OR p_size >= 20""")
+SELECT DISTINCT src, dst, score FROM e WHERE p_size <= 20 OR p_size BETWEEN 15 AND 35""")
 def sector_edges_union(spark, sf_dir):
     """The set union of the edges of two overlapping sectors (parts by size)."""
     size = read(spark, sf_dir, "part").select(X.uri("parts", F.col("p_partkey").cast("string")).alias("src"), "p_size")
     rows = trade_graph(spark, sf_dir).join(size, "src")
-    return graph.joined_edges([rows.where("p_size <= 30").select("src", "dst", "score"), rows.where("p_size >= 20").select("src", "dst", "score")])
+    return graph.joined_edges([rows.where("p_size <= 20").select("src", "dst", "score"), rows.where("p_size between 15 and 35").select("src", "dst", "score")])
 
 
 def _ranks(rounds: int) -> str:
