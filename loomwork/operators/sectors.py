@@ -2,54 +2,69 @@
 
 from __future__ import annotations
 
-import json
-import math
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators import clustering
 from loomwork.plans.lineage import cut
 
 MAX_DEPTH = 8
 #: Parts that a sector is split into at once: centres in the driver, whatever the number of rows.
 MOST_PARTS = 32
+#: Rows of a bucket, about, when a sector that cannot be split is dealt out.
+BUCKET_ROWS = 100_000
 
 
-def assign(shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: float = 1e-5, seed: int = 42, init: str = "k-means||", init_steps: int = 5) -> DataFrame:
+def assign(
+    shapes: DataFrame, size: int = 1000, iterations: int = 20, epsilon: float = 1e-5, seed: int = 42, runs: int = 1, initial: list[list[float]] | None = None,
+) -> DataFrame:
     """shapes (uri, type, vector) with `sector`: recursive k-means until no sector exceeds `size` rows.
 
-    One k-means of at most `MOST_PARTS` parts per oversized sector and level; only the counts of sectors reach the driver. A sector that
-    k-means cannot split (equal points), or that is still too large at the depth limit, is dealt out by a
-    hash of the uri, which keeps the bound.
+    All oversized sectors of a level are split in the same jobs, into at most `MOST_PARTS` parts each, by the cheapest of `runs` starts.
+    initial: centres of the first level (a model that is at hand; as many parts), then improved like others; with no iterations they
+    stay as they are. A sector that k-means cannot split (equal points), or that is still too large at the depth limit, is dealt out by
+    a hash of the row, which keeps the bound. Vectors have one length; rows without one are left out.
     """
-    rows = shapes.where(F.col("vector").isNotNull()).select("uri", "type", "vector")
-    done = None
-    open_ = rows.withColumn("sector", F.lit("0"))
-    for _ in range(MAX_DEPTH):
-        open_ = cut(open_)
-        counts = {r.sector: r.n for r in open_.groupBy("sector").agg(F.count("*").alias("n")).collect()}
-        large = {s: n for s, n in counts.items() if n > size}
-        small = open_.where(~F.col("sector").isin(list(large))) if large else open_
-        done = small if done is None else done.unionByName(small)
-        if not large:
-            return done
-        split = None
-        for s, n in sorted(large.items()):
-            k = min(MOST_PARTS, max(2, math.ceil(n / size)))
-            part = open_.where(F.col("sector") == s).withColumn("features", array_to_vector("vector"))
-            model = KMeans(k=k, maxIter=iterations, tol=epsilon, seed=seed, initMode=init, initSteps=init_steps).fit(part)
-            got = model.transform(part).withColumn("sector", F.concat_ws(".", "sector", F.col("prediction").cast("string")))
-            if max(model.summary.clusterSizes) == n:  # no progress
-                got = got.withColumn("sector", F.concat_ws("#", F.lit(s), F.pmod(F.xxhash64("uri"), F.lit(2 * k)).cast("string")))
-            got = got.select("uri", "type", "vector", "sector")
-            split = got if split is None else split.unionByName(got)
-        open_ = split
-    counts = open_.groupBy("sector").agg(F.count("*").alias("n"))
-    shares = F.ceil(F.col("n") * 2 / size)
-    dealt = open_.join(F.broadcast(counts), "sector").withColumn("sector", F.concat_ws("#", "sector", F.pmod(F.xxhash64("uri"), shares).cast("string")))
-    return done.unionByName(dealt.select("uri", "type", "vector", "sector"))
+    rows = shapes.where(F.col("vector").isNotNull()).select("uri", "type", F.col("vector").cast("array<double>").alias("vector"))
+    done, open_ = None, clustering.drawn(rows.withColumn("sector", F.lit("0")), seed)
+    out = ("uri", "type", "vector", "sector")
+    for level in range(MAX_DEPTH + 1):
+        counts = open_.groupBy("sector").agg(F.count("*").alias("n"))
+        k = F.least(F.lit(MOST_PARTS), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / size))).cast("int")
+        given = initial if level == 0 else None
+        sizes = cut((counts if given else counts.where(F.col("n") > size)).withColumn("k", k))
+        if sizes.isEmpty():
+            left = open_.select(*out)
+            return left if done is None else done.unionByName(left)
+        if not given:
+            small = open_.join(sizes, "sector", "left_anti").select(*out)
+            done = small if done is None else done.unionByName(small)
+        if level == MAX_DEPTH:
+            return done.unionByName(_dealt(open_.join(sizes, "sector"), size))
+        points = clustering.bucketed(open_, sizes)
+        if given:
+            buckets = points.agg(F.max("buckets")).first()[0]
+            known = [("0", 0, j, buckets, [float(x) for x in v]) for j, v in enumerate(given)]
+            first = pd.DataFrame(known, columns=[*clustering.KEYS, "vector"])
+        else:
+            first = clustering.held(clustering.seeds(points, runs, seed + level), points, sizes, runs)
+        parts = cut(clustering.split(points, clustering.fit(points, first, iterations, epsilon)))
+        split = parts.groupBy("sector").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a < z").select("sector")
+        named = F.concat_ws(".", "sector", F.col("part").cast("string")).alias("sector")
+        if not given:
+            whole = parts.join(split, "sector", "left_anti").join(sizes, "sector")
+            done = done.unionByName(_dealt(whole, size))
+            parts = parts.join(split, "sector", "left_semi")
+        open_ = cut(parts.select("uri", "type", "vector", "draw", named))
+
+
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """rows (uri, type, vector, sector, draw, n) in numbered pieces of at most `size` rows of their sector, in the order of the draws."""
+    bucket = F.floor(F.col("draw") * F.ceil(F.col("n") / BUCKET_ROWS))
+    place = F.row_number().over(Window.partitionBy("sector", "bucket").orderBy("draw", "uri")) - 1
+    piece = F.concat_ws("-", F.col("bucket").cast("string"), F.floor(place / size).cast("string"))
+    return rows.withColumn("bucket", bucket).withColumn("piece", piece).select("uri", "type", "vector", F.concat_ws("#", "sector", "piece").alias("sector"))
 
 
 def centroids(sectored: DataFrame) -> DataFrame:
@@ -103,12 +118,7 @@ def near_centroids(shapes: DataFrame, centres: DataFrame, ratio: float = 0.9) ->
         raise ValueError(f"over {MOST_CENTRES} centroids: split the space first and compare within its parts")
     if not known:
         return shapes.select("uri", F.lit("").alias("cluster")).limit(0)
-    schema = "array<struct<cluster:string,centre:array<double>>>"
-    fixed = F.from_json(F.lit(json.dumps([{"cluster": r.uri, "centre": [float(x) for x in r.vector]} for r in known])), schema)
-    square = lambda v: F.aggregate(F.zip_with("vector", v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
-    each = shapes.where(F.col("vector").isNotNull()).select("uri", F.transform(fixed, lambda c: F.struct(F.sqrt(square(c["centre"])).alias("d"), c["cluster"].alias("cluster"))).alias("all"))
-    best = each.select("uri", "all", F.array_min(F.transform("all", lambda c: c["d"])).alias("least"))
-    return best.select("uri", F.explode(F.filter("all", lambda c: c["d"] <= F.col("least") / ratio)).alias("c")).select("uri", F.col("c.cluster").alias("cluster"))
+    return clustering.memberships(shapes, [r.uri for r in known], [list(r.vector) for r in known], ratio)
 
 
 def numbered(sectored: DataFrame) -> DataFrame:
