@@ -4,7 +4,7 @@ Mapping: `documents` is the corpus (domain = lang, subdomain = source), the
 softmax of `embeddings` (temperature 10) the shapes with `label` as sector,
 `events` the event stream. Operators on pairs run in sectors that are bounded
 by nature: the lines of an order (`lineitem`), with their figures as shapes.
-Paths and ranks run on the graph of parts and their suppliers. Topics that SQL can reproduce are the commonest
+`js_pairs_of_model` runs in sectors of the topic space. Paths and ranks run on the graph of parts and their suppliers. Topics that SQL can reproduce are the commonest
 words of each source. Scores are rounded to 6 places on both sides.
 """
 
@@ -25,6 +25,8 @@ from loomwork.streaming import events as E
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 HEAT = 10
+#: Least score of the pairs in sectors of a model.
+NEAR = 0.7
 
 
 def query(sql: str | None = None):
@@ -667,36 +669,53 @@ def centroid_paths(spark, sf_dir):
 
 # comparisons
 
-COMPARISONS = """c AS (SELECT 'd' || a AS domain, 'd' || b AS domain_uri, 'd' || a || '/topics/' || i AS topic_uri, 'd' || b || '/topics/' || j AS domain_topic_uri,
-((i * 7 + j * 13 + a * 3 + b * 5) % 100) / 100 AS score, '2024-01-0' || (a % 4 + 1) AS date
-FROM range(5) t1(a), range(5) t2(b), range(6) t3(i), range(6) t4(j) WHERE a <> b AND a <> 4)"""
-
-
-def comparison_rows(spark: SparkSession) -> DataFrame:
-    """A fixed table of scores between the topics of five domains; the last has none of its own."""
-    n = spark.range(5 * 5 * 6 * 6).select(
-        (F.col("id") % 5).alias("a"), (F.floor(F.col("id") / 5) % 5).alias("b"), (F.floor(F.col("id") / 25) % 6).alias("i"), (F.floor(F.col("id") / 150) % 6).alias("j")
-    ).where("a <> b and a <> 4")
-    name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"))
-    return n.select(
-        name("a").alias("domain"), name("b").alias("domain_uri"), X.uri(name("a"), "topics", F.col("i").cast("string")).alias("topic_uri"),
-        X.uri(name("b"), "topics", F.col("j").cast("string")).alias("domain_topic_uri"), (((F.col("i") * 7 + F.col("j") * 13 + F.col("a") * 3 + F.col("b") * 5) % 100) / 100).alias("score"),
-        F.concat(F.lit("2024-01-0"), (F.col("a") % 4 + 1).cast("string")).alias("date"),
-    )
-
-
-@query(f"""WITH {COMPARISONS}, n AS (SELECT domain, max(date) AS newest FROM c GROUP BY domain),
+COMPARISONS = f"""w AS (SELECT source, lang, doc_id, unnest({TOKENS}) AS term FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+n AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+m AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, source) AS share, row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, term) AS place FROM n),
+tp AS (SELECT source AS domain, source || '/topics/' || lang AS uri, term, share FROM m WHERE place <= 30),
+dated AS (SELECT source AS domain, max(doc_id) AS date FROM documents WHERE lang IS NOT NULL GROUP BY source),
+c AS (SELECT a.domain, b.domain AS domain_uri, a.uri AS topic_uri, b.uri AS domain_topic_uri, round(sum(least(a.share, b.share)) / greatest(ta.t, tb.t), 6) AS score, any_value(dated.date) AS date
+FROM tp a JOIN tp b ON a.term = b.term AND a.domain <> b.domain JOIN dated ON dated.domain = a.domain
+JOIN (SELECT uri, sum(share) AS t FROM tp GROUP BY uri) ta ON ta.uri = a.uri JOIN (SELECT uri, sum(share) AS t FROM tp GROUP BY uri) tb ON tb.uri = b.uri
+GROUP BY a.domain, b.domain, a.uri, b.uri, ta.t, tb.t)"""
+
+
+def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of the topics of sources, each with a topic a language: the share that their commonest words have in common.
+
+    The newest document of a source dates its comparisons.
+    """
+    docs = read(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    words = corpus.with_words(docs.select("source", "lang", F.col("text").alias("tokens"))).select("source", "lang", F.explode("words").alias("term"))
+    counts = words.groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang", "source")
+    share = (F.col("n") / F.sum("n").over(own)).alias("share")
+    best = counts.select("*", share, F.row_number().over(own.orderBy(F.desc("n"), "term")).alias("place")).where("place <= 30")
+    named = best.select(F.col("source").alias("domain"), X.uri(F.col("source"), "topics", F.col("lang")).alias("uri"), "term", "share")
+    total = named.groupBy("uri").agg(F.sum("share").alias("t"))
+    named = named.join(total, "uri")
+    a = named.select("domain", F.col("uri").alias("topic_uri"), "term", F.col("share").alias("sa"), F.col("t").alias("ta"))
+    b = named.select(F.col("domain").alias("domain_uri"), F.col("uri").alias("domain_topic_uri"), "term", F.col("share").alias("sb"), F.col("t").alias("tb"))
+    pairs = a.join(b, "term").where("domain <> domain_uri").groupBy("domain", "domain_uri", "topic_uri", "domain_topic_uri", "ta", "tb")
+    scored = pairs.agg(F.sum(F.least("sa", "sb")).alias("both")).withColumn("score", r6(F.col("both") / F.greatest("ta", "tb"))).drop("both", "ta", "tb")
+    dates = docs.groupBy(F.col("source").alias("domain")).agg(F.max("doc_id").alias("date"))
+    return scored.join(dates, "domain")
+
+
+@query(f"""WITH {COMPARISONS}, n2 AS (SELECT domain, max(date) AS newest FROM c GROUP BY domain),
 k AS (SELECT c.*, row_number() OVER (PARTITION BY c.domain, domain_uri ORDER BY score DESC, topic_uri, domain_topic_uri) AS place
-FROM c JOIN n ON n.domain = c.domain JOIN n o ON o.domain = c.domain_uri
-WHERE score > 0.4 AND (n.newest > o.newest OR (n.newest = o.newest AND c.domain < c.domain_uri)))
+FROM c JOIN n2 ON n2.domain = c.domain JOIN n2 o ON o.domain = c.domain_uri
+WHERE score > 0.4 AND (n2.newest > o.newest OR (n2.newest = o.newest AND c.domain < c.domain_uri)))
 SELECT domain, domain_uri, topic_uri, domain_topic_uri, score FROM k WHERE place <= 5""")
 def compare_domains(spark, sf_dir):
-    return compare.domains(comparison_rows(spark), ["d0", "d1", "d2", "d3", "d4"], Criteria(max=5, threshold=0.4))
+    rows = cut(comparison_rows(spark, sf_dir))
+    names = [r.domain for r in rows.select("domain").distinct().collect()]  # one a source
+    return compare.domains(rows, names, Criteria(max=5, threshold=0.4))
 
 
 @query(f"WITH {COMPARISONS} SELECT domain, max(date) AS newest FROM c GROUP BY domain")
 def newest_comparisons(spark, sf_dir):
-    return comparison_rows(spark).groupBy("domain").agg(F.max("date").alias("newest")).orderBy(F.desc("newest"))
+    return comparison_rows(spark, sf_dir).groupBy("domain").agg(F.max("date").alias("newest")).orderBy(F.desc("newest"))
 
 
 @query()
@@ -769,6 +788,19 @@ def free_text_similar(spark, sf_dir):
     return similarity.similar_to_vector(topics.infer(model, rows), vector, Criteria(max=10, threshold=0.1)).withColumn("score", r6("score"))
 
 
+@query(f"""WITH {CENTRES}, d AS (SELECT s.uri, c.label AS sector, row_number() OVER (PARTITION BY s.uri ORDER BY list_sum(list_transform(list_zip(s.vector, c.vector), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.label) AS place FROM shapes s, c),
+o AS (SELECT s.uri, s.vector, s.h, d.sector FROM s JOIN d USING (uri) WHERE place = 1),
+p AS (SELECT a.uri AS uri_1, b.uri AS uri_2, {js('a.vector', 'b.vector', 'a.h', 'b.h')} AS score FROM o a JOIN o b ON a.sector = b.sector AND a.uri < b.uri)
+SELECT uri_1, uri_2, round(score, 6) AS score FROM p WHERE score > {NEAR}""")
+def js_pairs_of_model(spark, sf_dir):
+    """Alike shapes in sectors of a given model, the centroids of the labels: each row goes to the nearest, and over {size} rows are split again."""
+    rows = shapes_of(spark, sf_dir)
+    known = [list(r.vector) for r in sectors.centroids(rows).orderBy(F.col("uri").cast("int")).collect()]
+    sectored = cut(sectors.assign(rows.drop("sector"), 1000, iterations=0, initial=known))
+    found = similarity.in_sector(sectored, least=NEAR)
+    return found.select(F.col("resource_uri_1").alias("uri_1"), F.col("resource_uri_2").alias("uri_2"), r6("score").alias("score"))
+
+
 @query()
 def kmeans_sectors(spark, sf_dir):
     return sectors.assign(shapes_of(spark, sf_dir).drop("sector"), size=100).select("uri", "sector")
