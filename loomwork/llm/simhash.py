@@ -90,7 +90,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     cluster is the least linked fingerprint: unlike component_id, it differs between groups that share a repeated doc_id.
     """
-    prints = checkpoint(fingerprints(docs, text, key, size))
+    # a stored number of each row deals the rows of a common fingerprint, also where ids are null or repeated
+    prints = checkpoint(fingerprints(docs, text, key, size).withColumn("row", F.monotonically_increasing_id()))
     # the tasks' minima of a common fingerprint are combined by groups of tasks first
     group = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("tasks")
     partial = prints.groupBy("fp", group).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -101,7 +102,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
     linked = labelled(named.select("fp", "component"), least, "component", F.xxhash64("fp"), groups.count()).select("fp", "component", "least")
     label = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "fp").alias("cluster"), "n")
-    out = labelled(prints, label, "fp", F.xxhash64("doc_id"), prints.count())
+    out = labelled(prints, label, "fp", F.xxhash64("row"), prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "cluster", "h")
 
 
@@ -114,5 +115,6 @@ def representatives(docs: DataFrame, size: int = 3) -> DataFrame:
     kept = groups.groupBy("cluster").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.h").alias("h"))
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.struct(*docs.columns).alias("row"), F.to_json(F.struct(*others)).alias("rank"))
-    picked = rows.join(kept, ["id", "h"]).groupBy("id", "h").agg(F.min_by("row", "rank").alias("row"))
+    # copies of one row are settled in their tasks before the shuffle: one of them a task meets the names that are kept
+    picked = rows.groupBy("id", "h").agg(F.min_by("row", "rank").alias("row")).join(kept, ["id", "h"])
     return picked.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
