@@ -6,8 +6,10 @@
    counted over all training text; exchange clustering on that core moves each
    word to the class that raises the bigram likelihood most.
 3. Every other training word is placed too: its followers and predecessors, by
-   class, are summed over all training text (a row a word, a shuffle by word),
-   and it joins the class that they raise the bigram likelihood of most.
+   class, are summed over all training text (a row a word, a shuffle by word;
+   of words of over `FREQUENT` occurrences among the `HEAD` commonest first by
+   `LANES` parts, so no task gathers what all tasks send of one word), and it
+   joins the class that they raise the bigram likelihood of most.
 4. The classes of the commonest words, at most `HEAD`, are broadcast; rarer
    words get theirs in a shuffle join by word. Both parts always run, so no size
    changes the results. Class transitions are counted on the class sequences of
@@ -19,7 +21,10 @@
 
 Defined cases: null text = empty = the end token alone; no training rows: every
 count is 0, base_score 0 and score 0; repeated rows each count and each give a
-row; a null doc_id hashes as empty text.
+row; a null doc_id hashes as empty text; an empty table gives no rows; of equally
+common words the first in byte order is ranked first, of equally good classes the
+first is taken; further columns of any name do no harm. The exchange ends after
+`ROUNDS` rounds at most, though words might still gain by moving.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +52,9 @@ SHARE = 5.0
 HELD = 1_000_000
 #: Neighbours a task holds before it passes them on.
 HELD_PAIRS = 3_000_000
+#: Occurrences above which a word's neighbours are summed in `LANES` parts before they meet.
+FREQUENT = 100_000
+LANES = 256
 END = b""
 
 
@@ -178,10 +187,14 @@ class Numbers(dict):
 
 
 _NEAR = np.dtype([("key", "<u2"), ("n", "<u4")])
+_MOST = 2**32 - 1
 
 
-def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.ndarray) -> DataFrame:
-    """(word, n, class) of all words that are not in `order`, by the classes of their neighbours (the rest is one more)."""
+def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.ndarray, frequent: list[bytes] = ()) -> DataFrame:
+    """(word, n, class) of all words that are not in `order`, by the classes of their neighbours (the rest is one more).
+
+    The neighbours of `frequent` words are summed in parts first. Checkpointed.
+    """
     size = int(own.max()) + 1
     end, rest = order.index(END), len(order)
     classes = size - 2
@@ -189,11 +202,11 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
     between = member.T @ table @ member + 0.5
     gain = np.log(between) - np.log(between.sum(axis=1, keepdims=True)) - np.log(between.sum(axis=0))
     weights = np.concatenate((gain[:classes].T, gain[:, :classes]))  # follower's class, then predecessor's, by own class
-    shared = training.sparkSession.sparkContext.broadcast((order, own, weights))
-    ddl = "word binary, near binary"
+    shared = training.sparkSession.sparkContext.broadcast((order, own, weights, frozenset(frequent)))
+    ddl = "word binary, near binary, lane int"
     schema = arrow_schema(ddl)
 
-    def batch(names: list[bytes], codes: list[np.ndarray]) -> pa.RecordBatch:
+    def batch(names: list[bytes], codes: list[np.ndarray], part: int) -> pa.RecordBatch:
         code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
         word = code // (2 * size)
         near = np.empty(len(code), _NEAR)
@@ -201,11 +214,14 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
         first = np.flatnonzero(np.diff(word, prepend=-1))
         data = near.tobytes()
         at = (np.append(first, len(code)) * _NEAR.itemsize).tolist()
-        columns = [names[w] for w in word[first].tolist()], [data[a:z] for a, z in zip(at, at[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], schema=schema)
+        found, in_parts = [names[w] for w in word[first].tolist()], shared.value[3]
+        lanes = [part if w in in_parts else -1 for w in found]
+        columns = [pa.array(found, pa.binary()), pa.array([data[a:z] for a, z in zip(at, at[1:])], pa.binary()), pa.array(lanes, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, own, _ = shared.value
+        order, own = shared.value[:2]
+        part = TaskContext.get().partitionId() % LANES
         core = {w: i for i, w in enumerate(order)}
         ids, codes, held = Numbers(core), [], 0
         for b in batches:
@@ -221,26 +237,41 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
                     codes += [code + kind[at + 1], code + size + kind[at - 1]]
                     held += 2 * len(at)
                 if held > HELD_PAIRS:
-                    yield batch(list(ids)[rest:], codes)
+                    yield batch(list(ids)[rest:], codes, part)
                     ids, codes, held = Numbers(core), [], 0
-        yield batch(list(ids)[rest:], codes)
+        yield batch(list(ids)[rest:], codes, part)
 
-    out_ddl = "word binary, n long, class int"
+    out_ddl = "word binary, n long, class int, near binary"
     out_schema = arrow_schema(out_ddl)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, lane, lists): the class of what is whole (lane -1), the sums of what is a part."""
         weights = shared.value[2]
         for b in batches:
-            lists = [b"".join(x) for x in b.column(1).to_pylist()]
+            lists = [b"".join(x) for x in b.column(2).to_pylist()]
             row = np.repeat(np.arange(len(lists)), [len(x) // _NEAR.itemsize for x in lists])
             near = np.frombuffer(b"".join(lists), _NEAR)
             x = np.bincount(row * 2 * size + near["key"], near["n"], len(lists) * 2 * size).reshape(-1, 2 * size)
             n = x[:, :size].sum(axis=1).astype(np.int64)  # each token has one follower
             best = (x @ weights).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(best)], schema=out_schema)
+            whole = b.column(1).to_numpy() < 0
+            sums = [None if w else packed(r) for w, r in zip(whole, x)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(best, mask=~whole), pa.array(sums, pa.binary())], schema=out_schema)
 
     near = map_batches(training.select(F.col("text").cast("string").alias("text")), run, ddl)
-    return map_batches(near.groupBy("word").agg(F.collect_list("near").alias("near")), choose, out_ddl)
+    got = checkpoint(map_batches(near.groupBy("word", "lane").agg(F.collect_list("near").alias("near")), choose, out_ddl))
+    parts = got.where("class is null").groupBy("word").agg(F.collect_list("near").alias("near")).select("word", F.lit(-1).alias("lane"), "near")
+    return got.where("class is not null").unionByName(map_batches(parts, choose, out_ddl)).select("word", "n", "class")
+
+
+def packed(sums: np.ndarray) -> bytes:
+    """One word's sums by neighbour; a sum beyond 32 bits is several entries."""
+    keys = np.flatnonzero(sums)
+    full, left = np.divmod(sums[keys].astype(np.int64), _MOST)
+    keys, n = np.concatenate((np.repeat(keys, full), keys)), np.concatenate((np.full(full.sum(), _MOST), left))
+    near = np.empty(len(keys), _NEAR)
+    near["key"], near["n"] = keys, n
+    return near.tobytes()
 
 
 @dataclass
@@ -276,7 +307,7 @@ def classify(training: DataFrame, most: int = HEAD, clustered: int = CLUSTERED,
     own = cluster(table, {order.index(END): classes, len(order): classes + 1}, classes)
     size = classes + 2  # the class of the rest is that of unseen words from here on
     core = training.sparkSession.createDataFrame([(bytearray(w), int(n), int(own[i])) for i, (w, n) in enumerate(zip(order, map(dict(common).get, order)))], "word binary, n long, class int")
-    placed = checkpoint(core.unionByName(place(training, order, own, table)))
+    placed = checkpoint(core.unionByName(place(training, order, own, table, [w for w, n in common[clustered:] if n > FREQUENT])))
     sums = {r["class"]: r for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     room = np.array([np.log10(sums[c].n + sums[c].v) if c in sums else 0.0 for c in range(size)])
     vocab = {w: i for i, (w, _) in enumerate(common)}

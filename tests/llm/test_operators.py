@@ -178,6 +178,20 @@ def test_simhash_brute_force(spark):
     assert least_reachable(prints, close) == {d: r.component_id for d, r in got.items()}
 
 
+@pytest.mark.parametrize("own", [None, 7])
+def test_simhash_deals_rows_of_null_and_repeated_ids(spark, own):
+    rows = [(own, "one two three four")] * 3990 + [(i, "one two three four") for i in range(10)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert {r.component_id for r in got.select("component_id").distinct().collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=40))
 def test_components(spark, edges):
@@ -859,6 +873,20 @@ def test_brown_gives_every_word_a_class(spark):
     assert r.score == pytest.approx(own + sum(moves[a, b] for a, b in zip(kinds, kinds[1:])))
 
 
+def test_brown_sums_frequent_words_in_parts(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(6, "doc_id")
+    found = []
+    for frequent in (10**9, 3):
+        monkeypatch.setattr(brown, "FREQUENT", frequent)
+        found.append(sorted((bytes(r.word), r.n, r["class"]) for r in brown.classify(rows, clustered=50, classes=4)[1].collect()))
+    assert found[0] == found[1] and len(found[0]) > 60
+
+
+def test_packed_sums_survive_32_bits():
+    near = np.frombuffer(brown.packed(np.array([0, 3, 2**34 + 5, 2**32 - 1])), brown._NEAR)
+    assert np.bincount(near["key"], near["n"]).tolist() == [0, 3, 2**34 + 5, 2**32 - 1]
+
+
 def test_exchange_raises_likelihood():
     g = np.random.default_rng(3)
     pairs = g.poisson(np.kron(np.array([[9, 1], [1, 9]]), np.ones((6, 6)))).astype(float)
