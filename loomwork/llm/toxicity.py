@@ -9,9 +9,9 @@ Discounts are taken from the counts of both classes together, in proportion, and
 the mass they free is one for both; so an expression that neither class attests
 well has the same likelihood under both, and says nothing.
 
-A text's evidence is the sum of the log ratios of all its tokens, less their
-trimmed mean for each token (what the mix of languages and topics adds to every
-word of a text alike), over its length. The score is a logistic function of it. The
+A text's evidence is the sum of the log ratios of all its tokens, plain or less
+their trimmed mean for each token (what the mix of languages and topics adds to
+every word of a text alike), over its length. The score is a logistic function of it. The
 discounts, the trim, the tokens added to every length and the curve are those of the
 greatest likelihood over `FOLDS` folds of the training rows; no other label has
 a say. A line that a text repeats counts once, in learning also one that several
@@ -20,14 +20,15 @@ texts of a class share.
 Training reads a bounded sample of the labelled rows: at most `max_docs` of
 each class in expectation, picked by a hash of doc_id, and about `max_bytes` of
 text (the documented bounds; scoring always covers every row and whole texts).
-All words and pairs of the sample count.
+All words and pairs of the sample are counted; one whose count is not above the
+discount has the ratio of the level below.
 
 Defined cases: a null or empty text has one token, its end; the score of an
 untrained model (no labelled rows, or one class only) is the share of toxic
 labels (0.0 without labels); null labels and rows without text are not learnt
 from; of labels that differ for one doc_id the toxic one counts; exact copies
-are learnt once; repeated rows each give a row; further columns of any name do
-no harm; among settings of equal likelihood the first is taken.
+are learnt once; repeated rows each give a row; an empty table gives no rows;
+further columns of any name do no harm; among settings of equal likelihood the first is taken.
 """
 
 from __future__ import annotations
@@ -45,10 +46,12 @@ from loomwork.llm.base import arrow_schema, id_hash, map_batches, text_bytes
 
 MAX_DOCS = 3000
 MAX_BYTES = 16 << 20
-#: Discounts of stems, words and pairs that are tried.
-GRID = ((5.0, 10.0, 16.0), (10.0, 10.0, 16.0), (20.0, 20.0, 16.0))
-#: Shares of a text's lowest and of its highest log ratios, left out of what counts as its ordinary level, that are tried.
-TRIM = (0.15, 0.1)
+#: Discounts of stems, words and pairs that are tried: the first two lie where Kneser-Ney discounts do (what occurs twice keeps
+#: a ratio); under the others a count up to the discount says nothing.
+GRID = ((0.75, 0.75, 0.75), (1.5, 1.5, 1.5), (5.0, 10.0, 16.0), (10.0, 10.0, 16.0), (20.0, 20.0, 16.0))
+#: Shares of a text's lowest and of its highest log ratios, left out of what counts as its ordinary level, that are tried;
+#: 0 takes no level off: the plain comparison of length-normalised likelihoods.
+TRIM = (0.0, 0.15, 0.1)
 #: Tokens added to every length that are tried.
 STEADY = (20, 60, 120, 200)
 FOLDS = 4
@@ -110,7 +113,9 @@ class Model:
 
 
 def evidence(part: np.ndarray, trim: float) -> float:
-    """The sum of log ratios over what they would be at their trimmed mean."""
+    """The sum of log ratios over what they would be at their trimmed mean; for 0 the plain sum."""
+    if not trim:
+        return float(part.sum())
     n = len(part)
     cut = int(n * trim)
     return float(part.sum() - n * np.sort(part)[cut : n - cut].mean())

@@ -798,19 +798,34 @@ def test_toxicity_against_plain_counts(monkeypatch):
     rude = ["idiot", "idiotic", "scummy", "scum"]
     rows = [("\n".join(" ".join(g.choice(clean + rude * y) for _ in range(g.randrange(2, 9))) for _ in range(3)).encode(), y) for y in (0, 1) for _ in range(30)]
     rows += [(b"the river\nbank over", 0), (b"the river\nstone over", 0), (b"the river\nthe river\nthe scum", 1)]
-    for setting in ((1.0, 2.0, 1.5), (0.75, 0.75, 0.75)):
+    for setting, trim in itertools.product(((1.0, 2.0, 1.5), (0.75, 0.75, 0.75)), (0.0, 0.15)):
         monkeypatch.setattr(toxicity, "GRID", (setting,))
+        monkeypatch.setattr(toxicity, "TRIM", (trim,))
         model = toxicity.fit(rows)
         order = sorted(set(rows), key=lambda r: (len(r[0]), r))
         for text in (b"the river scum", b"idiotical stones\nwalkers unheard over", b"the the river", b"", b"walking over scum\nidiot idiot"):
             w = toxicity.tokens(text)
             part = np.array([plain_ratio(order, setting, a, b) for a, b in zip([b"", *w], w)])
             cut = int(len(w) * model.trim)
-            want = sum(part - np.mean(sorted(part)[cut : len(w) - cut])) / (len(w) + model.steady)
+            level = np.mean(sorted(part)[cut : len(w) - cut]) if trim else 0.0
+            want = sum(part - level) / (len(w) + model.steady)
             assert model.per_token(w) == pytest.approx(want, abs=1e-9)
     assert model.score(toxicity.tokens(b"scum idiot scummy over the river")) > model.score(toxicity.tokens(b"stone walker over the river bank"))
 
 
+@pytest.mark.parametrize("setting, kept", [(0, True), (-1, False)])
+def test_toxicity_pairs_that_occur_twice(monkeypatch, setting, kept):
+    monkeypatch.setattr(toxicity, "GRID", (toxicity.GRID[setting],))
+    text = lambda y, i: f"w{i} x{i} common words{i % 3} go {'bad' if y else 'good'} and {'here' if y else 'there'}".encode()
+    rows = [(text(y, i), y) for y in (0, 1) for i in range(30)]
+    model = toxicity.fit(rows + [(b"go twofold a", 1), (b"b go twofold", 1), (b"lone pair", 0), (b"lone pair again", 0)])
+    names = list(model.vocab)
+    keys = {(names[k // len(names)], names[k % len(names)]) for k in model.keys.tolist()}
+    assert (b"go", b"good") in keys and (b"go", b"bad") in keys
+    assert ((b"go", b"twofold") in keys) is kept
+    assert (b"lone", b"pair") not in keys  # only one class knows what follows "lone": both back off
+
+
 def test_toxicity_settings_see_training_rows_only(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
