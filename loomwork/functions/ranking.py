@@ -28,6 +28,33 @@ def word_similarity(a: str, b: str) -> float:
     return 1.0 if not longest else 1 - levenshtein(a, b) / longest
 
 
+def word_similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """word_similarity of all words of `left` with all of `right`: one step for all pairs a pair of places, not one a pair of words."""
+    sizes = np.array([len(w) for w in left])[:, None], np.array([len(w) for w in right])[None, :]
+    codes = []
+    for words in (left, right):
+        grid = np.full((len(words), max(map(len, words), default=0)), -1, np.int64)
+        for i, w in enumerate(words):
+            grid[i, : len(w)] = [ord(c) for c in w]
+        codes.append(grid)
+    a, b = codes
+    shape = len(left), len(right)
+    # row[j]: the distance of the first i letters of each left word to the first j of each right word
+    row = np.broadcast_to(np.arange(b.shape[1] + 1, dtype=np.int32)[:, None, None], (b.shape[1] + 1, *shape)).copy()
+    found = np.take_along_axis(row, np.broadcast_to(sizes[1], shape)[None], 0)[0]
+    out = np.where(sizes[0] == 0, found, 0)
+    for i in range(1, a.shape[1] + 1):
+        last = row[0].copy()
+        row[0] = i
+        for j in range(1, b.shape[1] + 1):
+            apart = a[:, i - 1, None] != b[None, :, j - 1]
+            last, row[j] = row[j].copy(), np.minimum(np.minimum(row[j], row[j - 1]) + 1, last + apart)
+        found = np.take_along_axis(row, np.broadcast_to(sizes[1], shape)[None], 0)[0]
+        out = np.where(sizes[0] == i, found, out)
+    longest = np.maximum(*np.broadcast_arrays(*sizes))
+    return np.where(longest > 0, 1 - out / np.maximum(longest, 1), 1.0)
+
+
 def half(a: str, b: str) -> float:
     """The constant element similarity: 1 for the same word, else a half."""
     return 1.0 if a == b else 0.5
@@ -46,14 +73,14 @@ def tau_distance(left: list[str], right: list[str], alike=word_similarity) -> fl
     places, sure = np.zeros((2, len(words))), np.ones(len(words))
     for k, ranking in enumerate((left, right)):
         at = {w: i for i, w in reversed(list(enumerate(ranking)))}
-        for i, w in enumerate(words):
-            if w in at:
-                places[k, i] = at[w]
-            else:
-                likeness = [alike(w, x) for x in ranking]
-                best = int(np.argmax(likeness))
-                places[k, i] = best
-                sure[i] *= likeness[best]
+        absent = [i for i, w in enumerate(words) if w not in at]
+        places[k] = [at.get(w, 0) for w in words]
+        if not absent:
+            continue
+        missing = [words[i] for i in absent]
+        likeness = word_similarities(missing, ranking) if alike is word_similarity else np.array([[alike(w, x) for x in ranking] for w in missing])
+        places[k, absent] = likeness.argmax(axis=1)
+        sure[absent] *= likeness.max(axis=1)
     if len(words) == 1:
         return float(1 - sure[0])
     i, j = np.triu_indices(len(words), 1)

@@ -145,6 +145,34 @@ def column_cosines(rows: DataFrame, vector: str, least: float | None = None) ->
     return out if least is None else out.where(F.col("score") > least)
 
 
+def column_cosines_sampled(rows: DataFrame, vector: str, key: str, least: float, oversampling: float = 10.0) -> DataFrame:
+    """column_cosines() above `least` from sampled products, for tables of very many rows.
+
+    A product of columns i and j is kept with the probability p_i * p_j, p = min(1, sqrt(g) / norm), where
+    g = oversampling * ln(k) / least for k columns, and is scaled back: so each column passes about g products with
+    every other one however many rows there are, and fewer the higher `least` is. Draws are hashes of `key` and the columns, so they
+    repeat after a lost task. The estimate is unbiased. For entries between 0 and 1 its variance is at most the score over
+    min(sqrt(g), norm of i) * min(sqrt(g), norm of j); where neither norm is above sqrt(g), as in small tables, it is exact.
+    Columns of norm 0 have no pairs; rows with a null vector do not count; an empty table gives no rows.
+    """
+    cells = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    each = cells.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("s"))
+    norms = {r.i: math.sqrt(r.s) for r in each.where("s > 0").collect()}  # k values, as many as a vector has entries
+    k = 1 + max(norms, default=0)
+    root = math.sqrt(oversampling * math.log(max(k, 2)) / least)
+    share = V.literal([min(1.0, root / norms[i]) if i in norms else 0.0 for i in range(k)])
+    # what a kept entry counts for: over its norm or, where it was drawn, over the root
+    scale = V.literal([1 / min(root, norms[i]) if i in norms else 0.0 for i in range(k)])
+    draw = lambda *x: F.pmod(F.xxhash64("key", *x), F.lit(1 << 53)) / float(1 << 53)
+    part = lambda x, i: F.struct(i.alias("i"), (x.cast("double") * F.get(scale, i)).alias("x"), F.get(share, i).alias("p"))
+    entries = F.filter(F.transform("v", part), lambda e: e["x"] != 0)
+    first = F.filter(entries, lambda e: (e["p"] >= 1) | (draw(e["i"]) < e["p"]))
+    one = cells.select("key", entries.alias("all"), F.explode(first).alias("e")).select("key", F.col("e.i").alias("i"), F.col("e.x").alias("x"), "all")
+    second = F.filter("all", lambda e: (e["i"] > F.col("i")) & ((e["p"] >= 1) | (draw(F.col("i"), e["i"]) < e["p"])))
+    pairs = one.select("i", "x", F.explode(second).alias("o")).select("i", F.col("o.i").alias("j"), (F.col("x") * F.col("o.x")).alias("d"))
+    return pairs.groupBy("i", "j").agg(F.sum("d").alias("score")).where(F.col("score") > least)
+
+
 def precision_recall(found: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:
     """Of two tables of pairs: precision and recall of the first (null where undefined)."""
     f, t = found.select(*keys).distinct().withColumn("f", F.lit(1)), true.select(*keys).distinct().withColumn("t", F.lit(1))

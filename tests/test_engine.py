@@ -1,5 +1,6 @@
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,28 @@ def test_counters_count_a_batch_once(spark, tmp_path):
     assert (store.counted("items"), store.counted("parts")) == (12, 3)
     store.reset("items")
     assert (store.counted("items"), store.counted("parts")) == (0, 3)
+
+
+def test_sampled_column_cosines(spark):
+    g = np.random.default_rng(5)
+    base = g.random((6000, 3))
+    dense = np.hstack((base, np.clip(base + 0.3 * g.random((6000, 3)), 0, 1), np.where(g.random((6000, 4)) < 0.02, 1.0, 0.0), np.zeros((6000, 1))))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense)] + [(-1, None)], "id long, vector array<double>")
+    norm = np.linalg.norm(dense, axis=0)
+    true = dense.T @ dense / np.maximum(np.outer(norm, norm), 1e-9)
+    sampled = lambda least, more=10.0: {(r.i, r.j): r.score for r in similarity.column_cosines_sampled(rows, "vector", "id", least, more).collect()}
+    got = sampled(0.5)
+    root = np.sqrt(10 * np.log(10) / 0.5)
+    assert root < norm[:6].min()  # the dense columns are sampled
+    for i in range(11):
+        for j in range(i + 1, 11):
+            slack = 5 * np.sqrt(max(true[i, j], 0.01) / root**2)
+            if true[i, j] > 0.5 + slack:
+                assert abs(got[i, j] - true[i, j]) < slack
+            elif true[i, j] < 0.5 - slack:
+                assert (i, j) not in got
+    assert sampled(0.5) == got  # draws repeat
+    exact = sampled(0.5, 1e6)
+    assert set(exact) == {(i, j) for i in range(11) for j in range(i + 1, 11) if true[i, j] > 0.5}
+    assert all(abs(x - true[p]) < 1e-9 for p, x in exact.items())
+    assert similarity.column_cosines_sampled(rows.limit(0), "vector", "id", 0.5).count() == 0

@@ -87,3 +87,26 @@ def test_rankings_both_ways():
     assert ranking.tau_distance(a, a) == 0 and ranking.tau_similarity([], []) == 1 and ranking.tau_similarity(a, []) == 0
     assert ranking.tau_distance(a, a[::-1]) == 1 and 0 < ranking.tau_distance(a, b, ranking.half) < 1
     assert ranking.tau_distance(a, ["xxxx", "yyyy"], ranking.half) == ranking.tau_distance(["xxxx", "yyyy"], a, ranking.half) > 0.5
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcé", max_size=6), min_size=1, max_size=5), st.lists(st.text("abcd", max_size=6), min_size=1, max_size=5))
+def test_word_similarities_are_those_of_each_pair(left, right):
+    got = ranking.word_similarities(left, right)
+    assert got.tolist() == [[ranking.word_similarity(a, b) for b in right] for a in left]
+    plain = lambda a, b: ranking.word_similarity(a, b)
+    assert ranking.tau_distance(left, right) == ranking.tau_distance(left, right, plain)
+
+
+def test_bit_permutations(spark):
+    from itertools import permutations
+    from math import comb
+
+    short = ["", "0", "1", "10", "0110", "111", "1010010"]
+    got = {r.bits: r.orders for r in spark.createDataFrame([(b,) for b in [*short, None]], "bits string").select("bits", V.bit_permutations(F.col("bits")).alias("orders")).collect()}
+    assert got.pop(None) is None
+    assert got == {b: sorted({"".join(x) for x in permutations(b)}) for b in short}
+    long = spark.createDataFrame([("1" * 3 + "0" * 59,)], "bits string").select(F.explode(V.bit_permutations(F.col("bits"))).alias("o"))
+    assert long.distinct().count() == comb(62, 3)
+    with pytest.raises(Exception, match="too many orders"):
+        spark.createDataFrame([("10" * 31,)], "bits string").select(V.bit_permutations(F.col("bits"))).collect()
