@@ -70,7 +70,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder in the warehouse where it is not set: both are seen by all executors."""
+    """spark.checkpoint.dir, or a folder in the warehouse where it is not set.
+
+    The warehouse is by default a folder of the driver's own disk: on a cluster set one of the two to a shared folder.
+    """
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
