@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; a folder in the warehouse, which executors share too, where none is set."""
+    """checkpoint() in spark.checkpoint.dir; a folder in the warehouse where none is set.
+
+    The warehouse is by default a folder of the driver's own disk: on a cluster set one of the two to a shared folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         conf = df.sparkSession.conf
