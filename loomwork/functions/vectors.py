@@ -48,6 +48,21 @@ def dot(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda a, b: a.cast("double") * b.cast("double")))
 
 
+def fused(x: Column, y: Column, t: Column) -> Column:
+    """x * y + t rounded once: the product and the sum with what each of them rounds off (Veltkamp, Dekker, Knuth)."""
+    high = lambda a: a * 134217729.0 - (a * 134217729.0 - a)
+    p, s = x * y, t + x * y
+    (xh, xl), (yh, yl) = ((high(a), a - high(a)) for a in (x, y))
+    off = ((xh * yh - p) + xh * yl + xl * yh) + xl * yl
+    return s + (((t - (s - (s - t))) + (p - (s - t))) + off)
+
+
+def dot_fused(p: Column, q: Column) -> Column:
+    """dot() with one rounding an entry, as compiled SQL engines have it; slow, for the few values that hang on the last bit."""
+    pairs = F.zip_with(p, q, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, z: fused(z["a"], z["b"], acc))
+
+
 def cosine(p: Column, q: Column) -> Column:
     """0 where a vector is all zero."""
     norm = F.sqrt(dot(p, p)) * F.sqrt(dot(q, q))

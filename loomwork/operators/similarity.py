@@ -125,13 +125,22 @@ def stored(similarities: DataFrame, a: str, b: str) -> DataFrame:
     return similarities.where((F.col("resource_uri_1") == a) & (F.col("resource_uri_2") == b)).select("score")
 
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, block: str, least: float) -> DataFrame:
-    """Pairs of a block with cosine above `least`; norms once a row."""
+def cosine_pairs(rows: DataFrame, key: str, vector: str, block: str, least: float, places: int = 6) -> DataFrame:
+    """Pairs of a block with cosine above `least`; squared norms once a row.
+
+    Vectors of small numbers often have cosines that are exactly `least`, or end in a half beyond the `places` they are rounded to: these
+    few are taken with fused sums and one root, so that they fall on the side where the SQL puts them.
+    """
     v = F.col(vector)
-    own = rows.select(F.col(block).alias("block"), F.col(key).alias("k"), v.alias("v"), F.sqrt(V.dot(v, v)).alias("n"))
+    own = rows.select(F.col(block).alias("block"), F.col(key).alias("k"), v.alias("v"), V.dot(v, v).alias("n"))
     a, b = own.select("block", *(F.col(c).alias(f"{c}1") for c in "kvn")), own.select("block", *(F.col(c).alias(f"{c}2") for c in "kvn"))
-    score = V.dot(F.col("v1"), F.col("v2")) / (F.col("n1") * F.col("n2"))
-    return a.join(b, "block").where("k1 < k2 and n1 > 0 and n2 > 0").select("k1", "k2", score.alias("score")).where(F.col("score") > least)
+    plain = F.try_divide(V.dot(F.col("v1"), F.col("v2")), F.sqrt(F.col("n1") * F.col("n2")))  # null for a vector of zeros
+    pairs = a.join(b, "block").where("k1 < k2").select("k1", "k2", "v1", "v2", plain.alias("plain")).where(F.col("plain") > least - 1e-9)
+    scaled = F.col("plain") * 10.0**places
+    unsure = (F.abs(scaled - F.floor(scaled) - 0.5) < 1e-6) | (F.abs(F.col("plain") - least) < 1e-9)
+    exact = V.dot_fused(F.col("v1"), F.col("v2")) / F.sqrt(V.dot_fused(F.col("v1"), F.col("v1")) * V.dot_fused(F.col("v2"), F.col("v2")))
+    score = F.least(F.when(unsure, exact).otherwise(F.col("plain")), F.lit(1.0))
+    return pairs.select("k1", "k2", score.alias("score")).where(F.col("score") > least)
 
 
 def column_cosines(rows: DataFrame, vector: str, least: float | None = None) -> DataFrame:
