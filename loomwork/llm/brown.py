@@ -49,9 +49,11 @@ ROUNDS = 6
 #: Weight of the class shares in the transitions.
 SHARE = 5.0
 #: Distinct words a task holds before it passes its sums on.
-HELD = 1_000_000
+HELD = 500_000
 #: Neighbours a task holds before it passes them on.
-HELD_PAIRS = 3_000_000
+HELD_PAIRS = 2_000_000
+#: Rows of a batch that a task hands over at once, about.
+PASSED = 20_000
 #: Occurrences above which a word's neighbours are summed in `LANES` parts before they meet.
 FREQUENT = 100_000
 LANES = 256
@@ -62,6 +64,12 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of `PASSED` rows: the JVM holds a whole one outside its heap."""
+    for at in range(0, batch.num_rows, PASSED):
+        yield batch.slice(at, PASSED)
+
+
 def count_words(training: DataFrame) -> DataFrame:
     """training (text) -> (word binary, n): all tokens, the end as an empty word."""
     ddl = "word binary, n long"
@@ -76,10 +84,10 @@ def count_words(training: DataFrame) -> DataFrame:
             for raw in text_bytes(b.column(0)):
                 c.update(words(raw))
                 if len(c) > HELD:
-                    yield batch(c)
+                    yield from in_pieces(batch(c))
                     c = Counter()
             c[END] += b.num_rows
-        yield batch(c)
+        yield from in_pieces(batch(c))
 
     sums = map_batches(training.select(F.col("text").cast("string").alias("text")), run, ddl)
     return sums.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
@@ -237,9 +245,9 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
                     codes += [code + kind[at + 1], code + size + kind[at - 1]]
                     held += 2 * len(at)
                 if held > HELD_PAIRS:
-                    yield batch(list(ids)[rest:], codes, part)
+                    yield from in_pieces(batch(list(ids)[rest:], codes, part))
                     ids, codes, held = Numbers(core), [], 0
-        yield batch(list(ids)[rest:], codes, part)
+        yield from in_pieces(batch(list(ids)[rest:], codes, part))
 
     out_ddl = "word binary, n long, class int, near binary"
     out_schema = arrow_schema(out_ddl)
@@ -370,6 +378,10 @@ def sequences(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         get, rest, end = m.vocab.get, len(m.vocab), m.vocab.get(END, len(m.vocab))
         per_token = np.log10(m.tokens + m.types + 1)
+
+        def batch(out: tuple[list, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
         for b in batches:
             out: tuple[list, ...] = tuple([] for _ in schema)
             for row, doc, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3))):
@@ -389,7 +401,10 @@ def sequences(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 k = len(tail)
                 for column, values in zip(out, ([row] * k, [None] * k, [None] * k, tail.keys(), [np.array(i, "<i4").tobytes() for i in tail.values()], [None] * k, [0] * k, [0] * k, [0.0] * k, [0.0] * k)):
                     column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                if len(out[0]) > PASSED:
+                    yield batch(out)
+                    out = tuple([] for _ in schema)
+            yield batch(out)
 
     done_ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, seq binary"
     done_schema = arrow_schema(done_ddl)

@@ -888,6 +888,24 @@ def test_brown_gives_every_word_a_class(spark):
     assert r.score == pytest.approx(own + sum(moves[a, b] for a, b in zip(kinds, kinds[1:])))
 
 
+def test_brown_hands_over_small_batches(spark, monkeypatch):
+    """What a task yields at once is bounded, whatever a batch of documents holds (a batch of 10,000 rows gave 640,000)."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"common words and w{i} x{i} y{i} z{i}", False) for i in range(60)], "doc_id long, text string, held_out boolean")
+    model, counts = brown.learn(docs, most=4, clustered=3, classes=2)
+    expected = sorted(map(tuple, brown.score(brown.sequences(docs, model, counts), model).collect()))
+    steps, plain = [], brown.map_batches
+    monkeypatch.setattr(brown, "PASSED", 20)
+    monkeypatch.setattr(brown, "map_batches", lambda df, fn, ddl: steps.append(fn) or plain(df, fn, ddl))
+    assert sorted(map(tuple, brown.score(brown.sequences(docs, model, counts), model).collect())) == expected
+    brown.count_words(docs)
+    texts = [f"common words and w{i} x{i} y{i} z{i}" for i in range(60)]
+    for step, columns in ((steps[0], [range(60), range(60), [False] * 60, texts]), (steps[-1], [texts])):
+        sizes = [b.num_rows for b in step(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(i) for i in range(len(columns))])]))]
+        assert sum(sizes) > 200 and max(sizes) <= 30
+
+
 def test_brown_sums_frequent_words_in_parts(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(6, "doc_id")
     found = []
