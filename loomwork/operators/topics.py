@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
 from loomwork.plans.config import Config
+from loomwork.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,10 @@ def stages(config: Config) -> list:
 
 
 def train(corpus: DataFrame, parameters: Parameters, config: Config, subsampling: float = 0.8) -> PipelineModel:
-    """Online variational LDA on corpus (tokens)."""
+    """Online variational LDA on corpus (tokens).
+
+    The counts of words are taken once and stored: each iteration of the optimizer reads its documents again, and would split all texts anew.
+    """
     lda = LDA(
         featuresCol="features", topicDistributionCol="topics", optimizer="online", k=parameters.k, maxIter=parameters.iterations,
         seed=config.seed, subsamplingRate=subsampling, optimizeDocConcentration=False,
@@ -93,7 +97,9 @@ def train(corpus: DataFrame, parameters: Parameters, config: Config, subsampling
         lda.setDocConcentration([parameters.alpha])
     if parameters.beta > 0:
         lda.setTopicConcentration(parameters.beta)
-    return Pipeline(stages=[*stages(config), lda]).fit(corpus)
+    words = Pipeline(stages=stages(config)).fit(corpus)
+    counted = cut(words.transform(corpus.select("tokens")).select("features"))
+    return PipelineModel(stages=[*words.stages, lda.fit(counted)])
 
 
 def lda_of(model: PipelineModel) -> LDAModel:
