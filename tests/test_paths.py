@@ -72,3 +72,17 @@ def test_second_way_of_sectors(spark):
     assert got[0].cost == pytest.approx(alike["a", "b"] + alike["b", "z"])
     assert graph.two_level(shapes, members, inside, centres, "a", "z", least=0.99).isEmpty()
     assert graph.two_level(shapes, members, inside, centres, "a", "nowhere").isEmpty()
+
+
+@pytest.mark.parametrize("few", [3, 10**6])
+def test_only_near_edges_are_searched(spark, monkeypatch, few):
+    """Of a long chain, edges away from both ends are left out; the paths stay those of plain enumeration."""
+    monkeypatch.setattr(paths, "FEW", few)
+    chain = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(40)]
+    short = [("n00", "x", 0.5), ("x", "n03", 0.5), ("n01", "n03", 0.25), ("n03", "n00", 0.1), ("n20", "n03", 0.0), ("x", "y", 0.0), ("y", "n03", 2.0)]
+    rows = table(spark, chain + short)
+    for steps in (1, 2, 3, 4):
+        got = [(p.nodes, p.cost) for p in paths.in_order(rows, ["n00"], ["n03"], 9, steps + 1)]
+        assert got == enumerated(chain + short, ["n00"], ["n03"], 9, steps + 1)
+    left = {(r.src, r.dst) for r in paths.near(rows, ["n00"], ["n03"], 3).collect()}
+    assert left == {("n00", "n01"), ("n00", "x"), ("n01", "n02"), ("n01", "n03"), ("x", "n03"), ("x", "y"), ("n02", "n03"), ("n20", "n03"), ("y", "n03")}
