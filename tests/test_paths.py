@@ -86,3 +86,18 @@ def test_only_near_edges_are_searched(spark, monkeypatch, few):
         assert got == enumerated(chain + short, ["n00"], ["n03"], 9, steps + 1)
     left = {(r.src, r.dst) for r in paths.near(rows, ["n00"], ["n03"], 3).collect()}
     assert left == {("n00", "n01"), ("n00", "x"), ("n01", "n02"), ("n01", "n03"), ("x", "n03"), ("x", "y"), ("n02", "n03"), ("n20", "n03"), ("y", "n03")}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_shortest_stops_at_the_cost_of_the_end(spark, monkeypatch, few):
+    """A long tail that costs more than the way to the end takes no rounds; ties and cheaper ways of more steps still count."""
+    monkeypatch.setattr(paths, "FEW", few)
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda df, own=graph.cut: stored.append(1) or own(df))
+    edges = [("a", "z", 0.9), ("a", "b", 0.25), ("b", "c", 0.25), ("c", "z", 0.25), ("a", "d", 0.5), ("d", "z", 0.25)]
+    tail = [(f"t{i:02}", f"t{i + 1:02}", 0.25) for i in range(30)] + [("a", "t00", 0.25)]
+    rows = spark.createDataFrame(edges + tail, "src string, dst string, score double")
+    assert [tuple(r) for r in graph.shortest(rows, "a", "z").collect()] == [(["a", "b", "c", "z"], 0.75)]
+    assert len(stored) < 15
+    assert [tuple(r) for r in graph.shortest(rows, "a", "a").collect()] == [(["a"], 0.0)]
+    assert graph.shortest(rows, "z", "a").isEmpty()
