@@ -51,9 +51,11 @@ SHARE = 5.0
 #: Distinct words a task holds before it passes its sums on.
 HELD = 500_000
 #: Neighbours a task holds before it passes them on.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 #: Rows of a batch that a task hands over at once, about.
 PASSED = 20_000
+#: Texts of a batch that a task takes up at once: Spark hands over up to 10,000.
+TAKEN = 250
 #: Occurrences above which a word's neighbours are summed in `LANES` parts before they meet.
 FREQUENT = 100_000
 LANES = 256
@@ -64,10 +66,17 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of `PASSED` rows: the JVM holds a whole one outside its heap."""
-    for at in range(0, batch.num_rows, PASSED):
-        yield batch.slice(at, PASSED)
+def in_pieces(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of so many (`PASSED`) rows: the JVM holds a whole one outside its heap."""
+    rows = rows or PASSED
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def texts(column: pa.Array) -> Iterator[bytes]:
+    """text_bytes() of a long column, `TAKEN` at a time: a second copy of a whole batch is never held."""
+    for at in range(0, len(column), TAKEN):
+        yield from text_bytes(column.slice(at, TAKEN))
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -81,7 +90,7 @@ def count_words(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for b in batches:
-            for raw in text_bytes(b.column(0)):
+            for raw in texts(b.column(0)):
                 c.update(words(raw))
                 if len(c) > HELD:
                     yield from in_pieces(batch(c))
@@ -120,7 +129,7 @@ def count_pairs(training: DataFrame, order: list[bytes]) -> np.ndarray:
         table = np.zeros(n * n, np.int64)
         get = shared.value.get
         for b in batches:
-            for raw in text_bytes(b.column(0)):
+            for raw in texts(b.column(0)):
                 w = words(raw)
                 ids = np.fromiter((get(x, n - 1) for x in w), np.int64, len(w))
                 np.add.at(table, np.concatenate(([end], ids)) * n + np.concatenate((ids, [end])), 1)
@@ -214,18 +223,20 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
     ddl = "word binary, near binary, lane int"
     schema = arrow_schema(ddl)
 
-    def batch(names: list[bytes], codes: list[np.ndarray], part: int) -> pa.RecordBatch:
+    def sums(names: list[bytes], codes: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
         code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
         word = code // (2 * size)
         near = np.empty(len(code), _NEAR)
         near["key"], near["n"] = code % (2 * size), n
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        data = near.tobytes()
-        at = (np.append(first, len(code)) * _NEAR.itemsize).tolist()
-        found, in_parts = [names[w] for w in word[first].tolist()], shared.value[3]
-        lanes = [part if w in in_parts else -1 for w in found]
-        columns = [pa.array(found, pa.binary()), pa.array([data[a:z] for a, z in zip(at, at[1:])], pa.binary()), pa.array(lanes, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        first = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(code))
+        in_parts = shared.value[3]
+        for k in range(0, len(first) - 1, PASSED):
+            at = first[k : k + PASSED + 1]
+            found = [names[w] for w in word[at[:-1]].tolist()]
+            ends, data = ((at - at[0]) * _NEAR.itemsize).astype(np.int32), near[at[0] : at[-1]].tobytes()
+            lists = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            lanes = [part if w in in_parts else -1 for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), lists, pa.array(lanes, pa.int32())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, own = shared.value[:2]
@@ -233,7 +244,7 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
         core = {w: i for i, w in enumerate(order)}
         ids, codes, held = Numbers(core), [], 0
         for b in batches:
-            for raw in text_bytes(b.column(0)):
+            for raw in texts(b.column(0)):
                 w = words(raw)
                 seq = np.empty(len(w) + 2, np.int64)
                 seq[0] = seq[-1] = end
@@ -245,9 +256,9 @@ def place(training: DataFrame, order: list[bytes], own: np.ndarray, table: np.nd
                     codes += [code + kind[at + 1], code + size + kind[at - 1]]
                     held += 2 * len(at)
                 if held > HELD_PAIRS:
-                    yield from in_pieces(batch(list(ids)[rest:], codes, part))
+                    yield from sums(list(ids)[rest:], codes, part)
                     ids, codes, held = Numbers(core), [], 0
-        yield from in_pieces(batch(list(ids)[rest:], codes, part))
+        yield from sums(list(ids)[rest:], codes, part)
 
     out_ddl = "word binary, n long, class int, near binary"
     out_schema = arrow_schema(out_ddl)
@@ -384,7 +395,7 @@ def sequences(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
         for b in batches:
             out: tuple[list, ...] = tuple([] for _ in schema)
-            for row, doc, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3))):
+            for row, doc, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b.column(3))):
                 w = words(raw)
                 ids = np.fromiter((get(x, rest) for x in w), np.int64, len(w))
                 rare = np.flatnonzero(ids == rest).tolist() if m.vocab else []
@@ -413,7 +424,7 @@ def sequences(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         everything = np.log10(max(m.tokens + m.types, 1))
         correction = everything - m.room
-        for b in batches:
+        for b in (piece for whole in batches for piece in in_pieces(whole, TAKEN)):
             seqs, tails = b.column(2).to_pylist(), b.column(7)
             size = np.array([len(x) for x in seqs], np.int64)
             seq = np.frombuffer(b"".join(seqs), np.uint8).copy()

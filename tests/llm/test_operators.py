@@ -956,3 +956,22 @@ STORY = "<p>" + "Some words, and more of the story, which goes on and on for a w
 def test_pages_are_not_lost(page, stories, has, lacks):
     text = html.main_text(page)
     assert text.count("story") == stories and all(h in text for h in has) and not any(x in text for x in lacks)
+
+
+def test_brown_takes_up_few_texts_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([None, *("ab " * 4000 for _ in range(2000))])  # 24 MB
+    tracemalloc.start()
+    assert sum(len(t) for t in brown.texts(column)) == 2000 * 12_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    rows = spark.createDataFrame([(i, f"a b w{i} w{i % 7} a c w{i % 3} w{i}" if i % 5 else None) for i in range(60)], "doc_id long, text string")
+    key = lambda r: r.doc_id
+    whole = sorted(brown.score_corpus(rows).collect(), key=key)
+    for name, n in (("TAKEN", 2), ("PASSED", 3), ("HELD_PAIRS", 20)):
+        monkeypatch.setattr(brown, name, n)
+    assert sorted(brown.score_corpus(rows).collect(), key=key) == whole
