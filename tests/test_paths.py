@@ -101,3 +101,34 @@ def test_shortest_stops_at_the_cost_of_the_end(spark, monkeypatch, few):
     assert len(stored) < 15
     assert [tuple(r) for r in graph.shortest(rows, "a", "a").collect()] == [(["a"], 0.0)]
     assert graph.shortest(rows, "z", "a").isEmpty()
+
+
+def test_ranks_shuffle_no_links(spark):
+    """Rounds more or fewer do not change what is shuffled of the links; ranks are those of plain sums, for vertices of any type."""
+    rng = random.Random(5)
+    links = {(rng.randrange(30), rng.randrange(30)) for _ in range(80)} | {(1, 99), (99, 98)}
+    out = {u: sum(a == u for a, _ in links) for u, _ in links}
+    want = dict.fromkeys({u for e in links for u in e}, 1.0)
+    for _ in range(7):
+        want = {v: 0.01 + 0.99 * sum(want[a] / out[a] for a, b in links if b == v) for v in want}
+    plans = []
+    for kind in ("long", "string"):
+        rows = spark.createDataFrame([(a, b) for a, b in [*links, (1, 99)]], "src long, dst long").select(F.col("src").cast(kind), F.col("dst").cast(kind))
+        real = graph.cut
+
+        def noted(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df)
+
+        graph.cut = noted
+        try:
+            got = {int(r.uri): r.rank for r in graph.pagerank(rows, rounds=7, every=5).collect()}
+        finally:
+            graph.cut = real
+        assert got == pytest.approx(want)
+    # the first cut is that of the edges; links come from where they are kept, already dealt, and never under an exchange of their own
+    assert all("Exchange" in p and "InMemoryTableScan" in p for p in plans[1:3])
+    for p in plans[1:3]:
+        lines = p.splitlines()
+        scans = [i for i, line in enumerate(lines) if "InMemoryTableScan" in line and "src" in line]
+        assert scans and not any("Exchange" in lines[i - 1] or "Sort " in lines[i - 1] for i in scans)
