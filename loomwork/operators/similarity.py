@@ -17,7 +17,7 @@ from loomwork.functions import vectors as V
 from loomwork.plans.config import Criteria
 
 
-def _sided(rows: DataFrame, side: str, *more: str) -> DataFrame:
+def _sided(rows: DataFrame, side: str, *more: str | Column) -> DataFrame:
     own = rows.withColumn("h", V.entropy(F.col("vector")))
     return own.select(*more, *(F.col(c).alias(f"{c}_{side}") for c in ("uri", "type", "vector", "h")))
 
@@ -187,3 +187,19 @@ def precision_recall(found: DataFrame, true: DataFrame, keys: list[str]) -> Data
     f, t = found.select(*keys).distinct().withColumn("f", F.lit(1)), true.select(*keys).distinct().withColumn("t", F.lit(1))
     hit, nf, nt = F.sum(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)), F.count("f"), F.count("t")
     return f.join(t, keys, "full").agg(F.try_divide(hit, nf).alias("precision"), F.try_divide(hit, nt).alias("recall"))
+
+
+def signature_quality(sectored: DataFrame, bits: Column, least: float, sector: str = "sector") -> DataFrame:
+    """precision_recall() of equal signatures as a guess of the pairs of a sector above `least`; a uri is in one sector.
+
+    Both are pairs of a sector, so they are formed once and marked; no pair is shuffled.
+    """
+    rows = sectored.where(F.col("vector").isNotNull()).withColumn("bits", bits)
+    a, b = (_sided(rows, n, sector, F.col("bits").alias(f"bits_{n}")) for n in "12")
+    pairs = a.join(b, sector).where("uri_1 < uri_2")
+    marks = F.struct(F.coalesce(F.col("bits_1") == F.col("bits_2"), F.lit(False)).alias("f"), F.coalesce(_score("1", "2") > least, F.lit(False)).alias("t"))
+    # as an array, since a condition would be taken below the marks and have each score computed twice
+    marked = pairs.select(sector, "uri_1", "uri_2", F.inline(F.filter(F.array(marks), lambda m: m["f"] | m["t"])))
+    each = marked.groupBy(sector, "uri_1", "uri_2").agg(F.max("f").alias("f"), F.max("t").alias("t"))  # within the partitions of sectors
+    hit = F.sum(F.when(F.col("f") & F.col("t"), 1).otherwise(0))
+    return each.agg(F.try_divide(hit, F.count_if("f")).alias("precision"), F.try_divide(hit, F.count_if("t")).alias("recall"))

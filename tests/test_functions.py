@@ -110,3 +110,26 @@ def test_bit_permutations(spark):
     assert long.distinct().count() == comb(62, 3)
     with pytest.raises(Exception, match="too many orders"):
         spark.createDataFrame([("10" * 31,)], "bits string").select(V.bit_permutations(F.col("bits"))).collect()
+
+
+def test_signature_quality_forms_pairs_once(spark):
+    """The same as the two tables of pairs compared, doubled rows and nulls included; nothing but the rows of sectors is shuffled."""
+    from loomwork.operators import similarity
+
+    rows = [(f"u{i}", "item", [float(1 + i % 3), float(1 + i * 7 % 5), 1.0], i % 4) for i in range(40)]
+    rows += [rows[3], ("u3", "item", [9.0, 1.0, 1.0], 3), ("u7", "item", None, 3), (None, "item", [1.0, 1.0, 1.0], 1), ("u50", "item", [1.0, 1.0, 1.0], None)]
+    table = spark.createDataFrame(rows, "uri string, type string, vector array<double>, sector long").withColumn("vector", V.normalised(F.col("vector")))
+    bits = V.bit_signature(F.col("vector"), 0.05, 0.25)
+    b = table.select("uri", "sector", bits.alias("bits"))
+    found = b.join(b.withColumnRenamed("uri", "other"), ["sector", "bits"]).where("uri < other").select(F.col("uri").alias("resource_uri_1"), F.col("other").alias("resource_uri_2"))
+    want = similarity.precision_recall(found, similarity.in_sector(table, least=0.9), ["resource_uri_1", "resource_uri_2"]).collect()
+    got = similarity.signature_quality(table, bits, 0.9)
+    assert got.collect() == want and 0 < want[0].recall < 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sectors meet in a shuffle, as those of a large table do
+    try:
+        plan = similarity.signature_quality(table, bits, 0.9)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("uri" in line.split("hashpartitioning")[1] for line in dealt)
+    assert [tuple(r) for r in similarity.signature_quality(table.limit(0), bits, 0.9).collect()] == [(None, None)]
