@@ -19,6 +19,8 @@ from loomwork.plans.shipping import ship
 
 #: Rows of a bucket, about: what one task holds of a sector at a time.
 BUCKET = 20_000
+#: Rows of a task, about: a round runs no more tasks than the rows are worth, whatever the number of shuffle partitions.
+TASK = 5_000
 #: Rows of a sector that first centres are chosen from, about; all rows then take part in every round.
 SEEDS = 1_000
 #: Steps that first centres take at most on those rows before all rows are read.
@@ -80,7 +82,9 @@ def bucketed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     buckets = F.ceil(F.col("n") / BUCKET).cast("int")
     placed = rows.join(sizes, "sector").withColumn("buckets", buckets).withColumn("bucket", F.floor(F.col("draw") * F.col("buckets")).cast("int"))
     picked = placed.withColumn("picked", F.pmod(F.col("draw") * 2**20, F.lit(1.0)) * F.col("n") < 2 * SEEDS)  # other digits of the draw
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    worth = max(spark.sparkContext.defaultParallelism, (sizes.agg(F.sum("n")).first()[0] or 0) // TASK + 1)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), worth)
     return cut(picked.repartition(parts, "sector", "bucket").sortWithinPartitions("sector", "bucket"))
 
 

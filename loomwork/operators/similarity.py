@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
 from loomwork.plans.config import Criteria
+from loomwork.plans.lineage import cut
+
+#: Rows on each side of a square of pairs, about.
+SQUARE = 250
 
 
 def _sided(rows: DataFrame, side: str, *more: str | Column) -> DataFrame:
@@ -74,10 +78,33 @@ def across(sectored: DataFrame, neighbours: DataFrame, least: float, sector: str
     return scored.where(F.col("score") > least)
 
 
+def squared(rows: DataFrame, on: str, more: tuple[str, ...] = (), when: Column | None = None) -> DataFrame:
+    """All pairs of rows (uri, type, vector) of one `on`, each once: square, on, resource_uri_1, ..., score, and c_1 and c_2 of each c in more.
+
+    Pairs lie in the squares of a grid, which are dealt out each for itself: no task has more than a few squares, whose size is bounded,
+    and a row is copied once a bucket of the grid. when: what pairs must be (uri_1, uri_2, c_1, c_2) to be scored.
+    """
+    rows = cut(rows.where(F.col("vector").isNotNull()))
+    many = rows.count() // SQUARE + 1
+    dealt = rows.withColumn("own", F.pmod(F.hash("uri"), F.lit(many))).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    key = ["square", "on"]
+
+    def side(n: str, kept: str) -> DataFrame:
+        square = (F.least("own", "met") * many + F.greatest("own", "met")).alias("square")
+        own = _sided(dealt.where(kept), n, square, F.col(on).alias("on"), F.col("own").alias(f"own_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in more))
+        return own.repartition(many * (many + 1) // 2, *key)
+
+    pairs = side("1", "own <= met").join(side("2", "own >= met"), key).where("own_1 < own_2 or uri_1 < uri_2")
+    pairs = pairs if when is None else pairs.where(when)
+    return pairs.select(
+        *key, F.col("uri_1").alias("resource_uri_1"), F.col("type_1").alias("resource_type_1"), F.col("uri_2").alias("resource_uri_2"),
+        F.col("type_2").alias("resource_type_2"), _score("1", "2").alias("score"), *(f"{c}_{n}" for c in more for n in "12"),
+    )
+
+
 def of_centroids(centres: DataFrame) -> DataFrame:
-    """Both-way similarities of centroids of one type (few: one a sector and type)."""
-    rows = in_sector(centres.withColumn("kind", F.col("type")), "kind").drop("sector")
-    return mirrored(rows)
+    """Both-way similarities of centroids of one type (one a sector and type); all pairs, so they grow with the square of the sectors."""
+    return mirrored(squared(centres, "type").drop("square", "on"))
 
 
 def one_to_all(shapes: DataFrame, uri: str, vector: list[float]) -> DataFrame:

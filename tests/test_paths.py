@@ -132,3 +132,38 @@ def test_ranks_shuffle_no_links(spark):
         lines = p.splitlines()
         scans = [i for i, line in enumerate(lines) if "InMemoryTableScan" in line and "src" in line]
         assert scans and not any("Exchange" in lines[i - 1] or "Sort " in lines[i - 1] for i in scans)
+
+
+CASES = [("score", ["item"], ["s00"], ["s19"], 0.3, 5), ("1-score", ["item", "part"], ["s01", "s02"], ["s15", "s02"], 0.3, 4)]
+
+
+@pytest.mark.parametrize("weight, types, starts, ends, least, longest", CASES)
+def test_sector_ways_are_those_over_all_edges(spark, monkeypatch, weight, types, starts, ends, least, longest):
+    """Only edges that the ways asked for may take are made, by squares of a grid; the ways are those over the edges of all pairs."""
+    monkeypatch.setattr(graph.similarity, "SQUARE", 9)
+    rng = random.Random(7)
+    unit = lambda x: [v / sum(x) for v in x]
+    # bumps along 12 dimensions: the ends have little in common, so ways of more steps are found
+    bump = lambda at: unit([2.0 ** -abs(i - at) + rng.random() / 50 for i in range(12)])
+    rows = [(f"s{k:02}", t, bump(k * 11 / 19)) for k in range(20) for t in ("item", "part") if t == "item" or k % 3]
+    centres = spark.createDataFrame(rows, "uri string, type string, vector array<double>")
+    edges = [(r.src, r.dst, r.score if weight == "score" else 1 - r.score) for r in graph.sector_edges(centres, least, types).collect()]
+    got = [(p.nodes, p.cost) for p in graph.sector_ways(centres, starts, ends, least, 3, longest, types, weight)]
+    want = enumerated(edges, starts, ends, 3, longest)
+    assert [n for n, _ in got] == [n for n, _ in want] and max(len(n) for n, _ in got) > 2
+    assert [c for _, c in got] == pytest.approx([c for _, c in want], abs=1e-8)  # costs are rounded at each step
+
+
+def test_edges_of_sectors_that_no_way_takes_are_not_made(spark, monkeypatch):
+    """Sectors whose ends are alike: the first way needs no edge but those of the ends, and no task holds the pairs of all sectors."""
+    rng = random.Random(3)
+    unit = lambda x: [v / sum(x) for v in x]
+    centres = spark.createDataFrame([(f"s{k:03}", "item", unit([1 + rng.random() for _ in range(8)])) for k in range(300)], "uri string, type string, vector array<double>")
+    used, plain = [], paths.in_order
+    monkeypatch.setattr(graph.paths, "in_order", lambda edges, *a: used.append(edges.count()) or plain(edges, *a))
+    assert next(graph.sector_ways(centres, ["s000"], ["s299"], 0.1, 2, 10, ["item"])).nodes == ("s000", "s299")
+    assert used == [2 * (299 + 298)]
+    monkeypatch.setattr(graph.similarity, "SQUARE", 30)
+    pairs = graph.similarity.of_centroids(centres)
+    held = [len(p) for p in pairs.rdd.glom().collect()]
+    assert sum(held) == 300 * 299 and max(held) < 300 * 299 / 4
