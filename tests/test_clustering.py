@@ -119,3 +119,16 @@ def test_equal_points_and_hot_uris_are_dealt(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([("a", "item", None)], "uri string, type string, vector array<double>")
     assert sectors.assign(none, 40).isEmpty() and sectors.assign(none.limit(0), 40).isEmpty()
+
+
+def test_few_rows_take_few_tasks(spark):
+    """A round has no more tasks than its rows are worth, whatever the number of shuffle partitions."""
+    rows = clustering.drawn(spark.range(200).select(F.col("id").cast("string").alias("uri"), F.lit("item").alias("type"), F.array(F.rand(1), F.rand(2)).alias("vector"), F.lit("0").alias("sector")), 1)
+    sizes = spark.createDataFrame([("0", 200, 2)], "sector string, n long, k int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        points = clustering.bucketed(rows, sizes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert points.count() == 200 and points.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
