@@ -7,13 +7,14 @@ import random
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
+from loomwork.operators.lda import LDA
 from loomwork.plans.config import Config
 from loomwork.plans.lineage import cut
 
@@ -98,7 +99,10 @@ def train(corpus: DataFrame, parameters: Parameters, config: Config, subsampling
     if parameters.beta > 0:
         lda.setTopicConcentration(parameters.beta)
     words = Pipeline(stages=stages(config)).fit(corpus)
-    counted = cut(words.transform(corpus.select("tokens")).select("features"))
+    counts, tasks = words.transform(corpus.select("tokens")).select("features"), 3 * corpus.sparkSession.sparkContext.defaultParallelism
+    if counts.rdd.getNumPartitions() < tasks:  # few files or groups of rows: their counts are dealt to all tasks
+        counts = counts.repartition(tasks, F.rand(config.seed))
+    counted = cut(counts)
     return PipelineModel(stages=[*words.stages, lda.fit(counted)])
 
 
