@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import clustering
 from pyspark.ml.linalg import Vectors
 
-from loomwork.operators import lda, topics
+from loomwork.operators import lda, similarity, topics
 from loomwork.plans import queries as Q
 
 
@@ -73,3 +73,11 @@ def test_counts_of_one_file_go_to_all_tasks(spark, monkeypatch):
     rows = spark.createDataFrame([(f"words about topic{i % 3} number{i % 5} again",) for i in range(400)], "tokens string").coalesce(1)
     topics.train(rows, topics.Parameters(3, iterations=1), Q.Config())
     assert sum(sizes[0]) == 400 and max(sizes[0]) < 100
+
+
+def test_free_text_meets_stored_shapes(spark, monkeypatch):
+    """Score and threshold both ask for the shapes: inference is not run for each of them."""
+    plans, plain = [], similarity.similar_to_vector
+    monkeypatch.setattr(similarity, "similar_to_vector", lambda shapes, *rest: plans.append(shapes._jdf.queryExecution().optimizedPlan().toString()) or plain(shapes, *rest))
+    assert Q.QUERIES["free_text_similar"](spark, "/root/testdata/sf0.001").count()
+    assert len(plans) == 1 and "UDF" not in plans[0]
